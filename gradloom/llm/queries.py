@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradloom.llm import order_minhash, packing, pii, rule_ledger, secret_scan, text_density, token_files, url_reputation
+from gradloom.llm import multi_index, order_minhash, packing, pii, rule_ledger, secret_scan, source_mix, text_density, token_files, url_reputation
 
 
 def tokenizer_path(name: str) -> str:
@@ -44,6 +44,14 @@ def op6_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.op6(_table(spark, sf_dir, "documents"))
 
 
+def op7_flow_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.op7(_table(spark, sf_dir, "documents"))
+
+
+def op8_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.op8(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.op9(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -53,7 +61,8 @@ def op10_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_pfor_files, op2_url_reputation, op3_order_minhash, op4_deobfuscated_pii, op5_text_density, op6_secret_ownership, op9_sum_of_squares, op10_rule_ledger,
+    op1_pfor_files, op2_url_reputation, op3_order_minhash, op4_deobfuscated_pii, op5_text_density, op6_secret_ownership, op7_flow_mix, op8_multi_index, op9_sum_of_squares,
+    op10_rule_ledger,
 )}
 
 ORACLE_SQL: dict[str, str] = {"op10_rule_ledger": rule_ledger.SQL}

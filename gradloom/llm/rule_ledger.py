@@ -7,8 +7,7 @@ through?") then are bitwise work on that long and never read the text again.
 
 Defined results: a null or empty text has no words and so fails ``few_words``; repeated
 rows and ties are judged row by row; an empty table gives an empty ledger; columns of the
-input besides the text are carried along, and a ledger column whose name clashes with one
-of them raises ``ValueError``.
+input besides the text are carried along, also where their names clash with the ledger's.
 """
 
 from __future__ import annotations
@@ -18,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradloom.llm.common import GAP, words
+from gradloom.llm.common import fresh, words
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters")
 
@@ -101,10 +100,10 @@ def _repeated_windows(df: DataFrame, w: str, out: str) -> DataFrame:
 
 
 def measure(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """``df`` with the columns of ``MEASURES``, each computed in one pass over the text."""
-    clash = {c.lower() for c in df.columns} & {*MEASURES, "failed"}
-    if clash:
-        raise ValueError(f"the ledger's columns {sorted(clash)} are in the input already")
+    """``df`` with the columns of ``MEASURES``, each computed in one pass over the text.
+
+    ``df`` has none of these columns yet; :func:`ledger` sees to that.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     w = "__ledger_words"
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.translate(x, " \t\x0b\f\r", "")) > 0)
@@ -123,14 +122,21 @@ def measure(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def ledger(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``df`` with the measures and the long ``failed``: bit *i* is set where rule *i* fails."""
+    """``df`` with the measures and the long ``failed``: bit *i* is set where rule *i* fails.
+
+    A column that the input has already keeps its name and values; the ledger's column of
+    that name gets underscores appended.
+    """
     if len(rules) > 63:
         raise ValueError("a ledger holds 63 rules at most")
     bits = [F.when(F.expr(r.fails), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, r in enumerate(rules)]
     mask = bits[0]
     for b in bits[1:]:
         mask = mask.bitwiseOR(b)
-    return measure(df, text_col).withColumn("failed", mask)
+    own = (*MEASURES, "failed")
+    aside = {c: f"__ledger_in_{i}" for i, c in enumerate(df.columns) if c.lower() in own}
+    led = measure(df.withColumnsRenamed(aside), aside.get(text_col, text_col)).withColumn("failed", mask)
+    return led.select(*[F.col(f"`{aside.get(c, c)}`").alias(c) for c in df.columns], *[F.col(n).alias(to) for n, to in zip(own, fresh(df, *own), strict=True)])
 
 
 def passes(failed: Column, policy: str | tuple[str, ...], rules: tuple[Rule, ...] = RULES) -> Column:
@@ -138,8 +144,13 @@ def passes(failed: Column, policy: str | tuple[str, ...], rules: tuple[Rule, ...
     return failed.bitwiseAND(F.lit(policy_mask(policy, rules)).cast("long")) == 0
 
 
-def apply_policy(led: DataFrame, policy: str | tuple[str, ...], rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    return led.where(passes(F.col("failed"), policy, rules))
+def apply_policy(led: DataFrame, policy: str | tuple[str, ...], rules: tuple[Rule, ...] = RULES, failed: str = "failed") -> DataFrame:
+    return led.where(passes(F.col(failed), policy, rules))
+
+
+def keep(df: DataFrame, policy: str | tuple[str, ...], text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of ``df`` that pass the policy, with its columns alone."""
+    return apply_policy(ledger(df, text_col, rules), policy, rules, fresh(df, *MEASURES, "failed")[-1]).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def ablations(led: DataFrame, policy: str | tuple[str, ...], rules: tuple[Rule, ...] = RULES) -> DataFrame:
