@@ -157,7 +157,7 @@ def pattern_module(config: Column, number: Column, part: Column) -> Column:
 
 def number_range(part: Column, module: Column) -> Column:
     start = F.when(part == "A", module * 2 - 1).otherwise(module * 2 + 9)
-    return F.concat(F.lit("Q"), start.cast("string"), F.lit("-Q"), (start + 1).cast("string"))
+    return F.concat(F.lit("Qn "), start.cast("string"), F.lit("-"), (start + 1).cast("string"))
 
 
 def final_module(explicit: Column, hint: Column, exists: Column, classified: Column) -> Column:

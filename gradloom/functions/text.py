@@ -165,8 +165,11 @@ def truncate(text: Column, most: int = 100, suffix: str = "...") -> Column:
     return F.when(F.length(text) <= most, text).otherwise(F.concat(F.substring(text, 1, most - len(suffix)), F.lit(suffix)))
 
 
+NUMBER_PATTERNS = (r"^[Qq]\.?\s*(\d+[a-zA-Z]?)", r"^(\d+)\s*[.)]\s*", r"^(\d+[a-zA-Z]?)\s*[.)]\s*")
+
+
 def question_number(text: Column) -> Column:
-    return first_group(text, (r"(?i)^(\d+[a-z]?)[.)]", 1), (r"(?i)^Q\.?\s*(\d+[a-z]?)", 1), (r"(?i)^Question\s*(\d+)", 1))
+    return first_group(strip(text), *((p, 1) for p in NUMBER_PATTERNS))
 
 
 def safe_filename(name: Column) -> Column:

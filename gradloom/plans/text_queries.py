@@ -159,7 +159,7 @@ QUERIES: dict[str, Query] = {
     "t14_truncate": _line(lambda c: T.truncate(c, 30), "CASE WHEN length(line) <= 30 THEN line ELSE substr(line, 1, 27) || '...' END"),
     "t15_question_number": _line(
         T.question_number,
-        D.case([(D.has("line", p), f"regexp_extract(line, {D.q(p)}, 1)") for p in (r"(?i)^(\d+[a-z]?)[.)]", r"(?i)^Q\.?\s*(\d+[a-z]?)", r"(?i)^Question\s*(\d+)")], "NULL"),
+        D.case([(D.has(D.strip("line"), p), f"regexp_extract({D.strip('line')}, {D.q(p)}, 1)") for p in T.NUMBER_PATTERNS], "NULL"),
     ),
     "t16_safe_filename": _line(T.safe_filename, f"substr({D.rewrite('line', (Sub(r'[^\w\s.\-]'), Sub(r'\s+', '_')))}, 1, 255)"),
     "t17_for_embedding": _line(T.for_embedding, _embedding("line")),
@@ -220,6 +220,6 @@ QUERIES: dict[str, Query] = {
         lambda: C.likelihood(F.col("question_no"), F.col("marks") % 11),
         D.case([("marks % 11 = 0", "'Insufficient data'"), *[(f"question_no * 100.0::DOUBLE / (marks % 11) >= {a}", D.q(b)) for a, b in C.LIKELIHOOD]], "'Very Low (appears once)'"),
     ),
-    "c23_number_range": _question(lambda: C.number_range(F.col("part"), F.col("module_number")), "'Q' || CAST(module_number * 2 + CASE WHEN part = 'A' THEN -1 ELSE 9 END AS VARCHAR) || '-Q' || CAST(module_number * 2 + CASE WHEN part = 'A' THEN 0 ELSE 10 END AS VARCHAR)"),
+    "c23_number_range": _question(lambda: C.number_range(F.col("part"), F.col("module_number")), "'Qn ' || CAST(module_number * 2 + CASE WHEN part = 'A' THEN -1 ELSE 9 END AS VARCHAR) || '-' || CAST(module_number * 2 + CASE WHEN part = 'A' THEN 0 ELSE 10 END AS VARCHAR)"),
     "v09_hybrid_same": _question(lambda: C.hybrid_same(F.col("marks") / 50.0), "CASE WHEN marks / 50.0::DOUBLE >= 0.85 THEN true WHEN marks / 50.0::DOUBLE < 0.65 THEN false ELSE marks / 50.0::DOUBLE >= 0.75 END"),
 }
