@@ -1,58 +1,19 @@
-"""What several operators share: the word definition, the shared folder, cutting lineage."""
+"""What several operators share: the word definition and small helpers."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gradloom.lineage import cut, new_path
+
+__all__ = ["GAP", "WORD", "cut", "fresh", "new_path", "words"]
+
 #: A word is a run of characters other than space and TAB..CR, in Java's and Python's regex syntax alike.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where that is unset, as in tests on one machine, a temporary folder is made and set.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="gradloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def new_path(spark: SparkSession, kind: str) -> str:
-    """A path below the shared folder that no other call returns; deleted when the driver ends."""
-    path = f"{shared_dir(spark)}/gradloom-{kind}-{uuid.uuid4().hex}"
-    atexit.register(_delete, spark, path)
-    return path
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session has ended: the folder's owner cleans it
-        pass
-
-
-def cut(df: DataFrame, kind: str = "cut") -> DataFrame:
-    """``df`` written to the shared folder and read again.
-
-    A plan that reads ``df`` several times computes it once, and an executor lost later
-    costs a read of these files and not the whole lineage.
-    """
-    path = new_path(df.sparkSession, kind)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def words(text: Column) -> Column:
     """The words of a text; null has none."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))

@@ -144,7 +144,7 @@ def pack(docs: DataFrame, tokenizer: str, mode: str = "lead", end_id: int = 0, s
             doc = 0
             for b in batches:
                 partition = b.column(2)[0].as_py() if partition is None and b.num_rows else partition
-                for k, own in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist()), strict=True):
+                for k, own in zip(b.column(0).to_pylist(), encode(x.as_py() for x in b.column(1)), strict=True):
                     ids[doc], keys[doc], pending[doc] = np.append(own, np.array([end_id], own.dtype)), k, len(own) + 1
                     doc += 1
                     yield len(own) + 1

@@ -173,7 +173,7 @@ def read_range(data: bytes, start: int, stop: int) -> np.ndarray:
 MANIFEST = "task long, nth long, file string, n_docs long, n_ids long, n_bytes long"
 
 
-def write_files(docs: DataFrame, folder: str, tokenizer: str, mode: str = "drop", end_id: int = 1, key: str = "doc_id", text_col: str = "text", segment_ids: int = 8 << 20) -> DataFrame:
+def write_files(docs: DataFrame, folder: str, tokenizer: str, mode: str = "drop", end_id: int = 1, key: str = "doc_id", text_col: str = "text", segment_ids: int = 4 << 20) -> DataFrame:
     """Writes the corpus to ``folder`` in ascending order of ``key``; returns the manifest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +199,7 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, mode: str = "drop"
             return pa.RecordBatch.from_arrays([pa.array(v) for v in row], names=[x.split()[0] for x in MANIFEST.split(", ")])
 
         for b in batches:
-            for k, ids in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist()), strict=True):
+            for k, ids in zip(b.column(0).to_pylist(), encode(x.as_py() for x in b.column(1)), strict=True):
                 names.append(k)
                 counts.append(len(ids) + 1)
                 parts.append(np.append(ids, np.array([end_id], ids.dtype)))

@@ -1,10 +1,10 @@
 """Encoding whole texts with a public tokenizer, fast and exactly.
 
 The library encodes; this module only keeps it from encoding the same piece of text over
-and over. A text is cut where the tokenizer's own pre-tokenizer always cuts, each distinct
-piece is encoded once by the library and its ids are kept in a bounded cache. Texts for
-which the cutting rule isn't proven (other scripts, control characters, runs of blanks)
-are encoded whole by the library.
+and over. Texts are cut where the tokenizer's own pre-tokenizer always cuts, a batch's
+pieces are made distinct, and each distinct piece is encoded by the library once and kept
+in a bounded cache. Texts for which the cutting rule isn't proven (other scripts, control
+characters, runs of blanks) are encoded whole by the library.
 """
 
 from __future__ import annotations
@@ -14,16 +14,17 @@ import os
 import re
 import sys
 from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Printable ASCII, Latin letters and usual blanks: NFC leaves these alone and a cut at a blank is exact.
 _ODD = re.compile(r"[^\t\n\x0b\x0c\r\x20-\x7e\xa1-įĲ-ɏ]|<\|")
-#: A comma or full stop at a word's end is a piece of its own, unless other punctuation stands before it.
-_TAIL = re.compile(r"[,.](?<=[\W_].)(?:\s|\Z)|\A[,.]")
 _OTHER_BLANK = re.compile(r"[\t\x0b\x0c\r]")
-CACHE = 400_000  # pieces in each of a worker's two generations, about 80 MB each
-_SLICE = 1_000_000  # characters cut up at a time
+CACHE = 500_000  # pieces in each of a worker's two generations, about 100 MB each
+_SLICE = 5_000_000  # characters cut up at a time
 
 
 class Encoder:
@@ -50,50 +51,73 @@ class Encoder:
             out.byteswap()
         return out.tobytes()
 
-    def _whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype=self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return [self._bytes(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _joined(self, text: str) -> bool:
-        """Whether byte-level BPE's pattern takes several blanks as one piece."""
-        return "   " in text or "\n\n\n" in text or " \n" in text or "\n " in text or text.endswith(("  ", "\n\n")) or bool(_OTHER_BLANK.search(text))
-
-    def _pieces(self, text: str) -> list[str] | None:
-        """Where the pre-tokenizer cuts too, or null if the text isn't of the simple kind."""
-        if _ODD.search(text):
-            return None
+    def _simple(self, text: str) -> bool:
+        """Whether cutting at blanks gives the pieces that the tokenizer makes."""
+        if self.mode not in ("drop", "lead") or _ODD.search(text):
+            return False
         if self.mode == "drop":
-            text = text.lower()
-            if not _TAIL.search(text):
-                text = text.replace(", ", " , ").replace(". ", " . ").replace(".\n", " . ")
-            return text.split()
-        if self.mode != "lead" or self._joined(text):
-            return None
-        if not _TAIL.search(text):
-            text = text.replace(", ", "\0, ").replace(". ", "\0. ").replace(".\n", "\0.\n")
-        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+            return True
+        joined = "   " in text or "\n\n\n" in text or " \n" in text or "\n " in text or text.endswith(("  ", "\n\n"))
+        return not joined and not _OTHER_BLANK.search(text)
 
-    def _some(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [self._pieces(t) for t in texts]
+    def _of(self, pieces: list[str]) -> list[bytes]:
+        """The ids of distinct pieces, from the cache or the library."""
         if len(self.kept) > self.limit:  # what is still in use moves back from the older generation
             self.kept, self.older = {"": b""}, self.kept
-        new: set[str] = set()
-        for p in cut:
-            if p:
-                new.update(p)
         kept, older = self.kept, self.older
-        fresh = []
-        for x in new.difference(kept):
+        missing, tails = [], []
+        for x in pieces:
+            if x in kept:
+                continue
             if x in older:
                 kept[x] = older[x]
+            elif x[-1] in ",." and x[-2:-1].isalnum():  # a word and the mark after it are two pieces
+                tails.append(x)
             else:
-                fresh.append(x)
-        for at in range(0, len(fresh), 20_000):
-            part = fresh[at : at + 20_000]
-            kept.update(zip(part, [self._bytes(e.ids) for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)], strict=True))
-        get = kept.__getitem__
-        return [np.frombuffer(b"".join(map(get, p)), dtype=self.dtype) if p is not None else self._whole([t])[0] for p, t in zip(cut, texts, strict=True)]
-
-    def encode(self, texts: list[str | None]):
+                missing.append(x)
+        heads = {x[:-1] for x in tails} | {x[-1] for x in tails}
+        missing += [x for x in heads if x not in kept]
+        for at in range(0, len(missing), 20_000):
+            part = missing[at : at + 20_000]
+            kept.update(zip(part, self._library(part), strict=True))
+        for x in tails:
+            kept[x] = kept[x[:-1]] + kept[x[-1]]
+        return [kept[x] for x in pieces]
+
+    def _cut(self, texts: list[str]) -> pa.ListArray:
+        column = pa.array(texts, pa.large_string())
+        if self.mode == "drop":
+            return pc.ascii_split_whitespace(pc.utf8_lower(column))
+        column = pc.replace_substring(pc.replace_substring(column, " ", "\0 "), "\n", "\0\n\0")
+        return pc.split_pattern(column, "\0")
+
+    def _some(self, texts: list[str]) -> list[np.ndarray]:
+        simple = [self._simple(t) for t in texts]
+        out: list[np.ndarray | None] = [None] * len(texts)
+        which = [i for i, s in enumerate(simple) if s]
+        if which:
+            pieces = self._cut([texts[i] for i in which])
+            coded = pieces.flatten().dictionary_encode()
+            own = self._of(coded.dictionary.to_pylist())
+            flat = np.frombuffer(b"".join(own), dtype=self.dtype)
+            sizes = np.fromiter(map(len, own), dtype=np.int64, count=len(own)) // self.dtype.itemsize
+            codes = coded.indices.to_numpy(zero_copy_only=False)
+            starts = np.cumsum(sizes) - sizes
+            lengths = sizes[codes]
+            ends = np.cumsum(lengths)
+            ids = flat[np.repeat(starts[codes] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
+            at = np.concatenate([[0], ends])[np.asarray(pieces.offsets) - pieces.offsets[0].as_py()]
+            for k, i in enumerate(which):
+                out[i] = ids[at[k] : at[k + 1]]
+        rest = [i for i, s in enumerate(simple) if not s]
+        for i, ids in zip(rest, self._library([texts[i] for i in rest]) if rest else [], strict=True):
+            out[i] = np.frombuffer(ids, dtype=self.dtype)
+        return out
+
+    def encode(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
         """Yields the ids of each text, in order."""
         part: list[str] = []
         length = 0
