@@ -27,7 +27,7 @@ from gradloom.llm.common import GAP, cut, fresh
 MOST = 3  # times a document may be used
 COSTS = (0, 1, 3)  # of the first, second and third use: convex
 MAX_PATTERNS = 20_000
-_BITS = 47  # of a 63-bit hash below its bucket
+_BITS = 51  # of a 63-bit hash below its bucket: 4096 buckets
 
 
 def n_words(text: Column) -> Column:
@@ -173,7 +173,7 @@ def _with_pid(df: DataFrame, patterns: list[tuple]) -> DataFrame:
 def _thresholds(sized: DataFrame, patterns: list[tuple], borders: list[tuple[int, int, int]]) -> dict[int, int]:
     """The hash up to which a pattern's documents hold ``rest`` tokens, for each border.
 
-    A histogram over 65,536 hash buckets finds the bucket of each border; only that bucket's
+    A histogram over 4096 hash buckets finds the bucket of each border; only that bucket's
     documents are put in order, and the document nearest to the border decides.
     """
     spark = sized.sparkSession
