@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from gradloom.llm.common import cut
 from gradloom.workers import ship
 
-CODES, SAMPLE, BLOCK, GROUP = 64, 20_000, 4096, 1024
+CODES, SAMPLE, BLOCK, GROUP = 64, 10_000, 4096, 1024
 RESULT = "query_id long, rank int, vec_id long, score double"
 
 
@@ -128,7 +128,8 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id"
     total = int(counts.sum())
     want = max(at_least, math.ceil(share * total))
     begin = np.cumsum(counts) - counts
-    groups = max(1, math.ceil(asked.count() / GROUP))
+    n_asked = asked.count()
+    groups = max(1, math.ceil(n_asked / GROUP))
 
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -176,7 +177,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id"
     starts = F.element_at(F.lit(begin.tolist()), F.col("cell") + 1)
     sizes = F.element_at(F.lit(counts.tolist()), F.col("cell") + 1)
     left = indexed.withColumn("block", F.floor((starts + F.pmod(F.xxhash64("vec_id"), sizes)) / BLOCK)).withColumn("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
-    right = asked.withColumn("grp", F.pmod(F.xxhash64("vec_id"), F.lit(groups).cast("long"))).mapInArrow(probes, "block long, grp long, query_id long, q array<double>, cells array<int>")
+    right = asked.withColumn("grp", F.pmod(F.xxhash64("vec_id"), F.lit(groups).cast("long"))).repartition(max(1, math.ceil(n_asked / 128)), "vec_id").mapInArrow(probes, "block long, grp long, query_id long, q array<double>, cells array<int>")
     found = left.groupBy("block", "grp").cogroup(right.groupBy("block", "grp")).applyInArrow(rerank, "query_id long, vec_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.distinct().withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
