@@ -105,13 +105,17 @@ def reputation(stats: DataFrame, z: float = 1.64, block_above: float = 0.5) -> D
     total = suffixes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("k"), F.lit(0)).alias("k")).first()  # one row
     mean = (total["k"] + 0.5) / (total["n"] + 1.0) if total["n"] else 0.0
     s_suffix, s_domain, s_host = _strength(_level(suffixes, "suffix", "root")), _strength(_level(domains, "domain", "suffix")), _strength(_level(stats, "host", "domain"))
-    up = suffixes.select("suffix", F.col("n").alias("sn"), F.col("k").alias("sk"))
-    d = domains.join(up, "suffix").select(
-        "domain", F.col("n").alias("dn"), F.col("k").alias("dk"), ((F.col("sk") - F.col("k") + s_suffix * mean) / (F.col("sn") - F.col("n") + s_suffix)).alias("m_suffix")
-    )
+    # a prior is as strong as siblings are alike, and no stronger than what is known of their parent
+    least = lambda strength, known: 1 / (1 / F.lit(strength) + 1 / known)
+    s_eff = least(s_suffix, total["n"] - F.col("n") + F.lit(1.0))
+    up = suffixes.select("suffix", F.col("n").alias("sn"), F.col("k").alias("sk"), s_eff.alias("s_eff"))
+    rest = F.col("sn") - F.col("n") + F.col("s_eff")
+    d = domains.join(up, "suffix").select("domain", F.col("n").alias("dn"), F.col("k").alias("dk"), ((F.col("sk") - F.col("k") + F.col("s_eff") * mean) / rest).alias("m_suffix"), least(s_domain, rest).alias("d_eff"))
     h = stats.join(cut(d, "domain-priors"), "domain")
-    m_domain = (F.col("dk") - F.col("k") + s_domain * F.col("m_suffix")) / (F.col("dn") - F.col("n") + s_domain)
-    h = h.withColumn("a", F.col("k") + s_host * m_domain).withColumn("ab", F.col("n") + F.lit(s_host))
+    known = F.col("dn") - F.col("n") + F.col("d_eff")
+    m_domain = (F.col("dk") - F.col("k") + F.col("d_eff") * F.col("m_suffix")) / known
+    h_eff = least(s_host, known)
+    h = h.withColumn("a", F.col("k") + h_eff * m_domain).withColumn("ab", F.col("n") + h_eff)
     rate = F.col("a") / F.col("ab")
     bad_low = F.greatest(F.lit(0.0), rate - z * F.sqrt(rate * (1 - rate) / (F.col("ab") + 1)))
     return h.select("host", "n", "k", rate.alias("bad_rate"), bad_low.alias("bad_low"), F.when(bad_low > block_above, "block").otherwise("allow").alias("verdict"))
