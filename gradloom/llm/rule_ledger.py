@@ -145,7 +145,11 @@ def passes(failed: Column, policy: str | tuple[str, ...], rules: tuple[Rule, ...
 
 
 def apply_policy(led: DataFrame, policy: str | tuple[str, ...], rules: tuple[Rule, ...] = RULES, failed: str = "failed") -> DataFrame:
-    return led.where(passes(F.col(failed), policy, rules))
+    """The rows that pass. The filter must stay above the ledger: pushed below it, the optimizer
+    would write out the mask's whole expression wherever it refers to a step. A column that is
+    not deterministic holds it there."""
+    (stop,) = fresh(led, "__partition")
+    return led.withColumn(stop, F.spark_partition_id()).where(passes(F.col(failed), policy, rules) & (F.col(stop) >= 0)).drop(stop)
 
 
 def keep(df: DataFrame, policy: str | tuple[str, ...], text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
