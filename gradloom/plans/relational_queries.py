@@ -13,6 +13,9 @@ from gradloom.operators import ingest as I
 from gradloom.operators import similarity as V
 from gradloom.operators import stats as A
 from gradloom.operators.graph import components
+from gradloom.operators import plugins, rules
+from gradloom.operators.segment import segment
+from gradloom.streaming.ingest import rate_limited_batch, session_counts
 from gradloom.plans import duck as D
 from gradloom.plans import text_queries as Q
 from gradloom.plans.exam import Tables
@@ -133,7 +136,42 @@ def _clusters(t: Tables):
 
 _GROUPS = "groups AS (SELECT subject_id, topic_id, coalesce(nullif(count(DISTINCT exam_year), 0), count(*)) AS frequency, count(*) AS question_count, substr(min(qtext), 1, 500) AS representative, CASE WHEN topic_id % 3 = 0 THEN 'concept_similarity' ELSE 'strict_repetition' END AS cluster_type, concat_ws('-', CAST(subject_id AS VARCHAR), CAST(topic_id AS VARCHAR)) AS cluster_id FROM questions WHERE paper_id % 50 = 0 GROUP BY ALL)"
 
+_RULES = (("long", "length(question_text) > 40"), ("diagram", "contains(lower(question_text), 'diagram')"), ("heavy", "marks > 40"), ("unknown", "CAST(NULL AS BOOLEAN)"))
+
+
+def _ruled(t: Tables):
+    live = [rules.Rule(n, e, is_validated=rules.validate(t.spark, e) is None) for n, e in _RULES]
+    q = t.qlines.select("topic_id", "form", F.col("line").alias("question_text"), F.array().cast("array<string>").alias("keywords"), (F.col("topic_id") % 50).cast("int").alias("marks"))
+    return rules.execute_all(q, live).select("topic_id", "form", *[F.try_element_at("results", F.lit(n)).alias(n) for n, _ in _RULES], F.size("results").alias("n_results"))
+
+
+_REPLY = "CASE form WHEN 0 THEN 'Same: YES Confidence: 85 Reason: x' WHEN 1 THEN 'same : no / confidence: 0.4' WHEN 2 THEN 'nothing' WHEN 3 THEN 'Same: yes Confidence: 250' ELSE line END"
+
+
+def _uploads(t: Tables):
+    return t.events.select(F.col("user_id").alias("address"), "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"))
+
+
 QUERIES = {
+    "p01_segment": (lambda t: segment(t.scans), None),
+    "p01_segment_counts": (
+        lambda t: segment(t.scans).groupBy("paper_id").agg(F.count(F.lit(1)).alias("questions"), F.max("module_hint").alias("module")),
+        "SELECT p_partkey AS paper_id, CAST(CASE WHEN p_partkey % 2 = 0 THEN 4 ELSE 4 END AS BIGINT) AS questions, CAST(p_size % 5 + 1 AS INT) AS module FROM part",
+    ),
+    "x04_rules": (
+        _ruled,
+        "SELECT topic_id, form, length(line) > 40 AS long, contains(lower(line), 'diagram') AS diagram, topic_id % 50 > 40 AS heavy, CAST(NULL AS BOOLEAN) AS unknown, 3 AS n_results FROM qlines",
+    ),
+    "v18_same_verdict": (
+        lambda t: t.qlines.withColumn("reply", F.expr(_REPLY)).select("topic_id", "form", *[c.alias(n) for n, c in zip(("same", "confidence"), plugins.same_verdict(F.col("reply")), strict=True)]),
+        f"SELECT topic_id, form, coalesce(upper(regexp_extract(r, '(?i)same\\s*:\\s*(yes|no)', 1)) = 'YES', false) AS same, CAST(coalesce(least(100.0::DOUBLE, greatest(0.0::DOUBLE, CASE WHEN c <= 1 THEN c * 100 ELSE c END)), 0) AS INT) AS confidence FROM (SELECT topic_id, form, r, TRY_CAST(nullif(regexp_extract(r, '(?i)confidence\\s*:\\s*(\\d+(?:\\.\\d+)?)', 1), '') AS DOUBLE) AS c FROM (SELECT topic_id, form, {_REPLY} AS r FROM qlines))",
+    ),
+    "v01_encode": (lambda t: plugins.encode(t.qlines.withColumn("id", F.concat_ws("-", F.col("topic_id").cast("string"), F.col("form").cast("string"))), "id", "line"), None),
+    "st04_rate_limit": (lambda t: rate_limited_batch(_uploads(t)), None),
+    "st04_sessions": (
+        lambda t: session_counts(t.events.select("user_id", F.col("ts").cast("timestamp").alias("ts"))).select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "uploads"),
+        "SELECT user_id, min(us) AS start_us, max(us) + 3600000000 AS end_us, count(*) AS uploads FROM (SELECT user_id, us, sum(fresh) OVER (PARTITION BY user_id ORDER BY us) AS s FROM (SELECT user_id, epoch_us(ts) AS us, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) < 3600000000 THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s",
+    ),
     "s01_validate_pdf": (
         lambda t: t.part.select("p_partkey", I.validate_pdf(F.expr(_FILE), F.expr(_SIZE), F.expr(_MAGIC)).alias("verdict")),
         f"SELECT p_partkey, CASE WHEN lower({_FILE}) NOT LIKE '%.pdf' THEN 'File must be a .pdf' WHEN {_MAGIC} <> '%PDF-' THEN 'Not a valid PDF header' WHEN {_SIZE} < 1024 THEN 'File too small' WHEN {_SIZE} > 52428800 THEN 'File exceeds 50MB' ELSE 'Valid' END AS verdict FROM part",
