@@ -29,6 +29,8 @@ from gradloom.workers import ship
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: sequence_id = partition * STRIDE + number in the partition
 STRIDE = 1 << 40
+#: Nothing is shuffled or sorted here, so the workers can keep more pieces than elsewhere.
+CACHE, SLICE = 800_000, 8_000_000
 #: A block of pieces: document, start, length, sequence, offset.
 Piece = tuple[int, int, int, int, int]
 
@@ -132,7 +134,7 @@ def pack(docs: DataFrame, tokenizer: str, mode: str = "lead", end_id: int = 0, s
     """Pieces of all documents (see ``SCHEMA``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer, mode).encode
+        encode = encoder(tokenizer, mode, CACHE, SLICE).encode
         ids: dict[int, np.ndarray] = {}  # of documents that have a piece in an open window
         pending: dict[int, int] = {}
         keys: dict[int, int | None] = {}

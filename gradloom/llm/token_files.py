@@ -50,6 +50,8 @@ def _widths(delta: np.ndarray, percentile: float) -> np.ndarray:
 
 def _pack(delta: np.ndarray, width: int) -> np.ndarray:
     """Rows of 128 numbers as rows of 16 * width bytes."""
+    if width in (8, 16, 32):  # the same bytes, without shifting
+        return np.ascontiguousarray(delta).astype(f"<u{width // 8}").view(np.uint8).reshape(delta.shape[0], -1)
     lanes = np.ascontiguousarray(delta.T, dtype=np.uint64) & np.uint64((1 << width) - 1)
     words = np.zeros((2 * width, delta.shape[0]), dtype=np.uint64)
     for i in range(BLOCK):
@@ -61,6 +63,8 @@ def _pack(delta: np.ndarray, width: int) -> np.ndarray:
 
 
 def _unpack(rows: np.ndarray, width: int) -> np.ndarray:
+    if width in (8, 16, 32):
+        return np.ascontiguousarray(rows).view(f"<u{width // 8}").astype(np.uint32)
     words = np.ascontiguousarray(np.ascontiguousarray(rows).view("<u8").reshape(rows.shape[0], -1).T)
     out = np.empty((BLOCK, rows.shape[0]), dtype=np.uint32)
     mask = np.uint64((1 << width) - 1)

@@ -20,11 +20,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Printable ASCII, Latin letters and usual blanks: NFC leaves these alone and a cut at a blank is exact.
-_ODD = re.compile(r"[^\t\n\x0b\x0c\r\x20-\x7e\xa1-įĲ-ɏ]|<\|")
-_OTHER_BLANK = re.compile(r"[\t\x0b\x0c\r]")
-CACHE = 500_000  # pieces in each of a worker's two generations, about 100 MB each
-_SLICE = 5_000_000  # characters cut up at a time
+#: UTF-8 bytes of printable ASCII, usual blanks and Latin letters up to U+024F: NFC leaves these
+#: characters alone and a cut at a blank is exact.
+_PLAIN = np.zeros(256, dtype=bool)
+_PLAIN[[*range(0x20, 0x7F), *range(0x80, 0xC0), *range(0xC2, 0xCA), 9, 10, 11, 12, 13]] = True
+#: Among these bytes, still not plain: U+0080 to U+00A0, the dotted capital I, the start of a special token.
+_PAIRS = re.compile(rb"\xc2[\x80-\xa0]|\xc4\xb0|\xc9[\x90-\xbf]|<\|")
+CACHE = 400_000  # pieces in each of a worker's two generations, about 65 MB each
+SLICE = 3_000_000  # characters cut up at a time
 
 
 class Encoder:
@@ -35,13 +38,16 @@ class Encoder:
     pattern: a piece takes the one space before it). Any other mode encodes texts whole.
     """
 
-    def __init__(self, path: str, mode: str, cache: int = CACHE) -> None:
+    def __init__(self, path: str, mode: str, cache: int = CACHE, at_a_time: int = SLICE) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.mode, self.limit = mode, cache
+        self.mode, self.limit, self.at_a_time = mode, cache, at_a_time
+        self.plain = _PLAIN.copy()
+        if mode == "lead":
+            self.plain[[9, 11, 12, 13]] = False  # blanks that join with a space beside them
         self.kept: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
 
@@ -54,14 +60,21 @@ class Encoder:
     def _library(self, texts: list[str]) -> list[bytes]:
         return [self._bytes(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _simple(self, text: str) -> bool:
-        """Whether cutting at blanks gives the pieces that the tokenizer makes."""
-        if self.mode not in ("drop", "lead") or _ODD.search(text):
-            return False
-        if self.mode == "drop":
-            return True
-        joined = "   " in text or "\n\n\n" in text or " \n" in text or "\n " in text or text.endswith(("  ", "\n\n"))
-        return not joined and not _OTHER_BLANK.search(text)
+    def _simple(self, column: pa.LargeStringArray, texts: list[str]) -> np.ndarray:
+        """For each text whether cutting at blanks gives the pieces that the tokenizer makes."""
+        if self.mode not in ("drop", "lead"):
+            return np.zeros(len(texts), dtype=bool)
+        offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset :][: len(texts) + 1]
+        data = column.buffers()[2] or pa.py_buffer(b"")
+        raw = np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]]
+        at = np.concatenate([np.flatnonzero(~self.plain[raw]), np.fromiter((m.start() for m in _PAIRS.finditer(raw.data)), dtype=np.int64)])
+        simple = np.ones(len(texts), dtype=bool)
+        simple[np.searchsorted(offsets - offsets[0], at, "right") - 1] = False
+        if self.mode == "lead":
+            for i, t in enumerate(texts):
+                if "   " in t or "\n\n\n" in t or " \n" in t or "\n " in t or t.endswith(("  ", "\n\n")):
+                    simple[i] = False
+        return simple
 
     def _of(self, pieces: list[str]) -> list[bytes]:
         """The ids of distinct pieces, from the cache or the library."""
@@ -87,19 +100,19 @@ class Encoder:
             kept[x] = kept[x[:-1]] + kept[x[-1]]
         return [kept[x] for x in pieces]
 
-    def _cut(self, texts: list[str]) -> pa.ListArray:
-        column = pa.array(texts, pa.large_string())
+    def _cut(self, column: pa.LargeStringArray) -> pa.ListArray:
         if self.mode == "drop":
             return pc.ascii_split_whitespace(pc.utf8_lower(column))
         column = pc.replace_substring(pc.replace_substring(column, " ", "\0 "), "\n", "\0\n\0")
         return pc.split_pattern(column, "\0")
 
     def _some(self, texts: list[str]) -> list[np.ndarray]:
-        simple = [self._simple(t) for t in texts]
+        column = pa.array(texts, pa.large_string())
+        simple = self._simple(column, texts)
         out: list[np.ndarray | None] = [None] * len(texts)
-        which = [i for i, s in enumerate(simple) if s]
+        which = np.flatnonzero(simple).tolist()
         if which:
-            pieces = self._cut([texts[i] for i in which])
+            pieces = self._cut(column if len(which) == len(texts) else column.filter(pa.array(simple)))
             coded = pieces.flatten().dictionary_encode()
             own = self._of(coded.dictionary.to_pylist())
             flat = np.frombuffer(b"".join(own), dtype=self.dtype)
@@ -112,7 +125,7 @@ class Encoder:
             at = np.concatenate([[0], ends])[np.asarray(pieces.offsets) - pieces.offsets[0].as_py()]
             for k, i in enumerate(which):
                 out[i] = ids[at[k] : at[k + 1]]
-        rest = [i for i, s in enumerate(simple) if not s]
+        rest = np.flatnonzero(~simple).tolist()
         for i, ids in zip(rest, self._library([texts[i] for i in rest]) if rest else [], strict=True):
             out[i] = np.frombuffer(ids, dtype=self.dtype)
         return out
@@ -124,7 +137,7 @@ class Encoder:
         for text in texts:
             part.append(text or "")
             length += len(part[-1])
-            if length > _SLICE:
+            if length > self.at_a_time:
                 yield from self._some(part)
                 part, length = [], 0
         if part:
@@ -132,6 +145,6 @@ class Encoder:
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str, mode: str) -> Encoder:
+def encoder(path: str, mode: str, cache: int = CACHE, at_a_time: int = SLICE) -> Encoder:
     """One encoder for each worker process."""
-    return Encoder(path, mode)
+    return Encoder(path, mode, cache, at_a_time)
