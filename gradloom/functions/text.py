@@ -309,3 +309,22 @@ def tokens(text: Column) -> Column:
 
 def keywords(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(topic_key(text), r"\s+"), lambda w: (F.length(w) > 3) & ~w.isin(*NOT_KEYWORDS)))
+
+
+#: What text extraction leaves behind.
+EXTRACTION = (Sub(r" +", " "), Sub(r"(\w+)-\n(\w)", "$1$2"), Sub(r"\b[J|j]\s+[J|j]\b"), Sub(r"\s+[|]\s+", " "), Sub(r"([a-z,])\n([a-z])", "$1 $2"), Sub(r"\n\s*\n\s*\n", "\n\n"), STRIP)
+
+
+def clean_extracted(text: Column) -> Column:
+    return rewrite(text, EXTRACTION)
+
+
+EXAM_MONTH = "(?i)(" + "|".join((*(m.upper() for m in MONTHS), *(m[:3].upper() for m in MONTHS if m != "May"))) + ")"
+EXAM_YEAR = r"(20[12]\d)"
+
+
+def exam_info(title: Column, text: Column) -> tuple[Column, Column]:
+    """(month, year) from a title and the first 500 characters."""
+    where = F.concat(title, F.lit(" "), F.substring(text, 1, 500))
+    month = F.nullif(F.regexp_extract(where, EXAM_MONTH, 1), F.lit(""))
+    return F.initcap(month), F.nullif(F.regexp_extract(where, EXAM_YEAR, 1), F.lit(""))

@@ -38,14 +38,14 @@ SELECT p_partkey AS topic_id, n.n AS form, CASE n.n
     WHEN 4 THEN 'Describe the planning of ' || p_name || ' in detail OR compare ' || p_type || ' (' || CAST(p_size AS STRING) || ')'
     WHEN 5 THEN 'Question ' || CAST(p_size AS STRING) || ': 0 Identify ' || p_name || ' at ' || p_brand || ' (June 2023, 3 marks)'
     WHEN 6 THEN 'PART B [Answer' ELSE p_name END AS line
-FROM part CROSS JOIN (SELECT l_linenumber AS n FROM lineitem GROUP BY l_linenumber) n""",
+FROM part CROSS JOIN (SELECT l_linenumber - 1 AS n FROM lineitem GROUP BY l_linenumber) n""",
     # page text with what recognition leaves in it
     "scans": """
 SELECT p_partkey AS paper_id, 'APJ Abdul Kalam Technological University' || chr(10) || '  Reg No:   ' || CAST(p_partkey AS STRING) || chr(10) || chr(10) || chr(10) || 'PARTA' || chr(10)
     || '1 .  Deﬁne   ' || p_name || ' (3 marks)' || chr(10) || '- ' || CAST(p_size AS STRING) || ' -' || chr(10) || '2. 1et the algo rithm ' || p_brand || ' compu-' || chr(10) || 'ter, ( ii ) “' || p_type || '”'
     || chr(10) || 'J' || chr(10) || '|__|' || chr(10) || CASE p_partkey % 3 WHEN 0 THEN 'Part — B' WHEN 1 THEN '## PART B ==' ELSE 'part:b' END || chr(10) || 'Page 2 of 10' || chr(10) || '?!' || chr(10)
     || 'Module ' || CAST(p_size % 5 + 1 AS STRING) || chr(10) || '11. Discuss requ manage ment of ' || p_name || chr(10) || '    (a) de fi ne hazard [' || CAST(p_size AS STRING) || ' marks]' || chr(10) || 'turn over' || chr(10)
-    || CASE WHEN p_partkey % 2 = 0 THEN 'December 2022' ELSE 'Max marks: 100' END || chr(10) || '12. Plan ning – (Dec 2022, 7 marks)' AS text
+    || CASE WHEN p_partkey % 2 = 0 THEN 'December 2022' ELSE 'Max marks: 100' END || chr(10) || '12. Plan ning – (Dec 2022, 7 marks)' || chr(10) || '13 b) Explain the hazards of ' || p_type || ' in coastal regions 8' AS text
 FROM part""",
 }
 

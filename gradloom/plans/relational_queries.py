@@ -13,6 +13,7 @@ from gradloom.operators import ingest as I
 from gradloom.operators import similarity as V
 from gradloom.operators import stats as A
 from gradloom.operators.graph import components
+from gradloom.operators import extract as X
 from gradloom.operators import plugins, rules
 from gradloom.operators.segment import segment
 from gradloom.streaming.ingest import rate_limited_batch, session_counts
@@ -152,7 +153,54 @@ def _uploads(t: Tables):
     return t.events.select(F.col("user_id").alias("address"), "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"))
 
 
+_NUM = D.q(X.NUMBERED)
+_KEPT = " AND ".join(["length(l) > 0", *(f"NOT {D.has('l', h)}" for h in X.HEADERS)])
+
+
+def _listed(pattern: str, *groups: int) -> str:
+    return ", ".join(f"regexp_extract_all(text, {D.q(pattern)}, {g})[i] AS g{k}" for k, g in enumerate(groups, 1))
+
+
+def _each(pattern: str, *groups: int, view: str = "scans") -> str:
+    """All matches of a pattern as rows paper_id, pos, g1, ..."""
+    return f"SELECT paper_id, CAST(i - 1 AS INT) AS pos, {_listed(pattern, *groups)} FROM {view}, UNNEST(range(1, len(regexp_extract_all(text, {D.q(pattern)})) + 1)) AS u(i)"
+
+
 QUERIES = {
+    "t11_clean_extracted": (lambda t: t.scans.select("paper_id", T.clean_extracted(F.col("text")).alias("out")), f"SELECT paper_id, {D.rewrite('text', T.EXTRACTION)} AS out FROM scans"),
+    "t12_drop_headers": (
+        lambda t: t.scans.select("paper_id", X.drop_headers(F.col("text")).alias("out")),
+        f"SELECT paper_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda l: {D.strip('l')}), lambda l: {_KEPT}), chr(10)) AS out FROM scans",
+    ),
+    "t37_exam_info": (
+        lambda t: t.scans.select("paper_id", *[c.alias(n) for n, c in zip(("month", "year"), T.exam_info(F.lit("Paper"), F.col("text")), strict=True)]),
+        f"SELECT paper_id, CASE WHEN m <> '' THEN upper(substr(m, 1, 1)) || lower(substr(m, 2)) END AS month, nullif(y, '') AS year FROM (SELECT paper_id, regexp_extract('Paper ' || substr(text, 1, 500), {D.q(T.EXAM_MONTH)}, 1) AS m, regexp_extract('Paper ' || substr(text, 1, 500), {D.q(T.EXAM_YEAR)}, 1) AS y FROM scans)",
+    ),
+    "p07_extract_questions": (lambda t: X.extract_questions(t.scans), None),
+    "p08_part_a": (lambda t: X.part_a(t.scans), None),
+    "p09_part_b": (lambda t: X.part_b(t.scans), None),
+    "p10_by_lines": (lambda t: X.by_lines(t.scans), None),
+    "p11_deduplicated": (
+        lambda t: X.deduplicated(t.questions.select("paper_id", F.col("question_no").cast("string").alias("question_number"), F.col("qtext").alias("text"), F.struct("topic_id", "supplier_id", "marks").alias("pos"))).select("paper_id", "question_number", "text"),
+        "SELECT paper_id, question_number, text FROM (SELECT paper_id, CAST(question_no AS VARCHAR) AS question_number, qtext AS text, row_number() OVER (PARTITION BY paper_id, question_no, trim(lower(substr(qtext, 1, 30))) ORDER BY topic_id, supplier_id, marks) AS r FROM questions WHERE length(qtext) >= 10) WHERE r = 1",
+    ),
+    "p12_numbered_lines": (
+        lambda t: X.numbered(t.scans, 1, 10, 3, "A").unionByName(X.numbered(t.scans, 11, 20, 14, "B")),
+        f"SELECT paper_id, pos, g1 AS question_number, {D.strip('g2')} AS text, coalesce(TRY_CAST(nullif(g3, '') AS INT), CASE WHEN CAST(g1 AS INT) <= 10 THEN 3 ELSE 14 END) AS marks, CASE WHEN CAST(g1 AS INT) <= 10 THEN 'A' ELSE 'B' END AS part FROM ({_each(X.NUMBERED, 1, 2, 3)}) WHERE TRY_CAST(g1 AS INT) BETWEEN 1 AND 20",
+    ),
+    "p12_with_subs": (lambda t: X.with_subs(t.scans, X.numbered(t.scans, 11, 20, 14, "B")), None),
+    "p14_marked_lines": (
+        lambda t: X.marked_lines(t.qlines, "line", "topic_id", "form"),
+        f"SELECT topic_id, form, CAST(CASE WHEN a THEN regexp_extract(line, {D.q(X.MARKED)}, 1) ELSE regexp_extract(line, {D.q(X.MARKED_SUB)}, 1) END AS INT) AS question_number, CASE WHEN NOT a THEN lower(regexp_extract(line, {D.q(X.MARKED_SUB)}, 2)) END AS sub_part, {D.strip(f'CASE WHEN a THEN regexp_extract(line, {D.q(X.MARKED)}, 2) ELSE regexp_extract(line, {D.q(X.MARKED_SUB)}, 3) END')} AS text, CAST(CASE WHEN a THEN regexp_extract(line, {D.q(X.MARKED)}, 3) ELSE regexp_extract(line, {D.q(X.MARKED_SUB)}, 4) END AS INT) AS marks, CASE WHEN a AND CAST(regexp_extract(line, {D.q(X.MARKED)}, 3) AS INT) <= 3 THEN 'A' ELSE 'B' END AS part FROM (SELECT *, {D.has('line', X.MARKED)} AS a FROM qlines) WHERE a OR {D.has('line', X.MARKED_SUB)}",
+    ),
+    "p17_first_numbered": (
+        lambda t: X.first_numbered(t.scans),
+        f"SELECT paper_id, n AS question_number, substr(text, 1, 2000) AS text, CASE WHEN n <= 10 THEN 3 ELSE 14 END AS marks FROM (SELECT paper_id, n, text, row_number() OVER (PARTITION BY paper_id, n ORDER BY pos) AS r FROM (SELECT paper_id, pos, TRY_CAST(g1 AS INT) AS n, {D.strip('g2')} AS text FROM ({_each(X.ANY_NUMBERED, 1, 2)})) WHERE n BETWEEN 1 AND 20 AND length(text) >= 15) WHERE r = 1",
+    ),
+    "p19_word_chunks": (
+        lambda t: t.scans.select("paper_id", F.posexplode(X.word_chunks(F.col("text"), 5)).alias("pos", "chunk")),
+        f"SELECT paper_id, CAST(i AS INT) AS pos, array_to_string(w[i * s + 1:CASE WHEN i < 4 THEN i * s + s ELSE len(w) END], ' ') AS chunk FROM (SELECT paper_id, w, len(w) // 5 AS s FROM (SELECT paper_id, {D.words('text')} AS w FROM scans)), UNNEST(range(0, 5)) AS u(i)",
+    ),
     "p01_segment": (lambda t: segment(t.scans), None),
     "p01_segment_counts": (
         lambda t: segment(t.scans).groupBy("paper_id").agg(F.count(F.lit(1)).alias("questions"), F.max("module_hint").alias("module")),

@@ -15,6 +15,31 @@ from gradloom.sources import files
 from gradloom.streaming import ingest
 
 
+def test_extractors(spark):
+    from gradloom.operators import extract as X
+
+    text = """PART A
+(Answer all questions)
+I What is meant by a natural disaster? 3
+2 Define the term hazard with one example 3
+3 List the phases of disaster management 3
+4 State the role of the community 3
+5 Explain the risk map of a region 3
+l2 Ignored because its number is too high
+PART B
+Module II
+13 a) Explain the early warning system in detail 8
+13 b) Describe the role of the district authority 14
+Module IV
+17 a) Discuss the hazards of coastal flooding"""
+    papers = spark.createDataFrame([(1, text), (2, "1) Explain everything about floods (5 marks)\nPage 3\n11 Describe the recovery phase\nof a disaster 9"), (3, ""), (4, None)], "paper_id long, text string")
+    got = [(r.paper_id, r.question_number, r.marks, r.part, r.module_hint) for r in X.extract_questions(papers).orderBy("paper_id", "pos").collect()]
+    assert got[:8] == [(1, str(n), 3, "A", None) for n in range(1, 6)] + [(1, n, 7, "B", m) for n, m in (("13a", 2), ("13b", 2), ("17a", 4))]  # its texts hold no digits, so marks never show
+    assert got[8:] == [(2, "1", 3, "A", None), (2, "11", 9, "B", None)]
+    lines = spark.createDataFrame([("Q1. Define risk (3 marks)",), ("11(a) Explain the plan (8 marks)",), ("no marks",)], "line string")
+    assert sorted((r.question_number, r.sub_part or "", r.text, r.marks, r.part) for r in X.marked_lines(lines, "line").collect()) == [(1, "", "Define risk", 3, "A"), (11, "a", "Explain the plan", 8, "B")]
+
+
 def test_components(spark):
     r = random.Random(0)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(500, 500 + i) for i in range(1, 60)] + [(i, i + 1) for i in range(1000, 1040)]
