@@ -200,10 +200,10 @@ l AS (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x
     [ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] for i in range(1, len(ws) - 1)] AS win FROM w),
 r AS (SELECT doc_id, t, ws, ls, win, list_sort(win) AS s FROM l),
 d AS (SELECT *, list_distinct([s[i] for i in range(1, len(s)) if s[i] = s[i + 1]]) AS twice FROM r),
-p AS (SELECT *, [i for i in range(1, len(win) + 1) if list_contains(twice, win[i])] AS at FROM d),
+p AS (SELECT *, [i for i in range(1, len(win) + 1) if list_contains(twice, win[i])] AS hits FROM d),
 c AS (SELECT doc_id, len(ws) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
     length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
-    coalesce(len(list_distinct(flatten([[i, i + 1, i + 2] for i in at]))), 0) AS n_repeat_words, len(ls) AS n_lines,
+    coalesce(len(list_distinct(flatten([[i, i + 1, i + 2] for i in hits]))), 0) AS n_repeat_words, len(ls) AS n_lines,
     length(t) - length(regexp_replace(t, '\p{Lu}', '', 'g')) AS n_upper, length(t) - length(regexp_replace(t, '\p{L}', '', 'g')) AS n_letters FROM p),
 m AS (SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END) + (CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END)
     + (CASE WHEN word_chars < 2 * n_words THEN 4 ELSE 0 END) + (CASE WHEN word_chars > 20 * n_words THEN 8 ELSE 0 END)
