@@ -41,8 +41,9 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def window_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents in windows of 1024 ids."""
-    return packing.op9(docs, tokenizer_path("byte_bpe_50k.json"))
+    """The pieces of the documents in windows of 1024 ids. Workers keep their caches while other
+    stages run, so these are smaller than where packing runs alone."""
+    return packing.op9(docs, tokenizer_path("byte_bpe_50k.json"), cache=150_000, at_a_time=2_000_000)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -130,11 +130,12 @@ def pack_stream(lengths: Iterator[int], size: int) -> Iterator[Piece]:
     yield from _close(packer, held)
 
 
-def pack(docs: DataFrame, tokenizer: str, mode: str = "lead", end_id: int = 0, size: int = 1024, key: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pieces of all documents (see ``SCHEMA``)."""
+def pack(docs: DataFrame, tokenizer: str, mode: str = "lead", end_id: int = 0, size: int = 1024, key: str = "doc_id", text_col: str = "text", cache: int = CACHE, at_a_time: int = SLICE) -> DataFrame:
+    """Pieces of all documents (see ``SCHEMA``). ``cache`` and ``at_a_time`` bound what the encoder
+    of a worker keeps and cuts up at once; they change no result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer, mode, CACHE, SLICE).encode
+        encode = encoder(tokenizer, mode, cache, at_a_time).encode
         ids: dict[int, np.ndarray] = {}  # of documents that have a piece in an open window
         pending: dict[int, int] = {}
         keys: dict[int, int | None] = {}
@@ -173,6 +174,6 @@ def pack(docs: DataFrame, tokenizer: str, mode: str = "lead", end_id: int = 0, s
     return rows.mapInArrow(run, SCHEMA)
 
 
-def op9(docs: DataFrame, tokenizer: str) -> DataFrame:
+def op9(docs: DataFrame, tokenizer: str, **bounds: int) -> DataFrame:
     """The contract of ``op9_sum_of_squares``."""
-    return pack(docs, tokenizer)
+    return pack(docs, tokenizer, **bounds)
