@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gradloom.llm import multi_index, order_minhash, packing, pii, rule_ledger, secret_scan, source_mix, text_density, token_files, url_reputation
+from gradloom.llm.oracle import ORACLE_SQL
+
+__all__ = ["ORACLE_SQL", "QUERIES", "tokenizer_path"]
 
 
 def tokenizer_path(name: str) -> str:
@@ -64,5 +67,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     op1_pfor_files, op2_url_reputation, op3_order_minhash, op4_deobfuscated_pii, op5_text_density, op6_secret_ownership, op7_flow_mix, op8_multi_index, op9_sum_of_squares,
     op10_rule_ledger,
 )}
-
-ORACLE_SQL: dict[str, str] = {"op10_rule_ledger": rule_ledger.SQL}

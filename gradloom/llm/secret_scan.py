@@ -84,7 +84,7 @@ def hashes(spans: Column) -> Column:
 
 def looks_random(value: Column) -> Column:
     """Placeholders repeat few characters or say what they are."""
-    distinct = F.size(F.array_distinct(F.split(value, "")))
+    distinct = F.size(F.array_distinct(F.regexp_extract_all(value, F.lit("(?s)."), F.lit(0))))
     return (distinct >= 8) & ~value.rlike("(?i)example|changeme|placeholder|dummy|sample|your[_-]")
 
 

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from gradloom.llm.common import cut, new_path
 from gradloom.llm.tokens import encoder
-from gradloom.workers import ship
+from gradloom.workers import batches_of, ship
 
 BLOCK = 128
 PERCENTILE = 0.9
@@ -217,7 +217,8 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, mode: str = "drop"
     make_folder(docs.sparkSession, folder)
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text_col).cast("string").alias("t"))
     ordered = rows.repartitionByRange("k").sortWithinPartitions("k", "t")
-    return cut(ordered.mapInArrow(run, MANIFEST), "manifest")
+    with batches_of(docs.sparkSession, 1000):
+        return cut(ordered.mapInArrow(run, MANIFEST), "manifest")
 
 
 def make_folder(spark: SparkSession, folder: str) -> None:
