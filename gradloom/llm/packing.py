@@ -16,6 +16,7 @@ key and the text are ignored. A lost executor costs only its partitions again.
 from __future__ import annotations
 
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -142,15 +143,20 @@ def pack(docs: DataFrame, tokenizer: str, mode: str = "lead", end_id: int = 0, s
         partition = None
         out: list[tuple] = []
 
-        def lengths():
+        waiting: deque[int | None] = deque()
+
+        def texts() -> Iterator[str | None]:
             nonlocal partition
-            doc = 0
             for b in batches:
                 partition = b.column(2)[0].as_py() if partition is None and b.num_rows else partition
-                for k, own in zip(b.column(0).to_pylist(), encode(x.as_py() for x in b.column(1)), strict=True):
-                    ids[doc], keys[doc], pending[doc] = np.append(own, np.array([end_id], own.dtype)), k, len(own) + 1
-                    doc += 1
-                    yield len(own) + 1
+                for k, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                    waiting.append(k)
+                    yield text.as_py()
+
+        def lengths() -> Iterator[int]:
+            for doc, own in enumerate(encode(texts())):
+                ids[doc], keys[doc], pending[doc] = np.append(own, np.array([end_id], own.dtype)), waiting.popleft(), len(own) + 1
+                yield len(own) + 1
 
         def batch() -> pa.RecordBatch:
             cols = list(zip(*out, strict=True))

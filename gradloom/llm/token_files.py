@@ -26,6 +26,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -202,14 +203,21 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, mode: str = "drop"
             names, counts, parts, held, nth = [], [], [], 0, nth + 1
             return pa.RecordBatch.from_arrays([pa.array(v) for v in row], names=[x.split()[0] for x in MANIFEST.split(", ")])
 
-        for b in batches:
-            for k, ids in zip(b.column(0).to_pylist(), encode(x.as_py() for x in b.column(1)), strict=True):
-                names.append(k)
-                counts.append(len(ids) + 1)
-                parts.append(np.append(ids, np.array([end_id], ids.dtype)))
-                held += len(ids) + 1
-                if held >= segment_ids:
-                    yield flush()
+        waiting: deque[int | None] = deque()
+
+        def texts() -> Iterator[str | None]:
+            for b in batches:
+                for k, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                    waiting.append(k)
+                    yield text.as_py()
+
+        for ids in encode(texts()):
+            names.append(waiting.popleft())
+            counts.append(len(ids) + 1)
+            parts.append(np.append(ids, np.array([end_id], ids.dtype)))
+            held += len(ids) + 1
+            if held >= segment_ids:
+                yield flush()
         if names:
             yield flush()
 

@@ -26,8 +26,8 @@ _PLAIN = np.zeros(256, dtype=bool)
 _PLAIN[[*range(0x20, 0x7F), *range(0x80, 0xC0), *range(0xC2, 0xCA), 9, 10, 11, 12, 13]] = True
 #: Among these bytes, still not plain: U+0080 to U+00A0, the dotted capital I, the start of a special token.
 _PAIRS = re.compile(rb"\xc2[\x80-\xa0]|\xc4\xb0|\xc9[\x90-\xbf]|<\|")
-CACHE = 400_000  # pieces in each of a worker's two generations, about 65 MB each
-SLICE = 3_000_000  # characters cut up at a time
+CACHE = 500_000  # pieces in each of a worker's two generations, about 80 MB each
+SLICE = 5_000_000  # characters cut up at a time
 
 
 class Encoder:
@@ -81,10 +81,11 @@ class Encoder:
         if len(self.kept) > self.limit:  # what is still in use moves back from the older generation
             self.kept, self.older = {"": b""}, self.kept
         kept, older = self.kept, self.older
+        out = list(map(kept.get, pieces))
+        new = [i for i, ids in enumerate(out) if ids is None]
         missing, tails = [], []
-        for x in pieces:
-            if x in kept:
-                continue
+        for i in new:
+            x = pieces[i]
             if x in older:
                 kept[x] = older[x]
             elif x[-1] in ",." and x[-2:-1].isalnum():  # a word and the mark after it are two pieces
@@ -98,7 +99,9 @@ class Encoder:
             kept.update(zip(part, self._library(part), strict=True))
         for x in tails:
             kept[x] = kept[x[:-1]] + kept[x[-1]]
-        return [kept[x] for x in pieces]
+        for i in new:
+            out[i] = kept[pieces[i]]
+        return out
 
     def _cut(self, column: pa.LargeStringArray) -> pa.ListArray:
         if self.mode == "drop":
@@ -119,9 +122,10 @@ class Encoder:
             sizes = np.fromiter(map(len, own), dtype=np.int64, count=len(own)) // self.dtype.itemsize
             codes = coded.indices.to_numpy(zero_copy_only=False)
             starts = np.cumsum(sizes) - sizes
-            lengths = sizes[codes]
-            ends = np.cumsum(lengths)
-            ids = flat[np.repeat(starts[codes] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
+            lengths = sizes.astype(np.int32)[codes]
+            ends = np.cumsum(lengths, dtype=np.int64)
+            shift = (starts[codes] - (ends - lengths)).astype(np.int32)
+            ids = flat[np.repeat(shift, lengths) + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)]
             at = np.concatenate([[0], ends])[np.asarray(pieces.offsets) - pieces.offsets[0].as_py()]
             for k, i in enumerate(which):
                 out[i] = ids[at[k] : at[k + 1]]
