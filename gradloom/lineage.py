@@ -37,12 +37,19 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
-def cut(df: DataFrame, kind: str = "cut") -> DataFrame:
+ROWS_A_FILE = 500_000
+
+
+def cut(df: DataFrame, kind: str = "cut", rows: int | None = None) -> DataFrame:
     """``df`` written to the shared folder and read again.
 
     A plan that reads ``df`` several times computes it once, and an executor lost later
-    costs a read of these files and not the whole lineage.
+    costs a read of these files and not the whole lineage. ``rows`` is how many narrow rows
+    there are at most, where the caller knows: a file is then written for each half million,
+    and not one for each shuffle partition.
     """
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
     path = new_path(df.sparkSession, kind)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
