@@ -85,3 +85,32 @@ def test_rules(spark):
     q = spark.createDataFrame([(1, "Draw it", None, None)], "id int, question_text string, keywords array<string>, marks int")
     live = [rules.Rule("a", "marks > 3", is_validated=True), rules.Rule("b", "question_text like 'Draw%'", is_validated=True), rules.Rule("c", "true", is_active=False, is_validated=True)]
     assert rules.execute_all(q, live).first().results == {"b": True}
+
+
+def test_repairs(spark):
+    from gradloom.functions import repairs as R
+
+    assert one(spark, R.clean_page(F.col("t")), t="Identiff the hazardmapping J x\n- -\nword 3 next\n  two  blanks") == "Identify the hazard mapping x\nword next\n two blanks"
+    assert one(spark, R.repair_question(F.col("t")), t="Explain the uses of maps") == "Explain the uses of hazard maps."
+    assert one(spark, R.repair_question(F.col("t")), t="Statethe importanceofozone 3") == "State the importance of ozone."
+    assert one(spark, R.needs_cleaning(F.col("t")), t="Identiff the hazard in this map") and not one(spark, R.needs_cleaning(F.col("t")), t="What is a hazard in this map?")
+    assert one(spark, R.topic_name(F.col("t")), t="Explain the role of GIS in disasters with neat diagram. More") == "Role of GIS in Disasters".replace("GIS", "Gis")
+
+
+def test_images(spark):
+    import numpy as np
+
+    from gradloom.functions import images as M
+
+    g = np.random.default_rng(0).integers(0, 256, (20, 30)).astype(np.uint8)
+    assert (M.read_pgm(M.write_pgm(g)) == g).all()
+    noisy = np.full((15, 15), 200, np.uint8)
+    noisy[7, 7] = 0
+    assert (M.median_blur(noisy) == 200).all()
+    page = np.full((80, 120), 255, np.uint8)
+    page[20:60:10, 10:110] = 0
+    assert abs(M.skew(M.rotate(page, 5)) - -5) <= 1 or abs(M.skew(M.rotate(page, 5)) - 5) <= 1
+    assert set(np.unique(M.preprocess(page))) <= {0, 255} and M.preprocess(page).shape == page.shape
+    df = spark.createDataFrame([(1, bytearray(M.write_pgm(noisy))), (2, None)], "id long, image binary")
+    out = {r.id: r.image for r in M.map_images(df, "image", M.median_blur).collect()}
+    assert out[2] is None and (M.read_pgm(bytes(out[1])) == 200).all()
