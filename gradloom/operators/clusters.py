@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradloom.functions.text import EDGE_WORDS, strip_edges, topic_key  # noqa: F401
+from gradloom.functions.text import strip_edges
 from gradloom.operators.graph import components
 from gradloom.operators.similarity import similar_pairs
 from gradloom.workers import ship
