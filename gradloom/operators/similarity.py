@@ -15,10 +15,12 @@ from gradloom.workers import ship
 BLOCK = 2048
 PAIRS = "a long, b long, score double"
 
+
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     rows = [np.asarray(x, dtype=np.float64) for x in column.to_pylist()]
     return np.vstack(rows) if rows else np.empty((0, 0))
 
+
 def similar_pairs(vectors: DataFrame, threshold: float, key: str, vector: str, bucket: Sequence[str] = (), block: int = BLOCK) -> DataFrame:
     """All pairs a < b of a bucket with cosine at or above ``threshold``; zero vectors are like nothing.
 
@@ -28,8 +30,11 @@ def similar_pairs(vectors: DataFrame, threshold: float, key: str, vector: str, b
     """
     ship(vectors.sparkSession)
     rows = vectors.select(*bucket, F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v")).where(F.col("v").isNotNull())
-    sizes = rows.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")).select(*bucket, F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    dealt = rows.join(sizes, list(bucket)) if bucket else rows.crossJoin(sizes)  # without a bucket: one row
+    if bucket:
+        sizes = rows.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")).select(*bucket, F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+        dealt = rows.join(sizes, list(bucket))
+    else:
+        dealt = rows.withColumn("blocks", F.lit(max(1, -(-rows.count() // block))))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     each = each.select(*bucket, F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "key", "v")
@@ -49,15 +54,18 @@ def similar_pairs(vectors: DataFrame, threshold: float, key: str, vector: str, b
     found = each.groupBy(*bucket, "x", "y").applyInArrow(pairs, PAIRS)
     return found.where(F.col("score") >= threshold)
 
+
 def first_duplicates(pairs: DataFrame) -> DataFrame:
     """Each row's first earlier match (lowest id), not its best."""
     return pairs.groupBy(F.col("b").alias("id")).agg(F.min(F.struct("a", "score")).alias("m")).select("id", F.col("m.a").alias("duplicate_of"), F.col("m.score").alias("score"))
 
+
 def best_duplicates(pairs: DataFrame) -> DataFrame:
     """Each row's best earlier match; the first of equals."""
     top = F.max(F.struct("score", (-F.col("a")).alias("order"), "a")).alias("m")
     return pairs.groupBy(F.col("b").alias("id")).agg(top).select("id", F.col("m.a").alias("duplicate_of"), F.col("m.score").alias("score"))
 
+
 def best_match(rows: DataFrame, targets: DataFrame, key: str, vector: str, target: str, target_vector: str, least: float) -> DataFrame:
     """The most similar of a small set of ``targets`` for each row, if at least ``least`` similar; ties to the lesser target.
 
@@ -70,6 +78,7 @@ def best_match(rows: DataFrame, targets: DataFrame, key: str, vector: str, targe
     best = F.array_max(scored)
     return rows.select(key, best.alias("m")).select(key, F.when(F.col("m.score") >= least, F.col("m.t")).alias("target"), F.when(F.col("m.score") >= least, F.col("m.score")).alias("score"))
 
+
 def centroid_representatives(vectors: DataFrame, cluster: str, key: str, vector: str) -> DataFrame:
     """Each cluster's member nearest to its centroid (L2), the first of equals."""
     dims = vectors.select(cluster, F.posexplode(vector).alias("i", "x")).groupBy(cluster, "i").agg(F.avg(F.col("x").cast("double")).alias("c"))
@@ -78,6 +87,7 @@ def centroid_representatives(vectors: DataFrame, cluster: str, key: str, vector:
     near = vectors.join(centers, cluster).groupBy(cluster).agg(F.min(F.struct(F.round(F.sqrt(d), 9).alias("distance"), F.col(key).alias("id"))).alias("m"))
     return near.select(cluster, F.col("m.id").alias("representative"))
 
+
 def shared_token_pairs(rows: DataFrame, key: str, tokens: str, least: float) -> DataFrame:
     """Pairs of rows whose token sets have Jaccard ``least`` or more, exactly, by prefix filtering.
 
