@@ -75,4 +75,20 @@ FROM (SELECT page_id, host, path FROM pages_split) s LEFT JOIN (SELECT host AS h
 """
 
 
-ORACLE_SQL = {"op2_url_reputation": reputation_sql(), "op6_secret_ownership": secrets_sql(), "op10_rule_ledger": rule_ledger.SQL}
+def mix_sql(seed: int = 7, most: int = 3) -> str:
+    """Where a document has one source, the flow takes from each source its target. The capped sources
+    are those with the least size for their weight: ``k`` is the smallest number of them that fits."""
+    return rf"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, CAST('0x' || substr(md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM documents),
+s AS (SELECT source, sum(size) AS n, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w FROM d GROUP BY source),
+o AS (SELECT *, row_number() OVER (ORDER BY {most} * n / w, source) AS i, sum({most} * n) OVER (ORDER BY {most} * n / w, source) AS capped, sum(n) OVER () AS total, sum(w) OVER (ORDER BY {most} * n / w DESC, source DESC) AS open_w FROM s),
+l AS (SELECT *, (total - (capped - {most} * n))::DOUBLE AS left_over FROM o),
+k AS (SELECT coalesce(min(i), 1000000000) AS first_open FROM l WHERE left_over * w / open_w <= {most} * n),
+f AS (SELECT left_over, open_w FROM l WHERE i = (SELECT first_open FROM k)),
+t AS (SELECT source, n, CASE WHEN i < (SELECT first_open FROM k) THEN {most} * n::DOUBLE ELSE (SELECT left_over FROM f) * w / (SELECT open_w FROM f) END::DOUBLE AS target FROM l),
+c AS (SELECT d.*, t.n, t.target, CAST(round(t.target) AS BIGINT) AS quota, sum(size) OVER (PARTITION BY d.source ORDER BY h ROWS UNBOUNDED PRECEDING) AS upto FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(n AS BIGINT) AS source_size, target, CAST(size * CASE WHEN n = 0 THEN 0 ELSE quota // n + CASE WHEN quota % n > 0 AND upto - size / 2 <= quota % n THEN 1 ELSE 0 END END AS BIGINT) AS taken FROM c
+"""
+
+
+ORACLE_SQL = {"op2_url_reputation": reputation_sql(), "op6_secret_ownership": secrets_sql(), "op7_flow_mix": mix_sql(), "op10_rule_ledger": rule_ledger.SQL}

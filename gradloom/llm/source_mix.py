@@ -7,7 +7,8 @@ where a quota needs it and where overlap leaves least to repeat. Within a patter
 are ordered by a seeded hash; thresholds on that hash, exact to one document, realise the
 flow. All that reaches the driver has the size of the patterns, whose number is checked.
 
-Defined results: a null text has size 0; sizes of 0 take nothing; sources are ordered by
+Defined results: a null text has size 0; a document of size 0 takes no words and follows its
+hash like any other; sources are ordered by
 code point, null last; rows that repeat a key have the same hash and are taken or left
 together (so are rows without a key); the same input and seed give the same mix whatever
 the partitions; an empty table gives an empty mix; other columns are kept by :func:`select`.
@@ -27,7 +28,7 @@ from gradloom.llm.common import GAP, cut, fresh
 MOST = 3  # times a document may be used
 COSTS = (0, 1, 3)  # of the first, second and third use: convex
 MAX_PATTERNS = 20_000
-_BITS = 51  # of a 63-bit hash below its bucket: 4096 buckets
+_BITS = 48  # of a 60-bit hash below its bucket: 4096 buckets
 
 
 def n_words(text: Column) -> Column:
@@ -116,7 +117,8 @@ class Plan:
 
 
 def _hash(key: str, seed: int) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key)), 1)
+    """60 bits of an MD5, which other engines have too."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
 
 
 def _sized(docs: DataFrame, key: str, size: Column, sources: Column, seed: int) -> DataFrame:
