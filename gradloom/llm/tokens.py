@@ -12,6 +12,7 @@ from __future__ import annotations
 import functools
 import os
 import re
+import string
 import sys
 from array import array
 from collections.abc import Iterable, Iterator
@@ -26,6 +27,8 @@ _PLAIN = np.zeros(256, dtype=bool)
 _PLAIN[[*range(0x20, 0x7F), *range(0x80, 0xC0), *range(0xC2, 0xCA), 9, 10, 11, 12, 13]] = True
 #: Among these bytes, still not plain: U+0080 to U+00A0, the dotted capital I, the start of a special token.
 _PAIRS = re.compile(rb"\xc2[\x80-\xa0]|\xc4\xb0|\xc9[\x90-\xbf]|<\|")
+#: Characters that are neither letters nor numbers nor blanks to any of the tokenizers.
+_MARKS = string.punctuation + "¡¢£¤¥¦§©«¬®°±¶·»¿×÷"
 CACHE = 500_000  # pieces in each of a worker's two generations, about 80 MB each
 SLICE = 5_000_000  # characters cut up at a time
 
@@ -88,17 +91,18 @@ class Encoder:
             x = pieces[i]
             if x in older:
                 kept[x] = older[x]
-            elif x[-1] in ",." and x[-2:-1].isalnum():  # a word and the mark after it are two pieces
-                tails.append(x)
+                continue
+            head = x.rstrip(_MARKS)
+            if head != x and head[-1:].isalnum():  # a word and the marks after it are two pieces
+                tails.append((x, head, x[len(head) :]))
             else:
                 missing.append(x)
-        heads = {x[:-1] for x in tails} | {x[-1] for x in tails}
-        missing += [x for x in heads if x not in kept]
+        missing += [x for x in {y for _, *two in tails for y in two} if x not in kept]
         for at in range(0, len(missing), 20_000):
             part = missing[at : at + 20_000]
             kept.update(zip(part, self._library(part), strict=True))
-        for x in tails:
-            kept[x] = kept[x[:-1]] + kept[x[-1]]
+        for x, head, marks in tails:
+            kept[x] = kept[head] + kept[marks]
         for i in new:
             out[i] = kept[pieces[i]]
         return out

@@ -94,7 +94,7 @@ def test_encoder_equals_the_library(name, mode):
     from gradloom.llm.tokens import Encoder
 
     r = random.Random(2)
-    bits = ["a", "B", "é", " ", "  ", ",", ".", "\n", "'s", "1", "-", "_", "!", "\t", "ß", "日", "\x00", "\x1c", "\xa0", "<|endoftext|>", " .", ", ", "don't. "]
+    bits = ["a", "B", "é", " ", "  ", ",", ".", "\n", "'s", "1", "-", "_", "!", "\t", "ß", "日", "\x00", "\x1c", "\xa0", "<|endoftext|>", " .", ", ", "don't. ", "***", "w%%%", "x!!", "y'", "«z»", "½", "²;", "a_", "º."]
     texts = [*ODD, *("".join(r.choice(bits) for _ in range(r.randint(0, 25))) for _ in range(5000))]
     small = Encoder(tokenizer_path(name), mode, cache=50)  # turns its cache over again and again
     for _ in range(2):
