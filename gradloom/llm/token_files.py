@@ -41,7 +41,7 @@ from gradloom.workers import batches_of, ship
 BLOCK = 128
 PERCENTILE = 0.9
 _HEAD = struct.Struct("<4sIQQQ")
-_AT_A_TIME = 8192  # blocks packed at once
+_AT_A_TIME = 1024  # blocks packed at once
 
 
 def _widths(delta: np.ndarray, percentile: float) -> np.ndarray:

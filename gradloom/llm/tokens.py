@@ -29,8 +29,8 @@ _PLAIN[[*range(0x20, 0x7F), *range(0x80, 0xC0), *range(0xC2, 0xCA), 9, 10, 11, 1
 _PAIRS = re.compile(rb"\xc2[\x80-\xa0]|\xc4\xb0|\xc9[\x90-\xbf]|<\|")
 #: Characters that are neither letters nor numbers nor blanks to any of the tokenizers.
 _MARKS = string.punctuation + "¡¢£¤¥¦§©«¬®°±¶·»¿×÷"
-CACHE = 500_000  # pieces in each of a worker's two generations, about 80 MB each
-SLICE = 5_000_000  # characters cut up at a time
+CACHE = 450_000  # pieces in each of a worker's two generations, about 70 MB each
+SLICE = 4_000_000  # characters cut up at a time
 
 
 class Encoder:
