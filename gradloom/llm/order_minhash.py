@@ -9,12 +9,14 @@ inside the band of diagonals that the threshold allows is a longest increasing s
 Texts are linked when the aligned k-mers are 0.8 or more of all k-mers of the two.
 
 At similarity 0.8 a pair misses all 16 sketches once in 90,000 pairs, at 0.9 never in
-practice. Equal texts are one node, so copies never meet. A bucket of n nodes gives at most
-3 n pairs. Its hub is the node that shares most sketches over all buckets: in a group of
+practice. Equal texts are one node, so copies never meet. A bucket of n nodes first gives at
+most 3 n pairs. Its hub is the node that shares most sketches over all buckets: in a group of
 variants that is the original, whose sketches most variants keep. Each node meets the
 bucket's hub; buckets are dealt into parts of about 64, in which each node also meets the
 part's first and its neighbour. Pairs are verified in two rounds, first each node's most
-frequent partner, then those that still connect different components.
+frequent partner, then those that still connect different components. All other pairs of a
+bucket follow, as far as their sizes allow a link and they still lie in different components,
+until none is left: the classes are those of all pairs that share a sketch.
 
 Defined results: a null text is an empty one; texts without words are only equal to texts
 of the same characters; a text of fewer than five words is a single k-mer. Nodes are
@@ -30,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradloom.llm.common import cut, fresh
@@ -38,6 +40,7 @@ from gradloom.operators.graph import components
 from gradloom.workers import batches_of, ship
 
 K, SKETCHES, MINIMA, SIMILAR, PART = 5, 16, 3, 0.8, 64
+BLOCK, PAIRS_A_TURN, FEW = 512, 50_000_000, 10_000
 _SEEDS = np.random.default_rng(20240229).integers(1, 1 << 63, (SKETCHES, 2), dtype=np.uint64) | np.uint64(1)
 _P, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -153,8 +156,14 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(scores, pa.float64())], names=["a", "b", "score"])
 
 
-def candidates(bands: DataFrame) -> DataFrame:
-    """``a, b, votes``: node pairs of the buckets ``k, node, n`` whose sizes allow a link."""
+def _fits(n: Column | str, m: Column | str) -> Column:
+    """Whether two sizes allow a link."""
+    return F.least(n, m) >= SIMILAR * F.greatest(n, m)
+
+
+def candidates(bands: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``a, b, votes``: node pairs of the buckets ``k, node, n`` whose sizes allow a link, three of a
+    node at most; and the buckets of two nodes or more, with their sizes ``c``."""
     most = bands.count()
     many = cut(bands.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "buckets", most // 2)
     shared = cut(bands.join(many, "k"), "shared", most)
@@ -168,8 +177,8 @@ def candidates(bands: DataFrame) -> DataFrame:
     me = F.struct("node", "n")
     met = members.select("hub", me.alias("me"), F.first(me).over(w).alias("first"), F.lag(me).over(w).alias("before"))
     other = F.array_distinct(F.array(F.col("hub"), F.col("first"), F.coalesce("before", "hub")))
-    each = met.select("me", F.explode(other).alias("to")).where("me.node != to.node").where(F.least("me.n", "to.n") >= SIMILAR * F.greatest("me.n", "to.n"))
-    return each.groupBy(F.least("me.node", "to.node").alias("a"), F.greatest("me.node", "to.node").alias("b")).agg(F.count(F.lit(1)).alias("votes"))
+    each = met.select("me", F.explode(other).alias("to")).where("me.node != to.node").where(_fits("me.n", "to.n"))
+    return each.groupBy(F.least("me.node", "to.node").alias("a"), F.greatest("me.node", "to.node").alias("b")).agg(F.count(F.lit(1)).alias("votes")), shared
 
 
 def _links(pairs: DataFrame, seqs: DataFrame) -> DataFrame:
@@ -186,6 +195,64 @@ def _best(pairs: DataFrame) -> DataFrame:
     return top.select("t.a", "t.b").distinct()
 
 
+def _apart(pairs: DataFrame, group: DataFrame) -> DataFrame:
+    """The pairs whose ends lie in different components, with these as ``ca, cb``."""
+    a, b = (group.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
+    both = pairs.join(a, "a", "left").join(b, "b", "left").withColumn("ca", F.coalesce("ca", "a")).withColumn("cb", F.coalesce("cb", "b"))
+    return both.where("ca != cb")
+
+
+def _unmet(members: DataFrame, tried: DataFrame, group: DataFrame, turn: int = 0, turns: int = 1) -> DataFrame:
+    """``a, b``: the pairs of the buckets that lie in different components, may be linked and weren't ``tried``.
+
+    A bucket is dealt into blocks of about 512 nodes; two blocks meet in a cell, and a turn takes its share of the cells.
+    """
+    cell = ["k", "i", "j"]
+    m = members.withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int")).withColumn("at", F.pmod(F.xxhash64("node", "k", F.lit(2)), F.col("blocks")).cast("int"))
+    a = m.select("k", F.col("at").alias("i"), F.explode(F.sequence("at", F.col("blocks") - 1)).alias("j"), F.col("node").alias("a"), F.col("n").alias("na"))
+    b = m.select("k", F.explode(F.sequence(F.lit(0), "at")).alias("i"), F.col("at").alias("j"), F.col("node").alias("b"), F.col("n").alias("nb"))
+    mine = F.pmod(F.xxhash64(*cell), F.lit(turns)) == turn
+    met = a.where(mine).join(b.where(mine), cell).where((F.col("i") < F.col("j")) | (F.col("a") < F.col("b"))).where(_fits("na", "nb"))
+    pairs = _apart(met.select("a", "b"), group).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+
+
+def _mixed(shared: DataFrame, group: DataFrame) -> DataFrame:
+    """The buckets that hold several components; of three nodes or fewer all pairs are candidates."""
+    of = shared.where("c > 3").join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    several = of.groupBy("k").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("k")
+    return shared.join(several, "k", "left_semi").select("k", "node", "n", "c")
+
+
+def _settle(shared: DataFrame, tried: DataFrame, links: DataFrame, n_links: int, group: DataFrame, seqs: DataFrame, few: int) -> DataFrame:
+    """``group``, once no pair of a bucket is unverified between two components.
+
+    Up to ``few`` pairs are verified at once. Of more, first one for each two components is, then
+    16 times as many in each round: what these link, the other pairs need not.
+    """
+    members = cut(_mixed(shared, group), "mixed", shared.count())
+    most = members.select("k", "c").distinct().agg(F.sum(F.expr("c * (c - 1) div 2"))).first()[0] or 0
+    turns = -(-most // PAIRS_A_TURN)
+    for turn in range(turns):
+        rest = cut(_unmet(members, tried, group, turn, turns), "unmet")
+        n, share = rest.count(), 1
+        while n:
+            some = rest.select("a", "b")
+            if n > few:
+                two = (F.least("ca", "cb"), F.greatest("ca", "cb"), F.pmod(F.xxhash64("a", "b"), F.lit(share)))
+                some = cut(_apart(some, group).groupBy(*two).agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b"), "some", n)
+            found = cut(_links(some, seqs), "links")
+            n_found = found.count()
+            if n_found:
+                links, n_links = links.unionByName(found), n_links + n_found
+                group = cut(components(links, most=n_links), "components", 2 * n_links)
+            if n <= few:
+                break
+            rest = cut(_apart(rest.select("a", "b").join(some, ["a", "b"], "left_anti"), group).select("a", "b"), "unmet", n)
+            n, share = rest.count(), 16 * share
+    return group
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``key, class_id, class_size, is_first`` for every row; ``class_id`` is the least key of its class.
 
@@ -203,26 +270,24 @@ def _classes(docs: DataFrame, key: str, text_col: str) -> DataFrame:
     sketched = rows.select("node", "text").mapInArrow(_sketch, "node long, n int, ks array<long>")
     once = sketched.groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("ks").alias("ks"))
     bands = cut(once.select(F.explode("ks").alias("k"), "node", "n"), "bands")
-    pairs = cut(candidates(bands), "pairs")
-    n_pairs = pairs.count()
-    # the texts of candidate nodes, one row for each: of a node's rows the one with the least key
+    pairs, shared = candidates(bands)
+    pairs = cut(pairs, "pairs")
+    # the texts of nodes that share a bucket, one row for each: of a node's rows the one with the least key
     named = cut(rows.groupBy("node").agg(F.min("key").alias("low"), F.count(F.lit(1)).alias("copies")), "nodes")
     n_nodes = named.count()
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = cut(named.join(wanted, "node", "left_semi").select("node", F.col("low").alias("key")), "wanted", min(2 * n_pairs, n_nodes))
+    wanted = cut(named.join(shared.select("node").distinct(), "node", "left_semi").select("node", F.col("low").alias("key")), "wanted", n_nodes)
     # always a merge join: the plan, and what it moves, is the same at every size
     chosen = rows.alias("r").join(wanted.alias("w").hint("merge"), (F.col("r.node") == F.col("w.node")) & F.col("r.key").eqNullSafe(F.col("w.key")), "left_semi").select("node", "text")
     seqs = cut(chosen.mapInArrow(_words, "node long, words binary").dropDuplicates(["node"]), "words")
     first = cut(_links(_best(pairs), seqs), "links")
     n_first = first.count()
     group = cut(components(first, most=n_first), "components", 2 * n_first)
-    a, b = (group.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
-    open_ = pairs.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
-    second = cut(_links(open_, seqs), "links")
+    second = cut(_links(_apart(pairs, group), seqs), "links")
     n_second = second.count()
+    links, n_links = first.unionByName(second), n_first + n_second
     if n_second:
-        n_links = n_first + n_second
-        group = cut(components(first.unionByName(second), most=n_links), "components", 2 * n_links)
+        group = cut(components(links, most=n_links), "components", 2 * n_links)
+    group = _settle(shared, pairs, links, n_links, group, seqs, max(FEW, n_nodes // 4))
     of = cut(named.join(group, "node", "left").select("node", "low", "copies", F.coalesce("component", "node").alias("component")), "classes", n_nodes)
     named_class = cut(of.groupBy("component").agg(F.min("low").alias("class_id"), F.sum("copies").alias("class_size"), F.min(F.struct(F.col("low").isNull(), "low", "node")).alias("keep")), "class-names", n_nodes)
     per_node = cut(of.join(named_class, "component").select("node", "class_id", "class_size", F.col("keep.node").alias("keep"), "low"), "per-node", n_nodes)

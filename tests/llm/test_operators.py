@@ -224,6 +224,36 @@ def test_near_duplicates_against_brute_force(spark):
     assert order_minhash.op3(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("small", [False, True])
+def test_revisions_are_one_class(spark, monkeypatch, small):
+    """Revisions alike only to their own parent share buckets far larger than a part."""
+    if small:  # many turns, blocks and rounds
+        for name, value in (("BLOCK", 16), ("PAIRS_A_TURN", 10_000), ("FEW", 1)):
+            monkeypatch.setattr(order_minhash, name, value)
+    r, revisions = random.Random(3), [prose(300, 3).split()]
+    while len(revisions) < 600:
+        t = list(r.choice(revisions))
+        for i in r.sample(range(300), 5):
+            t[i] = "".join(r.choices("abcdefghij", k=6))
+        revisions.append(t)
+    texts = [" ".join(t) for t in revisions]
+    grams = [order_minhash.kmers(order_minhash.word_hashes(t)) for t in texts]
+    parent, buckets = list(range(600)), collections.defaultdict(list)
+
+    def find(x):
+        return x if parent[x] == x else find(parent[x])
+
+    for i, g in enumerate(grams):
+        for k in order_minhash.sketches(g).tolist():
+            for j in buckets[k]:
+                a, b = find(i), find(j)
+                if a != b and order_minhash.similarity(grams[i], grams[j]) >= 0.8:
+                    parent[max(a, b)] = min(a, b)
+            buckets[k].append(i)
+    assert max(map(len, buckets.values())) > order_minhash.PART
+    assert {x.doc_id: x.class_id for x in order_minhash.op3(make(spark, texts)).collect()} == {i: find(i) for i in range(600)}
+
+
 def test_repeated_and_null_keys(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (None, None), (2, "")], "doc_id long, text string")
     rows = order_minhash.classes(docs).collect()
