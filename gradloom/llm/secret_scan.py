@@ -19,6 +19,10 @@ from pyspark.sql import functions as F
 from gradloom.llm.common import cut, fresh
 
 _ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+#: A private key: its body, to the END line if that is the next line of dashes, else to the end of its base64 lines.
+_BEGIN, _END, _GAP = "-----BEGIN [A-Z ]*PRIVATE KEY-----", "-----END [A-Z ]*PRIVATE KEY-----", r"(?:\s|\\[rn])++"
+_LINES = rf"(?:(?:{_GAP}(?:Proc-Type|DEK-Info):\s*+[^\s\\]++)*+(?:{_GAP}[A-Za-z0-9+/=]{{16,}}+)++(?:{_GAP}[A-Za-z0-9+/=]{{1,15}}+(?=\x20*(?:[\r\n\\]|\z)))?+)?+"
+_PEM = rf"{_BEGIN}((?>[\s\S]*?(?=-----))(?={_END})|{_LINES})(?:{_END})?"
 
 #: kind, pattern, group that holds the value, least length of that group, a cheaper test that every match passes.
 BASE = (
@@ -31,7 +35,7 @@ EXTRA = (
     ("github", r"gh[pousr]_[A-Za-z0-9]+", 0, 40, None),
     ("slack", r"xox[abprs]-[A-Za-z0-9-]+", 0, 20, None),
     ("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40, None),
-    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1, None),
+    ("pem", _PEM, 1, 0, _BEGIN),
 )
 _BLOCK = 64
 SPAN = "struct<start:bigint,rank:int,end:bigint,kind:string,value:string>"
@@ -122,11 +126,12 @@ def classify(docs: DataFrame, key: str = "doc_id", text_col: str = "text", owner
 def mask_live(docs: DataFrame, key: str = "doc_id", text_col: str = "text", owner: str = "source", repo: str = "doc_id", widely: int = 3, mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with every live-looking value replaced in the text; nothing else changes.
 
-    Only documents that hold such a value are joined, by key; all others pass unshuffled.
+    Only documents that hold such a value are joined, by key; all others pass unshuffled. Longer
+    values go first, as a key block may hold another value.
     """
     _, classes = classify(docs, key, text_col, owner, repo, widely)
     values, flag, k = fresh(docs, "__live", "__has", "__key")
-    live = cut(classes.where("secret_class = 'live'").groupBy(F.col("key").alias(k)).agg(F.sort_array(F.collect_set("value"), asc=False).alias(values)), "live")
+    live = cut(classes.where("secret_class = 'live'").groupBy(F.col("key").alias(k)).agg(F.sort_array(F.collect_set(F.struct(F.length("value"), "value")), asc=False)["value"].alias(values)), "live")
     any_kind = F.lit(False)
     for _, rx, _, _, guard in [*BASE, *EXTRA]:
         any_kind = any_kind | F.col(text_col).rlike(guard or rx)
