@@ -4,8 +4,8 @@ Base detectors run on the text as it is. Then transducers rewrite disguises - ho
 and full-width or zero-width characters, "at"/"dot" in words or brackets, spelled-out
 digits - while keeping for every output character the source characters it came from.
 The same detectors run on the rewritten text, and what they find is mapped back to source
-offsets. Such a span is added when a disguise took part in it and it doesn't overlap a base
-span of its kind; base spans always stay.
+offsets. Such a span is added when a disguise took part in it and it isn't equal to or inside
+a base span of its kind; base spans always stay, also beside an added span that covers them.
 
 Defined results: a null or empty text has no spans; offsets are code points, end
 exclusive; repeated rows are scanned row by row; whole texts are scanned at any length;
@@ -189,7 +189,7 @@ def find(text: str | None) -> tuple[list[list[Span]], list[list[Span]]]:
             if one:
                 s, e, also = one.back(s, e)
                 changed |= also
-            if changed and not any(s < b and a < e for a, b in own):
+            if changed and not any(a <= s and e <= b for a, b in own):
                 spans.append((s, e))
     return base, added
 

@@ -312,6 +312,15 @@ def test_pii_deobfuscation(text, kind, span):
     assert span not in pii.redact(text)
 
 
+@pytest.mark.parametrize(("text", "span", "base"), [
+    ("to jоhn@example.com now", (3, 19), (5, 19)), ("ann@mail.example [dot] com", (0, 26), (0, 16)), ("a.b@mаil.example.com", (0, 20), None), ("ann@mail.example．com ok", (0, 20), (0, 16)),
+])
+def test_pii_disguise_in_one_part(text, span, base):
+    own, added = pii.find(text)
+    assert added[0] == [span] and own[0] == ([base] if base else [])
+    assert pii.redact(text) == text[: span[0]] + "[EMAIL]" + text[span[1] :]
+
+
 def test_pii_leaves_clean_text_alone(spark):
     for t in [*ODD, prose(500), "we met at the dot com party", "one two three", "Das ist at home, neun Uhr."]:
         assert pii.find(t)[1] == [[], [], [], []]
