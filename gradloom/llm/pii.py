@@ -109,7 +109,8 @@ _BRACKET = re.compile(rf"(?P<at>{_AT})|(?P<dot>{_DOT})", re.I)
 _NAME, _HOST = r"[A-Za-z0-9._%+-]+", r"[A-Za-z0-9-]+"
 _BARE = re.compile(rf"(?<![A-Za-z0-9._%+-]){_NAME}(?P<at>[ ]+at[ ]+|@)(?!(?:the|a|an|this|that)[ ]){_HOST}(?P<tail>(?:[ ]+dot[ ]+{_HOST}|\.{_HOST})*[ ]+dot[ ]+[A-Za-z]{{2,}}|(?:\.{_HOST})*\.[A-Za-z]{{2,}})(?![A-Za-z0-9-])", re.I)
 _BARE_DOT = re.compile(r"[ ]+dot[ ]+", re.I)
-_BARE_HINT = re.compile(r" dot ", re.I)
+#: Every bare disguise passes: it says "dot", or "at" before a host with a plain dot.
+_BARE_HINT = re.compile(r" dot |[ ]at[ ]+[A-Za-z0-9-]+\.", re.I)
 
 Edit = tuple[int, int, str]  # source start, source end, replacement
 

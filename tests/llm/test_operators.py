@@ -321,6 +321,13 @@ def test_pii_disguise_in_one_part(text, span, base):
     assert pii.redact(text) == text[: span[0]] + "[EMAIL]" + text[span[1] :]
 
 
+@pytest.mark.parametrize("rest", ["", " or use the dot com store"])
+def test_pii_bare_at_does_not_depend_on_other_text(rest):
+    text = "write to john at example.com please" + rest
+    assert pii.find(text)[1][0] == [(9, 28)]
+    assert pii.find("mail JOHN  AT  example.co.uk" + rest)[1][0] == [(5, 28)]
+
+
 def test_pii_leaves_clean_text_alone(spark):
     for t in [*ODD, prose(500), "we met at the dot com party", "one two three", "Das ist at home, neun Uhr."]:
         assert pii.find(t)[1] == [[], [], [], []]
