@@ -72,14 +72,14 @@ def _repeated_windows(df: DataFrame, w: str, out: str) -> DataFrame:
     df = df.withColumn(
         packed,
         F.when(
-            n >= 6,
+            n >= 4,
             F.sort_array(
                 F.transform(
                     F.sequence(F.lit(0), n - 3),
                     lambda i: F.xxhash64(word(i), word(i + 1), word(i + 2)).bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("long")),
                 )
             ),
-        ).when(n >= 4, F.transform(F.sequence(F.lit(0), n - 3), lambda i: i.cast("long"))),
+        ),
     )
 
     def equal_to(x: Column, j: Column) -> Column:

@@ -67,6 +67,12 @@ def test_ledger_keeps_clashing_columns_and_counts_ablations(spark):
     assert rule_ledger.ledger(docs.limit(0)).count() == 0
 
 
+def test_repeated_windows_of_short_texts(spark):
+    texts = ["a b a b a", "a a a a", "a a a", "a b a b", "x a b c a b c", "a b a b a b"]
+    got = {r.doc_id: r.n_repeat_words for r in rule_ledger.op10(make(spark, texts)).collect()}
+    assert got == {i: brute_ledger(t)[4] for i, t in enumerate(texts)} and got[0] == 5
+
+
 # 1 and 9 --------------------------------------------------------------------------------------
 
 
