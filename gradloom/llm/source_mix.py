@@ -198,17 +198,16 @@ def _uses(plan: Plan, pattern: Column, h: Column) -> Column:
     last: dict[int, tuple[int, int]] = {}
     for p, _, whole, cut_ in plan.rows:
         last[p] = max(last.get(p, (0, -1)), (whole, cut_))
-    table = F.create_map(*[x for p, (whole, cut_) in last.items() for x in (F.lit(_key(plan.patterns[p])), F.struct(F.lit(whole).alias("whole"), F.lit(cut_).cast("long").alias("cut")))]) if last else None
+    table = F.create_map(*[x for p, (whole, cut_) in last.items() for x in (_key(plan.patterns[p]), F.struct(F.lit(whole).alias("whole"), F.lit(cut_).cast("long").alias("cut")))]) if last else None
     if table is None:
         return F.lit(0).cast("long")
     own = F.try_element_at(table, _null_safe(pattern))
     return F.coalesce(own["whole"] + (h <= own["cut"]).cast("int"), F.lit(0)).cast("long")
 
 
-def _key(pattern: tuple) -> str:
-    import json
-
-    return json.dumps(list(pattern), ensure_ascii=False, separators=(",", ":"))
+def _key(pattern: tuple) -> Column:
+    """The key of a known pattern, written by Spark as those of the rows are."""
+    return _null_safe(F.array(*[F.lit(s).cast("string") for s in pattern]).cast("array<string>"))
 
 
 def mix(docs: DataFrame, key: str = "doc_id", size: Column | None = None, sources: Column | None = None, seed: int = 7, weight=lambda i: 1 + i % 3) -> tuple[DataFrame, Plan]:
@@ -232,6 +231,6 @@ def op7(docs: DataFrame) -> DataFrame:
     """The contract of ``op7_flow_mix``: each document belongs to one source."""
     rows, plan = mix(docs)
     spark = docs.sparkSession
-    info = spark.createDataFrame([(_key((s,)), z, t) for s, z, t in zip(plan.sources, plan.sizes, plan.targets, strict=True)] or [("", 0, 0.0)], "pj string, source_size long, target double")
+    info = spark.createDataFrame([([s], z, t) for s, z, t in zip(plan.sources, plan.sizes, plan.targets, strict=True)] or [([""], 0, 0.0)], "pj array<string>, source_size long, target double").withColumn("pj", _null_safe(F.col("pj")))
     joined = rows.withColumn("pj", _null_safe(F.col("pattern"))).join(F.broadcast(info), "pj")  # a row for each source, at most MAX_PATTERNS
     return joined.select(F.col("key").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("uses")).alias("taken"))

@@ -490,6 +490,19 @@ def test_overlapping_sources(spark):
     assert plan.sources == ["a", "b"] and abs(total - sum(plan.targets)) <= 20
 
 
+def test_sources_with_control_characters(spark):
+    names = ["a\x0bb", "a\x0e", "\x1f", "\x00", "\"\\/\u2028é", "\n\t", None, "plain", "", "\x1a\x7f"]
+    docs = make(spark, [f"{prose(20)} {i}" for i in range(60)], names)
+    rows = {r.doc_id: r for r in source_mix.op7(docs).collect()}
+    assert sorted(rows) == list(range(60))
+    used = collections.Counter(r.doc_id for r in source_mix.select(docs).collect())
+    assert {i: r.taken for i, r in rows.items()} == {i: r.size * used[i] for i, r in rows.items()}
+    taken = collections.Counter()
+    for i, r in rows.items():
+        taken[names[i % 10]] += r.taken
+    assert min(taken[n] for n in names) > 0
+
+
 # 8 --------------------------------------------------------------------------------------------
 
 
