@@ -17,7 +17,7 @@ A writing task names its files for its attempt and lists them in the manifest, w
 commits; files of attempts that were lost stand in no manifest and are never read.
 
 Defined results: a null or empty text is its end id alone; null document ids come first;
-rows that repeat a document id keep the order of their texts; an empty table gives no
+rows that repeat a document id stand in an order of their ids alone; an empty table gives no
 files and no rows; other columns are ignored.
 """
 
@@ -176,10 +176,49 @@ def read_range(data: bytes, start: int, stop: int) -> np.ndarray:
 
 
 MANIFEST = "task long, nth long, file string, n_docs long, n_ids long, n_bytes long"
+ENCODED = "k long, width int, ids binary"
 
 
-def write_files(docs: DataFrame, folder: str, tokenizer: str, mode: str = "drop", end_id: int = 1, key: str = "doc_id", text_col: str = "text", segment_ids: int = 4 << 20) -> DataFrame:
-    """Writes the corpus to ``folder`` in ascending order of ``key``; returns the manifest."""
+def encoded(docs: DataFrame, tokenizer: str, mode: str = "drop", end_id: int = 1, key: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``ENCODED`` for every row: its ids with the end id, little-endian, of ``width`` bytes each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = encoder(tokenizer, mode)
+        waiting: deque[int | None] = deque()
+
+        def texts() -> Iterator[str | None]:
+            for b in batches:
+                for k, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                    waiting.append(k)
+                    yield text.as_py()
+
+        end = np.array([end_id], coder.dtype).tobytes()
+        out: list[bytes] = []
+
+        def batch() -> pa.RecordBatch:
+            keys = [waiting.popleft() for _ in out]
+            made = pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([coder.dtype.itemsize] * len(out), pa.int32()), pa.array(out, pa.binary())], names=["k", "width", "ids"])
+            out.clear()
+            return made
+
+        for ids in coder.encode(texts()):
+            out.append(ids.tobytes() + end)
+            if len(out) >= 1000:
+                yield batch()
+        if out:
+            yield batch()
+
+    ship(docs.sparkSession)
+    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text_col).cast("string").alias("t"))
+    return rows.mapInArrow(run, ENCODED)
+
+
+def write_files(ids: DataFrame, folder: str, segment_ids: int = 4 << 20) -> DataFrame:
+    """Writes ``ids`` (see :func:`encoded`) to ``folder`` in ascending order of ``k``; returns the manifest.
+
+    Only ids are shuffled, never texts. Ranges are over the key and a hash of the ids, so that a
+    key that many rows share, null for one, is dealt over several tasks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -187,7 +226,6 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, mode: str = "drop"
 
         task, nth = TaskContext.get().partitionId(), 0
         store, root = fs.FileSystem.from_uri(folder)
-        encode = encoder(tokenizer, mode).encode
         names: list[int | None] = []
         counts: list[int] = []
         parts: list[np.ndarray] = []
@@ -203,30 +241,23 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, mode: str = "drop"
             names, counts, parts, held, nth = [], [], [], 0, nth + 1
             return pa.RecordBatch.from_arrays([pa.array(v) for v in row], names=[x.split()[0] for x in MANIFEST.split(", ")])
 
-        waiting: deque[int | None] = deque()
-
-        def texts() -> Iterator[str | None]:
-            for b in batches:
-                for k, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                    waiting.append(k)
-                    yield text.as_py()
-
-        for ids in encode(texts()):
-            names.append(waiting.popleft())
-            counts.append(len(ids) + 1)
-            parts.append(np.append(ids, np.array([end_id], ids.dtype)))
-            held += len(ids) + 1
-            if held >= segment_ids:
-                yield flush()
+        for b in batches:
+            for k, width, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                own = np.frombuffer(raw.as_py(), dtype=f"<u{width}")
+                names.append(k)
+                counts.append(len(own))
+                parts.append(own)
+                held += len(own)
+                if held >= segment_ids:
+                    yield flush()
         if names:
             yield flush()
 
-    ship(docs.sparkSession)
-    make_folder(docs.sparkSession, folder)
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text_col).cast("string").alias("t"))
-    ordered = rows.repartitionByRange("k").sortWithinPartitions("k", "t")
-    with batches_of(docs.sparkSession, 1000):
-        return cut(ordered.mapInArrow(run, MANIFEST), "manifest")
+    ship(ids.sparkSession)
+    make_folder(ids.sparkSession, folder)
+    ordered = ids.withColumn("tie", F.xxhash64("ids")).repartitionByRange("k", "tie").sortWithinPartitions("k", "tie", "ids")
+    with batches_of(ids.sparkSession, 1000):
+        return cut(ordered.select("k", "width", "ids").mapInArrow(run, MANIFEST), "manifest")
 
 
 def make_folder(spark: SparkSession, folder: str) -> None:
@@ -261,11 +292,14 @@ def read_documents(manifest: DataFrame, folder: str) -> DataFrame:
     spark = manifest.sparkSession
     ship(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pfr").load(folder).select(F.substring_index("path", "/", -1).alias("file"), "content")
-    rows = files.mapInArrow(run, "doc_id long, file string, own_start long, n_tokens long, ids_crc32 long")
+    with batches_of(spark, 2):  # whole files are the rows
+        rows = cut(files.mapInArrow(run, "doc_id long, file string, own_start long, n_tokens long, ids_crc32 long"), "read-back")
     return rows.join(cut(segment_starts(manifest), "starts"), "file").select("doc_id", (F.col("base") + F.col("own_start")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op1(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """The contract of ``op1_pfor_files``."""
+    """The contract of ``op1_pfor_files``. Its jobs run when it is called, up to the last join."""
     folder = new_path(docs.sparkSession, "token-files")
-    return read_documents(write_files(docs, folder, tokenizer), folder)
+    with batches_of(docs.sparkSession, 1000):
+        ids = cut(encoded(docs, tokenizer), "ids")
+    return read_documents(write_files(ids, folder), folder)

@@ -3,7 +3,8 @@
 The library encodes; this module only keeps it from encoding the same piece of text over
 and over. Texts are cut where the tokenizer's own pre-tokenizer always cuts, a batch's
 pieces are made distinct, and each distinct piece is encoded by the library once and kept
-in a bounded cache. Texts for which the cutting rule isn't proven (other scripts, control
+in a bounded cache; a piece that the pre-tokenizer leaves whole goes to the library's model
+alone. Texts for which the cutting rule isn't proven (other scripts, control
 characters, runs of blanks) are encoded whole by the library.
 """
 
@@ -29,8 +30,8 @@ _PLAIN[[*range(0x20, 0x7F), *range(0x80, 0xC0), *range(0xC2, 0xCA), 9, 10, 11, 1
 _PAIRS = re.compile(rb"\xc2[\x80-\xa0]|\xc4\xb0|\xc9[\x90-\xbf]|<\|")
 #: Characters that are neither letters nor numbers nor blanks to any of the tokenizers.
 _MARKS = string.punctuation + "¡¢£¤¥¦§©«¬®°±¶·»¿×÷"
-CACHE = 500_000  # pieces in each of a worker's two generations, about 80 MB each
-SLICE = 5_000_000  # characters cut up at a time
+CACHE = 200_000  # pieces in each of a worker's two generations, about 40 MB each
+SLICE = 3_000_000  # characters cut up at a time
 
 
 class Encoder:
@@ -43,9 +44,14 @@ class Encoder:
 
     def __init__(self, path: str, mode: str, cache: int = CACHE, at_a_time: int = SLICE) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        #: how the model writes a blank and each letter of a plain text
+        letters = {x for i in range(0xA1, 0x250) for x in (chr(i), *chr(i).lower()) if x.isalpha()}
+        self.written = {ord(x): to_bytes(x)[0][0] for x in (" ", *letters)}
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.mode, self.limit, self.at_a_time = mode, cache, at_a_time
         self.plain = _PLAIN.copy()
@@ -63,6 +69,11 @@ class Encoder:
     def _library(self, texts: list[str]) -> list[bytes]:
         return [self._bytes(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of words of plain letters, one blank before them at most: single pre-tokens."""
+        tokenize, written = self.model.tokenize, self.written
+        return [self._bytes([t.id for t in tokenize(w if w.isascii() and w[0] != " " else w.translate(written))]) for w in words]
+
     def _simple(self, column: pa.LargeStringArray, texts: list[str]) -> np.ndarray:
         """For each text whether cutting at blanks gives the pieces that the tokenizer makes."""
         if self.mode not in ("drop", "lead"):
@@ -98,6 +109,9 @@ class Encoder:
             else:
                 missing.append(x)
         missing += [x for x in {y for _, *two in tails for y in two} if x not in kept]
+        words = [x for x in missing if (x[1:] if x[0] == " " else x).isalpha()]
+        kept.update(zip(words, self._words(words), strict=True))
+        missing = [x for x in missing if x not in kept]
         for at in range(0, len(missing), 20_000):
             part = missing[at : at + 20_000]
             kept.update(zip(part, self._library(part), strict=True))

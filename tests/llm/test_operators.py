@@ -102,6 +102,8 @@ def test_encoder_equals_the_library(name, mode):
     r = random.Random(2)
     bits = ["a", "B", "é", " ", "  ", ",", ".", "\n", "'s", "1", "-", "_", "!", "\t", "ß", "日", "\x00", "\x1c", "\xa0", "<|endoftext|>", " .", ", ", "don't. ", "***", "w%%%", "x!!", "y'", "«z»", "½", "²;", "a_", "º."]
     texts = [*ODD, *("".join(r.choice(bits) for _ in range(r.randint(0, 25))) for _ in range(5000))]
+    letters = [chr(i) for i in (*range(0x41, 0x7B), *range(0xA1, 0x250)) if chr(i).isalpha()]
+    texts += [*letters, *("".join(r.choice(letters) for _ in range(r.randint(1, 12))) + r.choice(["", ",", " x", " É"]) for _ in range(3000))]
     small = Encoder(tokenizer_path(name), mode, cache=50)  # turns its cache over again and again
     for _ in range(2):
         assert all(x.tolist() == y.tolist() for x, y in zip(small.encode(texts), library_ids(name, texts), strict=True))
