@@ -14,13 +14,19 @@ most 3 n pairs. Its hub is the node that shares most sketches over all buckets:
 variants that is the original, whose sketches most variants keep. Each node meets the
 bucket's hub; buckets are dealt into parts of about 64, in which each node also meets the
 part's first and its neighbour. Pairs are verified in two rounds, first each node's most
-frequent partner, then those that still connect different components. All other pairs of a
-bucket follow, as far as their sizes allow a link and they still lie in different components,
-until none is left: the classes are those of all pairs that share a sketch.
+frequent partner, then those that still connect different components.
+
+What is left are nodes of buckets that hold several components. For these an exact join by
+prefixes follows, whose rows grow with the nodes and not with the square of a bucket: each
+text's k-mers are put in one order of all texts, the rarest first; two texts as similar as 0.8
+share a k-mer among the first ninth of the smaller one's and the first fifth of the larger
+one's, and where they first do, enough must be left on both sides. Of the pairs that pass, those
+between components are verified until none is left: the classes are those of all pairs that share
+a sketch.
 
 Defined results: a null text is an empty one; texts without words are only equal to texts
 of the same characters; a text of fewer than five words is a single k-mer. Nodes are
-64-bit hashes of whole texts. Every input row gives one row, also rows that repeat a key
+128-bit hashes of whole texts. Every input row gives one row, also rows that repeat a key
 or have none; a class is named by the least key of its rows. Other columns are ignored.
 """
 
@@ -39,8 +45,8 @@ from gradloom.llm.common import cut, fresh
 from gradloom.operators.graph import components
 from gradloom.workers import batches_of, ship
 
-K, SKETCHES, MINIMA, SIMILAR, PART = 5, 16, 3, 0.8, 64
-BLOCK, PAIRS_A_TURN, FEW = 512, 50_000_000, 10_000
+K, SKETCHES, MINIMA, SIMILAR, PART, FEW = 5, 16, 3, 0.8, 64, 10_000
+SLOTS = 1 << 16  # of the table of k-mer frequencies
 _SEEDS = np.random.default_rng(20240229).integers(1, 1 << 63, (SKETCHES, 2), dtype=np.uint64) | np.uint64(1)
 _P, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -185,7 +191,7 @@ def _links(pairs: DataFrame, seqs: DataFrame) -> DataFrame:
     left = seqs.select(F.col("node").alias("a"), F.col("words").alias("x"))
     right = seqs.select(F.col("node").alias("b"), F.col("words").alias("y"))
     rows = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return rows.mapInArrow(_verify, "a long, b long, score double").where(F.col("score") >= SIMILAR).select("a", "b")
+    return rows.mapInArrow(_verify, "a binary, b binary, score double").where(F.col("score") >= SIMILAR).select("a", "b")
 
 
 def _best(pairs: DataFrame) -> DataFrame:
@@ -202,57 +208,102 @@ def _apart(pairs: DataFrame, group: DataFrame) -> DataFrame:
     return both.where("ca != cb")
 
 
-def _unmet(members: DataFrame, tried: DataFrame, group: DataFrame, turn: int = 0, turns: int = 1) -> DataFrame:
-    """``a, b``: the pairs of the buckets that lie in different components, may be linked and weren't ``tried``.
+def _slots(labelled: np.ndarray) -> np.ndarray:
+    return (labelled >> np.uint64(48)).astype(np.int64)
 
-    A bucket is dealt into blocks of about 512 nodes; two blocks meet in a cell, and a turn takes its share of the cells.
-    """
-    cell = ["k", "i", "j"]
-    m = members.withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int")).withColumn("at", F.pmod(F.xxhash64("node", "k", F.lit(2)), F.col("blocks")).cast("int"))
-    a = m.select("k", F.col("at").alias("i"), F.explode(F.sequence("at", F.col("blocks") - 1)).alias("j"), F.col("node").alias("a"), F.col("n").alias("na"))
-    b = m.select("k", F.explode(F.sequence(F.lit(0), "at")).alias("i"), F.col("at").alias("j"), F.col("node").alias("b"), F.col("n").alias("nb"))
-    mine = F.pmod(F.xxhash64(*cell), F.lit(turns)) == turn
-    met = a.where(mine).join(b.where(mine), cell).where((F.col("i") < F.col("j")) | (F.col("a") < F.col("b"))).where(_fits("na", "nb"))
-    pairs = _apart(met.select("a", "b"), group).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(SLOTS, dtype=np.int64)
+    for b in batches:
+        for w in b.column(0):
+            np.add.at(counts, _slots(kmers(np.frombuffer(w.as_buffer(), dtype="<u4"))), 1)
+    slots = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int32()), pa.array(counts[slots], pa.int64())], names=["slot", "n"])
+
+
+def prefix(labelled: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, int]:
+    """The k-mers that meet those of smaller texts, in the order of ``rank``; how many of these meet larger ones."""
+    n = len(labelled)
+    first = labelled[np.lexsort((labelled, rank[_slots(labelled)]))[: n - _least(SIMILAR * n) + 1]]
+    return first, n - _least(2 * SIMILAR / (1 + SIMILAR) * n) + 1
+
+
+def _least(x: float) -> int:
+    """``x`` rounded up, but for what the product of doubles adds."""
+    return int(np.ceil(x - 1e-9))
+
+
+def _unmet(nodes: DataFrame, rank: np.ndarray) -> DataFrame:
+    """``a, b``: the pairs of ``nodes`` (node, component, words) that lie in different components and share
+    a k-mer of their prefixes where enough of both is left for a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 100):
+                part = b.slice(at, 100)
+                labelled = [kmers(np.frombuffer(w.as_buffer(), dtype="<u4")) for w in part.column(2)]
+                firsts = [prefix(x, rank) for x in labelled]
+                sizes = np.array([len(f) for f, _ in firsts])
+                of = np.repeat(np.arange(part.num_rows), sizes)
+                nth = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                columns = [
+                    pa.array(np.concatenate([f for f, _ in firsts]).view(np.int64)), part.column(0).take(pa.array(of)), part.column(1).take(pa.array(of)), pa.array(np.array([len(x) for x in labelled], np.int32)[of]),
+                    pa.array(nth.astype(np.int32)), pa.array(nth < np.array([short for _, short in firsts])[of]),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["kmer", "node", "component", "n", "nth", "short"])
+
+    rows = cut(nodes.select("node", "component", "words").mapInArrow(run, "kmer long, node binary, component binary, n int, nth int, short boolean"), "prefixes")
+    large, small = (rows.select("kmer", *[F.col(c).alias(f"{x}_{c}") for c in ("node", "component", "n", "nth", "short")]) for x in "ab")
+    smaller = (F.col("b_n") < F.col("a_n")) | ((F.col("b_n") == F.col("a_n")) & (F.col("b_node") < F.col("a_node")))
+    enough = F.least(F.col("a_n") - F.col("a_nth"), F.col("b_n") - F.col("b_nth")) >= SIMILAR / (1 + SIMILAR) * (F.col("a_n") + F.col("b_n")) - 1e-9
+    met = large.join(small.where("b_short").drop("b_short"), "kmer").where(smaller & (F.col("a_component") != F.col("b_component")) & _fits("a_n", "b_n") & enough)
+    return met.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
 
 
 def _mixed(shared: DataFrame, group: DataFrame) -> DataFrame:
-    """The buckets that hold several components; of three nodes or fewer all pairs are candidates."""
+    """``node, component``: the nodes of buckets that hold several components; of three nodes or fewer all pairs are candidates."""
     of = shared.where("c > 3").join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
     several = of.groupBy("k").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("k")
-    return shared.join(several, "k", "left_semi").select("k", "node", "n", "c")
+    return of.join(several, "k", "left_semi").select("node", "component").distinct()
 
 
-def _settle(shared: DataFrame, tried: DataFrame, links: DataFrame, n_links: int, group: DataFrame, seqs: DataFrame, few: int) -> DataFrame:
-    """``group``, once no pair of a bucket is unverified between two components.
+def _settle(shared: DataFrame, tried: DataFrame, links: DataFrame, n_links: int, group: DataFrame, seqs: DataFrame, n_nodes: int) -> DataFrame:
+    """``group``, once no pair of a bucket that may be a link is unverified between two components.
 
-    Up to ``few`` pairs are verified at once. Of more, first one for each two components is, then
-    16 times as many in each round: what these link, the other pairs need not.
+    Up to ``FEW`` pairs, or one for every four nodes, are verified at once. Of more, first one for each
+    two components is, then 16 times as many in each round: what these link, the other pairs need not.
     """
-    members = cut(_mixed(shared, group), "mixed", shared.count())
-    most = members.select("k", "c").distinct().agg(F.sum(F.expr("c * (c - 1) div 2"))).first()[0] or 0
-    turns = -(-most // PAIRS_A_TURN)
-    for turn in range(turns):
-        rest = cut(_unmet(members, tried, group, turn, turns), "unmet")
-        n, share = rest.count(), 1
-        while n:
-            some = rest.select("a", "b")
-            if n > few:
-                two = (F.least("ca", "cb"), F.greatest("ca", "cb"), F.pmod(F.xxhash64("a", "b"), F.lit(share)))
-                some = cut(_apart(some, group).groupBy(*two).agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b"), "some", n)
-            found = cut(_links(some, seqs), "links")
-            n_found = found.count()
-            if n_found:
-                links, n_links = links.unionByName(found), n_links + n_found
-                group = cut(components(links, most=n_links), "components", 2 * n_links)
-            if n <= few:
-                break
-            rest = cut(_apart(rest.select("a", "b").join(some, ["a", "b"], "left_anti"), group).select("a", "b"), "unmet", n)
-            n, share = rest.count(), 16 * share
+    nodes = cut(seqs.join(_mixed(shared, group), "node"), "mixed")
+    few = max(FEW, n_nodes // 4)
+    counts = nodes.select("words").mapInArrow(_frequencies, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()  # at most SLOTS rows
+    if not counts:
+        return group
+    rank = np.zeros(SLOTS, dtype=np.int64)
+    rank[[r["slot"] for r in counts]] = [r["n"] for r in counts]
+    rest = cut(_unmet(nodes, np.unique(rank, return_inverse=True)[1].astype(np.uint16)).join(tried.select("a", "b"), ["a", "b"], "left_anti"), "unmet")
+    n, share = rest.count(), 1
+    while n:
+        some = rest.select("a", "b")
+        if n > few:
+            two = (F.least("ca", "cb"), F.greatest("ca", "cb"), F.pmod(F.xxhash64("a", "b"), F.lit(share)))
+            some = cut(_apart(some, group).groupBy(*two).agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b"), "some", n)
+        found = cut(_links(some, seqs), "links")
+        n_found = found.count()
+        if n_found:
+            links, n_links = links.unionByName(found), n_links + n_found
+            group = cut(components(links, most=n_links), "components", 2 * n_links)
+        if n <= few:
+            break
+        rest = cut(_apart(rest.select("a", "b").join(some, ["a", "b"], "left_anti"), group).select("a", "b"), "unmet", n)
+        n, share = rest.count(), 16 * share
     return group
 
 
+def node_of(text: Column) -> Column:
+    """128 bits of a whole text."""
+    return F.unhex(F.md5(text))
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``key, class_id, class_size, is_first`` for every row; ``class_id`` is the least key of its class.
 
@@ -266,8 +317,8 @@ def classes(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> Dat
 def _classes(docs: DataFrame, key: str, text_col: str) -> DataFrame:
     """All that needs Python workers runs in here, into tables of the shared folder; what is returned joins them."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(text).alias("node"), text.alias("text"))
-    sketched = rows.select("node", "text").mapInArrow(_sketch, "node long, n int, ks array<long>")
+    rows = docs.select(F.col(key).cast("long").alias("key"), node_of(text).alias("node"), text.alias("text"))
+    sketched = rows.select("node", "text").mapInArrow(_sketch, "node binary, n int, ks array<long>")
     once = sketched.groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("ks").alias("ks"))
     bands = cut(once.select(F.explode("ks").alias("k"), "node", "n"), "bands")
     pairs, shared = candidates(bands)
@@ -278,7 +329,7 @@ def _classes(docs: DataFrame, key: str, text_col: str) -> DataFrame:
     wanted = cut(named.join(shared.select("node").distinct(), "node", "left_semi").select("node", F.col("low").alias("key")), "wanted", n_nodes)
     # always a merge join: the plan, and what it moves, is the same at every size
     chosen = rows.alias("r").join(wanted.alias("w").hint("merge"), (F.col("r.node") == F.col("w.node")) & F.col("r.key").eqNullSafe(F.col("w.key")), "left_semi").select("node", "text")
-    seqs = cut(chosen.mapInArrow(_words, "node long, words binary").dropDuplicates(["node"]), "words")
+    seqs = cut(chosen.mapInArrow(_words, "node binary, words binary").dropDuplicates(["node"]), "words")
     first = cut(_links(_best(pairs), seqs), "links")
     n_first = first.count()
     group = cut(components(first, most=n_first), "components", 2 * n_first)
@@ -287,7 +338,7 @@ def _classes(docs: DataFrame, key: str, text_col: str) -> DataFrame:
     links, n_links = first.unionByName(second), n_first + n_second
     if n_second:
         group = cut(components(links, most=n_links), "components", 2 * n_links)
-    group = _settle(shared, pairs, links, n_links, group, seqs, max(FEW, n_nodes // 4))
+    group = _settle(shared, pairs, links, n_links, group, seqs, n_nodes)
     of = cut(named.join(group, "node", "left").select("node", "low", "copies", F.coalesce("component", "node").alias("component")), "classes", n_nodes)
     named_class = cut(of.groupBy("component").agg(F.min("low").alias("class_id"), F.sum("copies").alias("class_size"), F.min(F.struct(F.col("low").isNull(), "low", "node")).alias("keep")), "class-names", n_nodes)
     per_node = cut(of.join(named_class, "component").select("node", "class_id", "class_size", F.col("keep.node").alias("keep"), "low"), "per-node", n_nodes)
@@ -301,7 +352,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> Da
     What to keep is a small table of nodes and keys; the texts meet it in one join.
     """
     kept = cut(classes(docs, key, text_col).where("is_first").select("node", F.col(key).alias("k")).distinct(), "kept")
-    node = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    node = node_of(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     n, k = fresh(docs, "__node", "__key")
     kept = kept.select(F.col("node").alias(n), F.col("k").alias(k)).hint("merge")
     joined = docs.join(kept, (node == F.col(n)) & F.col(f"`{key}`").cast("long").eqNullSafe(F.col(k)))

@@ -235,9 +235,8 @@ def test_near_duplicates_against_brute_force(spark):
 @pytest.mark.parametrize("small", [False, True])
 def test_revisions_are_one_class(spark, monkeypatch, small):
     """Revisions alike only to their own parent share buckets far larger than a part."""
-    if small:  # many turns, blocks and rounds
-        for name, value in (("BLOCK", 16), ("PAIRS_A_TURN", 10_000), ("FEW", 1)):
-            monkeypatch.setattr(order_minhash, name, value)
+    if small:  # many rounds
+        monkeypatch.setattr(order_minhash, "FEW", 1)
     r, revisions = random.Random(3), [prose(300, 3).split()]
     while len(revisions) < 600:
         t = list(r.choice(revisions))
@@ -262,6 +261,32 @@ def test_revisions_are_one_class(spark, monkeypatch, small):
     assert {x.doc_id: x.class_id for x in order_minhash.op3(make(spark, texts)).collect()} == {i: find(i) for i in range(600)}
 
 
+def test_pairs_from_one_template_are_found(spark):
+    """200 pairs at 0.834 among 400 texts that share most of their words, and so their buckets."""
+    template, texts = prose(880, 1), []
+    for i in range(200):
+        both = prose(30, 1000 + i)
+        texts += [f"{template} {both} {prose(90, 5000 + 2 * i + j)}" for j in range(2)]
+    got = collections.Counter(r.class_id for r in order_minhash.op3(make(spark, texts)).collect())
+    assert got == {2 * i: 2 for i in range(200)}
+
+
+def test_prefixes_lose_no_pair():
+    r = random.Random(8)
+    for _ in range(300):
+        a = [r.randrange(60) for _ in range(r.randint(1, 40))]
+        b = list(a)
+        for _ in range(r.randint(0, 3)):
+            b.insert(r.randrange(len(b) + 1), r.randrange(60)) if r.random() < 0.5 else b.pop(r.randrange(len(b))) if len(b) > 1 else None
+        x, y = (order_minhash.kmers(np.array(w, dtype=np.uint32), 2) for w in (a, b))
+        if order_minhash.similarity(x, y) >= 0.8:
+            x, y = (x, y) if len(x) >= len(y) else (y, x)
+            rank = np.array([r.randrange(5) for _ in range(order_minhash.SLOTS)], dtype=np.uint16)
+            (large, _), (small, short) = order_minhash.prefix(x, rank), order_minhash.prefix(y, rank)
+            i, j = min((i, j) for i, u in enumerate(large) for j, v in enumerate(small[:short]) if u == v)
+            assert min(len(x) - i, len(y) - j) >= 0.8 / 1.8 * (len(x) + len(y)) - 1e-9
+
+
 def test_repeated_and_null_keys(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (None, None), (2, "")], "doc_id long, text string")
     rows = order_minhash.classes(docs).collect()
