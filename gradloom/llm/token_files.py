@@ -17,7 +17,7 @@ A writing task names its files for its attempt and lists them in the manifest, w
 commits; files of attempts that were lost stand in no manifest and are never read.
 
 Defined results: a null or empty text is its end id alone; null document ids come first;
-rows that repeat a document id stand in an order of their ids alone; an empty table gives no
+rows that repeat a document id stand in an order that depends on their texts alone; an empty table gives no
 files and no rows; other columns are ignored.
 """
 
@@ -26,6 +26,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from bisect import bisect_right
 from collections import deque
 from collections.abc import Iterator
 
@@ -175,21 +176,46 @@ def read_range(data: bytes, start: int, stop: int) -> np.ndarray:
     return decode_blocks(blocks[own[0] : own[-1]], own - own[0])[start - first * BLOCK : stop - first * BLOCK]
 
 
-MANIFEST = "task long, nth long, file string, n_docs long, n_ids long, n_bytes long"
-ENCODED = "k long, width int, ids binary"
+MANIFEST = "range long, nth long, file string, n_docs long, n_ids long, n_bytes long"
+ENCODED = "place long, range int, k long, tie long, width int, ids binary"
+SAMPLE = 100  # rows for each range, as Spark's own range partitioning takes
+Place = tuple[bool, int, int]
 
 
-def encoded(docs: DataFrame, tokenizer: str, mode: str = "drop", end_id: int = 1, key: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``ENCODED`` for every row: its ids with the end id, little-endian, of ``width`` bytes each."""
+def _bounds(rows: DataFrame, ranges: int) -> list[Place]:
+    """The least (whether there is a key, key, tie) of each range but the first, from a sample of the rows."""
+    n = rows.count()
+    ranges = max(1, min(ranges, n // 100))
+    if ranges == 1:
+        return []
+    some = rows.sample(min(1.0, SAMPLE * ranges / n), seed=1).select("k", F.xxhash64("t").alias("tie")).collect()
+    places = sorted((r["k"] is not None, r["k"] or 0, r["tie"]) for r in some)
+    return sorted({places[i * len(places) // ranges] for i in range(1, ranges)}) if places else []
+
+
+def _places(spark: SparkSession, n: int) -> list[int]:
+    """For each of ``n`` partitions a number that hash partitioning deals to it."""
+    found: dict[int, int] = {}
+    begin = 0
+    while len(found) < n:
+        rows = spark.range(begin, begin + 20 * n, 1, 1).select("id", F.pmod(F.hash("id"), F.lit(n)).alias("p")).groupBy("p").agg(F.min("id").alias("id")).collect()
+        for r in rows:
+            found.setdefault(r["p"], r["id"])
+        begin += 20 * n
+    return [found[i] for i in range(n)]
+
+
+def _encoded(rows: DataFrame, tokenizer: str, mode: str, end_id: int, bounds: list[Place], places: list[int]) -> DataFrame:
+    """``ENCODED`` for every row (k, t): the range it falls in and its ids, little-endian, ``width`` bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer, mode)
-        waiting: deque[int | None] = deque()
+        waiting: deque[tuple[int | None, int]] = deque()
 
         def texts() -> Iterator[str | None]:
             for b in batches:
-                for k, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                    waiting.append(k)
+                for k, tie, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(1), strict=True):
+                    waiting.append((k, tie))
                     yield text.as_py()
 
         end = np.array([end_id], coder.dtype).tobytes()
@@ -197,7 +223,10 @@ def encoded(docs: DataFrame, tokenizer: str, mode: str = "drop", end_id: int = 1
 
         def batch() -> pa.RecordBatch:
             keys = [waiting.popleft() for _ in out]
-            made = pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([coder.dtype.itemsize] * len(out), pa.int32()), pa.array(out, pa.binary())], names=["k", "width", "ids"])
+            of = [bisect_right(bounds, (k is not None, k or 0, tie)) for k, tie in keys]
+            columns = [[places[i] for i in of], of, [k for k, _ in keys], [tie for _, tie in keys], [coder.dtype.itemsize] * len(out), out]
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in ENCODED.split(", ")])
             out.clear()
             return made
 
@@ -208,23 +237,21 @@ def encoded(docs: DataFrame, tokenizer: str, mode: str = "drop", end_id: int = 1
         if out:
             yield batch()
 
-    ship(docs.sparkSession)
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text_col).cast("string").alias("t"))
-    return rows.mapInArrow(run, ENCODED)
+    return rows.select("k", "t", F.xxhash64("t").alias("tie")).mapInArrow(run, ENCODED)
 
 
-def write_files(ids: DataFrame, folder: str, segment_ids: int = 4 << 20) -> DataFrame:
-    """Writes ``ids`` (see :func:`encoded`) to ``folder`` in ascending order of ``k``; returns the manifest.
+def write_files(docs: DataFrame, folder: str, tokenizer: str, mode: str = "drop", end_id: int = 1, key: str = "doc_id", text_col: str = "text", segment_ids: int = 4 << 20) -> DataFrame:
+    """Writes the corpus to ``folder`` in ascending order of ``key``; returns the manifest.
 
-    Only ids are shuffled, never texts. Ranges are over the key and a hash of the ids, so that a
-    key that many rows share, null for one, is dealt over several tasks.
+    Texts are encoded where they are read, and only ids are shuffled, once. The ranges are over the
+    key and a hash of the text, so that a key that many rows share, null for one, is dealt over several
+    tasks; each range is a partition of its own.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
-        from pyspark import TaskContext
 
-        task, nth = TaskContext.get().partitionId(), 0
+        of, nth = -1, 0
         store, root = fs.FileSystem.from_uri(folder)
         names: list[int | None] = []
         counts: list[int] = []
@@ -234,15 +261,19 @@ def write_files(ids: DataFrame, folder: str, segment_ids: int = 4 << 20) -> Data
         def flush() -> pa.RecordBatch:
             nonlocal names, counts, parts, held, nth
             data = to_bytes(names, counts, np.concatenate(parts))
-            file = f"{task:06d}-{nth:05d}-{uuid.uuid4().hex[:12]}.pfr"
+            file = f"{of:06d}-{nth:05d}-{uuid.uuid4().hex[:12]}.pfr"
             with store.open_output_stream(f"{root}/{file}") as f:
                 f.write(data)
-            row = [[task], [nth], [file], [len(names)], [held], [len(data)]]
+            row = [[of], [nth], [file], [len(names)], [held], [len(data)]]
             names, counts, parts, held, nth = [], [], [], 0, nth + 1
             return pa.RecordBatch.from_arrays([pa.array(v) for v in row], names=[x.split()[0] for x in MANIFEST.split(", ")])
 
         for b in batches:
-            for k, width, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            for mine, k, width, raw in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3), strict=True):
+                if mine != of:
+                    if names:
+                        yield flush()
+                    of, nth = mine, 0
                 own = np.frombuffer(raw.as_py(), dtype=f"<u{width}")
                 names.append(k)
                 counts.append(len(own))
@@ -253,11 +284,16 @@ def write_files(ids: DataFrame, folder: str, segment_ids: int = 4 << 20) -> Data
         if names:
             yield flush()
 
-    ship(ids.sparkSession)
-    make_folder(ids.sparkSession, folder)
-    ordered = ids.withColumn("tie", F.xxhash64("ids")).repartitionByRange("k", "tie").sortWithinPartitions("k", "tie", "ids")
-    with batches_of(ids.sparkSession, 1000):
-        return cut(ordered.select("k", "width", "ids").mapInArrow(run, MANIFEST), "manifest")
+    spark = docs.sparkSession
+    ship(spark)
+    make_folder(spark, folder)
+    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text_col).cast("string").alias("t"))
+    bounds = _bounds(rows, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    places = _places(spark, len(bounds) + 1)
+    with batches_of(spark, 1000):
+        ids = _encoded(rows, tokenizer, mode, end_id, bounds, places)
+        ordered = ids.repartition(len(places), "place").sortWithinPartitions("range", "k", "tie", "ids")
+        return cut(ordered.select("range", "k", "width", "ids").mapInArrow(run, MANIFEST), "manifest")
 
 
 def make_folder(spark: SparkSession, folder: str) -> None:
@@ -266,12 +302,12 @@ def make_folder(spark: SparkSession, folder: str) -> None:
 
 
 def segment_starts(manifest: DataFrame) -> DataFrame:
-    """``file, base``: the ids before each file. The totals of the tasks (a row for each) are
-    summed in one place, the files of a task beside each other."""
-    tasks = manifest.groupBy("task").agg(F.sum("n_ids").alias("total"))
-    before = tasks.select("task", (F.sum("total").over(Window.orderBy("task")) - F.col("total")).alias("before"))
-    own = F.sum("n_ids").over(Window.partitionBy("task").orderBy("nth")) - F.col("n_ids")
-    return manifest.withColumn("own", own).join(before, "task").select("file", (F.col("before") + F.col("own")).alias("base"))
+    """``file, base``: the ids before each file. The totals of the ranges (a row for each) are
+    summed in one place, the files of a range beside each other."""
+    ranges = manifest.groupBy("range").agg(F.sum("n_ids").alias("total"))
+    before = ranges.select("range", (F.sum("total").over(Window.orderBy("range")) - F.col("total")).alias("before"))
+    own = F.sum("n_ids").over(Window.partitionBy("range").orderBy("nth")) - F.col("n_ids")
+    return manifest.withColumn("own", own).join(before, "range").select("file", (F.col("before") + F.col("own")).alias("base"))
 
 
 def read_documents(manifest: DataFrame, folder: str) -> DataFrame:
@@ -300,6 +336,4 @@ def read_documents(manifest: DataFrame, folder: str) -> DataFrame:
 def op1(docs: DataFrame, tokenizer: str) -> DataFrame:
     """The contract of ``op1_pfor_files``. Its jobs run when it is called, up to the last join."""
     folder = new_path(docs.sparkSession, "token-files")
-    with batches_of(docs.sparkSession, 1000):
-        ids = cut(encoded(docs, tokenizer), "ids")
-    return read_documents(write_files(ids, folder), folder)
+    return read_documents(write_files(docs, folder, tokenizer), folder)

@@ -121,6 +121,19 @@ def test_token_files(spark):
     assert token_files.op1(docs.limit(0), tokenizer_path("word_bpe_49k.json")).count() == 0
 
 
+def test_token_files_of_many_ranges(spark):
+    """Half of the rows share a key: they are dealt over several ranges, in one order of all."""
+    r = random.Random(5)
+    rows = [(None if i % 4 == 0 else 7 if i % 4 == 1 else r.randrange(-(10**12), 10**12), f"text {i} of many") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted(token_files.op1(docs, tokenizer_path("word_bpe_49k.json")).collect(), key=lambda r: r.start)
+    order = [(x.doc_id is not None, x.doc_id or 0) for x in got]
+    assert len(got) == 2000 and order == sorted(order)
+    assert [x.start for x in got] == np.cumsum([0, *(x.n_tokens for x in got)])[:-1].tolist()
+    want = collections.Counter((d, zlib.crc32(np.append(ids, np.array([1], "<u4")).tobytes())) for (d, _), ids in zip(rows, library_ids("word_bpe_49k.json", [t for _, t in rows]), strict=True))
+    assert collections.Counter((x.doc_id, x.ids_crc32) for x in got) == want
+
+
 @pytest.mark.parametrize("seed", range(12))
 def test_packing_uses_every_id_once(seed):
     r = random.Random(seed)
