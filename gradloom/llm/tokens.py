@@ -30,7 +30,7 @@ _PLAIN[[*range(0x20, 0x7F), *range(0x80, 0xC0), *range(0xC2, 0xCA), 9, 10, 11, 1
 _PAIRS = re.compile(rb"\xc2[\x80-\xa0]|\xc4\xb0|\xc9[\x90-\xbf]|<\|")
 #: Characters that are neither letters nor numbers nor blanks to any of the tokenizers.
 _MARKS = string.punctuation + "¡¢£¤¥¦§©«¬®°±¶·»¿×÷"
-CACHE = 200_000  # pieces in each of a worker's two generations, about 40 MB each
+CACHE = 350_000  # pieces in each of a worker's two generations, about 70 MB each
 SLICE = 3_000_000  # characters cut up at a time
 
 
