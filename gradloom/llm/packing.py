@@ -4,7 +4,8 @@ A document's ids are cut into full windows and a rest. The rest goes online into
 level that minimises the sum over levels of the squared number of partially filled windows
 at that level (Csirik et al.'s Sum-of-Squares rule); the counts stand in one level array.
 Each partition packs its own documents as they come, so nothing is shuffled and a task
-holds no more than its open windows. At a partition's end the windows still open are
+holds no more than its open windows, at most ``MAX_OPEN``, and of each document the ids not yet
+placed for good. At that number and at a partition's end the windows still open are
 closed: pieces of the emptiest fill up the others (a document may be cut anywhere), and
 what then remains is cut at powers of two, which need no padding.
 
@@ -32,6 +33,7 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 STRIDE = 1 << 40
 #: Nothing is shuffled or sorted here, so the workers can keep more pieces than elsewhere.
 CACHE, SLICE = 800_000, 8_000_000
+MAX_OPEN = 8192
 #: A block of pieces: document, start, length, sequence, offset.
 Piece = tuple[int, int, int, int, int]
 
@@ -43,8 +45,12 @@ class SumOfSquares:
     """
 
     def __init__(self, size: int) -> None:
-        self.size, self.counts, self.n = size, np.zeros(size + 1, dtype=np.int64), 0
-        self.open: list[list[int]] = [[] for _ in range(size)]
+        self.size, self.n = size, 0
+        self.clear()
+
+    def clear(self) -> None:
+        self.counts, self.n_open = np.zeros(self.size + 1, dtype=np.int64), 0
+        self.open: list[list[int]] = [[] for _ in range(self.size)]
 
     def new(self) -> int:
         self.n += 1
@@ -62,8 +68,10 @@ class SumOfSquares:
         window = self.open[h].pop() if h else self.new()
         if h:
             c[h] -= 1
+            self.n_open -= 1
         if h + length < size:
             c[h + length] += 1
+            self.n_open += 1
             self.open[h + length].append(window)
         return window, h
 
@@ -128,6 +136,10 @@ def pack_stream(lengths: Iterator[int], size: int) -> Iterator[Piece]:
             own.append((doc, full * size, rest, window, offset))
             if offset + rest == size:
                 yield from held.pop(window)
+            if packer.n_open >= MAX_OPEN:
+                yield from _close(packer, held)
+                packer.clear()
+                held.clear()
     yield from _close(packer, held)
 
 
@@ -137,9 +149,9 @@ def pack(docs: DataFrame, tokenizer: str, mode: str = "lead", end_id: int = 0, s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer, mode, cache, at_a_time).encode
-        ids: dict[int, np.ndarray] = {}  # of documents that have a piece in an open window
+        ids: dict[int, tuple[int, np.ndarray]] = {}  # (start, ids from there) of documents that have a piece in an open window
         pending: dict[int, int] = {}
-        keys: dict[int, int | None] = {}
+        keys: dict[int, tuple[int | None, int]] = {}
         partition = None
         out: list[tuple] = []
 
@@ -155,7 +167,7 @@ def pack(docs: DataFrame, tokenizer: str, mode: str = "lead", end_id: int = 0, s
 
         def lengths() -> Iterator[int]:
             for doc, own in enumerate(encode(texts())):
-                ids[doc], keys[doc], pending[doc] = np.append(own, np.array([end_id], own.dtype)), waiting.popleft(), len(own) + 1
+                ids[doc], keys[doc], pending[doc] = (0, np.append(own, np.array([end_id], own.dtype))), (waiting.popleft(), len(own) + 1), len(own) + 1
                 yield len(own) + 1
 
         def batch() -> pa.RecordBatch:
@@ -164,12 +176,14 @@ def pack(docs: DataFrame, tokenizer: str, mode: str = "lead", end_id: int = 0, s
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
         for doc, start, n, window, offset in pack_stream(lengths(), size):
-            own = ids[doc]
-            crc = zlib.crc32(own[start : start + n].astype("<u4").tobytes())
-            out.append((keys[doc], start, n, crc, len(own), partition * STRIDE + window, offset))
+            first, own = ids[doc]
+            crc = zlib.crc32(own[start - first : start - first + n].astype("<u4").tobytes())
+            out.append((keys[doc][0], start, n, crc, keys[doc][1], partition * STRIDE + window, offset))
             pending[doc] -= n
             if not pending[doc]:
                 del ids[doc], keys[doc], pending[doc]
+            elif n == size and pending[doc] < size:  # the full windows are out
+                ids[doc] = start + n, own[start - first + n :].copy()
             if len(out) >= 10_000:
                 yield batch()
         if out:
