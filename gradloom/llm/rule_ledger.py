@@ -56,13 +56,14 @@ def policy_mask(policy: str | tuple[str, ...], rules: tuple[Rule, ...] = RULES)
     return sum(1 << at[n] for n in set(names))
 
 
-def _repeated_windows(df: DataFrame, w: str, out: str) -> DataFrame:
+def _repeated_windows(df: DataFrame, w: str, out: str, window_hash=F.xxhash64) -> DataFrame:
     """Adds ``out``: how many words of the array ``w`` lie in 3-word windows that occur twice or more.
 
     A window becomes one long: a hash in the high bits, its position in as many low bits
     as this text needs (at least 40 bits of hash remain up to 16 million words). Sorting
     the longs brings equal windows together; neighbours with equal hashes are compared
-    word by word, so a collision cannot count. Linear memory, n log n time, no shuffle.
+    word by word, so a collision cannot count. Where different windows do share a hash, and so may
+    part equal ones, the windows of that text are sorted as strings. n log n time, no shuffle.
     """
     n = F.size(w)
     bits, packed, hits, spots = f"{out}__bits", f"{out}__packed", f"{out}__hits", f"{out}__spots"
@@ -76,19 +77,25 @@ def _repeated_windows(df: DataFrame, w: str, out: str) -> DataFrame:
             F.sort_array(
                 F.transform(
                     F.sequence(F.lit(0), n - 3),
-                    lambda i: F.xxhash64(word(i), word(i + 1), word(i + 2)).bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("long")),
+                    lambda i: window_hash(word(i), word(i + 1), word(i + 2)).bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("long")),
                 )
             ),
         ),
     )
 
-    def equal_to(x: Column, j: Column) -> Column:
+    def equal_to(x: Column, j: Column, want: bool = True) -> Column:
         y = F.get(F.col(packed), j)
         p, q = x.bitwiseAND(low).cast("int"), y.bitwiseAND(low).cast("int")
         same = (word(p) == word(q)) & (word(p + 1) == word(q + 1)) & (word(p + 2) == word(q + 2))
-        return F.coalesce((x.bitwiseXOR(y).bitwiseAND(F.bitwise_not(low)) == 0) & same, F.lit(False))
-
-    df = df.withColumn(hits, F.filter(packed, lambda x, j: equal_to(x, j - 1) | equal_to(x, j + 1)))
+        return F.coalesce((x.bitwiseXOR(y).bitwiseAND(F.bitwise_not(low)) == 0) & (same == want), F.lit(False))
+
+    clash, wins, twice = f"{out}__clash", f"{out}__wins", f"{out}__twice"
+    df = df.withColumn(clash, F.exists(F.transform(packed, lambda x, j: equal_to(x, j - 1, False)), lambda c: c))
+    df = df.withColumn(wins, F.when(F.col(clash), F.transform(packed, lambda x: F.concat_ws(" ", *[word(x.bitwiseAND(low).cast("int") + i) for i in range(3)]))))
+    df = df.withColumn(twice, F.sort_array(wins))
+    df = df.withColumn(twice, F.array_distinct(F.filter(twice, lambda x, j: x == F.get(F.col(twice), j - 1))))
+    exact = F.filter(packed, lambda x, j: F.array_contains(F.col(twice), F.get(F.col(wins), j)))
+    df = df.withColumn(hits, F.when(F.col(clash), exact).otherwise(F.filter(packed, lambda x, j: equal_to(x, j - 1) | equal_to(x, j + 1))))
     df = df.withColumn(spots, F.sort_array(F.transform(hits, lambda x: x.bitwiseAND(low))))
     # each window adds the words that the one before it has not covered
     total = F.size(spots) * 3 - F.aggregate(
@@ -96,7 +103,7 @@ def _repeated_windows(df: DataFrame, w: str, out: str) -> DataFrame:
         F.lit(0).cast("long"),
         lambda a, x: a + x,
     )
-    return df.withColumn(out, F.when(F.size(spots) > 0, total).otherwise(0).cast("long")).drop(bits, packed, hits, spots)
+    return df.withColumn(out, F.when(F.size(spots) > 0, total).otherwise(0).cast("long")).drop(bits, packed, hits, spots, clash, wins, twice)
 
 
 def measure(df: DataFrame, text_col: str = "text") -> DataFrame:

@@ -2,12 +2,14 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gradloom.llm import multi_index, order_minhash, packing, pii, rule_ledger, secret_scan, source_mix, text_density, token_files, url_reputation
 from gradloom.llm.queries import tokenizer_path
@@ -73,6 +75,16 @@ def test_repeated_windows_of_short_texts(spark):
     assert got == {i: brute_ledger(t)[4] for i, t in enumerate(texts)} and got[0] == 5
 
 
+@pytest.mark.parametrize("weak", [False, True])
+def test_repeated_windows_of_every_short_text(spark, weak):
+    """All texts over two words, also where all windows share one hash."""
+    texts = [" ".join(t) for n in range(9) for t in itertools.product("ab", repeat=n)]
+    df = make(spark, texts).withColumn("w", F.split("text", " "))
+    hashed = {"window_hash": lambda *w: F.lit(0).cast("long")} if weak else {}
+    for r in rule_ledger._repeated_windows(df, "w", "n", **hashed).collect():
+        assert r.n == brute_ledger(r.text)[4], r.text
+
+
 # 1 and 9 --------------------------------------------------------------------------------------
 
 
@@ -150,6 +162,25 @@ def test_packing_uses_every_id_once(seed):
         assert at == total if total is not None else at <= 1024 and (at == 1024 or at & (at - 1) == 0)
 
 
+def test_open_windows_are_bounded(monkeypatch):
+    """Rests that never fit each other: the open windows are closed beyond a bound, without padding."""
+    monkeypatch.setattr(packing, "MAX_OPEN", 50)
+    windows, held, most = collections.defaultdict(int), 0, 0
+
+    def lengths():
+        nonlocal held, most
+        for _ in range(2000):
+            held += 600
+            most = max(most, held)
+            yield 600
+
+    for _, _, n, w, _ in packing.pack_stream(lengths(), 1024):
+        windows[w] += n
+        held -= n
+    assert sum(windows.values()) == 2000 * 600 and held == 0 and most <= 600 * 60
+    assert all(x == 1024 or x & (x - 1) == 0 for x in windows.values()) and len(windows) < 1.2 * 2000 * 600 / 1024 + 50
+
+
 def test_sum_of_squares_rule():
     r, p = random.Random(3), packing.SumOfSquares(32)
     counts = np.zeros(33, dtype=int)
@@ -367,6 +398,11 @@ def test_pii_disguise_in_one_part(text, span, base):
     assert pii.redact(text) == text[: span[0]] + "[EMAIL]" + text[span[1] :]
 
 
+def test_pii_very_long_numbers():
+    zeros = "0" * 5000
+    assert pii.ips(f"{zeros}.1.1.1 {zeros}7.255.0.1 {'9' * 5000}.1.1.1") == [(0, 5006), (5007, 10016)]
+
+
 @pytest.mark.parametrize("rest", ["", " or use the dot com store"])
 def test_pii_bare_at_does_not_depend_on_other_text(rest):
     text = "write to john at example.com please" + rest
@@ -555,7 +591,7 @@ def test_multi_index_recall_and_odd_vectors(spark):
     odd = [(4000, None), (4020, [0.0] * 16), (4040, [float("nan")] * 16), (4060, [None] * 16), (4080, [1.0] * 3), (20, rows[20][1]), (4100, [float("inf")] * 16)]
     df = spark.createDataFrame([(*r, 1) for r in rows + odd], "vec_id long, embedding array<float>, score int")
     got = collections.defaultdict(list)
-    for r in multi_index.search(df, df.where("vec_id % 20 = 0"), share=0.2, at_least=200).collect():
+    for r in multi_index.search(df, df.where("vec_id % 20 = 0"), share=0.2).collect():
         got[r.query_id].append(r)
     v = np.array([r[1] for r in rows], dtype=np.float64)
     hit = 0
@@ -577,6 +613,21 @@ def test_multi_index_recall_and_odd_vectors(spark):
 def test_walk_is_in_falling_order():
     g = np.random.default_rng(10)
     a, b, counts = g.normal(size=7), g.normal(size=5), g.integers(0, 4, 35)
-    cells = multi_index.walk(a, b, counts, 10**9)
+    cells, _ = multi_index.walk(a, b, counts, 10**9)
     scores = [a[c // 5] + b[c % 5] for c in cells]
     assert scores == sorted(scores, reverse=True) and sorted(cells) == np.flatnonzero(counts).tolist()
+    some, least = multi_index.walk(a, b, counts, 20)
+    assert some == cells[: len(some)] and least == scores[len(some) - 1] and counts[some].sum() >= 20 > counts[some[:-1]].sum()
+
+
+def test_multi_index_recall_without_clusters(spark):
+    """As shipped, on vectors that no codebook fits."""
+    x = np.random.default_rng(12).normal(size=(4200, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = collections.defaultdict(set)
+    for r in multi_index.op8(df).collect():
+        got[r.query_id].add(r.vec_id)
+    s = x[::20].astype(np.float64) @ x.T.astype(np.float64)
+    s[np.arange(210), np.arange(0, 4200, 20)] = -np.inf
+    top = np.argsort(-s, axis=1)[:, :20]
+    assert sum(len(got[20 * i] & set(t.tolist())) for i, t in enumerate(top)) / 4200 >= 0.9
