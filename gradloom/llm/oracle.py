@@ -18,7 +18,7 @@ def _either_case(pattern: str) -> str:
     return "".join(part if part.startswith("[") or part.startswith("\\x") else re.sub("[a-z]", lambda m: f"[{m[0]}{m[0].upper()}]", part) for part in re.split(r"(\[[^\]]*\]|\\x[0-9a-fA-F]{2})", pattern[4:]))
 
 
-def secrets_sql(widely: int = 3) -> str:
+def secrets_sql(widely: int = secret_scan.WIDELY, copies: int = secret_scan.COPIES) -> str:
     found = []
     for rank, (kind, rx, group, least, _) in enumerate([*secret_scan.BASE, *secret_scan.EXTRA]):
         rx = q(_either_case(rx))
@@ -34,10 +34,10 @@ WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents), found
 per_doc AS (SELECT doc_id, count(CASE WHEN kind = 'assign' THEN 1 END) AS n_assign, count(CASE WHEN kind = 'access' THEN 1 END) AS n_access, count(CASE WHEN kind = 'hex' THEN 1 END) AS n_hex,
     coalesce(string_agg(CASE WHEN rank < {len(secret_scan.BASE)} THEN {span} END, ',' ORDER BY s, rank), '') AS base, string_agg({span}, ',' ORDER BY s, rank) AS spans FROM found GROUP BY doc_id),
 cands AS (SELECT DISTINCT doc_id, coalesce(source, chr(1)) AS owner, value, len(list_distinct(regexp_extract_all(value, '(?s).'))) >= 8 AND NOT regexp_matches(value, '(?i)example|changeme|placeholder|dummy|sample|your[_-]') AS random FROM found),
-owned AS (SELECT value, CASE WHEN count(DISTINCT owner) >= {widely} THEN 'example' WHEN count(DISTINCT owner) = 1 AND bool_or(random) THEN 'live' ELSE 'weak' END AS class FROM cands GROUP BY value),
-classes AS (SELECT doc_id, count(CASE WHEN class = 'live' THEN 1 END) AS n_live, count(CASE WHEN class = 'example' THEN 1 END) AS n_example, count(CASE WHEN class = 'weak' THEN 1 END) AS n_weak FROM cands JOIN owned USING (value) GROUP BY doc_id)
+owned AS (SELECT value, count(DISTINCT owner) AS owners, count(DISTINCT owner || chr(2) || coalesce(CAST(doc_id AS VARCHAR), '')) AS repos, CASE WHEN count(DISTINCT owner) >= {widely} OR count(DISTINCT owner) >= 2 AND count(DISTINCT owner || chr(2) || coalesce(CAST(doc_id AS VARCHAR), '')) >= {copies} THEN 'example' WHEN count(DISTINCT owner) = 1 AND bool_or(random) THEN 'live' ELSE 'weak' END AS class FROM cands GROUP BY value),
+classes AS (SELECT doc_id, count(CASE WHEN class = 'live' THEN 1 END) AS n_live, count(CASE WHEN class = 'example' THEN 1 END) AS n_example, count(CASE WHEN class = 'weak' THEN 1 END) AS n_weak, max(owners) AS most_owners, max(repos) AS most_repos FROM cands JOIN owned USING (value) GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
-    coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example, coalesce(n_weak, 0) AS n_weak
+    coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example, coalesce(n_weak, 0) AS n_weak, coalesce(most_owners, 0) AS most_owners, coalesce(most_repos, 0) AS most_repos
 FROM d LEFT JOIN per_doc p ON d.doc_id = p.doc_id LEFT JOIN classes c ON d.doc_id = c.doc_id
 """
 

@@ -1,9 +1,10 @@
 """Secret scan with corpus-wide ownership frequency (DataFrame functions only).
 
 Candidates are found in each whole text; their hashes are then aggregated over the corpus
-by distinct repositories and distinct owners. A value that many owners carry is a copied
-example (documentation keys, sample configs); a random-looking value that one owner alone
-carries is a credential that looks live.
+by distinct repositories and distinct owners. A value that many owners carry, or two in many
+repositories, is a copied example (documentation keys, sample configs); a random-looking value
+that one owner alone carries, in however many repositories, is a credential that looks live. Live
+values are masked by their spans, overlapping ones as one; equal text elsewhere stays.
 
 Defined results: null and empty texts have no candidates; rows that repeat a ``doc_id``
 count as one repository, and each of them gets the classes of all their candidates; a null
@@ -38,7 +39,9 @@ EXTRA = (
     ("pem", _PEM, 1, 0, _BEGIN),
 )
 _BLOCK = 64
-SPAN = "struct<start:bigint,rank:int,end:bigint,kind:string,value:string>"
+#: Owners that make an example; repositories that do for two owners.
+WIDELY, COPIES = 3, 10
+SPAN = "struct<start:bigint,rank:int,end:bigint,kind:string,value:string,at:bigint>"  # at: where the value starts
 
 
 def _with_spans(df: DataFrame, text: str, out: str, rank: int, spec: tuple) -> DataFrame:
@@ -63,7 +66,9 @@ def _with_spans(df: DataFrame, text: str, out: str, rank: int, spec: tuple) -> D
         block = F.floor(i / _BLOCK).cast("int")
         start = F.get(F.col(base), block) + F.aggregate(F.slice(F.col(steps), block * _BLOCK + 1, i % _BLOCK), zero, add) + F.length(F.get(F.col(g), i))
         value = F.regexp_extract(x, rx, group) if group else x
-        return F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + F.length(x)).alias("end"), F.lit(kind).alias("kind"), value.alias("value"))
+        # a block's body follows its BEGIN line, any other value ends its match
+        at = start + F.length(F.regexp_extract(x, guard, 0)) if kind == "pem" else start + F.length(x) - F.length(value)
+        return F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + F.length(x)).alias("end"), F.lit(kind).alias("kind"), value.alias("value"), at.cast("long").alias("at"))
 
     # size(base) keeps the optimizer from folding the running sums into the lambda
     found = F.when(F.size(base) > 0, F.filter(F.transform(m, span), lambda s: F.length(s["value"]) >= least))
@@ -92,7 +97,7 @@ def looks_random(value: Column) -> Column:
     return (distinct >= 8) & ~value.rlike("(?i)example|changeme|placeholder|dummy|sample|your[_-]")
 
 
-def ownership(cands: DataFrame, owner: str, repo: str, widely: int = 3) -> DataFrame:
+def ownership(cands: DataFrame, owner: str, repo: str, widely: int = WIDELY, copies: int = COPIES) -> DataFrame:
     """One row for each hash: ``n_owners``, ``n_repos`` and its ``secret_class``.
 
     ``cands`` has a row for each (hash, owner, repo) with ``random``; every step aggregates
@@ -101,7 +106,8 @@ def ownership(cands: DataFrame, owner: str, repo: str, widely: int = 3) -> DataF
     per_repo = cands.groupBy("hash", owner, repo).agg(F.max("random").alias("random"))
     per_owner = per_repo.groupBy("hash", owner).agg(F.count(F.lit(1)).alias("n_repos"), F.max("random").alias("random"))
     per_hash = per_owner.groupBy("hash").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("n_repos").alias("n_repos"), F.max("random").alias("random"))
-    kind = F.when(F.col("n_owners") >= widely, "example").when((F.col("n_owners") == 1) & F.col("random"), "live").otherwise("weak")
+    many = (F.col("n_owners") >= widely) | (F.col("n_owners") >= 2) & (F.col("n_repos") >= copies)
+    kind = F.when(many, "example").when((F.col("n_owners") == 1) & F.col("random"), "live").otherwise("weak")
     return per_hash.select("hash", "n_owners", "n_repos", kind.alias("secret_class"))
 
 
@@ -111,7 +117,7 @@ def _candidates(found: DataFrame, key: str, owner: str, repo: str) -> DataFrame:
     return s.select("key", "owner", "repo", F.col("s.value").alias("value"), F.sha2("s.value", 256).alias("hash"), looks_random(F.col("s.value")).alias("random")).distinct()
 
 
-def classify(docs: DataFrame, key: str = "doc_id", text_col: str = "text", owner: str = "source", repo: str = "doc_id", widely: int = 3) -> tuple[DataFrame, DataFrame]:
+def classify(docs: DataFrame, key: str = "doc_id", text_col: str = "text", owner: str = "source", repo: str = "doc_id", widely: int = WIDELY) -> tuple[DataFrame, DataFrame]:
     """(key and spans of every row, class of every distinct value of every key).
 
     The texts are read once: the spans go to the shared folder, and the corpus counts and
@@ -123,35 +129,50 @@ def classify(docs: DataFrame, key: str = "doc_id", text_col: str = "text", owner
     return found, cands.join(owned, "hash").select("key", "hash", "value", "n_owners", "n_repos", "secret_class")
 
 
-def mask_live(docs: DataFrame, key: str = "doc_id", text_col: str = "text", owner: str = "source", repo: str = "doc_id", widely: int = 3, mask: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every live-looking value replaced in the text; nothing else changes.
+def mask_live(docs: DataFrame, key: str = "doc_id", text_col: str = "text", owner: str = "source", repo: str = "doc_id", widely: int = WIDELY, mask: str = "[SECRET]") -> DataFrame:
+    """``docs`` with every live-looking value's spans replaced in the text; nothing else changes.
 
-    Only documents that hold such a value are joined, by key; all others pass unshuffled. Longer
-    values go first, as a key block may hold another value.
+    Only documents that hold such a value are joined, by key; all others pass unshuffled.
     """
     _, classes = classify(docs, key, text_col, owner, repo, widely)
-    values, flag, k = fresh(docs, "__live", "__has", "__key")
-    live = cut(classes.where("secret_class = 'live'").groupBy(F.col("key").alias(k)).agg(F.sort_array(F.collect_set(F.struct(F.length("value"), "value")), asc=False)["value"].alias(values)), "live")
+    values, flag, k, spans, text = fresh(docs, "__live", "__has", "__key", "__spans", "__text")
+    live = cut(classes.where("secret_class = 'live'").groupBy(F.col("key").alias(k)).agg(F.collect_set("value").alias(values)), "live")
     any_kind = F.lit(False)
     for _, rx, _, _, guard in [*BASE, *EXTRA]:
         any_kind = any_kind | F.col(text_col).rlike(guard or rx)
     flagged = docs.withColumn(flag, F.coalesce(any_kind, F.lit(False)))
     rest = flagged.where(~F.col(flag)).drop(flag)
     hit = flagged.where(flag).drop(flag).join(live, F.col(key).eqNullSafe(F.col(k)), "left")
-    text = F.aggregate(F.coalesce(F.col(values), F.array().cast("array<string>")), F.col(text_col), lambda t, v: F.replace(t, v, F.lit(mask)))
-    return rest.unionByName(hit.withColumn(text_col, text).drop(values, k))
+    hit = find(hit.withColumn(text, F.when(F.col(values).isNotNull(), F.col(text_col))), text, spans)
+    mine = F.array_sort(F.transform(F.filter(spans, lambda s: F.array_contains(F.col(values), s["value"])), lambda s: F.struct(s["at"].alias("at"), (s["at"] + F.length(s["value"])).alias("end"))))
+    masked = F.when(F.size(mine) > 0, without(F.col(text_col), mine, mask)).otherwise(F.col(text_col))
+    return rest.unionByName(hit.withColumn(text_col, masked).drop(values, k, spans, text))
+
+
+def without(text: Column, spans: Column, mask: str) -> Column:
+    """The text with its ``spans`` (at, end; sorted) replaced; those that overlap or touch are one."""
+    begin = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("upto"))
+
+    def step(state: Column, s: Column) -> Column:
+        gap = F.substring(text, (state["upto"] + 1).cast("int"), (s["at"] - state["upto"]).cast("int"))
+        more = F.when((s["at"] <= state["upto"]) & (state["upto"] > 0), F.lit("")).otherwise(F.concat(gap, F.lit(mask)))
+        return F.struct(F.concat(state["out"], more).alias("out"), F.greatest(state["upto"], s["end"]).alias("upto"))
+
+    return F.aggregate(spans, begin, step, lambda state: F.concat(state["out"], F.substring(text, (state["upto"] + 1).cast("int"), F.length(text))))
 
 
 def op6(docs: DataFrame) -> DataFrame:
-    """The contract of ``op6_secret_ownership``."""
+    """The contract of ``op6_secret_ownership``, with the number of values of each class and the most
+    owners and repositories that any of the document's values has."""
     found, classes = classify(docs.select("doc_id", "source", "text"))
     of = lambda name: F.coalesce(F.sum((F.col("secret_class") == name).cast("long")), F.lit(0)).alias(f"n_{name}")
-    per_doc = cut(classes.groupBy(F.col("key").alias("k")).agg(of("live"), of("example"), of("weak")), "per-doc")
+    most = lambda name: F.max(name).alias(f"most_{name[2:]}")
+    per_doc = cut(classes.groupBy(F.col("key").alias("k")).agg(of("live"), of("example"), of("weak"), most("n_owners"), most("n_repos")), "per-doc")
     joined = found.join(per_doc, F.col("key").eqNullSafe(F.col("k")), "left")
     n = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     base = F.filter("spans", lambda s: s["rank"] < len(BASE))
     return joined.select(
         F.col("key").alias("doc_id"), n("assign"), n("access"), n("hex"), F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"),
-        *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("n_live", "n_example", "n_weak")],
+        *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("n_live", "n_example", "n_weak", "most_owners", "most_repos")],
     )
