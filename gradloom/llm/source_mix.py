@@ -193,38 +193,35 @@ def _thresholds(sized: DataFrame, patterns: list[tuple], borders: list[tuple[int
     return {r["border"]: r["h"] if r["h"] is not None else (r["bucket"] << _BITS) - 1 for r in best.collect()}
 
 
-def _uses(plan: Plan, pattern: Column, h: Column) -> Column:
-    """How often a document is used: an expression over its pattern's last border."""
+def _with_uses(df: DataFrame, plan: Plan, pattern: Column, h: Column, uses: str) -> DataFrame:
+    """``df`` with how often a document is used, by its pattern's last border; a pattern is a row of a
+    small table (at most ``MAX_PATTERNS``), and every row of ``df`` stays."""
     last: dict[int, tuple[int, int]] = {}
     for p, _, whole, cut_ in plan.rows:
         last[p] = max(last.get(p, (0, -1)), (whole, cut_))
-    table = F.create_map(*[x for p, (whole, cut_) in last.items() for x in (_key(plan.patterns[p]), F.struct(F.lit(whole).alias("whole"), F.lit(cut_).cast("long").alias("cut")))]) if last else None
-    if table is None:
-        return F.lit(0).cast("long")
-    own = F.try_element_at(table, _null_safe(pattern))
-    return F.coalesce(own["whole"] + (h <= own["cut"]).cast("int"), F.lit(0)).cast("long")
-
-
-def _key(pattern: tuple) -> Column:
-    """The key of a known pattern, written by Spark as those of the rows are."""
-    return _null_safe(F.array(*[F.lit(s).cast("string") for s in pattern]).cast("array<string>"))
+    pj, whole, cut_at = fresh(df, "__pj", "__whole", "__cut")
+    rows = _pattern_rows(df, plan.patterns).select("pid", _null_safe(F.col("pattern")).alias(pj))
+    ends = df.sparkSession.createDataFrame([(p, *x) for p, x in last.items()], f"pid int, {whole} long, {cut_at} long")
+    joined = df.withColumn(pj, _null_safe(pattern)).join(F.broadcast(rows.join(ends, "pid").drop("pid")), pj, "left")
+    n = F.coalesce(F.col(whole) + (h <= F.col(cut_at)).cast("int"), F.lit(0)).cast("long")
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], n.alias(uses))
 
 
 def mix(docs: DataFrame, key: str = "doc_id", size: Column | None = None, sources: Column | None = None, seed: int = 7, weight=lambda i: 1 + i % 3) -> tuple[DataFrame, Plan]:
-    """(key, size, pattern, uses of every row; the plan)."""
+    """(key, size, pattern, uses of every row; the plan). The plan is made when this is called."""
     size = n_words(F.col("text")) if size is None else size
     sources = F.array("source") if sources is None else sources
     sized = cut(_sized(docs, key, size, sources, seed), "sized")
     plan = make_plan(sized, weight)
-    return sized.select("key", "size", "pattern", _uses(plan, F.col("pattern"), F.col("h")).alias("uses")), plan
+    return _with_uses(sized, plan, F.col("pattern"), F.col("h"), "uses").select("key", "size", "pattern", "uses"), plan
 
 
 def select(docs: DataFrame, key: str = "doc_id", text_col: str = "text", source: str = "source", seed: int = 7) -> DataFrame:
     """The mixed corpus: each row of ``docs`` as often as the mix uses it."""
     _, plan = mix(docs, key, n_words(F.col(text_col)), F.array(F.col(source)), seed)
-    (copy,) = fresh(docs, "__copy")
-    uses = _uses(plan, F.array(F.col(source).cast("string")), _hash(key, seed))
-    return docs.withColumn(copy, F.explode(F.when(uses > 0, F.sequence(F.lit(1).cast("long"), uses)).otherwise(F.array().cast("array<bigint>")))).drop(copy)
+    copy, uses = fresh(docs, "__copy", "__uses")
+    used = _with_uses(docs, plan, F.array(F.col(f"`{source}`").cast("string")), _hash(key, seed), uses).where(F.col(uses) > 0)
+    return used.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(uses)))).drop(copy, uses)
 
 
 def op7(docs: DataFrame) -> DataFrame:
