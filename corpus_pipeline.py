@@ -3,6 +3,12 @@
 Each stage takes ``(spark, docs, sf_dir)``, where ``docs`` is what the stage before it kept,
 and returns a DataFrame, which is written as Parquet and read again as the next one's
 ``docs``. All but the last return the columns of ``documents``.
+
+Defined results: a null or empty text fails the first stage's rules and goes; rows that repeat
+an id and a text are one document after the second stage, rows that repeat an id with different
+texts stay apart; a null source is a source of its own; of equal documents the one with the least
+id stays; an empty table gives an empty result; columns that ``documents`` has besides its own pass
+through all stages but the last, whatever their names.
 """
 
 from __future__ import annotations

@@ -56,14 +56,14 @@ def parents(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> tuple[Column,
     return domain, suffix
 
 
-def outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
+def outcomes(pages: DataFrame, labels: DataFrame, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """``host, domain, suffix, n, k``: labelled pages and bad ones of each host.
 
     ``pages`` has page_id and host; ``labels`` has doc_id (the page), quality and toxic.
     """
     bad = labels.groupBy(F.col("doc_id").alias("page_id")).agg(F.max(((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("long")).alias("bad"))
     per_host = pages.join(bad, "page_id", "left").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("k"))
-    domain, suffix = parents(F.col("host"))
+    domain, suffix = parents(F.col("host"), suffixes)
     return per_host.select("host", domain.alias("domain"), suffix.alias("suffix"), "n", "k")
 
 
@@ -121,11 +121,13 @@ def reputation(stats: DataFrame, z: float = 1.64, block_above: float = 0.5) -> D
     return h.select("host", "n", "k", rate.alias("bad_rate"), bad_low.alias("bad_low"), F.when(bad_low > block_above, "block").otherwise("allow").alias("verdict"))
 
 
-def judge(pages: DataFrame, labels: DataFrame, url_col: str = "url", rules=RULES, z: float = 1.64, block_above: float = 0.5) -> DataFrame:
-    """``page_id, host, path, rule, verdict`` and the host's labelled outcomes, for every row of ``pages``."""
+def judge(pages: DataFrame, labels: DataFrame, url_col: str = "url", rules=RULES, z: float = 1.64, block_above: float = 0.5, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
+    """``page_id, host, path, rule, verdict`` and the host's labelled outcomes, for every row of ``pages``.
+
+    ``suffixes`` are those of two labels under which names are registered. The priors are fitted when this is called."""
     host, path = split_url(F.col(url_col))
     split = pages.select("page_id", host.alias("host"), path.alias("path"))
-    known = cut(reputation(outcomes(split, labels), z, block_above).select("host", "n", "k", F.col("verdict").alias("by_host")), "reputation")
+    known = cut(reputation(outcomes(split, labels, suffixes), z, block_above).select("host", "n", "k", F.col("verdict").alias("by_host")), "reputation")
     rule = _matching(F.col("host"), F.col("path"), rules, lambda r, v: r)
     ruled = _matching(F.col("host"), F.col("path"), rules, lambda r, v: v)
     return split.join(known, "host", "left").select(

@@ -476,6 +476,19 @@ def test_ownership_separates_examples_from_live(spark):
     assert secret_scan.op6(docs.limit(0)).count() == 0
 
 
+def test_masks_follow_spans_and_repositories_count(spark):
+    live, twice = "k9Qz7Lm2Xw8RtB4v", "Zz81kQpL0mWx77Tb"
+    texts = [f"é token=X{live} then token: {live}; {live} stays", f'password="{live}"', *([f"secret={twice}"] * 12), "none"]
+    docs = make(spark, texts, ["a", "a", *["b", "c"] * 6, "a"])
+    got = {r.doc_id: r.text for r in secret_scan.mask_live(docs).collect()}
+    assert got[0] == f"é token=[SECRET] then token: [SECRET]; {live} stays" and got[1] == 'password="[SECRET]"'
+    assert got[2] == texts[2] and len(got) == len(texts)  # two owners, twelve repositories: an example
+    row = {r.doc_id: r for r in secret_scan.op6(docs).collect()}
+    assert (row[2].n_example, row[2].most_owners, row[2].most_repos) == (1, 2, 12) and (row[0].n_live, row[1].most_repos, row[14].most_owners) == (2, 2, 0)
+    spans = spark.createDataFrame([("abcdefghij", [(0, 2), (1, 3), (3, 4), (8, 10)])], "t string, s array<struct<at:bigint,end:bigint>>")
+    assert spans.select(secret_scan.without(F.col("t"), F.col("s"), "#")).first()[0] == "#efgh#"
+
+
 def test_private_keys_are_owned_and_masked_by_their_body(spark):
     def body(seed):
         r = random.Random(seed)

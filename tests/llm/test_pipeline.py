@@ -31,3 +31,19 @@ def test_stages(spark, tmp_path):
     pieces = kept[4].collect()
     assert {x.doc_id for x in pieces} == {x.doc_id for x in kept[3].collect()}
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(pieces)
+
+
+def test_odd_tables(spark, tmp_path):
+    """Empty tables, repeated rows, null ids and sources, columns with names that operators use."""
+    import corpus_pipeline
+
+    rows = [(1, prose(80, 1), "en", None, 7), (1, prose(80, 1), "en", None, 7), (None, prose(80, 2), None, "a", None), (3, None, "en", "a", 0), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 AS node", "'x' AS uses", "2 AS failed", "3 AS __key")
+    for some in (docs, docs.limit(0)):
+        out = some
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, out, str(tmp_path))
+            assert out.columns == docs.columns
+        assert {(x.doc_id, x.node, x.uses, x.failed) for x in out.collect()} <= {(1, 1, "x", 2), (None, 1, "x", 2)}
+        pieces = corpus_pipeline.STAGES[-1][1](spark, out, str(tmp_path)).collect()
+        assert {x.doc_id for x in pieces} == {x.doc_id for x in out.collect()}
