@@ -26,26 +26,37 @@ from pyspark.sql import functions as F
 
 from gradloom.workers import ship
 
+#: Comments, declarations and tags. A quote opens a value only after an equals sign; elsewhere it is a character.
 _MARKUP = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*)(?:>|\Z)""", re.S
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+|))*+)(?:>|\Z)""", re.S
 )
-_ATTR = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|style|aria-hidden|aria-label)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""", re.I)
+_ATTR = re.compile(r"""([^\s=/>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+_NAMING = frozenset("class id role aria-label".split())
 _TOKEN = re.compile(r"[a-z0-9]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is not markup.
-RAW = frozenset("script style title textarea noscript template iframe svg math object xmp noembed noframes canvas".split())
+RAW = frozenset("script style title textarea noscript template iframe svg object xmp noembed noframes canvas".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 #: Boilerplate by kind.
-DROP = frozenset("head nav footer aside form button select option input label fieldset dialog menu audio video map datalist output progress meter".split()) | RAW
-#: Boilerplate by a word of the class, id or role.
+DROP = frozenset("head nav footer aside form button select option input dialog menu audio video map datalist output progress meter".split()) | RAW
+#: Boilerplate by name: a class, id or role that is one of these words, or a compound of such a word and of ``PARTS``.
 NAMES = frozenset(
     """ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored sponsors promo promos promotion banner banners sidebar sidebars rail menu menus nav
     navbar navigation breadcrumb breadcrumbs footer footnav cookie cookies consent gdpr notice notices notification alert alerts popup modal overlay toast subscribe subscription
     newsletter signup signin login register share sharing sharebar social related recommended recommendations trending popular comment comments commentlist disqus respond reply
     replies discussion reactions widget widgets pagination pager toolbar masthead copyright legal disclaimer search searchbox skip contentinfo complementary""".split()
 )
+#: Words that say where or of what kind a named box is, and nothing of its topic.
+PARTS = frozenset(
+    """area aside bar block body bottom box btn button buttons card center col column container content fixed floating form global group header holder icon icons inner item items label
+    left link links list main message module more outer page panel policy primary right row secondary section site slot small sticky tab text thread title top unit wrap wrapper
+    follow us me to by the a on of in""".split()
+)
+#: Of these, words that also name what running text is about: they drop boxes, not paragraphs.
+TOPICAL = frozenset("legal popular social search alert alerts notice notices reply replies discussion reactions trending recommended related copyright disclaimer promotion share sharing register subscription consent".split())
+RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption table tr td th li dl dt dd span em strong b i a q code".split())
 #: Boilerplate only outside an article: the page's header and not the article's.
 OUTER = frozenset("header topbar".split())
 #: An opening tag closes these, up to the given boundary.
@@ -136,9 +147,10 @@ class _Tree:
 
 
 def _attributes(attrs: str) -> tuple[frozenset[str], bool]:
+    """(names that the element goes by, whether it is hidden); a name is a whole class, id or role."""
     if not attrs or attrs.isspace():
         return frozenset(), False
-    words: set[str] = set()
+    names: set[str] = set()
     hidden = False
     for m in _ATTR.finditer(attrs):
         key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
@@ -148,29 +160,25 @@ def _attributes(attrs: str) -> tuple[frozenset[str], bool]:
             hidden |= value == "true"
         elif key == "style":
             hidden |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value))
-        else:
-            words.update(_TOKEN.findall(value))
-    return frozenset(words), hidden
+        elif key in _NAMING:
+            names.update(value.split())
+    return frozenset(names), hidden
 
 
-def main_text(source: str | None) -> str:
-    """The article's blocks, joined by line feeds."""
-    if not source:
-        return ""
-    t = _Tree(source)
+def _named(names: frozenset[str], words: frozenset[str]) -> frozenset[str]:
+    """The words that name an element: those of a name all of whose words are known."""
+    out: set[str] = set()
+    for name in names:
+        tokens = set(_TOKEN.findall(name))
+        hit = tokens & words
+        if hit and all(t in words or t in PARTS or t.isdigit() for t in tokens):
+            out |= hit
+    return frozenset(out)
+
+
+def densities(t: _Tree, drop: list[bool]) -> tuple[list[int], list[int], list[float], list[float]]:
+    """Of every node: characters, those in links, composite density, and the sum of its children's densities."""
     n = len(t.name)
-    # what holds an article, a main element or a heading is no boilerplate by its name alone
-    holds = [x in ("article", "main", "h1") for x in t.name]
-    for k in range(n - 1, 0, -1):
-        if holds[k]:
-            holds[t.parent[k]] = True
-    inside, drop = [False] * n, [False] * n
-    for k in range(1, n):
-        up, name = t.parent[k], t.name[k]
-        inside[k] = inside[up] or name in ("article", "main")
-        by_name = bool(t.tokens[k] & NAMES) and name not in ("html", "body", "main") and (not holds[k] or name == "article" and inside[up])
-        outer = not inside[up] and (name in OUTER or bool(t.tokens[k] & OUTER)) and name not in ("html", "body", "main", "article")
-        drop[k] = drop[up] or t.hidden[k] or name in DROP or by_name or outer
     chars, links, tags, link_tags, in_link = [0] * n, [0] * n, [0] * n, [0] * n, [False] * n
     for k in range(1, n):
         in_link[k] = in_link[t.parent[k]] or t.name[k] == "a"
@@ -187,9 +195,7 @@ def main_text(source: str | None) -> str:
             links[up] += links[k]
             tags[up] += tags[k] + 1
             link_tags[up] += link_tags[k] + (t.name[k] == "a")
-    if not chars[0]:
-        return ""
-    share = links[0] / chars[0]
+    share = links[0] / chars[0] if chars[0] else 0.0
 
     def density(k: int) -> float:
         c, lc, tg, lt = chars[k], links[k], max(tags[k], 1), max(link_tags[k], 1)
@@ -205,6 +211,31 @@ def main_text(source: str | None) -> str:
     sums = [0.0] * n
     for k in range(n - 1, 0, -1):
         sums[t.parent[k]] += own[k]
+    return chars, links, own, sums
+
+
+def main_text(source: str | None) -> str:
+    """The article's blocks, joined by line feeds."""
+    if not source:
+        return ""
+    t = _Tree(source)
+    n = len(t.name)
+    # what holds an article, a main element or a heading is no boilerplate by its name alone
+    holds = [x in ("article", "main", "h1") for x in t.name]
+    for k in range(n - 1, 0, -1):
+        if holds[k]:
+            holds[t.parent[k]] = True
+    inside, drop = [False] * n, [False] * n
+    for k in range(1, n):
+        up, name = t.parent[k], t.name[k]
+        inside[k] = inside[up] or name in ("article", "main")
+        named = _named(t.tokens[k], NAMES)
+        by_name = bool(named - TOPICAL if name in RUNNING else named) and name not in ("html", "body", "main") and (not holds[k] or name == "article" and inside[up])
+        outer = not inside[up] and (name in OUTER or bool(_named(t.tokens[k], OUTER))) and name not in ("html", "body", "main", "article")
+        drop[k] = drop[up] or t.hidden[k] or name in DROP or by_name or outer
+    chars, links, own, sums = densities(t, drop)
+    if not chars[0]:
+        return ""
     body = next((k for k in range(n) if t.name[k] == "body" and not drop[k]), 0)
     densest = max((k for k in range(n) if not drop[k]), key=lambda k: (sums[k], -k))
     threshold, k = own[densest], densest
@@ -220,6 +251,7 @@ def main_text(source: str | None) -> str:
             best = k
         k = t.parent[k]
     if t.name[best] not in ("article", "main"):
+        lowest = best
         while best > 0 and best != body and t.parent[best] > 0 and t.name[best] not in ("body", "html"):
             up = t.parent[best]
             if t.name[up] in ("body", "html") and sums[up] - own[best] < threshold:
@@ -227,6 +259,8 @@ def main_text(source: str | None) -> str:
             if not any(t.parent[j] == up and j != best and own[j] >= threshold and chars[j] and 2 * links[j] < chars[j] for j in range(up + 1, n)):
                 break
             best = up
+        for j in range(best + 1, n) if best != lowest else ():  # what came along beside the dense parts and is mostly links
+            drop[j] = drop[j] or drop[t.parent[j]] and j > best or t.parent[j] == best and t.name[j] in BLOCK and t.name[j] != "p" and bool(chars[j]) and 2 * links[j] >= chars[j]
     out: list[str] = []
     parts: list[str] = []
     for k, text in t.events[t.first[best] : t.last[best]]:

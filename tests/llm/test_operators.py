@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -435,6 +436,69 @@ def test_main_text(html, want):
     assert text_density.main_text(html) == want
 
 
+LONG_P = "<p>" + "This is running text of an article that goes on for a while. " * 6 + "</p>"
+
+
+@pytest.mark.parametrize(("part", "kept"), [
+    ("<p class='social-history'>History of the social.</p>", True), ("<div class='share-prices'><p>Prices of shares fell.</p></div>", True), ("<p id='search-for-life'>Life is searched for.</p>", True),
+    ("<p class='legal'>What is legal here.</p>", True), ("<p class='popular'>What is popular.</p>", True), ("<p title=don't>It isn't lost</p>", True), ("<p>Area <math><mi>pi</mi><mo>r</mo></math></p>", True),
+    ("<fieldset><label>Named label</label></fieldset>", True), ("<p data-x=\"see class=ad here\">Quoted names are values.</p>", True), ("<div class='ad-box'>Buy this now</div>", False),
+    ("<div class='cookie-banner'>We use cookies</div>", False), ("<div class='share-buttons'>Share me</div>", False), ("<section id='comments'>First! <p>A reader's comment.</p></section>", False), ("<form><label>Mail</label></form>", False),
+])
+def test_names_drop_boxes_and_not_topics(part, kept):
+    text = text_density.main_text(f"<html><body><article><h1>Head</h1>{LONG_P}{part}{LONG_P}</article></body></html>")
+    words = re.sub(r"<[^>]*>", "", part).split()[-1]
+    assert (words in text.split("\n")[2] if kept else len(text.split("\n")) == 3) and text.startswith("Head\nThis is")
+
+
+def test_links_beside_posts_are_left():
+    posts = "".join(f"<div><h2>Post {i}</h2>{LONG_P}{LONG_P}</div>" for i in range(2))
+    links = "<ul>" + "".join(f"<li><a href='/{i}'>Other page number {i}</a></li>" for i in range(8)) + "</ul>"
+    text = text_density.main_text(f"<html><body><div id='x'>{posts}{links}</div></body></html>")
+    assert "Post 0" in text and "Post 1" in text and "Other page" not in text
+
+
+def brute_density(node, share, inside=False):
+    """(characters, in links, tags, link tags, [densities below in order of opening]) of a nested (name, children) tree."""
+    name, children = node
+    inside = inside or name == "a"
+    chars = links = tags = link_tags = 0
+    below, direct = [], 0.0
+    for c in children:
+        if isinstance(c, str):
+            chars += len(c)
+            continue
+        c_chars, c_links, c_tags, c_link_tags, c_rows = brute_density(c, share, inside)
+        chars, tags, link_tags = chars + c_chars, tags + c_tags + 1, link_tags + c_link_tags + (c[0] == "a")
+        links += c_links
+        direct += c_rows[0][0]
+        below += c_rows
+    links = chars if inside else links
+    own = 0.0
+    if chars:
+        own = chars / max(tags, 1)
+        if share:
+            base = math.log(chars / max(chars - links, 1) * links + share * chars + math.e)
+            own *= math.log(chars / max(links, 1) * max(tags, 1) / max(link_tags, 1) + 1e-9) / math.log(base) if base > 1.0001 else math.log(chars * max(tags, 1) + 1)
+    return chars, links, tags, link_tags, [(own, direct), *below]
+
+
+def test_densities_against_brute_force():
+    r = random.Random(6)
+
+    def tree(depth):
+        return r.choice(["div", "section", "span", "a" if depth < 2 else "b"]), [r.choice(["x" * r.randint(1, 40), tree(depth - 1)]) if depth else "y" * r.randint(1, 40) for _ in range(r.randint(0, 4))]
+
+    write = lambda x: x if isinstance(x, str) else f"<{x[0]}>{''.join(map(write, x[1]))}</{x[0]}>"
+    for _ in range(200):
+        root = ("html", [("body", [tree(4), tree(3)])])
+        chars, links, *_ = brute_density(root, 0.0)
+        t = text_density._Tree(write(root[1][0]))
+        _, _, own, sums = text_density.densities(t, [False] * len(t.name))
+        if chars:
+            assert np.allclose([x for x, _ in brute_density(root, links / chars)[4]], own) and np.allclose([x for _, x in brute_density(root, links / chars)[4]], sums)
+
+
 def test_main_text_query(spark):
     pages = spark.createDataFrame([(1, "u", f"<article>{P}</article>", "x"), (2, None, None, "y"), (2, None, None, "y")], "page_id long, url string, html string, text string")
     rows = sorted(text_density.op5(pages).collect(), key=lambda r: r.page_id)
