@@ -52,21 +52,19 @@ def first_match(text: Column, choices: dict[str, Sequence[str]], default: str) -
 
 
 def best_of(scores: dict[str, Column]) -> Column:
-    """The name of the largest score, the earliest of equals."""
-    top, out = F.greatest(*scores.values()), None
-    for name, s in scores.items():
-        out = F.when(s == top, name) if out is None else out.when(s == top, name)
-    return out
+    """The name of the largest score, the earliest of equals; every score is computed once."""
+    return F.array_max(F.array(*[F.struct(s.alias("score"), F.lit(-i).alias("order"), F.lit(name).alias("name")) for i, (name, s) in enumerate(scores.items())]))["name"]
 
 
 def bloom_level(text: Column) -> Column:
     """Whole-word counts weighted 6 to 1 by level; without any word, understand."""
     low = F.lower(text)
-    scores = {level: F.regexp_count(low, F.lit(r"\b(?:" + "|".join(words) + r")\b")) * (len(BLOOM) - i) for i, (level, words) in enumerate(_without_overlap().items())}
-    for level, extra in _overlapping().items():
-        for w in extra:
-            scores[level] = scores[level] + F.regexp_count(low, F.lit(rf"\b{w}\b")) * (len(BLOOM) - list(BLOOM).index(level))
-    return F.when(F.greatest(*scores.values()) == 0, "understand").otherwise(best_of(scores))
+    apart = _overlapping()
+    count = lambda words: F.regexp_count(low, F.lit(r"\b(?:" + "|".join(words) + r")\b"))
+    scores = {level: sum((count([w]) for w in apart[level]), count(words)) * (len(BLOOM) - i) for i, (level, words) in enumerate(_without_overlap().items())}
+    listed = [("understand", F.lit(0)), *scores.items()]  # of equals the first, which is the default where no word was found
+    best = F.array_max(F.array(*[F.struct(s.alias("score"), F.lit(-i).alias("order"), F.lit(level).alias("level")) for i, (level, s) in enumerate(listed)]))
+    return F.when(text.isNotNull(), best["level"])
 
 
 def _overlapping() -> dict[str, list[str]]:
@@ -89,7 +87,7 @@ def difficulty(text: Column, marks: Column) -> Column:
     score["easy"] = score["easy"] + bump((m != 0) & (m <= 2), 2) + bump(n < 20, 1)
     score["medium"] = score["medium"] + bump((m > 2) & (m <= 5), 2) + bump(text.rlike(r"\([a-z]\)") | text.rlike(r"[ivx]+\)"), 1)
     score["hard"] = score["hard"] + bump(m > 5, 2) + bump(n > 50, 1)
-    return best_of(score)
+    return F.when(text.isNotNull(), best_of(score))
 
 
 def question_type(text: Column, rich: bool = False) -> Column:

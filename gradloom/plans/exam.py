@@ -14,11 +14,11 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 _VERB = "CASE l_linenumber " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(("Explain", "Define", "Analyze", "Design", "Compare", "Evaluate", "Calculate"), 1)) + " ELSE 'Discuss' END"
 
 VIEWS = {
-    # question occurrences: one row for each line item
+    # question occurrences: one row for each line item; a subject's topics appear in one to seven years, so all tiers occur
     "questions": f"""
 SELECT l_orderkey AS paper_id, l_linenumber AS question_no, l_partkey AS topic_id, l_suppkey AS supplier_id, l_suppkey % 10 AS subject_id,
     CAST(p_size % 5 + 1 AS INT) AS module_number, CASE WHEN l_linestatus = 'F' THEN 'A' ELSE 'B' END AS part, CAST(l_quantity AS INT) AS marks,
-    CAST(year(o_orderdate) AS STRING) AS exam_year, o_orderpriority AS exam_type, o_orderstatus AS paper_status, p_name AS topic_name,
+    CAST(year(o_orderdate) AS STRING) AS exam_year, o_orderpriority AS exam_type, o_orderstatus AS paper_status, p_name || ' ' || CAST(l_partkey AS STRING) AS topic_name,
     {_VERB} || ' the ' || p_name || ' (' || CAST(CAST(l_quantity AS INT) AS STRING) || ' marks)' AS qtext
 FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey""",
     "papers": """

@@ -49,7 +49,7 @@ def _echo(prompt: str) -> str:
 
 
 def _asked(t: Tables):
-    rows = t.qlines.where("form = 1").select("topic_id", "line")
+    rows = t.qlines.select("topic_id", "line")
     answers = plugins.ask(rows, "topic_id", "line", [("echo", _echo)], tries=1)
     return answers.select("topic_id", F.regexp_extract("answer", r"(\d+)", 1).try_cast("int").alias("module_number"), "model")
 
@@ -82,7 +82,7 @@ QUERIES = {
         lambda t: Q._stage1(t).select("topic_id", "form", F.coalesce(F.when(F.col("topic_id") % 4 == 0, 2), F.col("module_number"), F.when(F.col("form") == 5, 5)).alias("module_number")),
         f"SELECT topic_id, form, coalesce(CASE WHEN topic_id % 4 = 0 THEN 2 END, CASE WHEN {Q._TOP1} >= 1 THEN {D.case([(f'{s} = {Q._TOP1}', str(i)) for i, s in enumerate(Q._S1, 1)], 'NULL')} END, CASE WHEN form = 5 THEN 5 END) AS module_number FROM qlines",
     ),
-    "c06_model_module": (_asked, "SELECT topic_id, CAST(length(line) % 5 + 1 AS INT) AS module_number, 'echo' AS model FROM qlines WHERE form = 1"),
+    "c06_model_module": (_asked, "SELECT topic_id, CAST(length(line) % 5 + 1 AS INT) AS module_number, 'echo' AS model FROM qlines"),
     "c08_number_map": (
         lambda t: t.questions.select(*_KEY, F.try_element_at(F.create_map(*[x for n in range(1, 21) for x in (F.lit(n), F.lit((n - 1) % 10 // 2 + 1))]), F.col("marks")).alias("module_map"), F.when(F.col("marks") <= 10, 3).otherwise(14).alias("default_marks")),
         f"SELECT {_K}, CASE WHEN marks BETWEEN 1 AND 20 THEN (marks - 1) % 10 // 2 + 1 END AS module_map, CASE WHEN marks <= 10 THEN 3 ELSE 14 END AS default_marks FROM questions",
@@ -129,16 +129,16 @@ QUERIES = {
         f"WITH {Q.TOPICS} SELECT s.subject_id, l.tier_label, count(t.topic_name) AS count FROM (SELECT DISTINCT subject_id FROM topics) s CROSS JOIN (SELECT unnest(['Top Priority', 'High Priority', 'Medium Priority', 'Low Priority']) AS tier_label) l LEFT JOIN topics t ON t.subject_id = s.subject_id AND {Q.LABEL.format('t.priority_tier')} = l.tier_label GROUP BY 1, 2",
     ),
     "a18_module_tiers": (
-        lambda t: A.tier_counts(A.topic_clusters(Q._some(t), ("module_number", "topic_name")), ("module_number",)),
-        "SELECT module_number, " + ", ".join(f"count(CASE WHEN tier = {i} THEN 1 END) AS tier_{i}" for i in (1, 2, 3, 4)) + f", count(*) AS topics FROM (SELECT module_number, topic_name, {Q.TIER.format('count(DISTINCT exam_year)')} AS tier FROM questions WHERE paper_id % 50 = 0 GROUP BY 1, 2) GROUP BY 1",
+        lambda t: A.tier_counts(A.topic_clusters(t.questions, ("module_number", "topic_name")), ("module_number",)),
+        "SELECT module_number, " + ", ".join(f"count(CASE WHEN tier = {i} THEN 1 END) AS tier_{i}" for i in (1, 2, 3, 4)) + f", count(*) AS topics FROM (SELECT module_number, topic_name, {Q.TIER.format('count(DISTINCT exam_year)')} AS tier FROM questions GROUP BY 1, 2) GROUP BY 1",
     ),
     "a26_ranked_clusters": (
         lambda t: Q._topics(t).withColumn("rank", F.row_number().over(_w("subject_id", order=(F.desc("frequency"), "topic_name", "part")))).select("subject_id", "topic_name", "part", "rank", F.when((F.col("priority_tier") == 1) | (F.col("frequency") >= 4), "top").otherwise("other").alias("band")),
         f"WITH {Q.TOPICS} SELECT subject_id, topic_name, part, row_number() OVER (PARTITION BY subject_id ORDER BY frequency DESC, topic_name, part) AS rank, CASE WHEN priority_tier = 1 OR frequency >= 4 THEN 'top' ELSE 'other' END AS band FROM topics",
     ),
     "a34_module_report": (
-        lambda t: t.questions.select("module_number", "exam_year", *_KEY).withColumn("n", F.row_number().over(_w("module_number", order=("exam_year", *_KEY)))).where("n <= 5").select("module_number", "exam_year", "n"),
-        f"SELECT module_number, exam_year, n FROM (SELECT module_number, exam_year, row_number() OVER (PARTITION BY module_number ORDER BY exam_year, {_K}) AS n FROM questions) WHERE n <= 5",
+        lambda t: t.questions.select("module_number", "exam_year", *_KEY, F.substring("qtext", 1, 200).alias("question")).orderBy("module_number", "exam_year", *_KEY),
+        f"SELECT module_number, exam_year, {_K}, substr(qtext, 1, 200) AS question FROM questions",
     ),
     "a36_continued_ranks": (
         lambda t: Q._study(t).groupBy("subject_id").agg(F.max("rank").alias("last_rank"), F.count(F.lit(1)).alias("listed")),

@@ -28,16 +28,11 @@ SESSIONS = ("1-URGENT", "2-HIGH", "3-MEDIUM")
 _BY = ("subject_id", "topic_name", "part")
 TOPICS = f"""topics AS (SELECT subject_id, topic_name, part, count(DISTINCT exam_year) AS frequency, sum(marks) AS total_marks, count(*) AS question_count,
     count(CASE WHEN part = 'A' THEN 1 END) AS part_a_count, count(CASE WHEN part = 'B' THEN 1 END) AS part_b_count, string_agg(DISTINCT exam_year, ',' ORDER BY exam_year) AS years,
-    {TIER.format('count(DISTINCT exam_year)')} AS priority_tier FROM questions WHERE paper_id % 50 = 0 GROUP BY ALL)"""
-
-
-def _some(t: Tables):
-    """Papers of one in fifty numbers: their topics appear in one to seven years, so that all tiers occur."""
-    return t.questions.where("paper_id % 50 = 0")
+    {TIER.format('count(DISTINCT exam_year)')} AS priority_tier FROM questions GROUP BY ALL)"""
 
 
 def _topics(t: Tables):
-    return A.topic_clusters(_some(t), _BY)
+    return A.topic_clusters(t.questions, _BY)
 
 
 def _modules(t: Tables):
@@ -96,11 +91,11 @@ _KEYWORDS = (("steel", "brush"), ("large", "anodized"), ("economy", "copper"), (
 _S1 = [f"CASE WHEN contains(lower(line), '{a}') THEN 3 ELSE 0 END + CASE WHEN contains(lower(line), '{b}') THEN 2 ELSE 0 END" for a, b in _KEYWORDS]
 _TOP1 = f"greatest({', '.join(_S1)})"
 
-_NORM = "normals AS (SELECT topic_id, form, " + Q._topic_key("line") + " AS normal FROM qlines WHERE form IN (1, 3, 4))"
+_NORM = "normals AS (SELECT topic_id, form, " + Q._topic_key("line") + " AS normal FROM qlines)"
 
 
 def _normals(t: Tables):
-    return t.qlines.where("form IN (1, 3, 4)").select("topic_id", "form", T.topic_key(F.col("line")).alias("normal"))
+    return t.qlines.select("topic_id", "form", T.topic_key(F.col("line")).alias("normal"))
 
 
 _GRAMS = """grams AS (SELECT topic_id % 3 AS g, unnest(flatten([[array_to_string(ws[i:i + n - 1], ' ') for i in range(1, len(ws) - n + 2)] for n in [2, 3, 4]])) AS term
@@ -130,12 +125,12 @@ def _self(t: Tables):
 
 
 def _clusters(t: Tables):
-    """Cluster groups of the sampled papers' topics, every third a concept cluster."""
-    g = A.cluster_groups(_some(t), ("subject_id", "topic_id"))
+    """Cluster groups of all topics, every third a concept cluster."""
+    g = A.cluster_groups(t.questions, ("subject_id", "topic_id"))
     return g.withColumn("cluster_type", F.when(F.col("topic_id") % 3 == 0, "concept_similarity").otherwise("strict_repetition")).withColumn("cluster_id", F.concat_ws("-", F.col("subject_id").cast("string"), F.col("topic_id").cast("string")))
 
 
-_GROUPS = "groups AS (SELECT subject_id, topic_id, coalesce(nullif(count(DISTINCT exam_year), 0), count(*)) AS frequency, count(*) AS question_count, substr(min(qtext), 1, 500) AS representative, CASE WHEN topic_id % 3 = 0 THEN 'concept_similarity' ELSE 'strict_repetition' END AS cluster_type, concat_ws('-', CAST(subject_id AS VARCHAR), CAST(topic_id AS VARCHAR)) AS cluster_id FROM questions WHERE paper_id % 50 = 0 GROUP BY ALL)"
+_GROUPS = "groups AS (SELECT subject_id, topic_id, coalesce(nullif(count(DISTINCT exam_year), 0), count(*)) AS frequency, count(*) AS question_count, substr(min(qtext), 1, 500) AS representative, CASE WHEN topic_id % 3 = 0 THEN 'concept_similarity' ELSE 'strict_repetition' END AS cluster_type, concat_ws('-', CAST(subject_id AS VARCHAR), CAST(topic_id AS VARCHAR)) AS cluster_id FROM questions GROUP BY ALL)"
 
 _RULES = (("long", "length(question_text) > 40"), ("diagram", "contains(lower(question_text), 'diagram')"), ("heavy", "marks > 40"), ("unknown", "CAST(NULL AS BOOLEAN)"))
 
@@ -284,8 +279,8 @@ QUERIES = {
         f"WITH n AS (SELECT subject_id, {Q._bloom('qtext')} AS bloom, count(*) AS c FROM questions GROUP BY ALL) SELECT s.subject_id, l.bloom, coalesce(c, 0) AS count FROM (SELECT DISTINCT subject_id FROM n) s CROSS JOIN (SELECT unnest([{', '.join(map(D.q, LEVELS))}]) AS bloom) l LEFT JOIN n ON n.subject_id = s.subject_id AND n.bloom = l.bloom",
     ),
     "a05_year_trend": (
-        lambda t: A.year_trend(t.questions.where("marks > 30"), t.papers),
-        "SELECT p.paper_id, p.exam_year, count(q.paper_id) AS count FROM papers p LEFT JOIN (SELECT paper_id FROM questions WHERE marks > 30) q ON p.paper_id = q.paper_id WHERE p.exam_year <> '' GROUP BY 1, 2",
+        lambda t: A.year_trend(t.questions, t.papers),
+        "SELECT p.paper_id, p.exam_year, count(q.paper_id) AS count FROM papers p LEFT JOIN questions q ON p.paper_id = q.paper_id WHERE p.exam_year <> '' GROUP BY 1, 2",
     ),
     "a06_topic_frequency": (
         lambda t: t.questions.select(F.explode(F.split("topic_name", " ")).alias("topic")).groupBy("topic").agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"), "topic").limit(10),
@@ -298,8 +293,8 @@ QUERIES = {
     "a10_topic_clusters": (_topics, f"WITH {TOPICS} SELECT * FROM topics"),
     "a11_cluster_groups": (_clusters, f"WITH {_GROUPS} SELECT * FROM groups"),
     "a12_back_propagate": (
-        lambda t: A.back_propagate(_some(t), _topics(t), _BY).select("paper_id", "question_no", "topic_id", "supplier_id", "repetition_count", "years_appeared"),
-        f"WITH {TOPICS} SELECT paper_id, question_no, topic_id, supplier_id, frequency AS repetition_count, years AS years_appeared FROM questions q LEFT JOIN topics t ON q.subject_id = t.subject_id AND q.topic_name = t.topic_name AND q.part = t.part WHERE paper_id % 50 = 0",
+        lambda t: A.back_propagate(t.questions, _topics(t), _BY).select("paper_id", "question_no", "topic_id", "supplier_id", "repetition_count", "years_appeared"),
+        f"WITH {TOPICS} SELECT paper_id, question_no, topic_id, supplier_id, frequency AS repetition_count, years AS years_appeared FROM questions q LEFT JOIN topics t ON q.subject_id = t.subject_id AND q.topic_name = t.topic_name AND q.part = t.part",
     ),
     "a13_priority_assignments": (lambda t: A.priority_assignments(_clusters(t)), f"WITH {_GROUPS} SELECT cluster_id, {TIER.format('frequency')} AS tier, {LABEL.format('(' + TIER.format('frequency') + ')')} AS tier_label, frequency FROM groups WHERE cluster_type = 'strict_repetition'"),
     "a14_tier_summary": (

@@ -27,8 +27,7 @@ def _line():
 
 def _priority(t: Tables):
     """Topic groups of questions over exam years, ranked, 25 at most."""
-    q = t.questions.where("paper_id % 50 = 0")
-    g = q.groupBy("topic_id").agg(F.countDistinct("exam_year").alias("year_count"), F.array_join(F.array_sort(F.collect_set("exam_year")), ", ").alias("years"), F.min("exam_year").alias("first_year"), F.max(F.struct(F.length("qtext"), "qtext")).alias("longest"))
+    g = t.questions.groupBy("topic_id").agg(F.countDistinct("exam_year").alias("year_count"), F.array_join(F.array_sort(F.collect_set("exam_year")), ", ").alias("years"), F.min("exam_year").alias("first_year"), F.max(F.struct(F.length("qtext"), "qtext")).alias("longest"))
     w = Window.orderBy(F.desc("year_count"), "first_year", "topic_id")
     top = g.orderBy(F.desc("year_count"), "first_year", "topic_id").limit(25)  # the ranking sees 25 rows
     text = F.col("longest.qtext")
@@ -75,7 +74,7 @@ QUERIES = {
     ),
     "a25_priority_list": (
         _priority,
-        "SELECT topic_id, rank, substr(t, 1, 20) || CASE WHEN length(t) > 20 THEN '…' ELSE '' END AS topic, year_count, years, " + Q.TIER.format("year_count") + " AS tier FROM (SELECT topic_id, count(DISTINCT exam_year) AS year_count, string_agg(DISTINCT exam_year, ', ' ORDER BY exam_year) AS years, arg_max(qtext, (length(qtext), qtext)) AS t, row_number() OVER (ORDER BY count(DISTINCT exam_year) DESC, min(exam_year), topic_id) AS rank FROM questions WHERE paper_id % 50 = 0 GROUP BY 1) WHERE rank <= 25",
+        "SELECT topic_id, rank, substr(t, 1, 20) || CASE WHEN length(t) > 20 THEN '…' ELSE '' END AS topic, year_count, years, " + Q.TIER.format("year_count") + " AS tier FROM (SELECT topic_id, count(DISTINCT exam_year) AS year_count, string_agg(DISTINCT exam_year, ', ' ORDER BY exam_year) AS years, arg_max(qtext, (length(qtext), qtext)) AS t, row_number() OVER (ORDER BY count(DISTINCT exam_year) DESC, min(exam_year), topic_id) AS rank FROM questions GROUP BY 1) WHERE rank <= 25",
     ),
     "a28_recent_first": (
         lambda t: t.papers.groupBy(F.concat_ws(" ", "exam_type", "exam_year").alias("session")).agg(F.count(F.lit(1)).alias("papers")).withColumn("position", F.row_number().over(Window.orderBy(F.desc(F.element_at(F.split("session", " "), -1).try_cast("int")), "session"))),
