@@ -18,12 +18,19 @@ def _either_case(pattern: str) -> str:
     return "".join(part if part.startswith("[") or part.startswith("\\x") else re.sub("[a-z]", lambda m: f"[{m[0]}{m[0].upper()}]", part) for part in re.split(r"(\[[^\]]*\]|\\x[0-9a-fA-F]{2})", pattern[4:]))
 
 
+#: A key block without look-ahead, for closed ones and whole base64 lines of unclosed ones.
+_GAP = r"(?:\s|\\[rn])+"
+_PEM = rf"{secret_scan._BEGIN}(?:(?:-{{0,4}}[^-])*{secret_scan._END}|(?:(?:{_GAP}(?:Proc-Type|DEK-Info):\s*[^\s\\]+)*(?:{_GAP}[A-Za-z0-9+/=]{{16,}})+)?)"
+
+
 def secrets_sql(widely: int = secret_scan.WIDELY, copies: int = secret_scan.COPIES) -> str:
     found = []
     for rank, (kind, rx, group, least, _) in enumerate([*secret_scan.BASE, *secret_scan.EXTRA]):
-        rx = q(_either_case(rx))
+        rx = q(_PEM if kind == "pem" else _either_case(rx))
         total = "coalesce(list_sum(list_transform({0}, lambda x: length(x))), 0)"
         value = f"regexp_extract(m, {rx}, {group})" if group else "m"
+        if kind == "pem":
+            value = f"regexp_replace(regexp_replace(m, {q('^' + secret_scan._BEGIN)}, ''), {q(secret_scan._END + '$')}, '')"
         found.append(
             f"SELECT * FROM (SELECT doc_id, source, {rank} AS rank, {q(kind)} AS kind, m, CAST(s AS BIGINT) AS s, CAST(s + length(m) AS BIGINT) AS e, {value} AS value FROM (SELECT doc_id, source, ms[i] AS m, {total.format('gs[1:i]')} + {total.format('ms[1:i - 1]')} AS s "
             f"FROM (SELECT doc_id, source, regexp_extract_all(t, {rx}) AS ms, string_split_regex(t, {rx}) AS gs FROM d), UNNEST(range(1, len(ms) + 1)) AS u(i))) WHERE length(value) >= {least}"
