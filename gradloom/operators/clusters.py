@@ -102,6 +102,33 @@ def leader_clusters(rows: DataFrame, threshold: float, key: str, vector: str, bu
     return used.groupBy(*bucket).applyInPandas(run, ", ".join([*fields, f"leader {dict(used.dtypes)[key]}"]))
 
 
+def keyword_leaders(rows: DataFrame, threshold: float, key: str, words: str, bucket: Sequence[str]) -> DataFrame:
+    """Greedy leader clustering by keyword similarity, where there is no model: in the order of ``key``, a leader
+    takes every later free row whose keywords are as similar to its own as ``threshold``."""
+    ship(rows.sparkSession)
+
+    def similar(a: set, b: set) -> float:
+        if not a or not b:
+            return 0.0
+        both = len(a & b)
+        base = both / len(a | b)
+        return min(1.0, base * 1.3) if both / min(len(a), len(b)) > 0.6 else base
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(key)
+        sets, keys, leader = [set(w) for w in part[words]], part[key].to_numpy(), np.full(len(part), -1)
+        for i, own in enumerate(sets):
+            if leader[i] < 0:
+                leader[i] = i
+                for j in np.flatnonzero(leader < 0):
+                    if similar(own, sets[j]) >= threshold:
+                        leader[j] = i
+        return part[[*bucket, key]].assign(leader=keys[leader])
+
+    fields = [f.simpleString().replace(":", " ", 1) for f in rows.select(*bucket, key).schema]
+    return rows.select(*bucket, key, words).groupBy(*bucket).applyInPandas(run, ", ".join([*fields, f"leader {dict(rows.dtypes)[key]}"]))
+
+
 def key_terms(texts: DataFrame, group: Sequence[str], normal: str, most: int = 80) -> DataFrame:
     """The phrases of 2 to 4 words that stabilise a module's topics: counted twice or more, the
     most frequent, then the longest, then alphabetical."""

@@ -148,3 +148,17 @@ def word_chunks(text: Column, n: int) -> Column:
     size = F.floor(F.size(words) / n).cast("int")
     last = F.size(words) - size * (n - 1)
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.array_join(F.slice(words, i * size + 1, F.when(i < n - 1, size).otherwise(last)), " "))
+
+
+# Fixed value: what separates the parts of a paper.
+PART_HEADER = r"(?i)PART\s*[AB]"
+
+
+def part_sections(papers: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, part, n, section``: what follows each header of a part, up to the next one; headers that
+    aren't written with one blank begin a section that belongs to no part."""
+    headers = F.regexp_extract_all(text, F.lit(PART_HEADER), F.lit(0))
+    sections = F.split(text, PART_HEADER, -1)
+    each = F.zip_with(headers, F.slice(sections, F.lit(2), F.size(headers)), lambda h, s: F.struct(F.upper(h).alias("header"), s.alias("section")))
+    rows = papers.select(key, F.posexplode(each).alias("i", "s"))
+    return rows.where(F.col("s.header").isin("PART A", "PART B")).select(key, F.substring("s.header", 6, 1).alias("part"), (F.col("i") + 1).alias("n"), "s.section")

@@ -124,6 +124,11 @@ def _self(t: Tables):
     return rows.join(b, "topic_id").where("form < form_b")
 
 
+def _self_sets(t: Tables):
+    """The keywords of every line form of a topic."""
+    return _normals(t).select("topic_id", "form", F.array_distinct(F.filter(F.split("normal", " "), lambda w: (F.length(w) > 3) & ~w.isin(*T.NOT_KEYWORDS))).alias("ks"))
+
+
 def _clusters(t: Tables):
     """Cluster groups of all topics, every third a concept cluster."""
     g = A.cluster_groups(t.questions, ("subject_id", "topic_id"))
