@@ -6,6 +6,7 @@ import subprocess
 import sys
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from gradloom.operators import clusters as K
 from gradloom.operators import plugins
@@ -137,3 +138,55 @@ def test_plugins(spark):
 def test_entry_works_without_the_llm_folder():
     code = "import sys; sys.modules['gradloom.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert not any(n.startswith('op') for n in q) and 'pipeline' not in q and set(e.oracle_sql()) <= set(q); print(len(q))"
     assert int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout) > 100
+
+
+def test_keyword_leaders_take_what_is_like_them(spark):
+    from gradloom.functions.vectors import keyword_similarity
+    from gradloom.operators.clusters import keyword_leaders
+
+    r = random.Random(2)
+    rows = [(i % 2, i, r.sample("alpha beta gamma delta epsilon zeta".split(), r.randint(0, 4))) for i in range(40)]
+    df = spark.createDataFrame(rows, "b int, id long, ks array<string>")
+    x, y = df.alias("x"), df.selectExpr("b AS b2", "id AS id2", "ks AS ks2")
+    score = {(p.id, p.id2): p.s for p in x.join(y, F.col("b") == F.col("b2")).select("id", "id2", keyword_similarity(F.col("ks"), F.col("ks2")).alias("s")).collect()}
+    want: dict[int, int] = {}
+    for b in range(2):
+        for i in range(b, 40, 2):
+            if i not in want:
+                want |= {j: i for j in range(i, 40, 2) if j == i or j not in want and score[i, j] >= 0.55}
+    assert {x.id: x.leader for x in keyword_leaders(df, 0.55, "id", "ks", ("b",)).collect()} == want
+
+
+def test_segmenter_carries_headings_and_stitches(spark):
+    from gradloom.operators.segment import parse, stitched
+
+    assert stitched("a long\nline ends (3 marks)\nnext\n(Dec 2022, 7 marks)\n\nmore") == ["a long line ends (3 marks)", "next (Dec 2022, 7 marks)", "", "more"]
+    text = "PART A\nModule 2\nDecember 2022\n1. Define hazard mapping (4 marks)\n(a) with one example\nand some more text\nPART B\nQn 11\n• Explain the whole process\nModule IV\n* Describe every phase of it\n13) Compare both methods\nFinal prioritized list\n14. Never reached here"
+    got = [(q.number, q.part, q.marks, q.module, q.session, q.group, q.full_text) for q in parse(text)]
+    assert got == [
+        ("1", "A", 4, 2, "December 2022", None, "Define hazard mapping and some more text with one example"), ("11b1", "B", 14, 2, "December 2022", "11", "Explain the whole process"),
+        ("11b2", "B", 14, 4, "December 2022", "11", "Describe every phase of it"), ("13", "B", 14, 4, "December 2022", "11", "Compare both methods"),
+    ]
+    assert parse(None) == parse("") == []
+
+
+def test_progress_extends_a_known_table(spark):
+    from gradloom.operators.jobs import call_statistics, job_progress, poll, retried
+
+    one = spark.createDataFrame([(1, 1, "queued"), (1, 2, "analyzing"), (2, 1, "extracting")], "job int, at int, status string")
+    two = spark.createDataFrame([(1, 3, "failed"), (2, 5, "completed"), (3, 9, "odd")], "job int, at int, status string")
+    known = job_progress(two, job_progress(one))
+    assert {(r.job, r.status, r.progress) for r in known.collect()} == {(1, "failed", 65), (2, "completed", 100), (3, "odd", 0)}
+    assert {(r.job, r.status) for r in poll(known, spark.createDataFrame([(1,), (7,)], "job int")).collect()} == {(1, "failed"), (7, "not found")}
+    pages = spark.createDataFrame([(1, "a", 0.5), (2, "b", 0.9), (3, "c", 0.1)], "page int, text string, confidence double")
+    again = spark.createDataFrame([(1, "worse", 0.2), (2, "x", 1.0)], "page int, text string, confidence double")
+    assert {(r.page, r.text, r.retried) for r in retried(pages, again).collect()} == {(1, "worse", True), (2, "b", False), (3, "c", False)}
+    assert call_statistics(spark.createDataFrame([("m", True)] * 3 + [("m", False)], "provider string, ok boolean"), 2).first().asDict() == {"provider": "m", "calls": 3, "failures": 1, "success_rate": 0.75, "free_remaining": 0, "within_free": False}
+
+
+def test_bloom_level_ties_and_defaults(spark):
+    from gradloom.functions.classify import bloom_level
+
+    rows = [("zzz", "understand"), ("Define it", "remember"), ("design a plan", "create"), ("define, define; explain", "remember"), (None, None), ("", "understand"), ("judge and use", "apply")]
+    df = spark.createDataFrame(rows, "t string, w string")
+    assert all(r.got == r.w for r in df.select("w", bloom_level(F.col("t")).alias("got")).collect())
