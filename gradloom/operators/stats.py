@@ -42,8 +42,10 @@ def module_distribution(questions: DataFrame, modules: DataFrame) -> DataFrame:
 
 
 def distribution(questions: DataFrame, by: Column, name: str) -> DataFrame:
-    """Counts by a label; the empty label does not count."""
-    return questions.select("subject_id", by.alias(name)).where(F.col(name) != "").groupBy("subject_id", name).agg(F.count(F.lit(1)).alias("count"))
+    """Counts by a label; the empty label does not count. It goes after the counting, by an aggregate:
+    a filter on the label itself would be pushed down and compute the label twice for each row."""
+    counts = questions.select("subject_id", by.alias(name)).groupBy("subject_id", name).agg(F.count(F.lit(1)).alias("count"), F.max(name).alias("shown"))
+    return counts.where(F.col("shown") != "").drop("shown")
 
 
 def dense(counts: DataFrame, name: str, values: Sequence[str]) -> DataFrame:
