@@ -14,30 +14,44 @@ from gradloom.operators.graph import components
 from gradloom.operators.similarity import similar_pairs
 from gradloom.workers import ship
 
-MAX_COMPONENT = 20_000
+TIE = 1e-12  # cosines nearer to each other than this are equal
 
 
 def average_linkage(v: np.ndarray, distance: float) -> np.ndarray:
-    """Labels of average-linkage clusters by cosine distance, merged while below ``distance``."""
+    """Labels of average-linkage clusters by cosine distance, merged while below ``distance``.
+
+    The mean cosine between two clusters is the product of their sums of unit vectors over their
+    sizes, so no matrix of pairs is held. Each cluster goes on to its nearest one until two are
+    nearest to each other; such two are merged by this linkage whatever else is merged first, and
+    one whose nearest is not below ``distance`` stays as it is. That takes as much memory as ``v``
+    and at most some 3 n products of ``v`` with a vector.
+    """
     n = len(v)
     norm = np.linalg.norm(v, axis=1)
-    u = v / np.where(norm == 0, 1, norm)[:, None]
-    d = 1 - u @ u.T
-    np.fill_diagonal(d, np.inf)
-    size, owner, alive = np.ones(n), np.arange(n), np.ones(n, dtype=bool)
-    while alive.sum() > 1:
-        flat = int(np.argmin(d))
-        i, j = divmod(flat, n)
-        if not d[i, j] < distance:
-            break
-        i, j = min(i, j), max(i, j)
-        merged = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
-        d[i], d[:, i] = merged, merged
-        d[i, i] = np.inf
-        d[j], d[:, j] = np.inf, np.inf
-        size[i] += size[j]
-        owner[owner == j] = i
-        alive[j] = False
+    total = v / np.where(norm == 0, 1, norm)[:, None]  # of a cluster, at its least member
+    size, owner, open_ = np.ones(n), np.arange(n), np.ones(n, dtype=bool)
+    chain: list[int] = []
+    for start in range(n):
+        while open_[start]:
+            chain = chain or [start]
+            a, before = chain[-1], chain[-2] if len(chain) > 1 else None
+            near = np.where(open_, total @ total[a] / (size * size[a]), -np.inf)
+            near[a] = -np.inf
+            b = int(np.argmax(near))
+            if before is not None and near[before] >= near[b] - TIE:
+                b = before
+            if not 1 - near[b] < distance:
+                open_[a] = False
+                chain.pop()
+            elif b == before:
+                i, j = min(a, b), max(a, b)
+                total[i] += total[j]
+                size[i] += size[j]
+                owner[owner == j] = i
+                open_[j] = False
+                del chain[-2:]
+            else:
+                chain.append(b)
     return owner
 
 
@@ -54,8 +68,6 @@ def linkage_clusters(vectors: DataFrame, distance: float, key: str, vector: str,
     rows = vectors.select(*bucket, F.col(key).cast("long").alias(key), F.col(vector).cast("array<double>").alias("v")).join(group, key)
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        if len(part) > MAX_COMPONENT:
-            raise ValueError(f"a component of {len(part)} questions: lower the distance")
         part = part.sort_values(key)
         owner = average_linkage(np.vstack(part["v"].to_numpy()), distance)
         keys = part[key].to_numpy()

@@ -78,6 +78,30 @@ def test_blocked_pairs_and_clusters(spark):
         assert {frozenset(c) for c in got.values() if next(iter(c)) % 3 == b} == whole
 
 
+def brute_linkage(v, distance):
+    """The two clusters of least mean distance are merged as long as it is below ``distance``."""
+    u = v / np.where((n := np.linalg.norm(v, axis=1)) == 0, 1, n)[:, None]
+    d, parts = 1 - u @ u.T, [[i] for i in range(len(v))]
+    while len(parts) > 1:
+        least, x, y = min((d[np.ix_(p, q)].mean(), x, y) for y, q in enumerate(parts) for x, p in enumerate(parts[:y]))
+        if least >= distance:
+            break
+        parts[x] += parts.pop(y)
+    return {frozenset(p) for p in parts}
+
+
+def test_average_linkage_is_that_of_all_pairs():
+    g = np.random.default_rng(4)
+    for n, width in ((1, 3), (2, 3), (9, 2), (25, 3), (30, 6)):
+        v = g.normal(size=(n, width))
+        v = np.vstack([v, v[: n // 3]])  # copies
+        v[0] = 0
+        for distance in (0.05, 0.3, 0.75, 1.1):
+            owner = K.average_linkage(v, distance)
+            assert {frozenset(np.flatnonzero(owner == o).tolist()) for o in set(owner.tolist())} == brute_linkage(v, distance)
+            assert all(owner[o] == o <= i for i, o in enumerate(owner))
+
+
 def test_leaders(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0], 0), (1, [0.9, 0.1], 0), (2, [0.0, 1.0], 0), (3, [0.5, 0.5], 0), (4, [0.1, 0.9], 0)], "id long, v array<double>, m int")
     assert {x.id: x.leader for x in K.leader_clusters(df, 0.7, "id", "v", ("m",), ("id",)).collect()} == {0: 0, 1: 0, 2: 2, 3: 0, 4: 2}
