@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from gradloom.llm import rule_ledger, secret_scan, url_reputation
+from gradloom.llm import chat_format, rule_ledger, secret_scan, url_reputation
 
 
 def q(text: str) -> str:
@@ -98,4 +98,35 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(n AS BIGINT) AS source_size, t
 """
 
 
-ORACLE_SQL = {"op2_url_reputation": reputation_sql(), "op6_secret_ownership": secrets_sql(), "op7_flow_mix": mix_sql(), "op10_rule_ledger": rule_ledger.SQL}
+_SCORE = "CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) AS BIGINT)"
+#: Every product of an anchor with every row, which is for the sizes that the oracle runs at.
+HARD_NEGATIVES = f"""
+WITH d AS (SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS vec_id, a.label = b.label AS same, {_SCORE} AS score FROM d a JOIN d b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS r FROM s WHERE same) WHERE r <= 5),
+n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS r
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT anchor_id, positive_id, CAST(r AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE r <= 10"""
+
+
+def chat_sql(t: chat_format.Template = chat_format.INSTRUCT) -> str:
+    """Of each turn what stands before and after, and the escaped text's length: one more for a backslash or a control string."""
+    control = "(" + "|".join(re.sub(r"([\[\]\\/])", r"\\\1", c) for c in ("\\", *t.control)) + ")"
+
+    def escaped(x: str) -> str:
+        return f"length({x}) + len(regexp_extract_all({x}, {q(control)}))"
+
+    marks = "CASE role " + " ".join(f"WHEN {q(r)} THEN {len(b) + len(a)}" for r, (b, a, _) in t.roles.items()) + f" ELSE {sum(map(len, t.other))} + " + escaped("role") + " END"
+    learnt = ", ".join(q(r) for r, (_, _, loss) in t.roles.items() if loss)
+    said = "'</s>[INST] ok [/INST]'"
+    order = "ORDER BY turn NULLS FIRST, role, md5(text)"
+    return f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL VALUES (-1, 0, 'user', {said}), (-1, 1, 'assistant', {said}))
+SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' {order})) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role IN ({learnt})), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' {order}) FILTER (role IN ({learnt})), '')) AS loss_sha256,
+  CAST(sum({marks} + {escaped("text")}) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id"""
+
+
+ORACLE_SQL = {"op2_url_reputation": reputation_sql(), "op6_secret_ownership": secrets_sql(), "op7_flow_mix": mix_sql(), "op10_rule_ledger": rule_ledger.SQL, "op11_bit_sliced": HARD_NEGATIVES, "op12_chat_format": chat_sql()}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradloom.llm import multi_index, order_minhash, packing, pii, rule_ledger, secret_scan, source_mix, text_density, token_files, url_reputation
+from gradloom.llm import chat_format, hard_negatives, multi_index, order_minhash, packing, pii, rule_ledger, secret_scan, source_mix, text_density, token_files, url_reputation, whitening
 from gradloom.llm.oracle import ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES", "tokenizer_path"]
@@ -63,7 +63,19 @@ def op10_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_ledger.op10(_table(spark, sf_dir, "documents"))
 
 
+def op11_bit_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.op11(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.op12(_table(spark, sf_dir, "conversations"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.op13(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_pfor_files, op2_url_reputation, op3_order_minhash, op4_deobfuscated_pii, op5_text_density, op6_secret_ownership, op7_flow_mix, op8_multi_index, op9_sum_of_squares,
-    op10_rule_ledger,
+    op10_rule_ledger, op11_bit_sliced, op12_chat_format, op13_whitening,
 )}
