@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -10,72 +10,113 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradloom.functions.text import strip_edges
+from gradloom.lineage import cut
 from gradloom.operators.graph import components
+from gradloom.operators.plugins import Embedder, encode, hashing_embedder
 from gradloom.operators.similarity import similar_pairs
 from gradloom.workers import ship
 
 TIE = 1e-12  # cosines nearer to each other than this are equal
 
 
-def average_linkage(v: np.ndarray, distance: float) -> np.ndarray:
-    """Labels of average-linkage clusters by cosine distance, merged while below ``distance``.
+def average_linkage(v: np.ndarray, distance: float, weight: np.ndarray | None = None) -> np.ndarray:
+    """For each row of ``v`` the least row of its average-linkage cluster by cosine distance, merged while below ``distance``.
 
-    The mean cosine between two clusters is the product of their sums of unit vectors over their
-    sizes, so no matrix of pairs is held. Each cluster goes on to its nearest one until two are
-    nearest to each other; such two are merged by this linkage whatever else is merged first, and
-    one whose nearest is not below ``distance`` stays as it is. That takes as much memory as ``v``
-    and at most some 3 n products of ``v`` with a vector.
+    The nearest two clusters are merged first; of pairs that are equally near (within ``TIE``) the one with
+    the least first row, then the least second row, where a cluster stands at its least row. So the result depends on
+    the rows' order under ties, and callers order them by what the rows are. ``weight`` is how many equal rows each stands for.
+
+    The mean cosine between two clusters is the product of their sums of unit vectors over their sizes, so no matrix of
+    pairs is held: each cluster keeps its nearest later one, and a merge looks again for those that lost theirs.
     """
     n = len(v)
     norm = np.linalg.norm(v, axis=1)
-    total = v / np.where(norm == 0, 1, norm)[:, None]  # of a cluster, at its least member
-    size, owner, open_ = np.ones(n), np.arange(n), np.ones(n, dtype=bool)
-    chain: list[int] = []
-    for start in range(n):
-        while open_[start]:
-            chain = chain or [start]
-            a, before = chain[-1], chain[-2] if len(chain) > 1 else None
-            near = np.where(open_, total @ total[a] / (size * size[a]), -np.inf)
-            near[a] = -np.inf
-            b = int(np.argmax(near))
-            if before is not None and near[before] >= near[b] - TIE:
-                b = before
-            if not 1 - near[b] < distance:
-                open_[a] = False
-                chain.pop()
-            elif b == before:
-                i, j = min(a, b), max(a, b)
-                total[i] += total[j]
-                size[i] += size[j]
-                owner[owner == j] = i
-                open_[j] = False
-                del chain[-2:]
-            else:
-                chain.append(b)
-    return owner
+    size = np.ones(n) if weight is None else weight.astype(float)
+    total = v / np.where(norm == 0, 1, norm)[:, None] * size[:, None]
+    owner, open_ = np.arange(n), np.ones(n, dtype=bool)
+    near, partner = np.full(n, -np.inf), np.full(n, -1)
+
+    def look(i: int) -> None:
+        later = np.flatnonzero(open_[i + 1 :]) + i + 1
+        if not len(later):
+            near[i], partner[i] = -np.inf, -1
+            return
+        mean = total[later] @ total[i] / (size[later] * size[i])
+        near[i] = mean.max()
+        partner[i] = later[int(np.argmax(mean >= near[i] - TIE))]
+
+    for i in range(n):
+        look(i)
+    while True:
+        top = near.max() if n else -np.inf
+        if not 1 - top < distance:
+            return owner
+        i = int(np.argmax(near >= top - TIE))
+        j = int(partner[i])
+        total[i] += total[j]
+        size[i] += size[j]
+        owner[owner == j] = i
+        open_[j], near[j], partner[j] = False, -np.inf, -1
+        look(i)
+        earlier = np.flatnonzero(open_[:j])
+        for k in earlier[np.isin(partner[earlier], (i, j))]:
+            if k != i:
+                look(int(k))
+        before = np.flatnonzero(open_[:i])
+        if len(before):  # the merged cluster may be nearer to an earlier one than what that had
+            mean = total[before] @ total[i] / (size[before] * size[i])
+            take = (mean > near[before] + TIE) | ((mean >= near[before] - TIE) & (partner[before] > i))
+            near[before[take]], partner[before[take]] = np.maximum(mean[take], near[before[take]]), i
 
 
 def linkage_clusters(vectors: DataFrame, distance: float, key: str, vector: str, bucket: Sequence[str] = (), least: int = 2) -> DataFrame:
     """Average-linkage clusters of every bucket: ``bucket, key, cluster`` (its least key), of ``least`` members or more.
 
-    A cluster cut at a distance is connected by pairs below it, so each connected component
-    of those pairs is clustered by itself, exactly; a component is as large as its largest
-    chain of similar questions, not as a bucket.
+    Equal vectors of a bucket are at distance zero and count as one row with their number as its weight. A cluster
+    cut at a distance is connected by pairs below it, so each connected component of those pairs is
+    clustered by itself, exactly, its rows in the order of their least keys; a component is as large as the largest chain of similar
+    questions, not as a bucket.
     """
-    ship(vectors.sparkSession)
-    pairs = similar_pairs(vectors, 1 - distance, key, vector, bucket)
+    rows = vectors.select(*bucket, F.to_json(F.struct(*bucket) if bucket else F.struct(F.lit(0).alias("all"))).alias("place"), F.col(key).cast("long").alias(key), F.col(vector).cast("array<double>").alias("v")).where(F.col("v").isNotNull())
+    rows = rows.withColumn("alone", F.when(F.forall("v", lambda x: x == 0), F.col(key)).otherwise(-1))  # zero vectors are like nothing, each other included
+    one = rows.groupBy("place", "v", "alone").agg(F.min(key).alias("rep"), F.count(F.lit(1)).alias("n"))
+    labelled = weighted_clusters(one, distance, "rep", "v", "n", ("place",))
+    alike = one.select("place", "v", "alone", "rep").join(labelled.select("rep", "cluster"), "rep")
+    members = rows.join(alike, ["place", "v", "alone"]).select(*bucket, key, "cluster")
+    return members.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("cluster"))).where(F.col("members") >= least)
+
+
+def weighted_clusters(rows: DataFrame, distance: float, key: str, vector: str, weight: str, bucket: Sequence[str] = ()) -> DataFrame:
+    """``bucket, key, cluster`` (its least key) of every row of distinct ``vector``s, each of which stands for ``weight`` rows;
+    keys are whole numbers, distinct over all buckets."""
+    ship(rows.sparkSession)
+    pairs = similar_pairs(rows, 1 - distance, key, vector, bucket)
     group = components(pairs.select("a", "b")).withColumnsRenamed({"node": key})
-    rows = vectors.select(*bucket, F.col(key).cast("long").alias(key), F.col(vector).cast("array<double>").alias("v")).join(group, key)
+    some = rows.select(*bucket, F.col(key).cast("long").alias(key), F.col(vector).cast("array<double>").alias("v"), F.col(weight).cast("double").alias("w")).join(group, key, "left")
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(key)
-        owner = average_linkage(np.vstack(part["v"].to_numpy()), distance)
-        keys = part[key].to_numpy()
-        return part[[*bucket, key]].assign(cluster=keys[owner])
+        owner = average_linkage(np.vstack(part["v"].to_numpy()), distance, part["w"].to_numpy())
+        return part[[*bucket, key]].assign(cluster=part[key].to_numpy()[owner])
+
+    fields = [f.simpleString().replace(":", " ", 1) for f in some.select(*bucket).schema]
+    linked = some.where("component IS NOT NULL").groupBy("component").applyInPandas(run, ", ".join([*fields, f"{key} long", "cluster long"]))
+    return linked.unionByName(some.where("component IS NULL").select(*bucket, key, F.col(key).alias("cluster")))
 
-    fields = [f.simpleString().replace(":", " ", 1) for f in rows.select(*bucket).schema]
-    labelled = rows.groupBy("component").applyInPandas(run, ", ".join([*fields, f"{key} long", "cluster long"]))
-    return labelled.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("cluster"))).where(F.col("members") >= least)
+
+def phrase_clusters(rows: DataFrame, phrase: str, bucket: Sequence[str], order: Sequence[str], similarity: float = 0.55, make: Callable[[], Embedder] = hashing_embedder) -> DataFrame:
+    """``rows`` with ``cluster`` (a number) and ``seen`` (from 1, by ``order``; 1 is the representative): average linkage of a bucket's topic phrases by their vectors.
+
+    Each distinct phrase is encoded once, and stands once in its bucket with the number of its rows as weight, in the
+    order of a hash of itself: which rows come first changes no cluster. A bucket of nulls is a bucket like any other, a null phrase is empty.
+    """
+    known = rows.withColumn("__place", F.to_json(F.struct(*bucket))).withColumn("__phrase", F.coalesce(F.col(phrase), F.lit("")))  # nulls are left out of the text, so it is a key for them too
+    known = cut(known.withColumn("__id", F.xxhash64("__place", "__phrase")), "phrases")
+    each = known.groupBy("__place", "__phrase", "__id").agg(F.count(F.lit(1)).alias("n"))
+    vectors = encode(known.select("__phrase").distinct(), "__phrase", "__phrase", make)
+    linked = weighted_clusters(cut(each.join(vectors, "__phrase").select("__place", "__id", "n", "embedding"), "vectors"), 1 - similarity, "__id", "embedding", "n", ("__place",))
+    seen = F.row_number().over(Window.partitionBy("cluster").orderBy(*order))
+    return known.join(linked.select("__id", "cluster"), "__id").withColumn("seen", seen).drop("__place", "__phrase", "__id")
 
 
 def pairwise_floor(clusters: DataFrame, vectors: DataFrame, key: str, vector: str, floor: float = 0.80) -> DataFrame:

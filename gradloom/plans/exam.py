@@ -13,6 +13,23 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 _VERB = "CASE l_linenumber " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(("Explain", "Define", "Analyze", "Design", "Compare", "Evaluate", "Calculate"), 1)) + " ELSE 'Discuss' END"
 
+ASKED = ("Explain", "Define", "Describe", "Discuss", "Outline", "Compare", "State", "Derive", "Illustrate", "Summarise", "Evaluate")
+
+
+def _printed() -> str:
+    nl = " || chr(10) || "
+    part_a = nl.join(["'UNIVERSITY'", "'PART A'", "'(Answer all questions, each carries 3 marks)'", "'Marks'", *[f"'{w} the role of ' || p_name || ' in detail 3'" for w in ASKED], "'12'", "'Page 1 of 2'"])
+    numbered = nl.join(["'PART B'", *[x for n in range(11, 21) for x in (f"'{'I I' if n == 11 else n} a) Discuss ' || p_name || ' case {n} of ' || p_type || ' 7'", "'   b)  Compare ' || p_brand || ' with  ' || p_name || ' 7'")]])
+    modules = [nl.join(f"'{x}" for x in (f"Module - {m}'", f"a) Discuss ' || p_name || ' topic {m} at length 7'", f"b) Compare ' || p_brand || ' for {m} or more 7'", f"a) Derive ' || p_type || ' rule {m} in ' || p_name", "OR'")) for m in range(1, 6)]
+    some, rest = f"'PART B'{nl}" + nl.join(modules[:3]), nl.join(modules[3:])
+    loose = "'PART B' || chr(10) || " + " || ' ' || ".join(f"'a){n} Explain ' || p_name || ' usage in ' || p_brand || ' plants b) Compare ' || p_type || ' models of ' || p_name" for n in (11, 12, 13)) + f"{nl}repeat('=', 500){nl}'17. Discuss the ' || p_name || ' economy of ' || p_brand{nl}'Q18 Outline the whole ' || p_type || ' plan'"
+    lines = nl.join(f"'{n}. Explain the ' || p_name || ' rule {n} of ' || p_type" for n in (1, 2, 3, 3, 4, 5, 6))
+    return f"""
+SELECT p_partkey AS paper_id, CASE p_partkey % 4 WHEN 0 THEN {part_a}{nl}{numbered} WHEN 1 THEN {part_a}{nl}{some} || CASE WHEN p_partkey % 8 = 1 THEN chr(10) || {rest} ELSE '' END
+    WHEN 2 THEN {part_a}{nl}{loose} ELSE {lines} END AS text
+FROM part"""
+
+
 VIEWS = {
     # question occurrences: one row for each line item; a subject's topics appear in one to seven years, so all tiers occur
     "questions": f"""
@@ -39,6 +56,13 @@ SELECT p_partkey AS topic_id, n.n AS form, CASE n.n
     WHEN 5 THEN 'Question ' || CAST(p_size AS STRING) || ': 0 Identify ' || p_name || ' at ' || p_brand || ' (June 2023, 3 marks)'
     WHEN 6 THEN 'PART B [Answer' ELSE p_name END AS line
 FROM part CROSS JOIN (SELECT l_linenumber - 1 AS n FROM lineitem GROUP BY l_linenumber) n""",
+    # papers in the layouts that print Part A without numbers: numbered parts, module parts (every other with few), parts anywhere, numbered lines alone
+    "printed": _printed(),
+    # papers whose questions are lines that begin with a number
+    "lined": """
+SELECT p_partkey AS paper_id, 'COURSE CODE: MCN301' || chr(10) || '1. Define ' || p_name || chr(10) || '   in terms of ' || p_type || chr(10) || 'Page 2' || chr(10) || '99' || chr(10) || 'ab' || chr(10) || '2) What is ' || p_brand || '?'
+    || chr(10) || 'MODULE 1' || chr(10) || chr(10) || 'more on ' || p_name || chr(10) || '1: again ' || p_name || ' and more' || chr(10) || '21. no start ' || p_type || chr(10) || '3] x' || chr(10) || '4 : Discuss ' || p_brand || ' at length' AS text
+FROM part""",
     # page text with what recognition leaves in it
     "scans": """
 SELECT p_partkey AS paper_id, 'APJ Abdul Kalam Technological University' || chr(10) || '  Reg No:   ' || CAST(p_partkey AS STRING) || chr(10) || chr(10) || chr(10) || 'PARTA' || chr(10)

@@ -12,7 +12,6 @@ from gradloom.operators import clusters as K
 from gradloom.operators import ingest as I
 from gradloom.operators import plugins
 from gradloom.operators import stats as A
-from gradloom.operators.extract import by_lines
 from gradloom.operators.segment import segment, split_pages
 from gradloom.plans import duck as D
 from gradloom.plans import relational_queries as Q
@@ -73,7 +72,6 @@ QUERIES = {
         lambda t: segment(t.scans).withColumn("subject_id", F.col("paper_id") % 10).join(_fresh_modules(t).withColumnRenamed("module_number", "module_hint"), ["subject_id", "module_hint"], "left").select("paper_id", "pos", "module_name", F.when(F.col("year_context").isNotNull(), F.array("year_context")).otherwise(F.array().cast("array<string>")).alias("years_appeared")),
         None,
     ),
-    "p18_line_parser": (lambda t: by_lines(t.scans).select("paper_id", "question_number", "text"), None),
     "p20_split_pages": (
         lambda t: t.scans.select("paper_id", F.array_join(split_pages(F.col("text"), "\nModule", 3), "|").alias("pages"), F.size(split_pages(F.col("text"), "\nModule", 3)).alias("n")),
         "SELECT paper_id, array_to_string((string_split(text, chr(10) || 'Module') || ['', '', ''])[1:3], '|') AS pages, 3 AS n FROM scans",

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradloom.plans import later_queries, more_queries, relational_queries, report_queries, text_queries
+from gradloom.plans import analysis_queries, later_queries, more_queries, relational_queries, report_queries, text_queries
 from gradloom.plans.exam import Tables, with_views
 
-_ALL = {**text_queries.QUERIES, **relational_queries.QUERIES, **report_queries.QUERIES, **more_queries.QUERIES, **later_queries.QUERIES}
+_ALL = {**text_queries.QUERIES, **relational_queries.QUERIES, **report_queries.QUERIES, **more_queries.QUERIES, **later_queries.QUERIES, **analysis_queries.QUERIES}
 
 
 def _bound(make) -> Callable[[SparkSession, str], DataFrame]:
