@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
+from gradloom.functions.text import clean
 from gradloom.lineage import new_path
+from gradloom.operators import calls as C
 from gradloom.operators import formats, topics
+from gradloom.operators.segment import segment
 from gradloom.plans.exam import ASKED, Tables
 from gradloom.sources import versions
+from gradloom.sources.files import papers_text
 
 _ORDER = ("paper_id", "question_no", "topic_id", "supplier_id", "marks", "qtext")
 # module 5 is unknown, so its questions are without one
@@ -54,7 +60,116 @@ def _expected() -> str:
     ])
 
 
+# A model whose replies follow from the prompt alone, so that the oracle can say them too.
+
+
+def _judge(prompt: str) -> str:
+    """Says of a pair what the length of its second text says."""
+    n = len(prompt.rsplit("\nB: ", 1)[1])
+    if n % 7 == 0:
+        raise TimeoutError("no answer")
+    return f"Same: {'NO' if n % 3 == 0 else 'YES'}\nVerdict: {'DIFFERENT' if n % 3 == 0 else 'SIMILAR'}\nConfidence: {76 + n % 20}"
+
+
+def _namer(prompt: str) -> str:
+    """Labels of a list: the second word; lists with a red topic get no array, those with an old one an entry too few."""
+    lines = [x.split(". ", 1)[1] for x in prompt.split("\n\nReturn")[0].split("\n")[1:]]
+    if any("red " in x for x in lines):
+        return "I can't [do that"
+    words = [x.split(" ")[1] if not x.startswith("big ") else "x" * 80 for x in lines]
+    return "Here you are: " + json.dumps(words[:-1] if any(x.startswith("old ") for x in lines) else words)
+
+
+def _first_word(prompt: str) -> str:
+    lines = prompt.split("\n- ")[1:]
+    if len(lines[0]) % 5 == 0:
+        return " "
+    return f" {len(lines)} {max(map(len, lines))} "
+
+
+def _scribe(prompt: str) -> str | None:
+    """Pages in capitals; of papers in promotion the last is lost, of small ones nothing comes back."""
+    pages = prompt.split("\n\n", 1)[1]
+    if "SMALL" in pages:
+        return None
+    return pages.rsplit("=== PAGE", 1)[0].upper() if "PROMO" in pages else pages.upper().replace("=== PAGE SEPARATOR ===", "===page separator===")
+
+
+def _memory(t: Tables) -> str:
+    return new_path(t.spark, "answers")
+
+
+def _members(t: Tables):
+    return t.qlines.select(F.col("topic_id").alias("cluster"), (F.col("topic_id") % 7).alias("module"), (F.col("form") + 1).alias("seen"), "line", ((F.col("topic_id") * 5 + F.col("form") * 3) % 50 / 100 + 0.5).alias("score"))
+
+
+def _refined(t: Tables):
+    return C.refined(_members(t), ["module"], ["seen"], "line", "score", [("judge", _judge)], _memory(t), tries=1)
+
+
+def _twice(t: Tables):
+    """The same clusters confirmed twice with one memory: what was asked the second time."""
+    folder, chain = _memory(t), [("judge", _judge)]
+    C.confirmed(_members(t), ["module"], ["seen"], "line", chain, folder, budget=50, tries=1).write.format("noop").mode("overwrite").save()
+    first = C.answers(t.spark, folder).agg(F.count(F.lit(1)).alias("first_calls"))
+    C.confirmed(_members(t), ["module"], ["seen"], "line", chain, folder, budget=50, tries=1).write.format("noop").mode("overwrite").save()
+    return first.join(C.answers(t.spark, folder).agg(F.count(F.lit(1)).alias("all_calls")))  # one row each
+
+
+_RANKED = "m AS (SELECT topic_id AS cluster, topic_id % 7 AS module, form + 1 AS seen, line, (topic_id * 5 + form * 3) % 50 / 100 + 0.5 AS score FROM qlines), r AS (SELECT m.*, (SELECT line FROM m f WHERE f.cluster = m.cluster AND f.seen = 1) AS first_text, seen > 1 AND row_number() OVER (PARTITION BY module, seen > 1 ORDER BY cluster, seen) <= {budget} AS in_budget FROM m)"
+_SURE = "CASE WHEN length(line) % 7 = 0 THEN true ELSE length(line) % 3 <> 0 AND 76 + length(line) % 20 >= 80 END"
+
+
+def _pages(t: Tables):
+    """Papers in two pages, the second of them recognised badly."""
+    return t.scans.select("paper_id", F.posexplode(F.split("text", "\nModule ", -1)).alias("page", "text"))
+
+
+def _paged(t: Tables):
+    return C.cleaned_pages(_pages(t), "paper_id", "page", "text", [("scribe", _scribe)], _memory(t), tries=1)
+
+
+def _leg(t: Tables):
+    """The recognised pages of a paper, cleaned together, joined and cut into questions."""
+    joined = papers_text(_paged(t).select(F.col("paper_id").alias("path"), F.col("page").alias("page_number"), F.col("cleaned").alias("text"), F.lit(1.0).alias("confidence")), "\n")
+    return segment(joined.select(F.col("path").alias("paper_id"), clean(F.col("text")).alias("text")))
+
+
+_PART_TOPICS = "SELECT p_partkey AS topic_id, p_size % 6 AS module, p_name AS topic FROM part"
+
 QUERIES = {
+    "v17_confirmed": (
+        lambda t: C.confirmed(_members(t), ["module"], ["seen"], "line", [("judge", _judge)], _memory(t), budget=50, tries=1),
+        f"WITH {_RANKED.format(budget=50)} SELECT module, cluster, count(*) AS members, count(CASE WHEN in_budget THEN 1 END) AS asked, bool_and(NOT in_budget OR {_SURE}) AS confirmed FROM r GROUP BY 1, 2",
+    ),
+    "v17_calls": (
+        _twice,
+        f"WITH {_RANKED.format(budget=50)} SELECT count(DISTINCT first_text || chr(10) || line) AS first_calls, count(DISTINCT first_text || chr(10) || line) AS all_calls FROM r WHERE in_budget AND length(line) % 7 <> 0",
+    ),
+    "k08_refined_by_model": (
+        lambda t: _refined(t).select("cluster", "seen", "module", "in_budget", "asked", "stays"),
+        f"WITH {_RANKED.format(budget=100)} SELECT cluster, seen, module, in_budget, in_budget AND score >= 0.65 AND score < 0.85 AS asked, CASE WHEN NOT in_budget THEN true WHEN score >= 0.85 THEN true WHEN score < 0.65 THEN false WHEN length(line) % 7 = 0 THEN score >= 0.75 ELSE length(line) % 3 <> 0 END AS stays FROM r",
+    ),
+    "k18_topic_labels": (
+        lambda t: C.topic_labels(t.sql(_PART_TOPICS), ["module"], ["topic_id"], "topic", [("namer", _namer)], _memory(t), tries=1),
+        f"WITH a AS (SELECT *, row_number() OVER (PARTITION BY module ORDER BY topic_id) - 1 AS k FROM ({_PART_TOPICS})), l AS (SELECT *, k // 50 AS list FROM a), s AS (SELECT module, list, bool_or(contains(topic, 'red ')) AS bad, bool_or(topic LIKE 'old %') AS short, max(k) AS last_k FROM l GROUP BY 1, 2), "
+        "w AS (SELECT l.*, CASE WHEN bad OR (short AND k = last_k) THEN NULL WHEN topic LIKE 'big %' THEN repeat('x', 80) ELSE string_split(topic, ' ')[2] END AS reply FROM l JOIN s ON l.module = s.module AND l.list = s.list) SELECT topic_id, module, topic, CASE WHEN length(reply) > 2 AND length(reply) < 80 THEN reply ELSE topic END AS label FROM w",
+    ),
+    "t41_cleaned_questions": (
+        lambda t: C.cleaned_questions(t.sql(_PART_TOPICS), ["module"], ["topic_id"], "topic", [("namer", _namer)], _memory(t), tries=1),
+        f"WITH a AS (SELECT *, row_number() OVER (PARTITION BY module ORDER BY topic_id) - 1 AS k FROM ({_PART_TOPICS})), l AS (SELECT *, k // 12 AS list FROM a), s AS (SELECT module, list, bool_or(contains(topic, 'red ')) AS bad, bool_or(topic LIKE 'old %') AS short, max(k) AS last_k FROM l GROUP BY 1, 2), "
+        "w AS (SELECT l.*, CASE WHEN bad OR (short AND k = last_k) THEN NULL WHEN topic LIKE 'big %' THEN repeat('x', 80) ELSE string_split(topic, ' ')[2] END AS reply FROM l JOIN s ON l.module = s.module AND l.list = s.list) SELECT topic_id, module, topic, CASE WHEN length(reply) >= 10 THEN reply END AS cleaned FROM w",
+    ),
+    "k17_cluster_labels": (
+        lambda t: C.cluster_labels(t.qlines, "topic_id", ["form"], "line", F.concat(F.lit("Module "), F.col("topic_id") % 5 + 1), [("first", _first_word)], _memory(t), tries=1),
+        "SELECT topic_id, CASE WHEN arg_min(length(line), form) % 5 = 0 THEN 'Module ' || (topic_id % 5 + 1) ELSE count(*) || ' ' || max(length(line)) END AS label FROM qlines WHERE form < 5 GROUP BY topic_id",
+    ),
+    "t41_cleaned_pages": (
+        lambda t: _paged(t).select("paper_id", "page", "cleaned", "model"),
+        "WITH p AS (SELECT paper_id, CAST(i - 1 AS INT) AS page, string_split(text, chr(10) || 'Module ')[i] AS page_text, len(string_split(text, chr(10) || 'Module ')) AS n, contains(text, 'SMALL') AS small, contains(text, 'PROMO') AS promo FROM scans, UNNEST(range(1, 3)) AS u(i)) "
+        "SELECT paper_id, page, CASE WHEN small THEN page_text WHEN promo AND page = n - 1 THEN '' ELSE regexp_replace(regexp_replace(upper(replace(page_text, 'ﬁ', 'FI')), '(?i)PAGE\\s+\\d+\\s*:\\s*', '', 'g'), '\\A\\s+|\\s+\\z', '', 'g') END AS cleaned, CASE WHEN small THEN 'none' ELSE 'scribe' END AS model FROM p",
+    ),
+    "p22_recognised_questions": (lambda t: _leg(t).select("paper_id", "pos", "question_number", "text"), None),
     "p16_by_format": (lambda t: formats.questions_by_format(t.printed), _expected()),
     "p18_line_parser": (
         lambda t: formats.questions_by_line(t.lined.withColumn("known", F.when(F.col("paper_id") % 2 == 0, F.array(F.lit("2")))), existing="known").select("paper_id", "question_number", "text"),
