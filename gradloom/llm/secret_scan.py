@@ -4,7 +4,8 @@ Candidates are found in each whole text; their hashes are then aggregated over t
 by distinct repositories and distinct owners. A value that many owners carry, or two in many
 repositories, is a copied example (documentation keys, sample configs); a random-looking value
 that one owner alone carries, in however many repositories, is a credential that looks live. Live
-values are masked by their spans, overlapping ones as one; equal text elsewhere stays.
+values are masked by their spans, overlapping ones as one; equal text elsewhere stays. What is
+written and shuffled are spans and hashes; values are read from the text again where they are masked.
 
 Defined results: null and empty texts have no candidates; rows that repeat a ``doc_id``
 count as one repository, and each of them gets the classes of all their candidates; a null
@@ -86,9 +87,10 @@ def find(df: DataFrame, text_col: str = "text", out: str = "secret_spans") -> Da
     return df.withColumn(out, F.sort_array(F.concat(*[F.coalesce(F.col(n), none) for n in names[1:]]))).drop(*names)
 
 
-def hashes(spans: Column) -> Column:
-    """The distinct values of a row's spans as SHA-256, so that no credential travels in clear."""
-    return F.array_distinct(F.transform(spans, lambda s: F.sha2(s["value"], 256)))
+def hashed(spans: Column) -> Column:
+    """Spans (start, rank, end, kind) with the hash of the value, whether that looks random, and where it stands, instead of the
+    value itself: this is what is written and shuffled, so no credential leaves its text."""
+    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), F.sha2(s["value"], 256).alias("hash"), looks_random(s["value"]).alias("random")))
 
 
 def looks_random(value: Column) -> Column:
@@ -114,19 +116,20 @@ def ownership(cands: DataFrame, owner: str, repo: str, widely: int = WIDELY, cop
 def _candidates(found: DataFrame, key: str, owner: str, repo: str) -> DataFrame:
     """A row for each distinct value of each row of ``found``."""
     s = found.where(F.size("spans") > 0).select(F.col(key).alias("key"), F.col(owner).alias("owner"), F.col(repo).alias("repo"), F.explode("spans").alias("s"))
-    return s.select("key", "owner", "repo", F.col("s.value").alias("value"), F.sha2("s.value", 256).alias("hash"), looks_random(F.col("s.value")).alias("random")).distinct()
+    return s.select("key", "owner", "repo", "s.hash", "s.random").distinct()
 
 
 def classify(docs: DataFrame, key: str = "doc_id", text_col: str = "text", owner: str = "source", repo: str = "doc_id", widely: int = WIDELY) -> tuple[DataFrame, DataFrame]:
-    """(key and spans of every row, class of every distinct value of every key).
+    """(key and spans of every row, class of every distinct value of every key), values by their hashes alone.
 
     The texts are read once: the spans go to the shared folder, and the corpus counts and
     the join back work on them alone.
     """
-    found = cut(find(docs.select(F.col(key).alias("key"), F.col(owner).alias("owner"), F.col(repo).alias("repo"), F.col(text_col).alias("text")), out="spans").drop("text"), "spans")
+    found = find(docs.select(F.col(key).alias("key"), F.col(owner).alias("owner"), F.col(repo).alias("repo"), F.col(text_col).alias("text")), out="spans").drop("text")
+    found = cut(found.withColumn("spans", hashed(F.col("spans"))), "spans")
     cands = cut(_candidates(found, "key", "owner", "repo"), "candidates")
     owned = cut(ownership(cands, "owner", "repo", widely), "ownership")
-    return found, cands.join(owned, "hash").select("key", "hash", "value", "n_owners", "n_repos", "secret_class")
+    return found, cands.join(owned, "hash").select("key", "hash", "n_owners", "n_repos", "secret_class")
 
 
 def mask_live(docs: DataFrame, key: str = "doc_id", text_col: str = "text", owner: str = "source", repo: str = "doc_id", widely: int = WIDELY, mask: str = "[SECRET]") -> DataFrame:
@@ -136,7 +139,7 @@ def mask_live(docs: DataFrame, key: str = "doc_id", text_col: str = "text", owne
     """
     _, classes = classify(docs, key, text_col, owner, repo, widely)
     values, flag, k, spans, text = fresh(docs, "__live", "__has", "__key", "__spans", "__text")
-    live = cut(classes.where("secret_class = 'live'").groupBy(F.col("key").alias(k)).agg(F.collect_set("value").alias(values)), "live")
+    live = cut(classes.where("secret_class = 'live'").groupBy(F.col("key").alias(k)).agg(F.collect_set("hash").alias(values)), "live")
     any_kind = F.lit(False)
     for _, rx, _, _, guard in [*BASE, *EXTRA]:
         any_kind = any_kind | F.col(text_col).rlike(guard or rx)
@@ -144,7 +147,7 @@ def mask_live(docs: DataFrame, key: str = "doc_id", text_col: str = "text", owne
     rest = flagged.where(~F.col(flag)).drop(flag)
     hit = flagged.where(flag).drop(flag).join(live, F.col(key).eqNullSafe(F.col(k)), "left")
     hit = find(hit.withColumn(text, F.when(F.col(values).isNotNull(), F.col(text_col))), text, spans)
-    mine = F.array_sort(F.transform(F.filter(spans, lambda s: F.array_contains(F.col(values), s["value"])), lambda s: F.struct(s["at"].alias("at"), (s["at"] + F.length(s["value"])).alias("end"))))
+    mine = F.array_sort(F.transform(F.filter(spans, lambda s: F.array_contains(F.col(values), F.sha2(s["value"], 256))), lambda s: F.struct(s["at"].alias("at"), (s["at"] + F.length(s["value"])).alias("end"))))
     masked = F.when(F.size(mine) > 0, without(F.col(text_col), mine, mask)).otherwise(F.col(text_col))
     return rest.unionByName(hit.withColumn(text_col, masked).drop(values, k, spans, text))
 

@@ -4,9 +4,10 @@ For every node of a page's tree the composite density is computed: characters pe
 adjusted by how much of the text and how many of the tags are links, against the page's
 own share of link text (Sun, Song and Liao's CETD). The densities of a node's children are
 summed; among the nodes as dense as the sparsest one between the body and the page's
-densest node, the one with the largest sum is the content. Elements that are boilerplate
+densest node, the one with the largest sum is the content, with the title above it and its neighbours that are
+headings, paragraphs or whole sentences. Elements that are boilerplate
 by what they are (navigation, forms, scripts ...) or by how they are named (adverts,
-cookie notices, comment sections ...) carry no text in any of this.
+cookie notices, comment sections ...) carry no text in any of this, unless they hold the article: a heading, or most of the page's text.
 
 Defined results: a null or empty html, or a page without text, gives an empty text; broken
 markup (unclosed, misnested or cut off) is read as browsers do for paragraphs, lists and
@@ -18,7 +19,8 @@ from __future__ import annotations
 import html as _html
 import math
 import re
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,7 +42,7 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 #: Boilerplate by kind.
-DROP = frozenset("head nav footer aside form button select option input dialog menu audio video map datalist output progress meter".split()) | RAW
+DROP = frozenset("head nav footer aside button select option input dialog menu audio video map datalist output progress meter".split()) | RAW
 #: Boilerplate by name: a class, id or role that is one of these words, or a compound of such a word and of ``PARTS``.
 NAMES = frozenset(
     """ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored sponsors promo promos promotion banner banners sidebar sidebars rail menu menus nav
@@ -57,6 +59,10 @@ PARTS = frozenset(
 #: Of these, words that also name what running text is about: they drop boxes, not paragraphs.
 TOPICAL = frozenset("legal popular social search alert alerts notice notices reply replies discussion reactions trending recommended related copyright disclaimer promotion share sharing register subscription consent".split())
 RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption table tr td th li dl dt dd span em strong b i a q code".split())
+#: Of these, words that stand for what readers say: such boxes never hold the article.
+READERS = frozenset("comment comments commentlist disqus respond reply replies discussion reactions".split())
+#: Inside of an article they say that a box of a topical name is a part of it.
+CONTENT = frozenset("content main text body".split())
 #: Boilerplate only outside an article: the page's header and not the article's.
 OUTER = frozenset("header topbar".split())
 #: An opening tag closes these, up to the given boundary.
@@ -71,13 +77,35 @@ class _Tree:
         self.name, self.parent, self.tokens, self.hidden, self.first, self.last = ["html"], [-1], [frozenset()], [False], [0], [0]
         self.events: list[tuple[int, str | None]] = []  # (node, text), or (node, None) where a block begins or ends
         stack, at = [0], 0
+        #: Where on the stack the open elements of each name, of blocks and of those that bound a paragraph stand: no scan of the stack.
+        where: dict[str, list[int]] = defaultdict(list)
+        blocks: list[int] = []
+        scopes: list[int] = []
+        endless: set[str] = set()
+
+        def lists(name: str) -> list[list[int]]:
+            return [where[name], *([blocks] if name in BLOCK else []), *([scopes] if name in _SCOPE else [])]
+
+        def push(k: int) -> None:
+            for x in lists(self.name[k]):
+                x.append(len(stack))
+            stack.append(k)
 
         def pop() -> None:
             k = stack.pop()
+            for x in lists(self.name[k]) if k else ():
+                x.pop()
             if self.name[k] in BLOCK:
                 self.events.append((k, None))
             self.last[k] = len(self.events)
 
+        def last(names: Iterable[str]) -> int:
+            return max((where[x][-1] for x in names if where[x]), default=0)
+
+        def cut_to(size: int) -> None:
+            while len(stack) > size:
+                pop()
+
         while True:
             m = _MARKUP.search(source, at)
             piece = source[at : m.start() if m else len(source)]
@@ -93,32 +121,22 @@ class _Tree:
             if m["end"]:
                 if name == "br":
                     self.events.append((stack[-1], " "))
-                elif name == "p" and not any(self.name[k] == "p" for k in stack):
+                elif name == "p" and not where["p"]:
                     self.events.append((stack[-1], None))
-                else:
-                    self._end(stack, name, pop)
+                elif (i := last([name])) and (name in BLOCK or not blocks or blocks[-1] <= i):  # an inline end tag closes nothing beyond its block
+                    cut_to(i)
                 continue
             if name == "br":
                 self.events.append((stack[-1], " "))
-            if name in ("html", "body") and name in (self.name[k] for k in stack):
+            if name in ("html", "body") and (name == "html" or where[name]):
                 continue
             if name in BLOCK:
-                for i in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph
-                    if self.name[stack[i]] == "p":
-                        while len(stack) > i:
-                            pop()
-                        break
-                    if self.name[stack[i]] in _SCOPE:
-                        break
+                if (i := last(["p"])) and (not scopes or scopes[-1] < i):  # a block ends an open paragraph
+                    cut_to(i)
                 if name in CLOSES:
                     names, stops = CLOSES[name]
-                    for i in range(len(stack) - 1, 0, -1):
-                        if self.name[stack[i]] in names.split():
-                            while len(stack) > i:
-                                pop()
-                            break
-                        if self.name[stack[i]] in stops:
-                            break
+                    if (i := last(names.split())) and i > last(stops):
+                        cut_to(i)
             k = len(self.name)
             tokens, hidden = _attributes(m["attrs"])
             for column, value in ((self.name, name), (self.parent, stack[-1]), (self.tokens, tokens), (self.hidden, hidden), (self.first, len(self.events)), (self.last, 0)):
@@ -126,24 +144,18 @@ class _Tree:
             if name in BLOCK:
                 self.events.append((k, None))
             if name in RAW:  # to its end tag; without one, to the end of the page
-                if (end := re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*>?", re.I).search(source, at)) or name not in ("svg", "math", "object"):
-                    at = end.end() if end else len(source)
+                end = None if name in endless else re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*>?", re.I).search(source, at)
+                if end:
+                    at = end.end()
+                else:
+                    endless.add(name)
+                    at = at if name in ("svg", "math", "object") else len(source)
                 self.last[k] = len(self.events)
             elif name in VOID or m["attrs"].endswith("/") and name not in BLOCK:
                 self.last[k] = len(self.events)
             else:
-                stack.append(k)
-        while stack:
-            pop()
-
-    def _end(self, stack: list[int], name: str, pop) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if self.name[stack[i]] == name:
-                while len(stack) > i:
-                    pop()
-                return
-            if name not in BLOCK and self.name[stack[i]] in BLOCK:  # an inline end tag closes nothing beyond its block
-                return
+                push(k)
+        cut_to(0)
 
 
 def _attributes(attrs: str) -> tuple[frozenset[str], bool]:
@@ -214,25 +226,55 @@ def densities(t: _Tree, drop: list[bool]) -> tuple[list[int], list[int], list[fl
     return chars, links, own, sums
 
 
-def main_text(source: str | None) -> str:
-    """The article's blocks, joined by line feeds."""
-    if not source:
-        return ""
-    t = _Tree(source)
+def _dropped(t: _Tree, names: bool) -> list[bool]:
+    """What is boilerplate by its kind, or (``names``) by what it is called.
+
+    A form and a named box stay if they hold an article, a main element or a heading, or, in pages without an article, more than half of the
+    page's text outside of links: what readers say apart, a name is no reason then.
+    """
     n = len(t.name)
-    # what holds an article, a main element or a heading is no boilerplate by its name alone
-    holds = [x in ("article", "main", "h1") for x in t.name]
+    holds, weight, idle, in_link = [x in ("article", "main", "h1") for x in t.name], [0] * n, [False] * n, [False] * n
+    for k in range(1, n):
+        idle[k] = idle[t.parent[k]] or t.hidden[k] or t.name[k] in DROP
+        in_link[k] = in_link[t.parent[k]] or t.name[k] == "a"
+    for k, text in t.events:
+        if text and not idle[k] and not in_link[k]:
+            weight[k] += len(text.strip())
     for k in range(n - 1, 0, -1):
-        if holds[k]:
-            holds[t.parent[k]] = True
+        holds[t.parent[k]] |= holds[k]
+        weight[t.parent[k]] += weight[k]
+    marked = any(x in ("article", "main") and not idle[k] for k, x in enumerate(t.name))
     inside, drop = [False] * n, [False] * n
     for k in range(1, n):
         up, name = t.parent[k], t.name[k]
         inside[k] = inside[up] or name in ("article", "main")
-        named = _named(t.tokens[k], NAMES)
-        by_name = bool(named - TOPICAL if name in RUNNING else named) and name not in ("html", "body", "main") and (not holds[k] or name == "article" and inside[up])
-        outer = not inside[up] and (name in OUTER or bool(_named(t.tokens[k], OUTER))) and name not in ("html", "body", "main", "article")
-        drop[k] = drop[up] or t.hidden[k] or name in DROP or by_name or outer
+        kept = holds[k] and not (name == "article" and inside[up]) or not marked and 2 * weight[k] > weight[0] and not _named(t.tokens[k], NAMES) & READERS
+        by_name = outer = False
+        if names and name not in ("html", "body", "main"):
+            by_name = bool(_boilerplate(t.tokens[k], name in RUNNING, inside[k])) and not kept
+            outer = not inside[up] and (name in OUTER or bool(_named(t.tokens[k], OUTER))) and name != "article"
+        drop[k] = drop[up] or t.hidden[k] or name in DROP or name == "form" and not kept or by_name or outer
+    return drop
+
+
+def _boilerplate(tokens: frozenset[str], running: bool, inside: bool) -> frozenset[str]:
+    """The words by which an element is boilerplate: of running text, names that are nothing else; in an article no part of it."""
+    if running:
+        return _named(frozenset(x for x in tokens if not set(_TOKEN.findall(x)) & PARTS), NAMES) - TOPICAL
+    found = _named(tokens, NAMES)
+    told = {x for name in tokens for x in _TOKEN.findall(name)}
+    return found - TOPICAL if inside and told & CONTENT else found
+
+
+def main_text(source: str | None) -> str:
+    """The article's blocks, joined by line feeds."""
+    if not source:
+        return ""
+    t = _Tree(source)
+    n = len(t.name)
+    drop = _dropped(t, True)
+    if not any(text and text.strip() and not drop[k] for k, text in t.events):  # all went by its names: then kinds alone decide
+        drop = _dropped(t, False)
     chars, links, own, sums = densities(t, drop)
     if not chars[0]:
         return ""
@@ -250,20 +292,29 @@ def main_text(source: str | None) -> str:
         if t.name[k] in ("article", "main"):
             best = k
         k = t.parent[k]
-    if t.name[best] not in ("article", "main"):
+    whole = t.name[best] in ("article", "main")
+    if not whole:
         lowest = best
+
+        def is_dense(j: int) -> bool:
+            return own[j] >= threshold and bool(chars[j]) and 2 * links[j] < chars[j]
+
+        dense = [0] * n
+        for j in range(1, n):
+            dense[t.parent[j]] += is_dense(j)
         while best > 0 and best != body and t.parent[best] > 0 and t.name[best] not in ("body", "html"):
             up = t.parent[best]
             if t.name[up] in ("body", "html") and sums[up] - own[best] < threshold:
                 break
-            if not any(t.parent[j] == up and j != best and own[j] >= threshold and chars[j] and 2 * links[j] < chars[j] for j in range(up + 1, n)):
+            if dense[up] - is_dense(best) < 1:
                 break
             best = up
         for j in range(best + 1, n) if best != lowest else ():  # what came along beside the dense parts and is mostly links
             drop[j] = drop[j] or drop[t.parent[j]] and j > best or t.parent[j] == best and t.name[j] in BLOCK and t.name[j] != "p" and bool(chars[j]) and 2 * links[j] >= chars[j]
+    spans = [(t.first[best], t.last[best])] if whole or best in (0, body) else _with_neighbours(t, best, body, drop, chars, links)
     out: list[str] = []
     parts: list[str] = []
-    for k, text in t.events[t.first[best] : t.last[best]]:
+    for k, text in (e for first, last in spans for e in [*t.events[first:last], (best, None)]):
         if drop[k]:
             if text is None and parts:
                 out.append("".join(parts))
@@ -279,6 +330,26 @@ def main_text(source: str | None) -> str:
     return "\n".join(x for x in (" ".join(b.split()) for b in out) if x)
 
 
+def _with_neighbours(t: _Tree, best: int, body: int, drop: list[bool], chars: list[int], links: list[int]) -> list[tuple[int, int]]:
+    """Where the chosen subtree stands among the events, with what belongs to it beside it: headings and paragraphs, boxes of
+    whole sentences, and the page's title above; neither links nor named boxes."""
+    on_path, k = {best: 0}, best
+    while k not in (body, 0):
+        k = t.parent[k]
+        on_path[k] = 1
+    near = t.parent[best]
+    spans = []
+    for j in range(1, len(t.name)):
+        up = t.parent[j]
+        if j == best:
+            spans.append((t.first[j], t.last[j]))
+        elif up in on_path and up != best and j not in on_path and not drop[j] and chars[j] and 2 * links[j] < chars[j]:
+            said = " ".join("".join(x or " " for k, x in t.events[t.first[j] : t.last[j]] if not drop[k]).split())
+            if t.name[j] == "h1" or up == near and (t.name[j] in ("h2", "h3", "p", "blockquote", "pre", "figure", "table") or said[-1:] in {".", "!", "?", "…", '"', "”", "»", "。"} and (len(said) >= 40 or t.name[j] == t.name[best] == "section")):
+                spans.append((t.first[j], t.last[j]))
+    return spans
+
+
 def extract(pages: DataFrame, key: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``key, url, text, n_chars`` of every page."""
 
