@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from gradloom.functions.text import clean
 from gradloom.lineage import new_path
 from gradloom.operators import calls as C
+from gradloom.operators import density as D
 from gradloom.operators import formats, topics
 from gradloom.operators.segment import segment
 from gradloom.plans.exam import ASKED, Tables
@@ -138,6 +139,7 @@ def _leg(t: Tables):
 _PART_TOPICS = "SELECT p_partkey AS topic_id, p_size % 6 AS module, p_name AS topic FROM part"
 
 QUERIES = {
+    "k10_density_clusters": (lambda t: D.density_clusters(t.embeddings, "vec_id", "embedding", ("label",)), None),
     "v17_confirmed": (
         lambda t: C.confirmed(_members(t), ["module"], ["seen"], "line", [("judge", _judge)], _memory(t), budget=50, tries=1),
         f"WITH {_RANKED.format(budget=50)} SELECT module, cluster, count(*) AS members, count(CASE WHEN in_budget THEN 1 END) AS asked, bool_and(NOT in_budget OR {_SURE}) AS confirmed FROM r GROUP BY 1, 2",

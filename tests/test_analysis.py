@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gradloom.operators import clusters as K
-from gradloom.operators import formats, topics
+from gradloom.operators import density, formats, topics
 from gradloom.operators.plugins import hashing_embedder
 from gradloom.sources import versions
 
@@ -231,3 +231,93 @@ def test_lines_equal_brute_force(spark):
         got.setdefault(x.paper_id, []).append((x.question_number, x.text))
     for i, text, known in papers:
         assert got.get(i, []) == brute_lines(text, known or ()), i
+
+
+# density ------------------------------------------------------------------------------------
+
+
+def brute_density(v, k=2, least=2):
+    """From the largest distance down, by components of the whole graph below each distance: sets of keys that stand."""
+    n, norm = len(v), np.linalg.norm(v, axis=1)
+    u = v / np.where(norm == 0, 1, norm)[:, None]
+    d = np.maximum(np.round(1 - u @ u.T, 12), 1e-12)
+    core = np.array([np.sort(np.delete(d[i], i))[min(k, n - 1) - 1] for i in range(n)])
+    m = np.maximum(np.maximum(d, core[:, None]), core[None])
+    levels = sorted(set(m[np.triu_indices(n, 1)]), reverse=True)
+
+    def parts(keys, below):
+        keys, out = set(keys), []
+        while keys:
+            todo = [keys.pop()]
+            part = set(todo)
+            while todo:
+                x = todo.pop()
+                near = {y for y in keys if m[x, y] < below}
+                keys -= near
+                part |= near
+                todo += near
+            out.append(frozenset(part))
+        return out
+
+    def cluster(keys, birth, at):
+        mass, now = 0.0, keys
+        while True:
+            density, inner = 1 / levels[at], parts(now, levels[at])
+            big = [p for p in inner if len(p) >= least]
+            at += 1
+            if len(big) == 1:
+                mass += (len(now) - len(big[0])) * (density - birth)
+                now = big[0]
+                continue
+            mass += len(now) * (density - birth)
+            below = [cluster(p, density, at) for p in big]
+            total = sum(x for x, _ in below)
+            return (total, [c for _, cs in below for c in cs]) if total > mass * (1 + 1e-12) else (mass, [keys])
+
+    now = frozenset(range(n))
+    for at, level in enumerate(levels):
+        big = [p for p in parts(now, level) if len(p) >= least]
+        if len(big) != 1:
+            return {c for p in big for c in cluster(p, 1 / level, at + 1)[1]}
+        now = big[0]
+    return set()
+
+
+def some_vectors(trial, g):
+    n = int(g.integers(3, 28))
+    v = g.normal(size=(n, 3)) if trial % 3 else np.repeat(g.normal(size=(4, 3)), 8, axis=0)[:n] + g.normal(size=(n, 3)) * 0.05
+    v = np.vstack([v, v[: n // 3]]) if trial % 5 == 0 else v
+    return g.integers(0, 2, size=(n, 3)).astype(float) if trial % 7 == 0 else v
+
+
+def test_excess_of_mass_by_its_definition():
+    g = np.random.default_rng(1)
+    for trial in range(90):
+        v = some_vectors(trial, g)
+        norm = np.linalg.norm(v, axis=1)
+        u = v / np.where(norm == 0, 1, norm)[:, None]
+        core = np.array([np.sort(np.delete(density._far(u, i), i))[min(2, len(v) - 1) - 1] for i in range(len(v))])
+        a, b, w = map(np.array, zip(*density.spanning_tree(u, core, np.arange(len(v))), strict=True))
+        got = {}
+        for key, c in density.excess_of_mass(a, b, w).items():
+            got.setdefault(c, set()).add(key)
+        assert {frozenset(x) for x in got.values()} == brute_density(v), trial
+        assert all(min(x) == c for c, x in got.items())
+
+
+def test_density_clusters_over_blocks(spark):
+    g = np.random.default_rng(3)
+    centres = g.normal(size=(12, 6))
+    v = np.vstack([np.repeat(centres, 20, axis=0) + g.normal(size=(240, 6)) * 0.15, g.normal(size=(60, 6))])  # 300 points
+    rows = [(i, 1 if i % 4 else None, x.tolist()) for i, x in enumerate(v)] + [(1000, 7, [1.0] * 6), (1001, 8, None)]
+    df = spark.createDataFrame(rows, "id long, b int, v array<double>").selectExpr("*", "1 AS place", "2 AS own")
+    got = density.density_clusters(df, "id", "v", ("b",), block=40).collect()  # six blocks and two: rounds of joins
+    assert len(got) == 301 and {x.id: (x.noise, x.frequency, x.tier, x.cluster) for x in got}[1000] == (True, 1, 4, 1000)
+    for b in (1, None):
+        ids = np.array([i for i, x, _ in rows[:300] if x == b])
+        found = {}
+        for x in got:
+            if x.b == b and not x.noise:
+                found.setdefault(x.cluster, set()).add(x.id)
+        assert {frozenset(c) for c in found.values()} == {frozenset(ids[list(c)].tolist()) for c in brute_density(v[ids])}
+        assert all(x.frequency == len(found[x.cluster]) and x.tier == {1: 4, 2: 3, 3: 2}.get(x.frequency, 1) for x in got if x.b == b and not x.noise)
