@@ -119,6 +119,19 @@ def phrase_clusters(rows: DataFrame, phrase: str, bucket: Sequence[str], order:
     return known.join(linked.select("__id", "cluster"), "__id").withColumn("seen", seen).drop("__place", "__phrase", "__id")
 
 
+def mixed_clusters(rows: DataFrame, cluster: str, bucket: Sequence[str]) -> DataFrame:
+    """``cluster, buckets`` of those that hold rows of more than one bucket; a bucket of nulls is one."""
+    return rows.groupBy(cluster).agg(F.countDistinct(F.to_json(F.struct(*bucket))).alias("buckets")).where("buckets > 1")
+
+
+def require_isolated(rows: DataFrame, cluster: str, bucket: Sequence[str]) -> DataFrame:
+    """``rows``, unless a cluster mixes buckets (modules, parts): that is refused."""
+    some = [str(r[cluster]) for r in mixed_clusters(rows, cluster, bucket).limit(5).collect()]
+    if some:
+        raise ValueError(f"clusters over several of {', '.join(bucket)}: {', '.join(sorted(some))}")
+    return rows
+
+
 def pairwise_floor(clusters: DataFrame, vectors: DataFrame, key: str, vector: str, floor: float = 0.80) -> DataFrame:
     """Clusters none of whose member pairs is below ``floor``: as many pairs pass as the cluster has."""
     rows = clusters.select(key, "cluster").join(vectors.select(F.col(key).cast("long").alias(key), vector), key)

@@ -7,14 +7,21 @@ import json
 from pyspark.sql import functions as F
 
 from gradloom.functions.text import clean
-from gradloom.lineage import new_path
+from gradloom.lineage import cut, new_path
 from gradloom.operators import calls as C
 from gradloom.operators import density as D
 from gradloom.operators import formats, topics
+from gradloom.operators import merge as M
+from gradloom.operators import rules
+from gradloom.operators import stats as A
 from gradloom.operators.segment import segment
+from gradloom.operators.table_functions import register
+from gradloom.plans import later_queries as L
+from gradloom.plans import relational_queries as Q
 from gradloom.plans.exam import ASKED, Tables
 from gradloom.sources import versions
 from gradloom.sources.files import papers_text
+from gradloom.streaming import progress as P
 
 _ORDER = ("paper_id", "question_no", "topic_id", "supplier_id", "marks", "qtext")
 # module 5 is unknown, so its questions are without one
@@ -138,7 +145,91 @@ def _leg(t: Tables):
 
 _PART_TOPICS = "SELECT p_partkey AS topic_id, p_size % 6 AS module, p_name AS topic FROM part"
 
+# questions with two values that people edit, and the forms that they sent, in order
+_EDITED = "SELECT p_partkey AS id, CAST(p_size % 5 + 1 AS INT) AS module_number, CASE WHEN p_size % 3 = 0 THEN NULL ELSE p_type END AS difficulty FROM part"
+_EDITS = "SELECT l_partkey AS id, l_orderkey AS paper, l_linenumber AS n, CAST(min(CASE WHEN p_partkey % 4 = 0 THEN p_size % 5 + 1 ELSE l_linenumber % 5 + 1 END) AS INT) AS module_number, min(CASE WHEN l_quantity > 40 THEN 'LARGE' WHEN p_size % 3 = 0 THEN NULL ELSE p_type END) AS difficulty, max(l_linestatus) = 'F' AND l_linenumber = 1 AS verified FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_partkey % 3 <> 0 GROUP BY l_partkey, l_orderkey, l_linenumber"
+_STICKY = {"module_number": "module_manually_set", "difficulty": "difficulty_manually_set"}
+
+
+def _overridden(t: Tables):
+    """Edits applied, then again, then a new classification of all."""
+    rows = t.sql(_EDITED).withColumns({"module_manually_set": F.lit(False), "difficulty_manually_set": F.lit(False)})
+    edits = t.sql(_EDITS)
+    once = M.apply_edits(rows, edits, "id", ["paper", "n"], _STICKY, "verified")
+    again = M.apply_edits(once, edits, "id", ["paper", "n"], _STICKY, "verified")
+    return M.reclassified(again, rows.select("id", (F.col("id") % 5 + 1).cast("int").alias("module_number"), F.lit("computed").alias("difficulty")), "id", _STICKY)
+
+
+def _priorities(t: Tables):
+    """Tiers by Part A alone, then by all questions, when every third topic has become a concept."""
+    first = M.assign_priorities(t.spark.createDataFrame([], "cluster_id long, tier int, tier_label string, frequency long"), A.cluster_groups(t.questions.where("part = 'A'"), ("topic_id",)).select(F.col("topic_id").alias("cluster_id"), "frequency", F.lit("strict_repetition").alias("cluster_type")))
+    then = A.cluster_groups(t.questions.where("topic_id % 5 <> 0"), ("topic_id",)).select(F.col("topic_id").alias("cluster_id"), "frequency", F.expr("CASE WHEN topic_id % 3 = 0 THEN 'concept_similarity' ELSE 'strict_repetition' END").alias("cluster_type"))
+    return M.assign_priorities(first.drop("state"), then)
+
+
+def _streamed(t: Tables):
+    """The states of jobs as a stream of micro-batches writes them, the last one twice."""
+    folder, source = new_path(t.spark, "progress"), new_path(t.spark, "changes")
+    changes = t.events.select(F.col("user_id").alias("job"), F.col("event_id").alias("at"), F.expr(L._STATE).alias("status"))
+    changes.repartition(3).write.parquet(source)
+    stream = t.spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    P.follow(stream, folder, new_path(t.spark, "checkpoint")).awaitTermination()
+    P.upserts(folder)(changes.where("event_id % 3 = 0"), 2)
+    return P.progress(t.spark, folder)
+
+
+def _from_sql(t: Tables):
+    """The papers' pages, cut into questions by a function that SQL calls."""
+    register(t.spark)
+    return t.spark.sql("SELECT paper_id, pos, question_number, text, part, marks, module_hint, pages FROM segment_pages(TABLE (SELECT paper_id, page, text FROM {pages}))", pages=_pages_of(t))
+
+
+def _pages_of(t: Tables):
+    """The scans in two pages each; joined by a line feed they are what they were."""
+    return t.scans.select("paper_id", F.posexplode(F.array(F.substring_index("text", "\n", 8), F.expr("substr(text, length(substring_index(text, chr(10), 8)) + 2)"))).alias("page", "text"))
+
+
+def _rule_writer(prompt: str) -> str | None:
+    """Rules on a length: by the number's rest of 5 right, right in a code block, right when told what is wrong, never right, or no reply."""
+    n = int(prompt.split("longer than ")[1].split(" ")[0])
+    told = rules.REPAIR in prompt
+    right = f"length(question_text) > {n}"
+    return [right, f"```sql\n{right} AND NOT contains(question_text, 'OR')\n```", right if told else f"reflect('x', '{n}') > 1", f"length(question_text) + {n}; drop table x", None][n % 5]
+
+
+def _compiled(t: Tables):
+    """A rule for each brand, compiled by a model, and the questions that it holds for."""
+    wanted = t.part.select(F.regexp_extract("p_brand", r"(\d+)", 1).alias("n")).distinct().select(F.concat(F.lit("rule-"), "n").alias("rule_id"), F.lit("length").alias("kind"), F.concat(F.lit("questions longer than "), F.col("n"), F.lit(" characters")).alias("words"))
+    found = cut(rules.compile_rules(wanted, [("writer", _rule_writer)], _memory(t), tries=1), "rules")
+    questions = t.qlines.select(F.col("line").alias("question_text"), F.array().cast("array<string>").alias("keywords"), F.lit(None).cast("int").alias("marks"))
+    hits = rules.execute_all(questions, rules.compiled(found)).select(F.explode("results").alias("rule_id", "holds")).where("holds").groupBy("rule_id").agg(F.count(F.lit(1)).alias("questions"))
+    return found.join(hits, "rule_id", "left").select("rule_id", F.col("expression").isNotNull().alias("accepted"), "tries", F.coalesce("questions", F.lit(0)).alias("questions"))
+
+
 QUERIES = {
+    "x01_compiled_rules": (
+        _compiled,
+        "WITH b AS (SELECT DISTINCT CAST(regexp_extract(p_brand, '(\\d+)', 1) AS INT) AS n FROM part) SELECT 'rule-' || n AS rule_id, n % 5 < 3 AS accepted, CASE WHEN n % 5 < 2 THEN 1 ELSE 2 END AS tries, "
+        "CASE WHEN n % 5 < 3 THEN (SELECT count(*) FROM qlines WHERE length(line) > n AND NOT (n % 5 = 1 AND contains(line, 'OR'))) ELSE 0 END AS questions FROM b",
+    ),
+    "x07_segment_in_sql": (_from_sql, None),
+    "x07_question_counts": (
+        lambda t: _from_sql(t).groupBy("paper_id").agg(F.count(F.lit(1)).alias("questions"), F.max("pages").alias("pages"), F.max("module_hint").alias("module")),
+        "SELECT paper_id, len(regexp_extract_all(text, '(?m)^\\s*\\d{1,2}\\s*\\.\\s+\\S')) AS questions, 2 AS pages, TRY_CAST(regexp_extract(text, '(?m)^Module (\\d)$', 1) AS INT) AS module FROM scans",
+    ),
+    "s28_edits_survive": (
+        _overridden,
+        f"WITH q AS ({_EDITED}), e AS ({_EDITS}), s AS (SELECT e.*, module_number IS DISTINCT FROM coalesce_m AS m_changed, difficulty IS DISTINCT FROM coalesce_d AS d_changed FROM (SELECT e.*, CASE WHEN row_number() OVER w = 1 THEN q.module_number ELSE lag(e.module_number) OVER w END AS coalesce_m, "
+        "CASE WHEN row_number() OVER w = 1 THEN q.difficulty ELSE lag(e.difficulty) OVER w END AS coalesce_d FROM e JOIN q ON e.id = q.id WINDOW w AS (PARTITION BY e.id ORDER BY e.paper, e.n)) e), "
+        "l AS (SELECT id, arg_max(struct_pack(m := module_number, d := difficulty), (paper, n)) AS last, bool_or(m_changed) OR bool_or(verified) AS m_set, bool_or(d_changed) AS d_set FROM s GROUP BY id) "
+        "SELECT q.id, CASE WHEN m_set THEN last.m ELSE CAST(q.id % 5 + 1 AS INT) END AS module_number, CASE WHEN d_set THEN last.d ELSE 'computed' END AS difficulty, coalesce(m_set, false) AS module_manually_set, coalesce(d_set, false) AS difficulty_manually_set FROM q LEFT JOIN l ON q.id = l.id",
+    ),
+    "s24_priorities": (
+        _priorities,
+        f"WITH a AS (SELECT topic_id, count(DISTINCT exam_year) AS f FROM questions WHERE part = 'A' GROUP BY 1), b AS (SELECT topic_id, count(DISTINCT exam_year) AS f FROM questions WHERE topic_id % 5 <> 0 AND topic_id % 3 <> 0 GROUP BY 1), r AS (SELECT coalesce(b.topic_id, a.topic_id) AS cluster_id, coalesce(b.f, a.f) AS frequency, CASE WHEN b.f IS NULL THEN 'kept' WHEN a.f IS NULL THEN 'created' WHEN a.f = b.f THEN 'unchanged' ELSE 'updated' END AS state FROM a FULL JOIN b ON a.topic_id = b.topic_id WHERE b.f IS NOT NULL OR a.topic_id % 5 = 0) "
+        f"SELECT cluster_id, frequency, state, {Q.TIER.format('frequency')} AS tier, {Q.LABEL.format('(' + Q.TIER.format('frequency') + ')')} AS tier_label FROM r",
+    ),
+    "st02_stream_progress": (lambda t: _streamed(t).select("job", "status", "progress"), f"WITH {L._JOBS} SELECT job, status, progress FROM jobs"),
     "k10_density_clusters": (lambda t: D.density_clusters(t.embeddings, "vec_id", "embedding", ("label",)), None),
     "v17_confirmed": (
         lambda t: C.confirmed(_members(t), ["module"], ["seen"], "line", [("judge", _judge)], _memory(t), budget=50, tries=1),

@@ -114,12 +114,13 @@ QUERIES = {
         f"WITH {Q._PAIRS.replace('>= 0.3)', '>= 0.25)')} SELECT CASE WHEN a = 7 THEN b ELSE a END AS vec_id, round(score, 6) AS score FROM pairs WHERE a = 7 OR b = 7",
     ),
     "k01_two_passes": (
-        lambda t: K.linkage_clusters(t.embeddings, 0.68, "vec_id", "embedding", ("label",)).withColumn("cluster_type", F.lit("strict_repetition")).unionByName(K.linkage_clusters(t.embeddings, 0.75, "vec_id", "embedding", ("label",)).withColumn("cluster", F.col("cluster") + 10000).withColumn("cluster_type", F.lit("concept_similarity"))),
+        lambda t: K.linkage_clusters(t.embeddings, 0.68, "vec_id", "embedding", ("label",)).withColumn("cluster_type", F.lit("strict_repetition")).unionByName(K.linkage_clusters(t.embeddings, 0.75, "vec_id", "embedding", ("label",)).withColumn("cluster_type", F.lit("concept_similarity"))),
         None,
     ),
     "k02_isolation": (
-        lambda t: K.linkage_clusters(t.embeddings, 0.75, "vec_id", "embedding", ("label",)).groupBy("cluster").agg(F.countDistinct("label").alias("buckets")).where("buckets > 1").groupBy().agg(F.count(F.lit(1)).alias("mixed")),
-        "SELECT CAST(0 AS BIGINT) AS mixed",
+        # topics as clusters, in which parts and years may mix: those that the guard refuses
+        lambda t: K.mixed_clusters(t.questions, "topic_id", ("part", "exam_year")),
+        "SELECT topic_id, count(DISTINCT part || exam_year) AS buckets FROM questions GROUP BY 1 HAVING count(DISTINCT part || exam_year) > 1",
     ),
     "k11_kmeans": (lambda t: _kmeans(t).groupBy("prediction").agg(F.count(F.lit(1)).alias("n")), None),
     "a08_topics_of_tiers": (

@@ -204,7 +204,7 @@ QUERIES = {
     "p01_segment": (lambda t: segment(t.scans), None),
     "p01_segment_counts": (
         lambda t: segment(t.scans).groupBy("paper_id").agg(F.count(F.lit(1)).alias("questions"), F.max("module_hint").alias("module")),
-        "SELECT p_partkey AS paper_id, CAST(CASE WHEN p_partkey % 2 = 0 THEN 4 ELSE 4 END AS BIGINT) AS questions, CAST(p_size % 5 + 1 AS INT) AS module FROM part",
+        "SELECT paper_id, len(regexp_extract_all(text, '(?m)^\\s*\\d{1,2}\\s*\\.\\s+\\S')) AS questions, TRY_CAST(regexp_extract(text, '(?m)^Module (\\d)$', 1) AS INT) AS module FROM scans",
     ),
     "x04_rules": (
         _ruled,
@@ -215,7 +215,12 @@ QUERIES = {
         f"SELECT topic_id, form, coalesce(upper(regexp_extract(r, '(?i)same\\s*:\\s*(yes|no)', 1)) = 'YES', false) AS same, CAST(coalesce(least(100.0::DOUBLE, greatest(0.0::DOUBLE, CASE WHEN c <= 1 THEN c * 100 ELSE c END)), 0) AS INT) AS confidence FROM (SELECT topic_id, form, r, TRY_CAST(nullif(regexp_extract(r, '(?i)confidence\\s*:\\s*(\\d+(?:\\.\\d+)?)', 1), '') AS DOUBLE) AS c FROM (SELECT topic_id, form, {_REPLY} AS r FROM qlines))",
     ),
     "v01_encode": (lambda t: plugins.encode(t.qlines.withColumn("id", F.concat_ws("-", F.col("topic_id").cast("string"), F.col("form").cast("string"))), "id", "line"), None),
-    "st04_rate_limit": (lambda t: rate_limited_batch(_uploads(t)), None),
+    "st04_rate_limit": (
+        lambda t: rate_limited_batch(_uploads(t)),
+        "WITH RECURSIVE u AS (SELECT user_id AS address, event_id, epoch_us(ts) // 1000 AS at_ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS k FROM events), "
+        "r AS (SELECT address, event_id, at_ms, k, true AS accepted, 1 AS n, at_ms + 3600000 AS expires FROM u WHERE k = 1 UNION ALL SELECT u.address, u.event_id, u.at_ms, u.k, u.at_ms >= expires OR n < 5, CASE WHEN u.at_ms >= expires THEN 1 WHEN n < 5 THEN n + 1 ELSE n END, CASE WHEN u.at_ms >= expires OR n < 5 THEN u.at_ms + 3600000 ELSE expires END FROM r JOIN u ON u.address = r.address AND u.k = r.k + 1) "
+        "SELECT address, event_id, at_ms, accepted FROM r",
+    ),
     "st04_sessions": (
         lambda t: session_counts(t.events.select("user_id", F.col("ts").cast("timestamp").alias("ts"))).select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "uploads"),
         "SELECT user_id, min(us) AS start_us, max(us) + 3600000000 AS end_us, count(*) AS uploads FROM (SELECT user_id, us, sum(fresh) OVER (PARTITION BY user_id ORDER BY us) AS s FROM (SELECT user_id, epoch_us(ts) AS us, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) < 3600000000 THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s",

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from gradloom.lineage import cut
 from gradloom.workers import ship
 
 LIMIT, HOUR_MS = 5, 3_600_000
@@ -48,21 +49,47 @@ def _limit(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> It
     yield rows[["address", "event_id", "at_ms"]].assign(accepted=verdicts)
 
 
-def rate_limited(uploads: DataFrame) -> DataFrame:
-    """Each upload (address, event_id, at_ms) of a stream with whether the limit lets it in."""
+def _limit_until(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:  # no upload that is still to come is before its expiry
+        state.remove()
+        return
+    yield from _limit(key, batches, state)
+    if (expires := state.get[1]) > state.getCurrentWatermarkMs():
+        state.setTimeoutTimestamp(expires)
+    else:
+        state.remove()
+
+
+def rate_limited(uploads: DataFrame, lateness: str | None = None) -> DataFrame:
+    """Each upload (address, event_id, at_ms) of a stream with whether the limit lets it in.
+
+    With ``lateness`` an address is forgotten when its count has expired for every upload that may still come, so state is held
+    for the addresses of the last hour and not for all that there ever were; uploads that come later than ``lateness`` after a newer one
+    get no verdict. Without it state is kept for ever, and every upload gets one.
+    """
     ship(uploads.sparkSession)
-    return uploads.groupBy("address").applyInPandasWithState(_limit, RATE, "count int, expires long", "append", GroupStateTimeout.NoTimeout)
+    state = "count int, expires long"
+    if lateness is None:
+        return uploads.groupBy("address").applyInPandasWithState(_limit, RATE, state, "append", GroupStateTimeout.NoTimeout)
+    timed = uploads.withColumn("at", F.timestamp_millis("at_ms")).withWatermark("at", lateness)
+    return timed.groupBy("address").applyInPandasWithState(_limit_until, RATE, state, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def rate_limited_batch(uploads: DataFrame) -> DataFrame:
-    """The same verdicts over a table, a group for each address."""
+    """The same verdicts over a table. An hour without uploads of an address ends all that came before, so a group is what
+    came without such a pause, and not an address's whole history; groups within the limit need no walk."""
     ship(uploads.sparkSession)
+    w = Window.partitionBy("address").orderBy("at_ms", "event_id")
+    fresh = F.coalesce(F.col("at_ms") - F.lag("at_ms").over(w) >= HOUR_MS, F.lit(True))
+    parted = uploads.select("address", "event_id", "at_ms").withColumn("fresh", fresh.cast("int")).withColumn("visit", F.sum("fresh").over(w))
+    sized = cut(parted.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("address", "visit"))).drop("fresh"), "visits")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["at_ms", "event_id"])
         return rows[["address", "event_id", "at_ms"]].assign(accepted=allow(rows["at_ms"].tolist(), 0, 0)[0])
 
-    return uploads.groupBy("address").applyInPandas(run, RATE)
+    few = sized.where(F.col("n") <= LIMIT).select("address", "event_id", "at_ms", F.lit(True).alias("accepted"))
+    return few.unionByName(sized.where(F.col("n") > LIMIT).groupBy("address", "visit").applyInPandas(run, RATE))
 
 
 def session_counts(events: DataFrame, gap: str = "1 hour", watermark: str | None = None) -> DataFrame:

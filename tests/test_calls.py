@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from gradloom.operators import calls as C
+from gradloom.operators import rules as R
+from gradloom.operators import segment, table_functions
 
 
 class Counted:
@@ -122,3 +124,47 @@ def test_labels_of_clusters(spark, tmp_path):
     rows = [(c, i, ("mute" if c == 2 else "q") + "x" * 500) for c in (1, 2, 3) for i in range(c * 3)]
     got = {x.c: x.label for x in C.cluster_labels(spark.createDataFrame(rows, "c int, i int, t string"), "c", ["i"], "t", F.concat(F.lit("Module "), F.col("c")), [("m", model)], f"{tmp_path}/a", tries=1).collect()}
     assert got == {1: "topic of 3", 2: "Module 2", 3: "topic of 5"} and max(map(len, model.calls)) < 5 * 210 + 200
+
+
+# rules and table functions -------------------------------------------------------------------
+
+
+def test_rules_are_compiled_repaired_or_refused(spark, tmp_path):
+    replies = {
+        "good": ["marks > 5"], "fenced": ["```sql\nlower(question_text) LIKE '%map%'\n```"], "mended": ["length(question_text)", "length(question_text) > 3"], "call": ["java_method('java.lang.Runtime', 'x') = 'a'", "reflect('x') = 1"],
+        "column": ["no_such > 1", "no_such > 2"], "query": ["(SELECT max(1)) > 0", "exists(keywords, x -> x = 'a')"], "two": ["true; drop table x", "true -- x"], "mute": [None],
+    }
+
+    def writer(p):
+        return replies[p.split("Rule: ")[1].split("\n")[0]][R.REPAIR in p] if len(replies[p.split("Rule: ")[1].split("\n")[0]]) > (R.REPAIR in p) else None
+
+    model = Counted(writer, tmp_path / "log")
+    wanted = spark.createDataFrame([(k, "keyword", k) for k in replies], "rule_id string, kind string, words string")
+    found = R.compile_rules(wanted, [("m", model)], f"{tmp_path}/a", tries=1)
+    got = {r.rule_id: (r.expression, r.tries) for r in found.collect()}
+    assert got == {
+        "good": ("marks > 5", 1), "fenced": ("lower(question_text) LIKE '%map%'", 1), "mended": ("length(question_text) > 3", 2), "call": (None, 2), "column": (None, 2),
+        "query": ("exists(keywords, x -> x = 'a')", 2), "two": (None, 2), "mute": (None, 2),
+    }
+    assert all((r.error is None) == (r.expression is not None) for r in found.collect())
+    calls = len(model.calls)
+    assert calls == len(replies) + 6  # one repair each of those that can't be used
+    R.compile_rules(wanted.where("rule_id != 'mute'"), [("m", model)], f"{tmp_path}/a", tries=1)
+    assert len(model.calls) == calls  # all of these are remembered
+    questions = spark.createDataFrame([("A flood map", ["a"], 9), ("no", [], None)], R.SCHEMA)
+    results = [r.results for r in R.execute_all(questions, R.compiled(found)).collect()]
+    assert results == [{"fenced": True, "good": True, "mended": True, "query": True}, {"fenced": False, "mended": False, "query": False}]
+
+
+def test_segmenter_in_sql(spark):
+    papers = {1: "PART A\n1. Define the flood hazard (3 marks)\n2. State its kinds\nPART B\nModule 1\n11. Discuss all of that (7 marks)", 2: "", 3: "1. Explain this question here"}
+    table = spark.createDataFrame([(p, i, x) for p, t in papers.items() for i, x in enumerate(t.split("\n"))] + [(4, 0, None)], "paper_id long, page int, text string")
+    table_functions.register(spark)
+    names = [x.split()[0] for x in segment.SCHEMA.split(", ")]
+    got = spark.sql("SELECT * FROM segment_pages(TABLE ({t}))".replace("({t})", "(SELECT * FROM {t})"), t=table)
+    want = segment.segment(spark.createDataFrame(list(papers.items()), "paper_id long, text string"))
+    assert sorted(map(str, got.select(*names).collect())) == sorted(map(str, want.select(*names).collect())) and got.count() >= 4
+    with pytest.raises(Exception, match="not there: text"):
+        spark.sql("SELECT * FROM segment_pages(TABLE (SELECT paper_id, page FROM {t}))", t=table).collect()
+    joined = spark.sql("SELECT pages, text FROM segment_pages(TABLE (SELECT * FROM {t} WHERE paper_id = 3), joint => ' ')", t=table).collect()
+    assert [(x.pages, x.text) for x in joined] == [(1, "Explain this question here")]
