@@ -32,6 +32,8 @@ BLOOM_FIRST = {
 }
 TIER_LABELS = {1: "Top Priority", 2: "High Priority", 3: "Medium Priority", 4: "Low Priority"}
 LIKELIHOOD = ((80, "Very High (appears almost every year)"), (60, "High (appears frequently)"), (40, "Moderate (appears occasionally)"), (20, "Low (appears rarely)"))
+#: What stands between words.
+NOT_WORD = r"[^\p{L}\p{Nd}_]+"
 ZONES = ((0.90, "high"), (0.82, "llm"), (0.80, "dead"))
 
 
@@ -57,37 +59,42 @@ def best_of(scores: dict[str, Column]) -> Column:
 
 
 def bloom_level(text: Column) -> Column:
-    """Whole-word counts weighted 6 to 1 by level; without any word, understand."""
-    low = F.lower(text)
-    apart = _overlapping()
-    count = lambda words: F.regexp_count(low, F.lit(r"\b(?:" + "|".join(words) + r")\b"))
-    scores = {level: sum((count([w]) for w in apart[level]), count(words)) * (len(BLOOM) - i) for i, (level, words) in enumerate(_without_overlap().items())}
-    listed = [("understand", F.lit(0)), *scores.items()]  # of equals the first, which is the default where no word was found
-    best = F.array_max(F.array(*[F.struct(s.alias("score"), F.lit(-i).alias("order"), F.lit(level).alias("level")) for i, (level, s) in enumerate(listed)]))
-    return F.when(text.isNotNull(), best["level"])
+    """Whole-word counts weighted 6 to 1 by level; without any word, understand.
 
+    The text is cut into words once; those that no level has go, and one fold counts the few that are left. No level has a word that is part of another of its
+    own, so counting them apart is counting them together.
+    """
+    low, n = F.lower(text), len(BLOOM)
+    single = {level: [w for w in words if " " not in w] for level, words in BLOOM.items()}
+    phrases = {level: [w for w in words if " " in w] for level, words in BLOOM.items()}
+    hits = F.filter(F.split(low, NOT_WORD), lambda w: w.isin(*dict.fromkeys(w for words in single.values() for w in words)))
+    start = F.struct(*[sum((F.when(low.contains(p), F.regexp_count(low, F.lit(rf"\b{p}\b"))).otherwise(0) for p in ps), F.lit(0)).alias(level) for level, ps in phrases.items()])
+    count = lambda a, w: F.struct(*[(a[level] + w.isin(*words).cast("int")).alias(level) for level, words in single.items()])
 
-def _overlapping() -> dict[str, list[str]]:
-    """Words that share text with another word of their level, and so are counted on their own."""
-    return {level: [w for w in words if any(w != v and (w in v.split() or v in w.split()) for v in words)] for level, words in BLOOM.items()}
+    def best(a: Column) -> Column:
+        scores = [("understand", F.lit(0)), *[(level, a[level] * (n - i)) for i, level in enumerate(BLOOM)]]  # of equals the first, which is the default where no word was found
+        return F.array_max(F.array(*[F.struct(s.alias("score"), F.lit(-i).alias("order"), F.lit(level).alias("level")) for i, (level, s) in enumerate(scores)]))["level"]
 
-
-def _without_overlap() -> dict[str, list[str]]:
-    apart = _overlapping()
-    return {level: [w for w in words if w not in apart[level]] for level, words in BLOOM.items()}
+    return F.when(text.isNotNull(), F.aggregate(hits, start, count, best))
 
 
 def difficulty(text: Column, marks: Column) -> Column:
     """Indicator words found, plus marks, length and sub-parts; ties go to the easier."""
-    low = F.lower(text)
-    score = {k: sum((low.contains(w).cast("int") for w in words[1:]), low.contains(words[0]).cast("int")) for k, words in DIFFICULTY.items()}
-    m = F.coalesce(marks, F.lit(0))
+
+    def of(s: Column) -> Column:
+        low, m = s["low"], s["m"]
+        score = {k: sum((low.contains(w).cast("int") for w in words[1:]), low.contains(words[0]).cast("int")) for k, words in DIFFICULTY.items()}
+        bump = lambda condition, by: F.when(condition, by).otherwise(0)
+        score["easy"] = score["easy"] + bump((m != 0) & (m <= 2), 2) + bump(s["n"] < 20, 1)
+        score["medium"] = score["medium"] + bump((m > 2) & (m <= 5), 2) + bump(s["parts"], 1)
+        score["hard"] = score["hard"] + bump(m > 5, 2) + bump(s["n"] > 50, 1)
+        return best_of(score)
+
     n = F.size(F.filter(F.split(text, r"\s+"), lambda w: F.length(w) > 0))
-    bump = lambda condition, by: F.when(condition, by).otherwise(0)
-    score["easy"] = score["easy"] + bump((m != 0) & (m <= 2), 2) + bump(n < 20, 1)
-    score["medium"] = score["medium"] + bump((m > 2) & (m <= 5), 2) + bump(text.rlike(r"\([a-z]\)") | text.rlike(r"[ivx]+\)"), 1)
-    score["hard"] = score["hard"] + bump(m > 5, 2) + bump(n > 50, 1)
-    return F.when(text.isNotNull(), best_of(score))
+    parts = text.rlike(r"\([a-z]\)") | text.rlike(r"[ivx]+\)")
+    # an array of one: what it holds is computed once, and not for each of the words
+    once = F.array(F.struct(F.lower(text).alias("low"), F.coalesce(marks, F.lit(0)).alias("m"), n.alias("n"), parts.alias("parts")))
+    return F.when(text.isNotNull(), F.get(F.transform(once, of), F.lit(0)))
 
 
 def question_type(text: Column, rich: bool = False) -> Column:
