@@ -65,6 +65,11 @@ def missing_embeddings(rows: DataFrame, cache: DataFrame, key: str) -> DataFrame
     return rows.join(cache.select(key), key, "left_anti")
 
 
+def encode_missing(rows: DataFrame, cache: DataFrame, key: str, text: str, make: Callable[[], Embedder] = hashing_embedder, batch: int = 64) -> DataFrame:
+    """``key, embedding`` of the rows that ``cache`` hasn't: what an incremental run adds to it."""
+    return encode(missing_embeddings(rows, cache, key), key, text, make, batch)
+
+
 def ask(prompts: DataFrame, key: str, prompt: str, chain: list[tuple[str, Llm]], tries: int = 3, wait: float = 1.0) -> DataFrame:
     """``key, answer, model``: the first model of the chain that answers, with back-off between
     tries; a null answer and ``none`` when all fail."""

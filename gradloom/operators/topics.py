@@ -52,3 +52,15 @@ def refresh_subjects(questions: DataFrame, folder: str, subjects: DataFrame, ord
 def topics_of(spark, folder: str, at: int | None = None) -> DataFrame:
     """The topic clusters of all subjects as of the last refresh, or of refresh ``at``."""
     return versions.read(spark, folder, ("subject_id",), at)
+
+
+def reset_subjects(papers: DataFrame, subjects: DataFrame, *folders: str) -> DataFrame:
+    """Undoes the analysis of ``subjects`` (subject_id): in each of the tables in ``folders`` (questions, topic clusters; by subject) they have nothing
+    left, and their papers are pending, without an error. A reader sees each table before or after."""
+    for folder in folders:
+        versions.refresh(versions.read(papers.sparkSession, folder, ("subject_id",)).where("false"), folder, ("subject_id",), subjects)
+    mine = papers.join(subjects.select("subject_id").distinct().withColumn("__reset", F.lit(True)), "subject_id", "left")
+    out = mine.withColumn("status", F.when(F.col("__reset"), "pending").otherwise(F.col("status")))
+    if "processing_error" in papers.columns:
+        out = out.withColumn("processing_error", F.when(F.col("__reset"), "").otherwise(F.col("processing_error")))
+    return out.select(*papers.columns)

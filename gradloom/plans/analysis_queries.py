@@ -206,7 +206,23 @@ def _compiled(t: Tables):
     return found.join(hits, "rule_id", "left").select("rule_id", F.col("expression").isNotNull().alias("accepted"), "tries", F.coalesce("questions", F.lit(0)).alias("questions"))
 
 
+def _reset(t: Tables):
+    """Subject 2 and one that has nothing are reset: papers by status, and what is left of questions and groups."""
+    questions, groups = new_path(t.spark, "questions"), new_path(t.spark, "groups")
+    versions.refresh(t.questions.select("subject_id", "paper_id", "qtext"), questions, ("subject_id",))
+    versions.refresh(A.cluster_groups(t.questions, ("subject_id", "topic_id")), groups, ("subject_id",))
+    subjects = t.spark.createDataFrame([(2,), (99,)], "subject_id long")
+    papers = topics.reset_subjects(t.papers, subjects, questions, groups).groupBy("subject_id").agg(F.count(F.when(F.col("status") == "pending", 1)).alias("pending"), F.count(F.lit(1)).alias("papers"))
+    left = lambda folder, name: versions.read(t.spark, folder, ("subject_id",)).groupBy("subject_id").agg(F.count(F.lit(1)).alias(name))
+    return papers.join(left(questions, "questions"), "subject_id", "left").join(left(groups, "groups"), "subject_id", "left").fillna(0)
+
+
 QUERIES = {
+    "st08_reset": (
+        _reset,
+        "WITH p AS (SELECT subject_id, count(CASE WHEN status = 'pending' OR subject_id = 2 THEN 1 END) AS pending, count(*) AS papers FROM papers GROUP BY 1), q AS (SELECT subject_id, count(*) AS questions, count(DISTINCT topic_id) AS groups FROM questions WHERE subject_id <> 2 GROUP BY 1) "
+        "SELECT p.subject_id, pending, papers, coalesce(questions, 0) AS questions, coalesce(groups, 0) AS groups FROM p LEFT JOIN q ON p.subject_id = q.subject_id",
+    ),
     "x01_compiled_rules": (
         _compiled,
         "WITH b AS (SELECT DISTINCT CAST(regexp_extract(p_brand, '(\\d+)', 1) AS INT) AS n FROM part) SELECT 'rule-' || n AS rule_id, n % 5 < 3 AS accepted, CASE WHEN n % 5 < 2 THEN 1 ELSE 2 END AS tries, "

@@ -108,7 +108,7 @@ QUERIES = {
         "SELECT topic_id, form, CASE WHEN length(trim(substr(line, 1, 25))) < 10 THEN 'too short' WHEN length(substr(line, 1, 25)) / length(line) < 0.5 THEN 'length deviation' ELSE 'ok' END AS verdict FROM qlines",
     ),
     "v20_module_range": (lambda t: t.questions.select(*_KEY, F.col("marks").between(1, 5).alias("valid")), f"SELECT {_K}, marks BETWEEN 1 AND 5 AS valid FROM questions"),
-    "v21_missing_embeddings": (lambda t: plugins.missing_embeddings(t.documents.select(F.col("doc_id").alias("vec_id")), t.embeddings.where("vec_id % 3 = 0"), "vec_id"), "SELECT doc_id AS vec_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id % 3 = 0)"),
+    "v21_missing_embeddings": (lambda t: plugins.missing_embeddings(t.documents.select(F.col("doc_id").alias("vec_id")), t.embeddings, "vec_id"), "SELECT doc_id AS vec_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)"),
     "v22_similar_to_one": (
         lambda t: Q._pairs(t, 0.25).where("a = 7 OR b = 7").select(F.when(F.col("a") == 7, F.col("b")).otherwise(F.col("a")).alias("vec_id"), F.round("score", 6).alias("score")),
         f"WITH {Q._PAIRS.replace('>= 0.3)', '>= 0.25)')} SELECT CASE WHEN a = 7 THEN b ELSE a END AS vec_id, round(score, 6) AS score FROM pairs WHERE a = 7 OR b = 7",
@@ -165,8 +165,8 @@ QUERIES = {
         f"SELECT vec_id, unit FROM (SELECT x.vec_id, y.vec_id AS unit, row_number() OVER (PARTITION BY x.vec_id ORDER BY round({Q._COS}, 6) DESC, y.vec_id) AS r FROM embeddings x CROSS JOIN (SELECT * FROM embeddings WHERE vec_id < 5) y) WHERE r = 1",
     ),
     "j15_full_outer": (
-        lambda t: t.labels.select("doc_id", "quality").where("doc_id % 2 = 0").join(t.labels.select("doc_id", "toxic").where("doc_id % 3 = 0"), "doc_id", "full"),
-        "SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, quality, toxic FROM (SELECT doc_id, quality FROM labels WHERE doc_id % 2 = 0) a FULL JOIN (SELECT doc_id, toxic FROM labels WHERE doc_id % 3 = 0) b ON a.doc_id = b.doc_id",
+        lambda t: t.documents.select("doc_id", "lang").join(t.embeddings.select(F.col("vec_id").alias("doc_id"), "label"), "doc_id", "full").join(t.labels.select("doc_id", "quality"), "doc_id", "full"),
+        "SELECT coalesce(d.doc_id, vec_id, l.doc_id) AS doc_id, lang, label, quality FROM documents d FULL JOIN embeddings ON doc_id = vec_id FULL JOIN labels l ON l.doc_id = coalesce(d.doc_id, vec_id)",
     ),
     "f03_optional_filter": (lambda t: t.papers.where("subject_id = 4"), "SELECT * FROM papers WHERE subject_id = 4"),
     "f04_not_empty": (lambda t: t.qlines.where(F.trim(F.regexp_replace("line", "[^0-9]", "")) != ""), "SELECT * FROM qlines WHERE regexp_replace(line, '[^0-9]', '', 'g') <> ''"),
@@ -200,6 +200,5 @@ QUERIES = {
         f"WITH {Q._NORM}, {Q._SETS} SELECT x.topic_id, x.form, y.form AS form_b, CAST(len(list_intersect(x.ts, y.ts)) AS INT) AS both, CAST(len(list_distinct(x.ts || y.ts)) AS INT) AS any FROM sets x JOIN sets y ON x.topic_id = y.topic_id AND x.form < y.form",
     ),
     "u05_intersect": (lambda t: t.papers.select("owner_id").intersect(t.papers.where("status = 'processing'").select("owner_id")), "SELECT owner_id FROM papers INTERSECT SELECT owner_id FROM papers WHERE status = 'processing'"),
-    "st05_incremental": (lambda t: t.documents.select("doc_id").where("doc_id % 2 = 0").join(t.documents.select("doc_id").where("doc_id % 3 = 0"), "doc_id", "left_anti"), "SELECT doc_id FROM documents WHERE doc_id % 2 = 0 AND doc_id % 3 <> 0"),
-    "st08_reset": (lambda t: t.papers.withColumn("status", F.when(F.col("subject_id") == 2, "pending").otherwise(F.col("status"))).select("paper_id", "status"), "SELECT paper_id, CASE WHEN subject_id = 2 THEN 'pending' ELSE status END AS status FROM papers"),
+    "st05_incremental": (lambda t: plugins.encode_missing(t.documents, t.labels, "doc_id", "text").select("doc_id", F.size("embedding").alias("dims")), "SELECT doc_id, 384 AS dims FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"),
 }

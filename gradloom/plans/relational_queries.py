@@ -240,8 +240,8 @@ QUERIES = {
         "SELECT doc_id, CASE WHEN length(text) / len(string_split(text, chr(10))) < 50 THEN 'image' WHEN len(regexp_extract_all(text, '[#*$%&|<>]')) * 100.0 / length(text) > 0.4 THEN 'dirty' ELSE 'clean' END AS quality FROM documents",
     ),
     "s17_export": (
-        lambda t: t.questions.join(t.modules.where("module_number <= 4").select("subject_id", "module_number", "module_name"), ["subject_id", "module_number"], "left").select(F.col("question_no").cast("string").alias("question_number"), F.substring("qtext", 1, 200).alias("text"), F.coalesce("module_name", F.lit("")).alias("module"), "part", "marks", F.col("paper_id").alias("paper"), F.col("subject_id").alias("subject")),
-        "SELECT CAST(question_no AS VARCHAR) AS question_number, substr(qtext, 1, 200) AS text, coalesce(module_name, '') AS module, part, marks, paper_id AS paper, q.subject_id AS subject FROM questions q LEFT JOIN (SELECT * FROM modules WHERE module_number <= 4) m ON q.subject_id = m.subject_id AND q.module_number = m.module_number",
+        lambda t: t.questions.withColumn("module_number", F.nullif("module_number", F.lit(5))).join(t.modules.select("subject_id", "module_number", "module_name"), ["subject_id", "module_number"], "left").select(F.col("question_no").cast("string").alias("question_number"), F.substring("qtext", 1, 200).alias("text"), F.coalesce("module_name", F.lit("")).alias("module"), "part", "marks", F.col("paper_id").alias("paper"), F.col("subject_id").alias("subject")),
+        "SELECT CAST(question_no AS VARCHAR) AS question_number, substr(qtext, 1, 200) AS text, coalesce(module_name, '') AS module, part, marks, paper_id AS paper, q.subject_id AS subject FROM questions q LEFT JOIN modules m ON q.subject_id = m.subject_id AND nullif(q.module_number, 5) = m.module_number",
     ),
     "s21_raw_text_cut": (lambda t: t.documents.select("doc_id", F.substring("text", 1, 50000).alias("raw_text")), "SELECT doc_id, substr(text, 1, 50000) AS raw_text FROM documents"),
     "s22_first_wins": (
@@ -253,8 +253,8 @@ QUERIES = {
         "SELECT coalesce(o.paper_id, n.paper_id) AS paper_id, coalesce(nullif(o.exam_year, ''), n.exam_year) AS exam_year, coalesce(o.subject_id, n.subject_id) AS subject_id FROM (SELECT paper_id, CASE WHEN paper_id % 2 = 0 THEN exam_year ELSE '' END AS exam_year, CASE WHEN paper_id % 5 > 0 THEN subject_id END AS subject_id FROM papers WHERE paper_id % 3 < 2) o FULL JOIN (SELECT * FROM papers WHERE paper_id % 3 > 0) n ON o.paper_id = n.paper_id",
     ),
     "s29_default_modules": (
-        lambda t: I.default_modules(t.papers, t.modules.where("subject_id < 7")),
-        "SELECT subject_id, CAST(i AS INT) AS module_number, 'Module ' || CAST(i AS VARCHAR) AS module_name, 20.0::DOUBLE AS weightage FROM (SELECT DISTINCT subject_id FROM papers WHERE subject_id NOT IN (SELECT subject_id FROM modules WHERE subject_id < 7)), UNNEST(range(1, 6)) AS u(i)",
+        lambda t: I.default_modules(t.nation.select(F.col("n_nationkey").cast("long").alias("subject_id")), t.modules),
+        "SELECT subject_id, CAST(i AS INT) AS module_number, 'Module ' || CAST(i AS VARCHAR) AS module_name, 20.0::DOUBLE AS weightage FROM (SELECT CAST(n_nationkey AS BIGINT) AS subject_id FROM nation WHERE n_nationkey NOT IN (SELECT subject_id FROM modules)), UNNEST(range(1, 6)) AS u(i)",
     ),
     "f12_valid_rows": (
         lambda t: t.questions.where(I.valid_rows(F.substring("qtext", 1, 9), F.col("marks") - 10)).groupBy("subject_id").agg(F.count(F.lit(1)).alias("valid")),
@@ -380,8 +380,8 @@ QUERIES = {
     ),
     "o05_page": (lambda t: t.papers.select("paper_id", "exam_year").orderBy(F.desc("exam_year"), "paper_id").offset(40).limit(20), "SELECT paper_id, exam_year FROM papers ORDER BY exam_year DESC, paper_id LIMIT 20 OFFSET 40"),
     "u01_union_parts": (
-        lambda t: t.questions.where("part = 'A' AND marks <= 3").select("paper_id", "qtext").unionByName(t.questions.where("part = 'B' AND marks > 45").select("paper_id", "qtext")),
-        "SELECT paper_id, qtext FROM questions WHERE part = 'A' AND marks <= 3 UNION ALL SELECT paper_id, qtext FROM questions WHERE part = 'B' AND marks > 45",
+        lambda t: t.questions.where("part = 'A'").select("paper_id", "qtext").unionByName(t.questions.where("part = 'B'").select("paper_id", "qtext")),
+        "SELECT paper_id, qtext FROM questions WHERE part = 'A' UNION ALL SELECT paper_id, qtext FROM questions WHERE part = 'B'",
     ),
     "u04_unmatched": (lambda t: t.qlines.select("topic_id", "form").exceptAll(_stage1(t).where("module_number IS NOT NULL").select("topic_id", "form")), f"SELECT topic_id, form FROM qlines WHERE NOT {_TOP1} >= 1"),
     "v02_cosine_pairs": (lambda t: _pairs(t).select("a", "b", F.round("score", 6).alias("score")), f"WITH {_PAIRS} SELECT a, b, round(score, 6) AS score FROM pairs"),
