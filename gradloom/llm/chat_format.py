@@ -191,12 +191,11 @@ def read_back(pieces: DataFrame, template: Template = INSTRUCT) -> DataFrame:
             learnt = [_learnt(t, m) for t, m in zip(text, b.column("mask").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("conv_id", "part", "pos")), pa.array([r for r, _ in turns], pa.string()), pa.array([t for _, t in turns], pa.string()), pa.array(learnt, pa.string())], names=["conv_id", "part", "pos", "role", "text", "learnt"])
 
-    with batches_of(pieces.sparkSession, BATCH):
-        return pieces.select("conv_id", "part", "pos", written("segments").alias("written"), _mask("segments").alias("mask")).mapInArrow(read, "conv_id long, part int, pos long, role string, text string, learnt string")
+    return pieces.select("conv_id", "part", "pos", written("segments").alias("written"), _mask("segments").alias("mask")).mapInArrow(read, "conv_id long, part int, pos long, role string, text string, learnt string")
 
 
 def digests(pieces: DataFrame, template: Template = INSTRUCT) -> DataFrame:
-    """``DIGESTS``: a row for each conversation of formatted turns, which stream in order and are read back one by one."""
+    """``DIGESTS``: a row for each conversation of formatted turns, which stream in order and are read back one by one when this is called."""
     names = [x.split()[0] for x in DIGESTS.split(", ")]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.int64()]
 
@@ -245,8 +244,8 @@ def digests(pieces: DataFrame, template: Template = INSTRUCT) -> DataFrame:
     spark = pieces.sparkSession
     ship(spark)
     flat = pieces.select("conv_id", "part", "pos", written("segments").alias("written"), _mask("segments").alias("mask"), "state")
-    with batches_of(spark, BATCH):
-        return flat.repartition("conv_id").sortWithinPartitions("conv_id", "part", "pos").mapInArrow(run, DIGESTS)
+    with batches_of(spark, BATCH):  # written at once, a row for each conversation: the bound holds for jobs that run in here
+        return cut(flat.repartition("conv_id").sortWithinPartitions("conv_id", "part", "pos").mapInArrow(run, DIGESTS), "digests")
 
 
 def op12(rows: DataFrame, template: Template = INSTRUCT) -> DataFrame:
