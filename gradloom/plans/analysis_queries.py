@@ -20,7 +20,7 @@ from gradloom.plans import later_queries as L
 from gradloom.plans import relational_queries as Q
 from gradloom.plans.exam import ASKED, Tables
 from gradloom.sources import versions
-from gradloom.sources.files import papers_text
+from gradloom.sources.files import extract_pages, failed, papers_text
 from gradloom.streaming import progress as P
 
 _ORDER = ("paper_id", "question_no", "topic_id", "supplier_id", "marks", "qtext")
@@ -217,7 +217,33 @@ def _reset(t: Tables):
     return papers.join(left(questions, "questions"), "subject_id", "left").join(left(groups, "groups"), "subject_id", "left").fillna(0)
 
 
+def _layer(data: bytes) -> list[tuple[str, float]]:
+    """A text layer: pages by form feeds; broken files have none."""
+    if not data.startswith(b"%PDF-"):
+        raise ValueError("no PDF")
+    return [(p, 1.0) for p in data.decode()[5:].split("\f")]
+
+
+def _recognised(data: bytes) -> list[tuple[str, float]]:
+    """Recognition: of images alone, one page, half sure."""
+    return [(data[4:].decode().upper(), 0.5)] if data.startswith(b"IMG-") else []
+
+
+#: Files made of parts: with a text layer, as images, with a layer of a few characters, and of neither kind.
+_FILES = "SELECT 'part-' || CAST(p_partkey AS STRING) AS path, CAST(CASE p_partkey % 4 WHEN 0 THEN '%PDF-' || p_name || chr(12) || p_type WHEN 1 THEN 'IMG-' || p_name WHEN 2 THEN '%PDF-a' ELSE 'XXX-' || p_name END AS BINARY) AS content FROM part"
+
+
+def _cascade(t: Tables):
+    return extract_pages(t.sql(_FILES), [("layer", _layer), ("recognition", _recognised)], least_chars=5)
+
+
 QUERIES = {
+    "s05_extraction_cascade": (
+        _cascade,
+        "SELECT 'part-' || p_partkey AS path, CAST(i AS INT) AS page_number, CASE p_partkey % 4 WHEN 0 THEN [p_name, p_type][i] WHEN 1 THEN upper(p_name) END AS text, CASE p_partkey % 4 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS confidence, "
+        "CASE p_partkey % 4 WHEN 0 THEN 'layer' WHEN 1 THEN 'recognition' WHEN 2 THEN 'failed (layer: 1 characters, recognition: 0 characters)' ELSE 'failed (layer: ValueError, recognition: 0 characters)' END AS method FROM part, UNNEST(CASE p_partkey % 4 WHEN 0 THEN [1, 2] WHEN 1 THEN [1] ELSE [0] END) AS u(i)",
+    ),
+    "s06_failed_files": (lambda t: failed(_cascade(t)), "SELECT 'part-' || p_partkey AS path, CASE p_partkey % 4 WHEN 2 THEN 'failed (layer: 1 characters, recognition: 0 characters)' ELSE 'failed (layer: ValueError, recognition: 0 characters)' END AS reason FROM part WHERE p_partkey % 4 >= 2"),
     "st08_reset": (
         _reset,
         "WITH p AS (SELECT subject_id, count(CASE WHEN status = 'pending' OR subject_id = 2 THEN 1 END) AS pending, count(*) AS papers FROM papers GROUP BY 1), q AS (SELECT subject_id, count(*) AS questions, count(DISTINCT topic_id) AS groups FROM questions WHERE subject_id <> 2 GROUP BY 1) "

@@ -8,8 +8,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gradloom.lineage import cut
 from gradloom.operators.ingest import validate_pdf
-from gradloom.workers import ship
+from gradloom.workers import batches_of, ship
 
 PAGES = "path string, page_number int, text string, confidence double, method string"
 Extractor = Callable[[bytes], list[tuple[str, float]]]
@@ -28,31 +29,62 @@ def plain_text(data: bytes) -> list[tuple[str, float]]:
     return [(p, 1.0) for p in data.decode("utf-8", "replace").split("\f")]
 
 
-def extract_pages(files: DataFrame, cascade: list[tuple[str, Extractor]], least_chars: int = 0) -> DataFrame:
-    """Pages of each file by the first extractor of the cascade that gives more than ``least_chars``
-    characters; a file that all fail on gives no rows."""
+FILES_A_BATCH = 8
+
+
+def extract_pages(files: DataFrame, cascade: list[tuple[str, Extractor]], least_chars: int = 0, each: int | None = None) -> DataFrame:
+    """Pages of each file by the first extractor of the cascade that gives more than ``least_chars`` characters (``each``: by
+    the stage's own pages, that many on average).
+
+    A file on which all stages fail is one row: page 0, no text, confidence 0, method ``failed`` with each stage's reason; see
+    :func:`failed` and :func:`required`. Files are read ``FILES_A_BATCH`` at a time, as each is whole in memory, and once, when this is called.
+    """
+
+    def read(data: bytes | None) -> tuple[str, list[tuple[str, float]]]:
+        said = []
+        for method, extract in cascade:
+            try:
+                pages = extract(data or b"")
+            except Exception as e:  # each library fails in its own way; the next one is tried
+                said.append(f"{method}: {type(e).__name__}")
+                continue
+            chars = sum(len((t or "").strip()) for t, _ in pages)
+            if chars > least_chars and (each is None or chars >= each * len(pages)):
+                return method, pages
+            said.append(f"{method}: {chars} characters")
+        return "failed (" + ", ".join(said) + ")", []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                for method, extract in cascade:
-                    try:
-                        pages = extract(data.as_py())
-                    except Exception:  # each library fails in its own way; the next one is tried
-                        continue
-                    if sum(len(t.strip()) for t, _ in pages) > least_chars:
-                        n = len(pages)
-                        yield pa.RecordBatch.from_arrays([pa.array([path] * n), pa.array(range(1, n + 1), pa.int32()), pa.array([t for t, _ in pages]), pa.array([c for _, c in pages], pa.float64()), pa.array([method] * n)], names=[x.split()[0] for x in PAGES.split(", ")])
-                        break
+                method, pages = read(data.as_py())
+                numbers = range(1, len(pages) + 1) if pages else [0]
+                pages = pages or [(None, 0.0)]
+                n = len(pages)
+                yield pa.RecordBatch.from_arrays([pa.array([path] * n), pa.array(numbers, pa.int32()), pa.array([t for t, _ in pages], pa.string()), pa.array([c for _, c in pages], pa.float64()), pa.array([method] * n)], names=[x.split()[0] for x in PAGES.split(", ")])
 
     ship(files.sparkSession)
-    return files.select("path", "content").mapInArrow(run, PAGES)
+    with batches_of(files.sparkSession, FILES_A_BATCH):  # written at once: the bound holds for jobs that run in here
+        return cut(files.select("path", "content").mapInArrow(run, PAGES), "pages")
+
+
+def failed(pages: DataFrame) -> DataFrame:
+    """``path, reason`` of the files that no stage could read."""
+    return pages.where("page_number = 0").select("path", F.col("method").alias("reason"))
+
+
+def required(pages: DataFrame) -> DataFrame:
+    """The pages of files that were read; raises if there is one that wasn't."""
+    bad = failed(pages).limit(5).collect()
+    if bad:
+        raise ValueError("no text in " + "; ".join(f"{r['path']}: {r['reason']}" for r in bad))
+    return pages.where("page_number > 0")
 
 
 def papers_text(pages: DataFrame, joint: str = "\n\n") -> DataFrame:
-    """The pages of each paper joined in order; a paper's pages are a bounded group."""
+    """The pages of each paper joined in order; a paper's pages are a bounded group. A file that couldn't be read has no pages and an empty text."""
     ordered = F.array_sort(F.collect_list(F.struct("page_number", "text")))
-    return pages.groupBy("path").agg(F.array_join(F.transform(ordered, lambda s: s["text"]), joint).alias("text"), F.count(F.lit(1)).alias("page_count"), F.avg("confidence").alias("confidence"))
+    return pages.groupBy("path").agg(F.array_join(F.transform(ordered, lambda s: s["text"]), joint).alias("text"), F.count("text").alias("page_count"), F.avg("confidence").alias("confidence"))
 
 
 def export_csv(df: DataFrame, folder: str) -> None:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gradloom.operators import calls as C
 from gradloom.operators import rules as R
 from gradloom.operators import segment, table_functions
+from gradloom.sources import files
 
 
 class Counted:
@@ -168,3 +169,19 @@ def test_segmenter_in_sql(spark):
         spark.sql("SELECT * FROM segment_pages(TABLE (SELECT paper_id, page FROM {t}))", t=table).collect()
     joined = spark.sql("SELECT pages, text FROM segment_pages(TABLE (SELECT * FROM {t} WHERE paper_id = 3), joint => ' ')", t=table).collect()
     assert [(x.pages, x.text) for x in joined] == [(1, "Explain this question here")]
+
+
+def test_files_that_nothing_reads_are_rows(spark):
+    def layer(data):
+        if not data.startswith(b"%"):
+            raise ValueError("no PDF")
+        return [(p, 1.0) for p in data.decode()[1:].split("\f")]
+
+    rows = [("a", b"%first page\fsecond page"), ("b", b"%x"), ("c", b"zzz"), ("d", None), ("e", b"")]
+    pages = files.extract_pages(spark.createDataFrame(rows, "path string, content binary"), [("layer", layer), ("none", lambda d: [])], least_chars=5)
+    assert {(r.path, r.page_number, r.text) for r in pages.collect()} == {("a", 1, "first page"), ("a", 2, "second page"), *((p, 0, None) for p in "bcde")}
+    assert {r.path: r.reason for r in files.failed(pages).collect()}["c"] == "failed (layer: ValueError, none: 0 characters)"
+    assert {r.path: (r.text, r.page_count) for r in files.papers_text(pages).collect()} == {"a": ("first page\n\nsecond page", 2), **{p: ("", 0) for p in "bcde"}}
+    with pytest.raises(ValueError, match="no text in"):
+        files.required(pages)
+    assert files.required(pages.where("path = 'a'")).count() == 2
