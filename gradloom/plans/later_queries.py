@@ -41,6 +41,8 @@ def _context(t: Tables):
     return both.fillna(0)
 
 
+_BOTH, _EITHER = "len(list_intersect(l.v, s.v))", "len(list_distinct(list_concat(l.v, s.v)))"
+_ALIKE = f"CASE WHEN len(l.v) = 0 OR len(s.v) = 0 THEN 0.0 WHEN {_BOTH} / least(len(l.v), len(s.v)) > 0.6 THEN least(1.0, {_BOTH} / {_EITHER} * 1.3) ELSE {_BOTH} / {_EITHER} END >= 0.55"
 _COUNTS = ("part_a", "part_b", "tier_1", "tier_2", "tier_3", "tier_4")
 #: metric, the query that computes it, its key and value
 _BUNDLE = (
@@ -80,7 +82,10 @@ QUERIES = {
         lambda t: X.part_sections(t.scans, "paper_id", "text"),
         f"SELECT paper_id, part, n, section FROM (SELECT paper_id, upper(hs[i]) AS header, right(upper(hs[i]), 1) AS part, CAST(i AS INT) AS n, ss[i + 1] AS section FROM (SELECT paper_id, regexp_extract_all(text, {D.q(X.PART_HEADER)}) AS hs, string_split_regex(text, {D.q(X.PART_HEADER)}) AS ss FROM scans), UNNEST(range(1, len(hs) + 1)) AS u(i)) WHERE header IN ('PART A', 'PART B')",
     ),
-    "k07_keyword_leaders": (lambda t: K.keyword_leaders(Q._self_sets(t), 0.55, "form", "ks", ("topic_id",)), None),
+    "k07_keyword_leaders": (
+        lambda t: K.keyword_leaders(Q._self_sets(t), 0.55, "form", "ks", ("topic_id",)),
+        Q.leaders_sql(f"{Q._NORM}, {Q._SETS}, s AS (SELECT topic_id AS bucket, form AS id, ks AS v, row_number() OVER (PARTITION BY topic_id ORDER BY form) AS k FROM sets)", _ALIKE, "topic_id", "form"),
+    ),
     "a09_complete_stats": (
         _bundle,
         " UNION ALL ".join(f"SELECT subject_id, '{m}' AS metric, {key.replace('STRING', 'VARCHAR')} AS key, CAST({value} AS DOUBLE) AS value FROM ({Q.QUERIES[query][1]})" for m, query, key, value in _BUNDLE),

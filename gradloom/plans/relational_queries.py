@@ -166,6 +166,14 @@ def _each(pattern: str, *groups: int, view: str = "scans") -> str:
     return f"SELECT paper_id, CAST(i - 1 AS INT) AS pos, {_listed(pattern, *groups)} FROM {view}, UNNEST(range(1, len(regexp_extract_all(text, {D.q(pattern)})) + 1)) AS u(i)"
 
 
+def leaders_sql(rows: str, alike: str, bucket: str, key: str) -> str:
+    """Greedy leaders, row after row: a row goes to the first leader so far that it is like, else leads."""
+    return f"""WITH RECURSIVE {rows}, r AS (SELECT bucket, id, k, id AS leader, [struct_pack(i := id, v := v)] AS leaders FROM s WHERE k = 1 UNION ALL
+SELECT bucket, id, k, coalesce(hit, id), CASE WHEN hit IS NULL THEN list_append(leaders, struct_pack(i := id, v := v)) ELSE leaders END
+FROM (SELECT s.bucket, s.id, s.v, s.k, r.leaders, list_filter(r.leaders, lambda l: {alike})[1].i AS hit FROM r JOIN s ON s.bucket = r.bucket AND s.k = r.k + 1))
+SELECT bucket AS {bucket}, id AS {key}, leader FROM r"""
+
+
 QUERIES = {
     "t11_clean_extracted": (lambda t: t.scans.select("paper_id", T.clean_extracted(F.col("text")).alias("out")), f"SELECT paper_id, {D.rewrite('text', T.EXTRACTION)} AS out FROM scans"),
     "t12_drop_headers": (
@@ -405,7 +413,10 @@ QUERIES = {
         "WITH c AS (SELECT label, i, avg(e::DOUBLE) AS m FROM (SELECT label, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding) AS e FROM embeddings) GROUP BY ALL), d AS (SELECT e.label, e.vec_id, round(sqrt(sum((e.x::DOUBLE - c.m) * (e.x::DOUBLE - c.m))), 9) AS dist FROM (SELECT label, vec_id, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding) AS x FROM embeddings) e JOIN c ON e.label = c.label AND e.i = c.i GROUP BY 1, 2) SELECT label, vec_id AS representative FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY dist, vec_id) AS r FROM d) WHERE r = 1",
     ),
     "k03_strict_clusters": (lambda t: K.linkage_clusters(t.embeddings, 0.70, "vec_id", "embedding", ("label",)), None),
-    "k06_leader_clusters": (lambda t: K.leader_clusters(t.embeddings, 0.3, "vec_id", "embedding", ("label",), ("vec_id",)), None),
+    "k06_leader_clusters": (
+        lambda t: K.leader_clusters(t.embeddings, 0.3, "vec_id", "embedding", ("label",), ("vec_id",)),
+        leaders_sql("s AS (SELECT label AS bucket, vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings)", "list_cosine_similarity(l.v, s.v) >= 0.3", "label", "vec_id"),
+    ),
     "k12_components": (
         lambda t: components(_pairs(t, 0.35).select("a", "b")),
         f"WITH RECURSIVE {_PAIRS.replace('>= 0.3)', '>= 0.35)')}, e AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), r AS (SELECT a AS node, a AS reach FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.reach = e.a) SELECT node, min(reach) AS component FROM r GROUP BY 1",
