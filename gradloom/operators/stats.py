@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from gradloom.functions.classify import TIER_LABELS, tier, tier_label
 from gradloom.functions.text import percentage
+from gradloom.lineage import cut
 
 count_if = lambda c: F.count(F.when(c, 1))
 
@@ -54,6 +55,37 @@ def dense(counts: DataFrame, name: str, values: Sequence[str]) -> DataFrame:
     return all_.join(counts, ["subject_id", name], "left").select("subject_id", name, F.coalesce("count", F.lit(0)).alias("count"))
 
 
+def complete_stats(questions: DataFrame, modules: DataFrame, levels: Sequence[str]) -> DataFrame:
+    """``subject_id, metric, key, value``: totals, modules (empty ones with 0, unclassified as 0), difficulties and Bloom levels of every subject.
+
+    ``questions`` has subject_id, module_number, duplicate, difficulty and bloom. They are read and counted once, by grouping sets; what
+    is joined and filled up afterwards is the table of counts, a few rows for each subject.
+    """
+    sets = [["subject_id"], *(["subject_id", c] for c in ("module_number", "difficulty", "bloom"))]
+    counts = questions.groupingSets(sets, "subject_id", "module_number", "difficulty", "bloom").agg(F.grouping_id().alias("of"), F.count(F.lit(1)).alias("n"), count_if(~F.col("duplicate")).alias("unique"))
+    counts = cut(counts.select("subject_id", "module_number", "difficulty", "bloom", F.element_at(F.create_map(*[F.lit(x) for pair in ((7, "all"), (3, "module"), (5, "difficulty"), (6, "bloom")) for x in pair]), F.col("of").cast("int")).alias("of"), "n", "unique"), "counts")
+    of = lambda name: counts.where(F.col("of") == name)
+    row = lambda metric, key, value: F.struct(F.lit(metric).alias("metric"), key.cast("string").alias("key"), value.cast("double").alias("value"))
+    total, unique = F.col("n"), F.col("unique")
+    totals = of("all").select("subject_id", F.explode(F.array(row("total_questions", F.lit(""), total), row("unique_questions", F.lit(""), unique), row("duplicate_percentage", F.lit(""), percentage(total - unique, total)))).alias("r"))
+    by_module = of("module").select("subject_id", "module_number", F.col("n").alias("count"))
+    known = modules.join(by_module, ["subject_id", "module_number"], "left").select("subject_id", row("module", F.col("module_number"), F.coalesce("count", F.lit(0))).alias("r"))
+    none = by_module.where("module_number IS NULL").select("subject_id", row("module", F.lit(0), F.col("count")).alias("r"))
+    hard = of("difficulty").where("difficulty != ''").select("subject_id", row("difficulty", F.col("difficulty"), total).alias("r"))
+    filled = dense(of("bloom").where("bloom != ''").select("subject_id", "bloom", F.col("n").alias("count")), "bloom", levels)
+    out = totals.unionByName(known).unionByName(none).unionByName(hard).unionByName(filled.select("subject_id", row("bloom", F.col("bloom"), F.col("count")).alias("r")))
+    return out.select("subject_id", "r.metric", "r.key", "r.value")
+
+
+def subject_context(questions: DataFrame, modules: DataFrame) -> DataFrame:
+    """``subject_id, module_number, part_a, part_b, tier_1 .. tier_4`` of every module of every subject, empty ones with 0: questions of
+    each part, and topics (topic_id) of each tier. Questions are counted once, by topic."""
+    by = ["subject_id", "module_number"]
+    topics = questions.groupBy(*by, "topic_id").agg(count_if(F.col("part") == "A").alias("part_a"), count_if(F.col("part") == "B").alias("part_b"), tier(F.countDistinct("exam_year")).alias("tier"))
+    own = topics.groupBy(*by).agg(F.sum("part_a").alias("part_a"), F.sum("part_b").alias("part_b"), *[count_if(F.col("tier") == i).alias(f"tier_{i}") for i in (1, 2, 3, 4)])
+    return modules.select(*by).join(own, by, "left").fillna(0)
+
+
 def year_trend(questions: DataFrame, papers: DataFrame) -> DataFrame:
     """One row for each paper with a year, with its number of questions, 0 included."""
     n = questions.groupBy("paper_id").agg(F.count(F.lit(1)).alias("count"))

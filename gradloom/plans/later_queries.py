@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gradloom.functions.classify import tier
+from gradloom.functions import classify as C
 from gradloom.operators import clusters as K
 from gradloom.operators import extract as X
 from gradloom.operators import jobs as J
+from gradloom.operators import stats as A
 from gradloom.plans import duck as D
 from gradloom.plans import relational_queries as Q
 from gradloom.plans.exam import Tables
@@ -33,14 +34,6 @@ def _read(name: str, confidence: str) -> str:
     return f"{name} AS (SELECT l_orderkey AS page, string_agg(l_returnflag, chr(10) ORDER BY l_linenumber, l_returnflag) AS text, round(avg({confidence}), 6) AS confidence FROM lineitem GROUP BY 1)"
 
 
-def _context(t: Tables):
-    q = t.questions.groupBy("subject_id", "module_number").agg(F.count(F.when(F.col("part") == "A", 1)).alias("part_a"), F.count(F.when(F.col("part") == "B", 1)).alias("part_b"))
-    topics = t.questions.groupBy("subject_id", "module_number", "topic_id").agg(tier(F.countDistinct("exam_year")).alias("tier"))
-    tiers = topics.groupBy("subject_id", "module_number").agg(*[F.count(F.when(F.col("tier") == i, 1)).alias(f"tier_{i}") for i in (1, 2, 3, 4)])
-    both = t.modules.select("subject_id", "module_number").join(q.join(tiers, ["subject_id", "module_number"]), ["subject_id", "module_number"], "left")
-    return both.fillna(0)
-
-
 _BOTH, _EITHER = "len(list_intersect(l.v, s.v))", "len(list_distinct(list_concat(l.v, s.v)))"
 _ALIKE = f"CASE WHEN len(l.v) = 0 OR len(s.v) = 0 THEN 0.0 WHEN {_BOTH} / least(len(l.v), len(s.v)) > 0.6 THEN least(1.0, {_BOTH} / {_EITHER} * 1.3) ELSE {_BOTH} / {_EITHER} END >= 0.55"
 _COUNTS = ("part_a", "part_b", "tier_1", "tier_2", "tier_3", "tier_4")
@@ -52,11 +45,9 @@ _BUNDLE = (
 
 
 def _bundle(t: Tables):
-    out = None
-    for metric, query, key, value in _BUNDLE:
-        rows = Q.QUERIES[query][0](t).select("subject_id", F.lit(metric).alias("metric"), F.expr(key).alias("key"), F.col(value).cast("double").alias("value"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    # as in the single queries; there only the modules are without every seventh topic
+    q = t.questions.select("subject_id", F.when(F.col("topic_id") % 7 > 0, F.col("module_number")).alias("module_number"), (F.col("question_no") > 3).alias("duplicate"), C.difficulty(F.col("qtext"), F.col("marks")).alias("difficulty"), C.bloom_level(F.col("qtext")).alias("bloom"))
+    return A.complete_stats(q, t.modules, Q.LEVELS)
 
 
 QUERIES = {
@@ -91,7 +82,7 @@ QUERIES = {
         " UNION ALL ".join(f"SELECT subject_id, '{m}' AS metric, {key.replace('STRING', 'VARCHAR')} AS key, CAST({value} AS DOUBLE) AS value FROM ({Q.QUERIES[query][1]})" for m, query, key, value in _BUNDLE),
     ),
     "a33_subject_context": (
-        _context,
+        lambda t: A.subject_context(t.questions, t.modules),
         "WITH q AS (SELECT subject_id, module_number, count(CASE WHEN part = 'A' THEN 1 END) AS part_a, count(CASE WHEN part = 'B' THEN 1 END) AS part_b FROM questions GROUP BY ALL), "
         f"x AS (SELECT subject_id, module_number, topic_id, {Q.TIER.format('count(DISTINCT exam_year)')} AS tier FROM questions GROUP BY ALL), "
         "y AS (SELECT subject_id, module_number, " + ", ".join(f"count(CASE WHEN tier = {i} THEN 1 END) AS tier_{i}" for i in (1, 2, 3, 4)) + " FROM x GROUP BY ALL) "

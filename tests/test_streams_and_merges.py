@@ -3,7 +3,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from gradloom.operators import merge as M
 from gradloom.operators.jobs import job_progress
