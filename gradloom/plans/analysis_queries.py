@@ -254,7 +254,7 @@ QUERIES = {
         "WITH b AS (SELECT DISTINCT CAST(regexp_extract(p_brand, '(\\d+)', 1) AS INT) AS n FROM part) SELECT 'rule-' || n AS rule_id, n % 5 < 3 AS accepted, CASE WHEN n % 5 < 2 THEN 1 ELSE 2 END AS tries, "
         "CASE WHEN n % 5 < 3 THEN (SELECT count(*) FROM qlines WHERE length(line) > n AND NOT (n % 5 = 1 AND contains(line, 'OR'))) ELSE 0 END AS questions FROM b",
     ),
-    "x07_segment_in_sql": (_from_sql, None),
+    "x07_segment_in_sql": (_from_sql, f"SELECT paper_id, pos, question_number, text, part, marks, module_hint, 2 AS pages FROM ({Q.segmented()})"),
     "x07_question_counts": (
         lambda t: _from_sql(t).groupBy("paper_id").agg(F.count(F.lit(1)).alias("questions"), F.max("pages").alias("pages"), F.max("module_hint").alias("module")),
         "SELECT paper_id, len(regexp_extract_all(text, '(?m)^\\s*\\d{1,2}\\s*\\.\\s+\\S')) AS questions, 2 AS pages, TRY_CAST(regexp_extract(text, '(?m)^Module (\\d)$', 1) AS INT) AS module FROM scans",

@@ -70,7 +70,7 @@ QUERIES = {
     ),
     "p06_persist": (
         lambda t: segment(t.scans).withColumn("subject_id", F.col("paper_id") % 10).join(_fresh_modules(t).withColumnRenamed("module_number", "module_hint"), ["subject_id", "module_hint"], "left").select("paper_id", "pos", "module_name", F.when(F.col("year_context").isNotNull(), F.array("year_context")).otherwise(F.array().cast("array<string>")).alias("years_appeared")),
-        None,
+        f"SELECT s.paper_id, pos, m.module_name, CASE WHEN year_context IS NULL THEN CAST([] AS VARCHAR[]) ELSE [year_context] END AS years_appeared FROM ({Q.segmented()}) s LEFT JOIN modules m ON m.subject_id = s.paper_id % 10 AND m.module_number = module_hint",
     ),
     "p20_split_pages": (
         lambda t: t.scans.select("paper_id", F.array_join(split_pages(F.col("text"), "\nModule", 3), "|").alias("pages"), F.size(split_pages(F.col("text"), "\nModule", 3)).alias("n")),

@@ -166,6 +166,35 @@ def _each(pattern: str, *groups: int, view: str = "scans") -> str:
     return f"SELECT paper_id, CAST(i - 1 AS INT) AS pos, {_listed(pattern, *groups)} FROM {view}, UNNEST(range(1, len(regexp_extract_all(text, {D.q(pattern)})) + 1)) AS u(i)"
 
 
+def read_by_lines(else_: str) -> str:
+    """The four questions that begin with a number and a capital in each paper of ``scans``, from the columns that it was made of;
+    ``else_`` is what follows in papers without a date."""
+    name, kind, date = "p_name", "p_type", f"CASE WHEN p_partkey % 2 = 0 THEN ' December 2022' ELSE '' {else_} END"
+    found = (
+        (0, "1", f"'Deﬁne ' || {name} || ' (3 marks) - ' || p_size || ' -'", 3, "A"), (1, "11", f"'Discuss requ manage ment of ' || {name} || ' (a) de fi ne hazard [' || p_size || ' marks] turn over' || {date}", 7, "B"),
+        (2, "12", "'Plan ning – (Dec 2022, 7 marks)'", 7, "B"), (3, "13b", f"'Explain the hazards of ' || {kind} || ' in coastal regions'", 8, "B"),
+    )
+    return " UNION ALL ".join(f"SELECT p_partkey AS paper_id, {pos} AS pos, '{n}' AS question_number, {text} AS text, {marks} AS marks, '{part}' AS part, CAST(NULL AS INT) AS module_hint FROM part" for pos, n, text, marks, part in found)
+
+
+def segmented() -> str:
+    """The questions of each paper of ``scans`` from the columns that it was made of: only its third way to write Part B is read as one,
+    and what follows a question up to the next number, heading or mark belongs to it."""
+    b = "p_partkey % 3 = 2"
+    heading = "CASE p_partkey % 3 WHEN 0 THEN ' Part — B Page 2 of 10' WHEN 1 THEN ' ## PART B == Page 2 of 10' ELSE '' END"
+    discuss, hazard = "'Discuss requ manage ment of ' || p_name || ' turn over'", "'de fi ne hazard [' || p_size || ' marks]'"
+    second = f"'1et the algo rithm ' || p_brand || ' compu ter, ( ii ) “' || p_type || '”' || {heading}"
+    part, module, none = f"CASE WHEN {b} THEN 'B' ELSE 'A' END", "CAST(p_size % 5 + 1 AS INT)", "CAST(NULL AS INT)"
+    found = (
+        (0, "1", "'Deﬁne   ' || p_name", "'Deﬁne   ' || p_name", "'A'", "3", "CAST([] AS VARCHAR[])", none, "NULL"), (1, "2", second, second, "'A'", "3", "CAST([] AS VARCHAR[])", none, "NULL"),
+        (2, "11", discuss, f"{discuss} || ' ' || {hazard}", part, f"CASE WHEN {b} THEN 14 ELSE 3 END", f"[{hazard}]", module, "NULL"), (3, "1", "'12. Plan ning'", "'12. Plan ning'", part, "7", "CAST([] AS VARCHAR[])", module, "'December 2022'"),
+    )
+    return " UNION ALL ".join(
+        f"SELECT p_partkey AS paper_id, {pos} AS pos, '{n}' AS question_number, {text} AS text, {full} AS full_question_text, {p} AS part, {marks} AS marks, {subs} AS sub_questions, {m} AS module_hint, {str(pos > 1).lower()} AS module_hint_is_explicit, CAST({year} AS VARCHAR) AS year_context, CAST(NULL AS VARCHAR) AS qn_group FROM part"
+        for pos, n, text, full, p, marks, subs, m, year in found
+    )
+
+
 def leaders_sql(rows: str, alike: str, bucket: str, key: str) -> str:
     """Greedy leaders, row after row: a row goes to the first leader so far that it is like, else leads."""
     return f"""WITH RECURSIVE {rows}, r AS (SELECT bucket, id, k, id AS leader, [struct_pack(i := id, v := v)] AS leaders FROM s WHERE k = 1 UNION ALL
@@ -184,10 +213,10 @@ QUERIES = {
         lambda t: t.scans.select("paper_id", *[c.alias(n) for n, c in zip(("month", "year"), T.exam_info(F.lit("Paper"), F.col("text")), strict=True)]),
         f"SELECT paper_id, CASE WHEN m <> '' THEN upper(substr(m, 1, 1)) || lower(substr(m, 2)) END AS month, nullif(y, '') AS year FROM (SELECT paper_id, regexp_extract('Paper ' || substr(text, 1, 500), {D.q(T.EXAM_MONTH)}, 1) AS m, regexp_extract('Paper ' || substr(text, 1, 500), {D.q(T.EXAM_YEAR)}, 1) AS y FROM scans)",
     ),
-    "p07_extract_questions": (lambda t: X.extract_questions(t.scans), None),
+    "p07_extract_questions": (lambda t: X.extract_questions(t.scans), read_by_lines('')),
     "p08_part_a": (lambda t: X.part_a(t.scans), None),
-    "p09_part_b": (lambda t: X.part_b(t.scans), None),
-    "p10_by_lines": (lambda t: X.by_lines(t.scans), None),
+    "p09_part_b": (lambda t: X.part_b(t.scans), "SELECT p_partkey AS paper_id, 100 AS pos, '13b' AS question_number, 'Explain the hazards of ' || p_type || ' in coastal regions' AS text, 7 AS marks, 'B' AS part, CAST(p_size % 5 + 1 AS INT) AS module_hint FROM part"),
+    "p10_by_lines": (lambda t: X.by_lines(t.scans), read_by_lines(" || ' Max marks: 100'")),
     "p11_deduplicated": (
         lambda t: X.deduplicated(t.questions.select("paper_id", F.col("question_no").cast("string").alias("question_number"), F.col("qtext").alias("text"), F.struct("topic_id", "supplier_id", "marks").alias("pos"))).select("paper_id", "question_number", "text"),
         "SELECT paper_id, question_number, text FROM (SELECT paper_id, CAST(question_no AS VARCHAR) AS question_number, qtext AS text, row_number() OVER (PARTITION BY paper_id, question_no, trim(lower(substr(qtext, 1, 30))) ORDER BY topic_id, supplier_id, marks) AS r FROM questions WHERE length(qtext) >= 10) WHERE r = 1",
@@ -209,7 +238,7 @@ QUERIES = {
         lambda t: t.scans.select("paper_id", F.posexplode(X.word_chunks(F.col("text"), 5)).alias("pos", "chunk")),
         f"SELECT paper_id, CAST(i AS INT) AS pos, array_to_string(w[i * s + 1:CASE WHEN i < 4 THEN i * s + s ELSE len(w) END], ' ') AS chunk FROM (SELECT paper_id, w, len(w) // 5 AS s FROM (SELECT paper_id, {D.words('text')} AS w FROM scans)), UNNEST(range(0, 5)) AS u(i)",
     ),
-    "p01_segment": (lambda t: segment(t.scans), None),
+    "p01_segment": (lambda t: segment(t.scans), segmented()),
     "p01_segment_counts": (
         lambda t: segment(t.scans).groupBy("paper_id").agg(F.count(F.lit(1)).alias("questions"), F.max("module_hint").alias("module")),
         "SELECT paper_id, len(regexp_extract_all(text, '(?m)^\\s*\\d{1,2}\\s*\\.\\s+\\S')) AS questions, TRY_CAST(regexp_extract(text, '(?m)^Module (\\d)$', 1) AS INT) AS module FROM scans",
