@@ -195,6 +195,13 @@ def segmented() -> str:
     )
 
 
+def _with_subs(t: Tables):
+    """Papers with a number that comes twice, of which the first has two sub-questions."""
+    papers = t.sql("SELECT p_partkey AS paper_id, '11. Discuss ' || p_name || chr(10) || '11 a) Define ' || p_type || ' (4 marks)' || chr(10) || '11b. Compare ' || p_brand || chr(10) || '12. Derive ' || p_type || ' (10 marks)' || chr(10) || '11. Again ' || p_name AS text FROM part")
+    subs = F.array_join(F.transform("sub_questions", lambda s: F.concat(s["letter"], F.lit(": "), s["text"], F.lit(" = "), s["marks"])), "; ")
+    return X.with_subs(papers, X.numbered(papers, 11, 20, 14, "B")).select("paper_id", "pos", "question_number", "text", "marks", subs.alias("subs"))
+
+
 def leaders_sql(rows: str, alike: str, bucket: str, key: str) -> str:
     """Greedy leaders, row after row: a row goes to the first leader so far that it is like, else leads."""
     return f"""WITH RECURSIVE {rows}, r AS (SELECT bucket, id, k, id AS leader, [struct_pack(i := id, v := v)] AS leaders FROM s WHERE k = 1 UNION ALL
@@ -225,7 +232,10 @@ QUERIES = {
         lambda t: X.numbered(t.scans, 1, 10, 3, "A").unionByName(X.numbered(t.scans, 11, 20, 14, "B")),
         f"SELECT paper_id, pos, g1 AS question_number, {D.strip('g2')} AS text, coalesce(TRY_CAST(nullif(g3, '') AS INT), CASE WHEN CAST(g1 AS INT) <= 10 THEN 3 ELSE 14 END) AS marks, CASE WHEN CAST(g1 AS INT) <= 10 THEN 'A' ELSE 'B' END AS part FROM ({_each(X.NUMBERED, 1, 2, 3)}) WHERE TRY_CAST(g1 AS INT) BETWEEN 1 AND 20",
     ),
-    "p12_with_subs": (lambda t: X.with_subs(t.scans, X.numbered(t.scans, 11, 20, 14, "B")), None),
+    "p12_with_subs": (
+        lambda t: _with_subs(t),
+        "SELECT p_partkey AS paper_id, 0 AS pos, '11' AS question_number, 'Discuss ' || p_name AS text, 14 AS marks, 'a: Define ' || p_type || ' = 4; b: Compare ' || p_brand || ' = 7' AS subs FROM part UNION ALL SELECT p_partkey, 1, '12', 'Derive ' || p_type, 10, NULL FROM part UNION ALL SELECT p_partkey, 2, '11', 'Again ' || p_name, 14, NULL FROM part",
+    ),
     "p14_marked_lines": (
         lambda t: X.marked_lines(t.qlines, "line", "topic_id", "form"),
         f"SELECT topic_id, form, CAST(CASE WHEN a THEN regexp_extract(line, {D.q(X.MARKED)}, 1) ELSE regexp_extract(line, {D.q(X.MARKED_SUB)}, 1) END AS INT) AS question_number, CASE WHEN NOT a THEN lower(regexp_extract(line, {D.q(X.MARKED_SUB)}, 2)) END AS sub_part, {D.strip(f'CASE WHEN a THEN regexp_extract(line, {D.q(X.MARKED)}, 2) ELSE regexp_extract(line, {D.q(X.MARKED_SUB)}, 3) END')} AS text, CAST(CASE WHEN a THEN regexp_extract(line, {D.q(X.MARKED)}, 3) ELSE regexp_extract(line, {D.q(X.MARKED_SUB)}, 4) END AS INT) AS marks, CASE WHEN a AND CAST(regexp_extract(line, {D.q(X.MARKED)}, 3) AS INT) <= 3 THEN 'A' ELSE 'B' END AS part FROM (SELECT *, {D.has('line', X.MARKED)} AS a FROM qlines) WHERE a OR {D.has('line', X.MARKED_SUB)}",
