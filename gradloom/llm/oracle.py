@@ -121,12 +121,18 @@ def chat_sql(t: chat_format.Template = chat_format.INSTRUCT) -> str:
     learnt = ", ".join(q(r) for r, (_, _, loss) in t.roles.items() if loss)
     said = "'</s>[INST] ok [/INST]'"
     order = "ORDER BY turn NULLS FIRST, role, md5(text)"
+    # a state is known by the role that leads to it, so up to the first error the turn before says what may follow
+    entered = {after: role for moves in t.moves.values() for role, after in moves.items()}
+    allowed = " OR ".join(f"(before {'= ' + q(entered[state]) if state in entered else 'IS NULL'} AND role = {q(role)})" for state, moves in t.moves.items() for role in moves)
+    ends = ", ".join(q(entered[s]) for s in t.ends)
+    error = f"coalesce(min(i) FILTER (NOT ({allowed})), CASE WHEN arg_max(role, i) IN ({ends}) THEN NULL ELSE count(*) END)"
     return f"""
-WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL VALUES (-1, 0, 'user', {said}), (-1, 1, 'assistant', {said}))
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL VALUES (-1, 0, 'user', {said}), (-1, 1, 'assistant', {said})),
+o AS (SELECT *, row_number() OVER w - 1 AS i, lag(role) OVER w AS before FROM c WINDOW w AS (PARTITION BY conv_id {order}))
 SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' {order})) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role IN ({learnt})), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' {order}) FILTER (role IN ({learnt})), '')) AS loss_sha256,
-  CAST(sum({marks} + {escaped("text")}) AS BIGINT) AS formatted_chars
-FROM c GROUP BY conv_id"""
+  CAST(sum({marks} + {escaped("text")}) AS BIGINT) AS formatted_chars, {error} IS NULL AS valid, CAST({error} AS BIGINT) AS first_error
+FROM o GROUP BY conv_id"""
 
 
 ORACLE_SQL = {"op2_url_reputation": reputation_sql(), "op6_secret_ownership": secrets_sql(), "op7_flow_mix": mix_sql(), "op10_rule_ledger": rule_ledger.SQL, "op11_bit_sliced": HARD_NEGATIVES, "op12_chat_format": chat_sql()}
