@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gradloom.operators import clusters as K
 from gradloom.operators import plugins
 from gradloom.operators.graph import components
-from gradloom.operators.similarity import shared_token_pairs, similar_pairs
+from gradloom.operators.similarity import shared_token_pairs, similar_pairs, token_links
 from gradloom.sources import files
 from gradloom.streaming import ingest
 
@@ -115,6 +115,28 @@ def test_token_pairs(spark):
     assert {(x.a, x.b) for x in shared_token_pairs(df, "id", "ts", 0.7).collect()} == want
 
 
+def test_token_links(spark):
+    r = random.Random(3)
+    sets = [sorted({r.choice("abcdefghijkl") for _ in range(r.randint(1, 9))}) for _ in range(150)]
+    base = [f"w{i}" for i in range(40)]
+    sets += [sorted(set(base[: r.randint(12, 40)]) - set(r.sample(base, 2))) for _ in range(60)]
+    score = lambda i, j: len(set(sets[i]) & set(sets[j])) / len(set(sets[i]) | set(sets[j]))
+    df = spark.createDataFrame(list(enumerate(sets)), "id long, ts array<string>")
+    rep = [sets.index(s) for s in sets]
+    for least in (0.5, 0.8):
+        want = {(rep[i], i): 1.0 for i in range(len(sets)) if rep[i] != i}
+        want |= {(i, j): score(i, j) for i in set(rep) for j in set(rep) if i < j and score(i, j) >= least}
+        got = token_links(df, "id", "ts", least).collect()
+        assert len(got) == len(want) and {(x.a, x.b): x.score for x in got} == want
+
+
+def test_token_links_of_copies(spark):
+    """A thousand copies are a thousand rows and not every two of them."""
+    df = spark.range(1000).selectExpr("id", "array('a', 'b', 'c', 'd', 'e') AS ts").union(spark.range(1000, 1001).selectExpr("id", "array('a', 'b', 'c', 'd') AS ts"))
+    got = {(x.a, x.b): x.score for x in token_links(df, "id", "ts", 0.8).collect()}
+    assert got == {(0, i): 1.0 for i in range(1, 1000)} | {(0, 1000): 0.8}
+
+
 def test_rate_limit(spark, tmp_path):
     assert ingest.allow([0, 1, 2, 3, 4, 5, 3_600_004, 3_600_005], 0, 0)[0] == [True] * 5 + [False, True, True]
     rows = [(a, i, i * 700_000 + a) for a in range(3) for i in range(12)]
