@@ -234,7 +234,7 @@ _FILES = "SELECT 'part-' || CAST(p_partkey AS STRING) AS path, CAST(CASE p_partk
 
 
 def _cascade(t: Tables):
-    return extract_pages(t.sql(_FILES), [("layer", _layer), ("recognition", _recognised)], least_chars=5)
+    return extract_pages(t.sql(_FILES, costly=True), [("layer", _layer), ("recognition", _recognised)], least_chars=5)
 
 
 QUERIES = {

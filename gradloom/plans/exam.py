@@ -92,6 +92,10 @@ def with_views(sql: str) -> str:
     return f"WITH RECURSIVE {views}, {body[len('WITH RECURSIVE'):]}" if body.startswith("WITH RECURSIVE") else f"WITH {views}, {body[4:]}" if body.startswith("WITH ") else f"WITH {views} {body}"
 
 
+#: Views whose rows are made, and then read, at some cost each out of the few narrow rows of ``part``: a file of a size for one task.
+COSTLY = frozenset(("qlines", "printed", "lined", "scans"))
+
+
 class Tables:
     """The tables of a folder, and the views over them, as DataFrames."""
 
@@ -102,11 +106,17 @@ class Tables:
         if name in TABLES:
             return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         if name in VIEWS:
-            return self.sql(VIEWS[name])
+            return self.sql(VIEWS[name], name in COSTLY)
         raise AttributeError(name)
 
-    def sql(self, text: str) -> DataFrame:
+    def dealt(self, name: str, key: str) -> DataFrame:
+        """A table's rows dealt by their key: what is made of them runs in as many tasks as there are cores or partitions, however few files hold them."""
+        tasks = max(self.spark.sparkContext.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        return getattr(self, name).repartition(tasks, key)
+
+    def sql(self, text: str, costly: bool = False) -> DataFrame:
+        """``text`` over tables and views; with ``costly`` the rows of ``part`` are dealt first."""
         used = [t for t in (*TABLES, *VIEWS) if re.search(rf"\b(?:FROM|JOIN)\s+{t}\b", text)]
         for t in used:
             text = re.sub(rf"\b(FROM|JOIN)\s+{t}\b", rf"\1 {{{t}}}", text)
-        return self.spark.sql(text, **{t: getattr(self, t) for t in used})
+        return self.spark.sql(text, **{t: self.dealt(t, "p_partkey") if costly and t == "part" else getattr(self, t) for t in used})
