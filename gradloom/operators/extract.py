@@ -43,6 +43,14 @@ def rows(papers: DataFrame, key: str, found: Column) -> DataFrame:
     return papers.select(key, F.posexplode(found).alias("pos", "m"))
 
 
+def _asked(found: DataFrame, keep: list[str], ok: Column, **columns: Column) -> DataFrame:
+    """``keep`` and ``columns`` of the rows for which ``ok`` holds and whose ``text`` is long enough. They are made once and then looked at:
+    a filter after a projection is pushed below it, and makes costly columns a second time."""
+    made = F.array(F.struct(ok.alias("ok"), *[c.alias(n) for n, c in columns.items()]))
+    rows = found.select(*keep, F.explode(F.filter(made, lambda q: q["ok"] & (F.length(q["text"]) >= LEAST))).alias("q"))
+    return rows.select(*keep, *[f"q.{n}" for n in columns])
+
+
 def drop_headers(text: Column) -> Column:
     return F.array_join(F.filter(F.transform(F.split(text, "\n", -1), strip), _not_header), "\n")
 
@@ -67,9 +75,10 @@ def part_a(papers: DataFrame, key: str = "paper_id", text: str = "text") -> Data
     pieces = [F.regexp_extract_all("block", F.lit(rf"{s}.*?(?={s}|\z)"), F.lit(0)) for s in PART_A_STARTS]
     found = papers.select(key, block.alias("block"))
     q = found.select(key, F.posexplode(F.when(F.size(pieces[0]) >= 5, pieces[0]).otherwise(pieces[1])).alias("pos", "piece"))
-    number = F.regexp_extract("piece", r"^(\d{1,2})", 1)
-    q = q.select(key, "pos", number.alias("question_number"), rewrite(F.col("piece"), TRAILING).alias("text"))
-    return q.where((F.col("question_number").try_cast("int") <= 10) & (F.length("text") >= LEAST)).select(key, "pos", "question_number", "text", F.lit(3).alias("marks"), F.lit("A").alias("part"), F.lit(None).cast("int").alias("module_hint"))
+    q = q.select(key, "pos", "piece", F.regexp_extract("piece", r"^(\d{1,2})", 1).alias("number"))
+    return _asked(
+        q, [key, "pos"], F.col("number").try_cast("int") <= 10, question_number=F.col("number"), text=rewrite(F.col("piece"), TRAILING), marks=F.lit(3), part=F.lit("A"), module_hint=F.lit(None).cast("int")
+    )
 
 
 def part_b(papers: DataFrame, key: str = "paper_id", text: str = "text") -> DataFrame:
@@ -80,21 +89,19 @@ def part_b(papers: DataFrame, key: str = "paper_id", text: str = "text") -> Data
     tail = F.regexp_extract("m.g3", r"\s(\d{1,2})\s*\z", 1).try_cast("int")
     cleaned = rewrite(F.when(tail <= 14, F.regexp_replace("m.g3", r"\s+\d{1,2}\s*\z", "")).otherwise(F.col("m.g3")), (Sub(r"\s*[E]\s*\z"), Sub(r"\s+\d\s*\z"), STRIP))
     q = q.select(key, (F.col("base") + F.col("at") + 100).alias("pos"), F.concat("m.g1", F.lower("m.g2")).alias("question_number"), cleaned.alias("text"), F.when(tail <= 14, F.nullif(tail, F.lit(0))).alias("m2"), "module_hint")
-    return q.where(F.length("text") >= LEAST).select(key, "pos", "question_number", "text", F.coalesce("m2", F.lit(7)).alias("marks"), F.lit("B").alias("part"), "module_hint")
+    return _asked(q, [key, "pos"], F.lit(True), question_number=F.col("question_number"), text=F.col("text"), marks=F.coalesce("m2", F.lit(7)), part=F.lit("B"), module_hint=F.col("module_hint"))
 
 
 def by_lines(papers: DataFrame, key: str = "paper_id", text: str = "text") -> DataFrame:
     """The fallback: a line that begins with a number and a capital starts a question, which runs to the next such line or heading."""
     start = r"(?m)^(\d{1,2})[ \t]*([a-zA-Z])?[ \t]*\)?[ \t.]*([A-Z][^\n]*(?:\n(?!\d{1,2}[ \t]*[a-z]?[ \t]*\)?[^\n]*[A-Z]|(?i:module|part)\s)[^\n]*)*)"
-    q = rows(papers, key, matches(F.col(text), start, 1, 2, 3))
-    body = rewrite(F.col("m.g3"), (Sub(r"\s+", " "), STRIP))
-    tail = F.regexp_extract(body, r"\s(\d{1,2})\s*\z", 1).try_cast("int")
-    first = F.col("m.g1").try_cast("int") <= 10
-    out = q.select(
-        key, "pos", F.concat("m.g1", F.lower("m.g2")).alias("question_number"), F.when(tail <= 14, F.regexp_replace(body, r"\s+\d{1,2}\s*\z", "")).otherwise(body).alias("text"),
-        F.coalesce(F.when(tail <= 14, tail), F.when(first, 3).otherwise(7)).alias("marks"), F.when(first, "A").otherwise("B").alias("part"), F.lit(None).cast("int").alias("module_hint"),
+    q = rows(papers, key, matches(F.col(text), start, 1, 2, 3)).select(key, "pos", "m", rewrite(F.col("m.g3"), (Sub(r"\s+", " "), STRIP)).alias("body"))
+    q = q.withColumn("tail", F.regexp_extract("body", r"\s(\d{1,2})\s*\z", 1).try_cast("int"))
+    body, tail, first = F.col("body"), F.col("tail"), F.col("m.g1").try_cast("int") <= 10
+    return _asked(
+        q, [key, "pos"], F.lit(True), question_number=F.concat("m.g1", F.lower("m.g2")), text=F.when(tail <= 14, F.regexp_replace(body, r"\s+\d{1,2}\s*\z", "")).otherwise(body),
+        marks=F.coalesce(F.when(tail <= 14, tail), F.when(first, 3).otherwise(7)), part=F.when(first, "A").otherwise("B"), module_hint=F.lit(None).cast("int"),
     )
-    return out.where(F.length("text") >= LEAST)
 
 
 def deduplicated(questions: DataFrame, key: str = "paper_id") -> DataFrame:
