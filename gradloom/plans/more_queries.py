@@ -43,6 +43,12 @@ def _kmeans(t: Tables):
     return KMeans(k=5, seed=42).fit(data).transform(data).select("vec_id", "prediction")
 
 
+def _isolated(t: Tables):
+    found = K.linkage_clusters(t.embeddings, 0.75, "vec_id", "embedding", ("label",), least=1)
+    mixed = K.mixed_clusters(found, "cluster", ("label",)).select("cluster", F.lit(True).alias("is_mixed"))
+    return found.join(mixed, "cluster", "left").groupBy("label").agg(F.count(F.lit(1)).alias("questions"), F.count("is_mixed").alias("mixed"))
+
+
 def _echo(prompt: str) -> str:
     return f"Module {len(prompt) % 5 + 1}"
 
@@ -118,6 +124,11 @@ QUERIES = {
         None,
     ),
     "k02_isolation": (
+        # clusters of all vectors, made label by label: rows whose cluster holds rows of several labels
+        lambda t: _isolated(t),
+        "SELECT label, count(*) AS questions, CAST(0 AS BIGINT) AS mixed FROM embeddings WHERE embedding IS NOT NULL GROUP BY 1",
+    ),
+    "k02_mixed_topics": (
         # topics as clusters, in which parts and years may mix: those that the guard refuses
         lambda t: K.mixed_clusters(t.questions, "topic_id", ("part", "exam_year")),
         "SELECT topic_id, count(DISTINCT part || exam_year) AS buckets FROM questions GROUP BY 1 HAVING count(DISTINCT part || exam_year) > 1",
