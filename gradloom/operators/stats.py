@@ -42,10 +42,16 @@ def module_distribution(questions: DataFrame, modules: DataFrame) -> DataFrame:
     return known.unionByName(none)
 
 
-def distribution(questions: DataFrame, by: Column, name: str) -> DataFrame:
+def distribution(questions: DataFrame, by: Column, name: str, of: Sequence[str] = ()) -> DataFrame:
     """Counts by a label; the empty label does not count. It goes after the counting, by an aggregate:
-    a filter on the label itself would be pushed down and compute the label twice for each row."""
-    counts = questions.select("subject_id", by.alias(name)).groupBy("subject_id", name).agg(F.count(F.lit(1)).alias("count"), F.max(name).alias("shown"))
+    a filter on the label itself would be pushed down and compute the label twice for each row.
+
+    With ``of``, the columns that the label is made of, equal rows are counted first and the label is decided once for them."""
+    n = F.count(F.lit(1))
+    if of:
+        questions, n = questions.groupBy("subject_id", *of).agg(n.alias("__n")), F.sum("__n")
+    labelled = questions.select("subject_id", by.alias(name), *(["__n"] if of else []))
+    counts = labelled.groupBy("subject_id", name).agg(n.alias("count"), F.max(name).alias("shown"))
     return counts.where(F.col("shown") != "").drop("shown")
 
 
