@@ -234,7 +234,7 @@ def _least(x: float) -> int:
 
 
 def _unmet(nodes: DataFrame, rank: np.ndarray) -> DataFrame:
-    """``a, b``: the pairs of ``nodes`` (node, component, words) that lie in different components and share
+    """``a, b, ca, cb``: the pairs of ``nodes`` (node, component, words) that lie in different components (``ca, cb``) and share
     a k-mer of their prefixes where enough of both is left for a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +257,9 @@ def _unmet(nodes: DataFrame, rank: np.ndarray) -> DataFrame:
     smaller = (F.col("b_n") < F.col("a_n")) | ((F.col("b_n") == F.col("a_n")) & (F.col("b_node") < F.col("a_node")))
     enough = F.least(F.col("a_n") - F.col("a_nth"), F.col("b_n") - F.col("b_nth")) >= SIMILAR / (1 + SIMILAR) * (F.col("a_n") + F.col("b_n")) - 1e-9
     met = large.join(small.where("b_short").drop("b_short"), "kmer").where(smaller & (F.col("a_component") != F.col("b_component")) & _fits("a_n", "b_n") & enough)
-    return met.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
+    ends = [F.struct(F.col(f"{x}_node").alias("node"), F.col(f"{x}_component").alias("component")) for x in "ab"]
+    met = met.select(F.least(*ends).alias("x"), F.greatest(*ends).alias("y"))
+    return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.component").alias("ca"), F.col("y.component").alias("cb")).distinct()
 
 
 def _mixed(shared: DataFrame, group: DataFrame) -> DataFrame:
@@ -271,7 +273,8 @@ def _settle(shared: DataFrame, tried: DataFrame, links: DataFrame, n_links: int,
     """``group``, once no pair of a bucket that may be a link is unverified between two components.
 
     Up to ``FEW`` pairs, or one for every four nodes, are verified at once. Of more, first one for each
-    two components is, then 16 times as many in each round: what these link, the other pairs need not.
+    two components is, then 16 times as many in each round: what these link, the other pairs need not. Pairs carry their ends'
+    components and meet ``group`` again only where a round has changed it.
     """
     nodes = cut(seqs.join(_mixed(shared, group), "node"), "mixed")
     few = max(FEW, n_nodes // 4)
@@ -286,7 +289,7 @@ def _settle(shared: DataFrame, tried: DataFrame, links: DataFrame, n_links: int,
         some = rest.select("a", "b")
         if n > few:
             two = (F.least("ca", "cb"), F.greatest("ca", "cb"), F.pmod(F.xxhash64("a", "b"), F.lit(share)))
-            some = cut(_apart(some, group).groupBy(*two).agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b"), "some", n)
+            some = cut(rest.groupBy(*two).agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b"), "some", n)
         found = cut(_links(some, seqs), "links")
         n_found = found.count()
         if n_found:
@@ -294,7 +297,8 @@ def _settle(shared: DataFrame, tried: DataFrame, links: DataFrame, n_links: int,
             group = cut(components(links, most=n_links), "components", 2 * n_links)
         if n <= few:
             break
-        rest = cut(_apart(rest.select("a", "b").join(some, ["a", "b"], "left_anti"), group).select("a", "b"), "unmet", n)
+        rest = rest.join(some, ["a", "b"], "left_anti")
+        rest = cut(_apart(rest.select("a", "b"), group).select("a", "b", "ca", "cb") if n_found else rest, "unmet", n)
         n, share = rest.count(), 16 * share
     return group
 

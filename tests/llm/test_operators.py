@@ -773,3 +773,15 @@ def test_no_credential_is_written_in_clear(spark, tmp_path, monkeypatch):
     assert values[0] not in masked[0] and "[SECRET]" in masked[0]
     rows = [str(r) for f in tmp_path.rglob("*.parquet") for r in pq.read_table(f).to_pylist()]
     assert rows and not [r for r in rows if any(v in r for v in values)]
+
+
+def test_unmet_pairs_know_their_components(spark):
+    """Rounds that settle pairs begin with the components of both ends, without a join of pairs and nodes."""
+    from gradloom.llm import order_minhash as m
+
+    words = [f"w{i}" for i in range(60)]
+    texts = {b"a": " ".join(words), b"b": " ".join([*words[:-1], "x"]), b"c": " ".join(["y", *words[1:]]), b"d": "of another kind " * 20}
+    rows = [(n, b"A" if n in (b"a", b"b") else n, m.word_hashes(t).astype("<u4").tobytes()) for n, t in texts.items()]
+    nodes = spark.createDataFrame(rows, "node binary, component binary, words binary")
+    got = {tuple(bytes(x) for x in r) for r in m._unmet(nodes, np.zeros(m.SLOTS, dtype=np.uint16)).select("a", "b", "ca", "cb").collect()}
+    assert got == {(b"a", b"c", b"A", b"c"), (b"b", b"c", b"A", b"c")}
