@@ -57,7 +57,8 @@ def core_distances(rows: DataFrame, k: int = NEIGHBOURS, block: int = BLOCK) ->
         for i in range(len(u)):
             ok = np.ones(len(u), dtype=bool) if one else own != own[i]  # rows of its own block meet it where that block is alone
             ok[i] = False
-            d = np.sort(_far(u, i)[ok])[:k]
+            d = _far(u, i)[ok]
+            d = np.sort(np.partition(d, k - 1)[:k] if len(d) > k else d)
             at.append(np.full(len(d), keys[i]))
             far.append(d)
         return pa.table({"key": pa.array(np.concatenate(at), pa.int64()), "d": pa.array(np.concatenate(far), pa.float64())})
