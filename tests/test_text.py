@@ -114,3 +114,13 @@ def test_images(spark):
     df = spark.createDataFrame([(1, bytearray(M.write_pgm(noisy))), (2, None)], "id long, image binary")
     out = {r.id: r.image for r in M.map_images(df, "image", M.median_blur).collect()}
     assert out[2] is None and (M.read_pgm(bytes(out[1])) == 200).all()
+
+
+def test_a_line_of_many_papers_is_looked_at_once():
+    from gradloom.operators import segment
+
+    segment.events.kept.cache_clear()
+    papers = [parse(f"PART A\nReg No: {i}\n1. Define flood hazard (3 marks)\n{'x' * 400}{i}\n2. Explain the risk map") for i in range(50)]
+    assert all([(q.number, q.part, q.marks) for q in p] == [("1", "A", 3), ("2", "A", 3)] for p in papers)
+    info = segment.events.kept.cache_info()
+    assert info.misses == 50 + 3 and info.hits == 49 * 3 and info.maxsize  # lines of 400 characters are not kept
