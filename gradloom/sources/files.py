@@ -29,7 +29,13 @@ def plain_text(data: bytes) -> list[tuple[str, float]]:
     return [(p, 1.0) for p in data.decode("utf-8", "replace").split("\f")]
 
 
-FILES_A_BATCH = 8
+#: Files are whole in memory: a batch ends with the file that fills its bytes. Pages of small files leave together.
+FILES_A_BATCH, BYTES_A_BATCH, PAGES_A_BATCH = 1024, 4 << 20, 1024
+
+
+def _batch(pages: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int32(), pa.string(), pa.float64(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*pages, strict=True), kinds, strict=True)], names=[x.split()[0] for x in PAGES.split(", ")])
 
 
 def extract_pages(files: DataFrame, cascade: list[tuple[str, Extractor]], least_chars: int = 0, each: int | None = None) -> DataFrame:
@@ -37,7 +43,7 @@ def extract_pages(files: DataFrame, cascade: list[tuple[str, Extractor]], least_
     the stage's own pages, that many on average).
 
     A file on which all stages fail is one row: page 0, no text, confidence 0, method ``failed`` with each stage's reason; see
-    :func:`failed` and :func:`required`. Files are read ``FILES_A_BATCH`` at a time, as each is whole in memory, and once, when this is called.
+    :func:`failed` and :func:`required`. Files are read once, when this is called, in batches bounded by ``BYTES_A_BATCH``, as each file is whole in memory.
     """
 
     def read(data: bytes | None) -> tuple[str, list[tuple[str, float]]]:
@@ -56,15 +62,19 @@ def extract_pages(files: DataFrame, cascade: list[tuple[str, Extractor]], least_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            found, chars = [], 0
             for path, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 method, pages = read(data.as_py())
-                numbers = range(1, len(pages) + 1) if pages else [0]
-                pages = pages or [(None, 0.0)]
-                n = len(pages)
-                yield pa.RecordBatch.from_arrays([pa.array([path] * n), pa.array(numbers, pa.int32()), pa.array([t for t, _ in pages], pa.string()), pa.array([c for _, c in pages], pa.float64()), pa.array([method] * n)], names=[x.split()[0] for x in PAGES.split(", ")])
+                found += [(path, i, t, c, method) for i, (t, c) in enumerate(pages, 1)] or [(path, 0, None, 0.0, method)]
+                chars += sum(len(t or "") for t, _ in pages)
+                if len(found) >= PAGES_A_BATCH or chars >= BYTES_A_BATCH:
+                    yield _batch(found)
+                    found, chars = [], 0
+            if found:
+                yield _batch(found)
 
     ship(files.sparkSession)
-    with batches_of(files.sparkSession, FILES_A_BATCH):  # written at once: the bound holds for jobs that run in here
+    with batches_of(files.sparkSession, FILES_A_BATCH, BYTES_A_BATCH):  # written at once: the bound holds for jobs that run in here
         return cut(files.select("path", "content").mapInArrow(run, PAGES), "pages")
 
 

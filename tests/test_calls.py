@@ -185,3 +185,26 @@ def test_files_that_nothing_reads_are_rows(spark):
     with pytest.raises(ValueError, match="no text in"):
         files.required(pages)
     assert files.required(pages.where("path = 'a'")).count() == 2
+
+
+def test_batches_of_files_are_bounded_by_bytes(spark):
+    """Small files come many at a time, large ones few; a smaller setting stays."""
+    import pyarrow as pa
+
+    from gradloom.workers import batches_of
+
+    def sizes(length, *limits):
+        rows = spark.range(0, 200, 1, 1).selectExpr(f"cast(repeat('x', {length}) as binary) AS c")
+        with batches_of(spark, *limits):
+            return [r.n for r in rows.mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in bs), "n long").collect()]
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    assert sizes(10, files.FILES_A_BATCH, files.BYTES_A_BATCH) == [200]
+    assert max(sizes(1 << 20, files.FILES_A_BATCH, files.BYTES_A_BATCH)) <= 5
+    spark.conf.set(key, "1m")
+    try:
+        assert max(sizes(1 << 20, files.FILES_A_BATCH, files.BYTES_A_BATCH)) <= 2
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.set(key, before)
