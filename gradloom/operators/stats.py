@@ -114,6 +114,25 @@ def topic_clusters(questions: DataFrame, by: Sequence[str]) -> DataFrame:
     return out.withColumn("priority_tier", tier(F.col("frequency")))
 
 
+def question_texts(questions: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The distinct texts of a group with what :func:`text_clusters` adds up: ``n`` rows, their marks, parts and known years; ``first`` is the least of ``order``."""
+    year, order_of = F.nullif("exam_year", F.lit("")).alias("year"), F.struct(*order).alias("first")
+    of_year = questions.select(*by, "qtext", year, "marks", "part", order_of).groupBy(*by, "qtext", "year").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("marks").alias("marks"), count_if(F.col("part") == "A").alias("part_a"), count_if(F.col("part") == "B").alias("part_b"), F.min("first").alias("first"),
+    )
+    return of_year.groupBy(*by, "qtext").agg(*[F.sum(c).alias(c) for c in ("n", "marks", "part_a", "part_b")], F.min("first").alias("first"), F.collect_set("year").alias("asked"))
+
+
+def text_clusters(texts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """What :func:`topic_clusters` gives of questions, of their texts as :func:`question_texts` counts them."""
+    out = texts.groupBy(*by).agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("asked")))).alias("asked"), F.coalesce(F.sum("marks"), F.lit(0)).alias("total_marks"), F.sum("n").alias("question_count"),
+        F.sum("part_a").alias("part_a_count"), F.sum("part_b").alias("part_b_count"),
+    )
+    out = out.withColumn("frequency", F.size("asked").cast("long")).withColumn("years", F.array_join("asked", ",")).drop("asked")
+    return out.withColumn("priority_tier", tier(F.col("frequency")))
+
+
 def cluster_groups(questions: DataFrame, by: Sequence[str]) -> DataFrame:
     """Cluster groups: frequency is the number of distinct years, or of members when no year is known."""
     year = F.nullif("exam_year", F.lit(""))

@@ -24,6 +24,8 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gradloom.lineage import cut
+
 _GEN = "gen"
 
 
@@ -116,7 +118,7 @@ def read(spark: SparkSession, folder: str, by: Sequence[str], at: int | None = N
 
 def recompute(table: DataFrame, folder: str, by: Sequence[str], keys: DataFrame, compute: Callable[[DataFrame], DataFrame]) -> int:
     """Refreshes ``keys`` alone: ``compute`` gets the rows of ``table`` that have them."""
-    keys = keys.select(*by).distinct()
+    keys = cut(keys.select(*by).distinct(), "keys")  # read here, and for the check and the pointers of the refresh
     return refresh(compute(table.join(keys, _same(by, table, keys), "left_semi")), folder, by, keys)
 
 

@@ -174,6 +174,28 @@ def test_subject_analysis(spark, tmp_path):
     assert topics.topics_of(spark, folder, at=1).count() == len(got)
 
 
+def test_equal_texts_are_analysed_once(spark):
+    """Totals of clusters come from distinct texts, each with its count, and are those of all rows."""
+    from gradloom.operators.stats import question_texts, text_clusters, topic_clusters
+
+    r = random.Random(3)
+    words = [None, "", "Explain the flood hazard map (3 marks)", "Describe flood hazard map in detail", "Define stakeholder participation"]
+    rows = [(r.choice([1, None]), r.choice([1, 2, None]), r.choice(words), r.choice([None, "", "2019", "2020", "2021"]), r.choice([None, 3, 14]), r.choice(["A", "B", None]), i) for i in range(400)]
+    questions = spark.createDataFrame(rows, QUESTIONS)
+    texts = question_texts(questions, topics.BY, ["n"]).cache()
+    assert texts.count() == len({(s, m, q) for s, m, q, *_ in rows})
+    want, got = topic_clusters(questions, [*topics.BY, "qtext"]), text_clusters(texts, [*topics.BY, "qtext"])
+    assert got.select(want.columns).schema.simpleString() == want.schema.simpleString()
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+    firsts = {(x.subject_id, x.module_number, x.qtext): x["first"].n for x in texts.collect()}
+    assert all(firsts[s, m, q] == min(x[6] for x in rows if x[:3] == (s, m, q)) for s, m, q, *_ in rows)
+    clusters, members = topics.analyze(questions, ["n"])
+    members = members.collect()
+    assert sorted(x.n for x in members) == list(range(400))
+    firsts = {x.cluster: x.qtext for x in members if x.seen == 1}
+    assert {x.cluster: x.representative_text for x in clusters.collect()} == firsts
+
+
 # extraction ---------------------------------------------------------------------------------
 
 
