@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 _VERB = "CASE l_linenumber " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(("Explain", "Define", "Analyze", "Design", "Compare", "Evaluate", "Calculate"), 1)) + " ELSE 'Discuss' END"
@@ -95,6 +96,11 @@ def with_views(sql: str) -> str:
 #: Views whose rows are made, and then read, at some cost each out of the few narrow rows of ``part``: a file of a size for one task.
 COSTLY = frozenset(("qlines", "printed", "lined", "scans"))
 
+#: Rows of ``lineitem`` for each task of the joins that make questions: some 100 MB to sort. By itself Spark gives a task what is 64 MB compressed, or
+#: a share of all rows where there are few shuffle partitions.
+ROWS_A_TASK = 1_000_000
+_LINES = "lineitem JOIN part ON l_partkey = p_partkey"
+
 
 class Tables:
     """The tables of a folder, and the views over them, as DataFrames."""
@@ -105,10 +111,21 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
             return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name == "questions":
+            return self._questions()
         if name in VIEWS:
             return self.sql(VIEWS[name], name in COSTLY)
         raise AttributeError(name)
 
+    def _questions(self) -> DataFrame:
+        """The view; from large tables by joins whose tasks grow in number and not in size."""
+        tasks = -(-self.lineitem.count() // ROWS_A_TASK)
+        if tasks <= self.spark.sparkContext.defaultParallelism:
+            return self.sql(VIEWS["questions"])
+        tasks = max(tasks, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        lines = self.lineitem.repartition(tasks, "l_partkey").join(self.part, F.col("l_partkey") == F.col("p_partkey")).repartition(tasks, "l_orderkey")
+        return self.spark.sql(VIEWS["questions"].replace(_LINES, "{lines}").replace("JOIN orders", "JOIN {orders}"), lines=lines, orders=self.orders)
+
     def dealt(self, name: str, key: str) -> DataFrame:
         """A table's rows dealt by their key: what is made of them runs in as many tasks as there are cores or partitions, however few files hold them."""
         tasks = max(self.spark.sparkContext.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions")))

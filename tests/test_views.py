@@ -18,6 +18,18 @@ def test_costly_views_run_in_many_tasks(spark, view):
     assert len(sizes) >= 4 and max(sizes) < 0.5 * sum(sizes)
 
 
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="the driver's tables are not here")
+def test_questions_of_large_tables_come_in_bounded_tasks(spark, monkeypatch):
+    from gradloom.plans import exam
+
+    few = sorted(map(str, Tables(spark, FOLDER).questions.collect()))
+    monkeypatch.setattr(exam, "ROWS_A_TASK", 500)
+    many = Tables(spark, FOLDER).questions
+    sizes = many.rdd.mapPartitions(lambda r: [sum(1 for _ in r)]).collect()
+    assert sorted(map(str, many.collect())) == few
+    assert len(sizes) == -(-len(few) // 500) and max(sizes) < 1000
+
+
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="the driver's tables are not here")
 def test_lines_of_a_topic_are_made_once(spark):
     """Pairs of a topic's lines come from one reading of the lines, and not from a join of two."""
