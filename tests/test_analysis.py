@@ -343,3 +343,22 @@ def test_density_clusters_over_blocks(spark):
                 found.setdefault(x.cluster, set()).add(x.id)
         assert {frozenset(c) for c in found.values()} == {frozenset(ids[list(c)].tolist()) for c in brute_density(v[ids])}
         assert all(x.frequency == len(found[x.cluster]) and x.tier == {1: 4, 2: 3, 3: 2}.get(x.frequency, 1) for x in got if x.b == b and not x.noise)
+
+
+def test_a_paper_is_walked_once_for_each_pattern(spark):
+    """Not once for each group of a pattern: long papers cost what their walks cost."""
+    import re
+
+    plan = formats.questions_by_format(spark.createDataFrame([(1, "PART A")], "paper_id long, text string"))._jdf.queryExecution().optimizedPlan().toString()
+    for pattern in (formats.HIT, *formats.NUMBERED_LINES, formats.PARTS):
+        groups = re.findall(r"regexp_extract_all\([^,]*, " + re.escape(pattern) + r", (\d)\)", plan)
+        assert len(groups) == 1, pattern
+    assert r"[\s\S]*?" not in plan
+
+
+def test_sections_are_cut_where_the_next_number_stands(spark):
+    text = "PART A\nMarks\nState the causes of floods Marks \n\nPART B\nx\n" + "\n \n".join(f"{n} a)Discuss the rule number {n}  7\n b) Compare {n} with\tthe others 7" for n in ("I I", 12, 13, 14, 15, 16, 17, 18))
+    out = formats.questions_by_format(spark.createDataFrame([(1, text), (2, None)], "paper_id long, text string")).orderBy("pos").collect()
+    got = [(x.question_number, x.text) for x in out if x.marks == 14]
+    assert got == [(str(n), f"Discuss the rule number {w} OR Compare {w} with the others") for n, w in ((11, "I I"), (12, 12), (13, 13), (14, 14), (15, 15), (16, 16), (17, 17), (18, 18))]
+    assert [(x.question_number, x.text) for x in out if x.marks == 3] == [("1", "State the causes of floods")] and {x.paper_id for x in out} == {1}
