@@ -1,10 +1,13 @@
 """Fixtures of the text functions, the decisions and the segmenter."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from gradloom.functions import classify as C
 from gradloom.functions import text as T
+from gradloom.functions.rewrite import BLANK_LINES, STRIP, map_lines, rewrite
 from gradloom.operators import plugins, rules
 from gradloom.operators.ingest import parse_filename, valid_rows, validate_pdf
 from gradloom.operators.segment import parse
@@ -124,3 +127,21 @@ def test_a_line_of_many_papers_is_looked_at_once():
     assert all([(q.number, q.part, q.marks) for q in p] == [("1", "A", 3), ("2", "A", 3)] for p in papers)
     info = segment.events.kept.cache_info()
     assert info.misses == 50 + 3 and info.hits == 49 * 3 and info.maxsize  # lines of 400 characters are not kept
+
+
+def _odd_texts():
+    rnd = random.Random(7)
+    pieces = ("\n", "\n", " ", "  ", "\t", "\r", "\x01", "*", "|", "\n*\n", "\n# #\n", "\n* * *\n", "part a", "Part : B", "PARTB", "part\na", "1 .  ", "\n12 . x", "1et", "1ist", "21et", "11 .", "x-\ny", "ﬁ", "“", "—", "°", "( ii )", "a", "é", ".", "-")
+    return ["", "\n", " \n*\n ", *("".join(rnd.choice(pieces) for _ in range(rnd.randint(1, 30))) for _ in range(1500))]
+
+
+@pytest.mark.parametrize("name", ["clean_exam_artifacts"])
+def test_fewer_walks_say_what_the_rules_say(spark, name):
+    """The rules one after another, line by line for exam artefacts, are what ``CORRECTIONS`` and ``EXAM_LINE`` list."""
+    c = F.col("text")
+    kept = map_lines(c, lambda x: F.when(F.length(rewrite(x, (STRIP,))) == 0, "\x01").otherwise(rewrite(x, T.EXAM_LINE)), lambda x: F.length(x) > 0)
+    plain = {"rule_based_corrections": rewrite(c, (*T.CORRECTIONS, T.LONE_I)), "clean_exam_artifacts": rewrite(F.translate(kept, "\x01", ""), (BLANK_LINES, STRIP))}
+    df = spark.createDataFrame([(x,) for x in _odd_texts()] + [(None,)], "text string").select("text", getattr(T, name)(c).alias("out"), plain[name].alias("plain"))
+    assert df.where("NOT (out <=> plain)").take(3) == []
+    plan = df.select("out")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") <= 6 and "transform(" not in plan and "lambda" not in plan
