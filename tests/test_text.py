@@ -135,7 +135,7 @@ def _odd_texts():
     return ["", "\n", " \n*\n ", *("".join(rnd.choice(pieces) for _ in range(rnd.randint(1, 30))) for _ in range(1500))]
 
 
-@pytest.mark.parametrize("name", ["clean_exam_artifacts"])
+@pytest.mark.parametrize("name", ["rule_based_corrections", "clean_exam_artifacts"])
 def test_fewer_walks_say_what_the_rules_say(spark, name):
     """The rules one after another, line by line for exam artefacts, are what ``CORRECTIONS`` and ``EXAM_LINE`` list."""
     c = F.col("text")
