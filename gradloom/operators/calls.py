@@ -1,9 +1,10 @@
 """Calls of language models: remembered, within a budget, and many rows to a call.
 
-An answer that was given is written to a table by the prompt's hash, round after round, and a prompt is asked only
+An answer that was given is written to a table by the prompt's hash, task after task, and a prompt is asked only
 when the table doesn't hold it. So a job that is run again, or that goes on after it was stopped, asks nothing twice that
-was committed; within a round a task that Spark repeats asks its own rows of that round again, which is
-why rounds are bounded. Prompts that all models fail on are not remembered.
+was committed. All prompts are asked in one job, each task of which commits its own answers as it ends; a task that is
+stopped or that Spark repeats asks its own rows again, which is why tasks are bounded. Prompts that all models fail on are
+not remembered.
 
 Budgets are counted before anything is asked: pairs that a model is to judge are ranked within their module, those beyond the budget
 are decided as the rule says. Rows that share a call are packed in bounded lists, in order, and the reply is taken
@@ -23,6 +24,10 @@ from gradloom.lineage import cut
 from gradloom.operators.plugins import Llm, ask, same_verdict, similarity_verdict
 
 ANSWERS = "h string, answer string, model string"
+#: A task's file is there for good when the task ends, and not only when all have.
+EACH_TASK = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
+#: From so many tasks on they hold more calls each: starting a task and writing its file takes some 0.15 s of a core.
+TASKS = 2000
 # How many pairs of a module are judged, how sure a confirmation is to be, what goes into a list and what comes out.
 REFINE_BUDGET, SURE, SAMPLE, SAMPLE_CHARS, LIST_ROWS, LIST_CHARS = 100, 80, 5, 200, 12, 350
 PAGE_SEPARATOR = "\n\n=== PAGE SEPARATOR ===\n\n"
@@ -39,18 +44,20 @@ def answers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def ask_once(prompts: DataFrame, key: Sequence[str], prompt: str, chain: Chain, folder: str, at_a_time: int = 2000, tries: int = 3, wait: float = 1.0) -> DataFrame:
-    """``key, answer, model`` of every row. ``folder`` holds the answers; equal prompts are one call, in ``at_a_time`` calls a round.
+    """``key, answer, model`` of every row. ``folder`` holds the answers; equal prompts are one call.
 
-    A null prompt isn't asked and has no answer.
+    The tasks that run together hold about ``at_a_time`` calls whose answers aren't committed; where that makes more than ``TASKS``
+    tasks, each holds its share of all calls, up to about ``at_a_time``. A null prompt isn't asked and has no answer.
     """
     spark = prompts.sparkSession
     wanted = prompts.select(*key, F.sha2(prompt, 256).alias("h"))
     distinct = prompts.where(F.col(prompt).isNotNull()).select(F.sha2(prompt, 256).alias("h"), F.col(prompt).alias("prompt")).dropDuplicates(["h"])
     missing = cut(distinct.join(answers(spark, folder).select("h"), "h", "left_anti"), "prompts")
-    rounds = -(-missing.count() // at_a_time)
-    for r in range(rounds):
-        some = missing.where(F.pmod(F.xxhash64("h"), F.lit(rounds)) == r)
-        ask(some, "h", "prompt", chain, tries, wait).where("answer IS NOT NULL").write.mode("append").parquet(folder)
+    if calls := missing.count():
+        cores = spark.sparkContext.defaultParallelism
+        each = min(at_a_time, max(1, at_a_time // cores, -(-calls // TASKS)))
+        dealt = missing.repartition(max(-(-calls // each), min(calls, cores)), "h")
+        ask(dealt, "h", "prompt", chain, tries, wait).where("answer IS NOT NULL").write.options(**EACH_TASK).mode("append").parquet(folder)
     known = answers(spark, folder).dropDuplicates(["h"])
     return wanted.join(known, "h", "left").select(*key, "answer", F.coalesce("model", F.lit("none")).alias("model"))
 

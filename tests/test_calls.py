@@ -58,6 +58,45 @@ def test_a_stopped_run_goes_on(spark, tmp_path):
     assert len(again) == 30 - len(kept) and not kept & set(again)  # no committed answer is asked for again
 
 
+def test_many_prompts_take_no_more_jobs_than_few(spark, tmp_path):
+    """All are read and asked once, and not once a round."""
+
+    def jobs(n):
+        group = f"asked {n}"
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            got = C.ask_once(prompts(spark, [f"t{i}" for i in range(n)]), ["id"], "p", [("m", str.upper)], f"{tmp_path}/{n}", at_a_time=4, tries=1)
+            assert {(x.id, x.answer, x.model) for x in got.collect()} == {(i, f"T{i}", "m") for i in range(n)}
+            return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        finally:
+            spark.sparkContext.setJobGroup("", "")
+
+    assert jobs(60) <= jobs(4) + 2  # adaptive plans may differ by a stage or two; 15 rounds were 14 jobs more
+
+
+def test_tasks_that_ended_keep_their_answers(spark, tmp_path):
+    """A stopped job loses the calls of the tasks that were running, here of four with one call or a few each."""
+
+    class Tires(Counted):
+        def __call__(self, prompt):
+            if len(self.calls) >= 40 and not os.path.exists(self.log + ".mended"):
+                raise SystemExit("the worker is lost")
+            return super().__call__(prompt)
+
+    model, folder = Tires(str.upper, tmp_path / "log"), f"{tmp_path}/answers"
+    rows = prompts(spark, [f"t{i}" for i in range(60)])
+    with pytest.raises(Exception):  # noqa: B017
+        C.ask_once(rows, ["id"], "p", [("m", model)], folder, at_a_time=4, tries=1).collect()
+    kept = {x.answer.lower() for x in C.answers(spark, folder).collect()}
+    assert len(kept) >= 20
+    open(tmp_path / "log.mended", "w").close()
+    before = len(model.calls)
+    got = C.ask_once(rows, ["id"], "p", [("m", model)], folder, at_a_time=4, tries=1).collect()
+    assert {(x.id, x.answer) for x in got} == {(i, f"T{i}") for i in range(60)}
+    again = [eval(x) for x in model.calls[before:]]
+    assert len(again) == 60 - len(kept) and not kept & set(again)
+
+
 MEMBERS = "cluster long, module long, seen int, t string, score double"
 
 
